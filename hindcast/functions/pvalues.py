@@ -6,13 +6,14 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def two_sided_normal(z: pd.Series) -> pd.Series:
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2.0)), na_action="ignore").astype("float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi_squared_one_degree(x: pd.Series) -> pd.Series:
     return x.map(lambda v: math.erfc(math.sqrt(v / 2.0)), na_action="ignore").astype("float64")

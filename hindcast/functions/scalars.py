@@ -51,15 +51,15 @@ def day_of_week(seconds: Column) -> Column:
 
 
 def percentage(value: Column) -> Column:
-    return F.coalesce(F.concat(F.format_number(value * 100, "0.00"), F.lit("%")), F.lit("N/A"))
+    return F.coalesce(F.concat(fixed_decimals(value * 100, 2, None), F.lit("%")), F.lit("N/A"))
 
 
 def grouped_count(value: Column) -> Column:
     return F.coalesce(F.format_number(value.cast("double"), 0), F.lit("N/A"))
 
 
-def fixed_decimals(value: Column, places: int = 3) -> Column:
-    return F.coalesce(F.format_number(value, "0." + "0" * places), F.lit("N/A"))
+def fixed_decimals(value: Column, places: int = 3, missing: str | None = "N/A") -> Column:
+    return F.coalesce(F.translate(F.format_number(value, places), ",", ""), F.lit(missing))
 
 
 def log_odds(p: Column, epsilon: float = 1e-6) -> Column:

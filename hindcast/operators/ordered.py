@@ -52,29 +52,18 @@ def profile(
     rows_per_chunk: int = ROWS_PER_CHUNK,
     max_chunks: int = MAX_CHUNKS,
 ) -> Layout:
-    """One aggregate job: row count, order quantiles, and frequent-item sketches per group.
+    """Row count and frequent-item sketches in one job; order quantiles only if a group must split.
 
     The sketches bound the largest group from above and list the (group, order) points that hold
     many rows. Both are bounded in size whatever the table.
     """
-    grid = [i / max_chunks for i in range(1, max_chunks)]
-    aggregates = [
-        F.count(F.lit(1)).alias("rows"),
-        F.max(order).alias("last"),
-        F.percentile_approx(F.col(order).cast("double"), grid, 10 * max_chunks).alias("grid"),
-    ]
+    aggregates = [F.count(F.lit(1)).alias("rows"), F.max(order).alias("last")]
     for i, group in enumerate(groups):
         if group:
             aggregates.append(_frequent(group, 1).alias(f"group_{i}"))
         aggregates.append(_frequent((*group, order), MAX_HOT_POINTS).alias(f"points_{i}"))
     facts = rows.agg(*aggregates).first()
     n = facts["rows"]
-    parallelism = rows.sparkSession.sparkContext.defaultParallelism
-    target = min(rows_per_chunk, max(n // parallelism, 20_000))
-    chunks = max(1, min(max_chunks, math.ceil(n / target)))
-    quantiles = facts["grid"] or []
-    stride = max(1, max_chunks // chunks)
-    edges = tuple(sorted(set(quantiles[stride - 1 :: stride]))) if chunks > 1 else ()
     largest, hot = {}, {}
     for i, group in enumerate(groups):
         if group:
@@ -82,7 +71,21 @@ def profile(
             largest[group] = min(n, top[0]["count"]) if top else n
         limit = max(rows_per_chunk // 4, n // MAX_HOT_POINTS)
         hot[group] = tuple(p["item"] for p in facts[f"points_{i}"] if p["count"] > limit)
-    return Layout(n, edges, largest, hot, rows_per_chunk, facts["last"])
+    layout = Layout(n, (), largest, hot, rows_per_chunk, facts["last"])
+    if not any(layout.splits(g) for g in groups):
+        return layout
+    parallelism = rows.sparkSession.sparkContext.defaultParallelism
+    target = min(rows_per_chunk, max(n // parallelism, 20_000))
+    return replace(layout, edges=order_edges(rows, order, min(max_chunks, math.ceil(n / target))))
+
+
+def order_edges(rows: DataFrame, order: str, chunks: int) -> tuple[float, ...]:
+    """Approximate quantiles that cut the order axis into chunks of similar size."""
+    if chunks < 2:
+        return ()
+    shares = ", ".join(f"{i / chunks!r}D" for i in range(1, chunks))
+    quantile = f"percentile_approx(CAST(`{order}` AS DOUBLE), array({shares}), {max(10 * chunks, 1000)})"
+    return tuple(sorted(set(rows.agg(F.expr(quantile)).first()[0] or ())))
 
 
 def _frequent(columns: tuple[str, ...], k: int) -> Column:
@@ -223,6 +226,24 @@ def as_of(
     return found.select(*probes.columns, *(F.col(f"_found.{v}").alias(v) for v in values))
 
 
+def attach(rows: DataFrame, states: DataFrame, on: tuple[str, ...], salt_by: str, copies: int = 64,
+           limit: int = ROWS_PER_CHUNK // 4) -> DataFrame:
+    """Left join rows to one state per key, spreading keys that hold very many rows.
+
+    A sketch finds those keys (at most ``MAX_HOT_POINTS``); only their state rows are copied.
+    """
+    facts = rows.agg(F.count(F.lit(1)), _frequent(on, MAX_HOT_POINTS)).first()
+    bar = max(limit, facts[0] // MAX_HOT_POINTS)
+    hot = [p["item"] for p in facts[1] if p["count"] > bar]
+    if not hot:
+        return rows.join(states, list(on), "left")
+    is_hot = F.xxhash64(*on).isin(hot)
+    slot = F.when(is_hot, F.pmod(F.xxhash64(salt_by), F.lit(copies))).otherwise(F.lit(0)).cast("int")
+    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(copies - 1))).otherwise(F.array(F.lit(0)))
+    spread = states.withColumn("_slot", F.explode(every))
+    return rows.withColumn("_slot", slot).join(spread, [*on, "_slot"], "left").drop("_slot")
+
+
 SELECT_LIMIT = 1_000_000
 
 

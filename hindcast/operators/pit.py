@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hindcast.functions.scalars import all_of
 from hindcast.operators.ordered import Layout, before, profile
 from hindcast.roles import EntityFeatures, Roles
 
@@ -35,6 +36,17 @@ def entity_features(
     group = spec.columns
     layout = layout or profile(rows, roles.time, (group,))
     columns = rows.columns
+    if spec.history and not (spec.velocity or spec.amounts or spec.recency):
+        rows = spread_unknown(rows, group, roles.key)
+        spread = replace(spec, columns=(*group, "_spread"))
+        known = layout.largest.get(group, layout.rows)
+        if known > DIRECT_FRAME_ROWS:
+            layout = profile(rows, roles.time, (spread.columns,), layout.rows_per_chunk)
+        else:
+            layout = replace(layout, largest={spread.columns: known})
+        work = rows.withColumn("_one", F.lit(1).cast("long"))
+        work = before(work, spread.columns, roles.time, {"_seen": "_one"}, layout)
+        return work.select(*columns, *_finish(spec, roles, decimals))
     units = F.round(F.col(roles.amount) * F.lit(10**decimals)).cast("long")
     work = rows.withColumn("_units", units).withColumn("_square", _square(F.col("_units")))
     small = group and layout.largest.get(group, layout.rows) <= DIRECT_FRAME_ROWS
@@ -42,6 +54,15 @@ def entity_features(
     return work.select(*columns, *_finish(spec, roles, decimals))
 
 
+def spread_unknown(rows: DataFrame, columns: tuple[str, ...], key: str, name: str = "_spread") -> DataFrame:
+    """A helper grouping column: 0 for known entities, many values where an entity column is NULL.
+
+    For features that are NULL for unknown entities anyway, those rows then never pile up.
+    """
+    known = all_of(F.col(c).isNotNull() for c in columns)
+    return rows.withColumn(name, F.when(known, F.lit(0)).otherwise(F.pmod(F.xxhash64(key), F.lit(4096)).cast("int")))
+
+
 def _square(units: Column) -> Column:
     wide = units.cast("decimal(19,0)")
     return (wide * wide).cast(SQUARE)
@@ -146,7 +167,7 @@ def _finish(spec: EntityFeatures, roles: Roles, decimals: int) -> list[Column]:
     if spec.recency:
         out.append((F.col(roles.time) - F.col("_last")).alias(f"recency_{spec.name}"))
     if spec.history:
-        known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in spec.columns), F.lit(True))
+        known = all_of(F.col(c).isNotNull() for c in spec.columns)
         seen = F.when(known, F.col("_seen"))
         out += [
             seen.alias(f"history_{spec.name}_count"),

@@ -84,3 +84,12 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
             for c, kind in df.dtypes
         )
     )
+
+
+def hourly_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events with times in whole hours, so that many share a timestamp."""
+    return events(spark, folder).withColumn("t", F.floor(F.col("t") / HOUR))
+
+
+HOURLY = f"""{EVENTS.replace("txn AS", "micro AS")},
+txn AS (SELECT * REPLACE (t // {HOUR} AS t) FROM micro)"""

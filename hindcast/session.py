@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +35,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="hindcast-checkpoint-"))
     return df.checkpoint()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder that every executor can read and write."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{folder.rstrip('/')}/hindcast/{name}-{uuid.uuid4().hex}"
