@@ -106,4 +106,3 @@ def comparability(runs: DataFrame, candidate: str, baseline: str, facts: list[st
     a = long.where(F.col(name) == baseline).select("fact", F.col("value").alias("baseline"))
     b = long.where(F.col(name) == candidate).select("fact", F.col("value").alias("candidate"))
     return a.join(b, "fact").withColumn("equal", F.col("baseline").eqNullSafe(F.col("candidate")))
-

@@ -2,17 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from dataclasses import dataclass, fields
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hindcast.functions.scalars import ratio_or_zero
+from hindcast.roles import Roles
+
+# Fixed values.
+BLOCK_THRESHOLD = 0.95
+ACTIONS = ("approve", "review", "block")
+
 
 def probability_facts(rows: DataFrame, score: str) -> DataFrame:
+    """How many rows there are and how many scores are not finite numbers in [0, 1]."""
     p = F.col(score)
     bad = p.isNull() | F.isnan(p) | (p < 0) | (p > 1)
     return rows.agg(F.count(F.lit(1)).alias("row_count"), F.count_if(bad).alias("invalid"))
 
 
+def require_probabilities(rows: DataFrame, score: str) -> None:
+    facts = probability_facts(rows, score).first()
+    if not facts["row_count"]:
+        raise ValueError("there are no probabilities")
+    if facts["invalid"]:
+        raise ValueError(f"{facts['invalid']} values of {score} are not probabilities")
+
+
 def label_facts(rows: DataFrame, label: str) -> DataFrame:
+    """Row count, labels other than 0 and 1, and how often each class occurs."""
     y = F.col(label)
     return rows.agg(
         F.count(F.lit(1)).alias("row_count"),
@@ -20,3 +41,188 @@ def label_facts(rows: DataFrame, label: str) -> DataFrame:
         F.count_if(y == 1).alias("positives"),
         F.count_if(y == 0).alias("negatives"),
     )
+
+
+@dataclass(frozen=True)
+class CostMatrix:
+    false_negative_cost: float
+    manual_review_cost: float
+    false_positive_escalation_cost: float
+    fraud_prevention_value: float
+
+    def __post_init__(self):
+        for f in fields(self):
+            value = getattr(self, f.name)
+            if not math.isfinite(value) or value < 0:
+                raise ValueError(f"{f.name} must be finite and not negative, got {value}")
+
+
+@dataclass(frozen=True)
+class ReviewPolicy:
+    capacity: int
+    min_probability: float = 0.0
+    max_probability: float = 1.0
+    block_threshold: float = BLOCK_THRESHOLD
+    actions: tuple[str, ...] = ACTIONS
+
+    def __post_init__(self):
+        if self.capacity < 1:
+            raise ValueError("capacity must be at least 1")
+        if not 0.0 <= self.min_probability < self.max_probability <= 1.0:
+            raise ValueError("probability bounds must satisfy 0 <= min < max <= 1")
+        if len(self.actions) != 3:
+            raise ValueError("exactly three action labels are needed")
+
+    def eligible(self, score: str) -> Column:
+        return F.col(score).between(self.min_probability, self.max_probability)
+
+
+def action_costs(rows: DataFrame, costs: CostMatrix, score: str = "score") -> DataFrame:
+    """Expected cost of each action and the value of preventing the loss, per row."""
+    p = F.col(score)
+    return rows.select(
+        "*",
+        (p * costs.false_negative_cost).alias("approve_cost"),
+        F.lit(float(costs.manual_review_cost)).alias("review_cost"),
+        ((1.0 - p) * costs.false_positive_escalation_cost).alias("block_cost"),
+        (p * costs.fraud_prevention_value).alias("prevention_value"),
+    )
+
+
+def review_priority(score: str, costs: CostMatrix) -> Column:
+    """Expected prevention value minus the review cost."""
+    return F.col(score) * costs.fraud_prevention_value - costs.manual_review_cost
+
+
+def cost_violations(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows whose cost columns are missing, not finite, or negative."""
+    wide = rows.agg(
+        *(
+            F.count_if(F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == F.lit(math.inf)) | (F.col(c) < 0)).alias(c)
+            for c in columns
+        )
+    )
+    return wide.unpivot([], columns, "cost", "violations")
+
+
+def select_for_review(rows: DataFrame, policy: ReviewPolicy, roles: Roles = Roles()) -> DataFrame:
+    """The highest eligible scores up to the capacity, ties by key."""
+    eligible = rows.where(policy.eligible(roles.score))
+    return eligible.orderBy(F.desc(roles.score), F.asc(roles.key)).limit(policy.capacity)
+
+
+def select_per_period(rows: DataFrame, policy: ReviewPolicy, period: str, roles: Roles = Roles()) -> DataFrame:
+    """The same selection within each period; Spark trims every period before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(period).orderBy(F.desc(roles.score), F.asc(roles.key)))
+    eligible = rows.where(policy.eligible(roles.score))
+    return eligible.withColumn("review_rank", rank).where(F.col("review_rank") <= policy.capacity)
+
+
+def review_boundary(rows: DataFrame, policy: ReviewPolicy, roles: Roles = Roles()) -> Column:
+    """The last selected (score, key) as one scalar, so that marking rows needs no join."""
+    narrow = select_for_review(rows.select(roles.key, roles.score), policy, roles)
+    last = F.max(F.struct((-F.col(roles.score)).alias("down"), F.col(roles.key).alias("key")))
+    return narrow.agg(last.alias("boundary")).scalar()
+
+
+def apply_policy(rows: DataFrame, policy: ReviewPolicy, roles: Roles = Roles()) -> DataFrame:
+    """Add ``reviewed`` and ``action``: review when selected, block above the threshold, else approve."""
+    place = F.struct((-F.col(roles.score)).alias("down"), F.col(roles.key).alias("key"))
+    chosen = policy.eligible(roles.score) & (place <= F.col("_boundary"))
+    approve, review, block = policy.actions
+    return (
+        rows.withColumn("_boundary", review_boundary(rows, policy, roles))
+        .withColumn("reviewed", F.coalesce(chosen, F.lit(False)))
+        .drop("_boundary")
+        .withColumn(
+            "action",
+            F.when(F.col("reviewed"), F.lit(review))
+            .when(F.col(roles.score) > policy.block_threshold, F.lit(block))
+            .otherwise(F.lit(approve)),
+        )
+    )
+
+
+def outcome_counts(decided: DataFrame, policy: ReviewPolicy, roles: Roles = Roles()) -> DataFrame:
+    """Outcome counts of a decided table; blocked rows are in none of them."""
+    y, reviewed = F.col(roles.label) == 1, F.col("reviewed")
+    passed = F.col("action") == policy.actions[0]
+    return decided.agg(
+        F.count_if(y & reviewed).alias("true_positives"),
+        F.count_if(~y & reviewed).alias("false_positives"),
+        F.count_if(y & passed).alias("false_negatives"),
+        F.count_if(~y & passed).alias("true_negatives"),
+    )
+
+
+def capacity_results(
+    rows: DataFrame, capacities: list[int], costs: CostMatrix, roles: Roles = Roles(),
+    min_probability: float = 0.0, max_probability: float = 1.0,
+) -> DataFrame:
+    """Policy results at every capacity, from one ranking of at most max(capacities) rows."""
+    widest = ReviewPolicy(max(capacities), min_probability, max_probability)
+    for capacity in capacities:
+        ReviewPolicy(capacity, min_probability, max_probability)
+    y = F.col(roles.label).cast("long")
+    total = rows.agg(F.coalesce(F.sum(y), F.lit(0))).scalar()
+    best = select_for_review(rows.select(roles.key, roles.score, roles.label), widest, roles)
+    # The window has no partition, but its input is bounded by the largest capacity.
+    ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(roles.score), F.asc(roles.key))))
+    wide = ranked.agg(
+        *(
+            F.struct(
+                F.count_if(F.col("rank") <= c).alias("selected_review_count"),
+                F.coalesce(F.sum(F.when(F.col("rank") <= c, y)), F.lit(0)).alias("captured_count"),
+            ).alias(str(c))
+            for c in capacities
+        )
+    )
+    long = wide.unpivot([], [str(c) for c in capacities], "capacity", "r")
+    selected, captured = F.col("selected_review_count"), F.col("captured_count")
+    shaped = long.select(
+        F.col("capacity").cast("int").alias("review_capacity"), "r.*", total.alias("total_positives")
+    )
+    cost = selected * costs.manual_review_cost
+    value = captured * costs.fraud_prevention_value
+    return shaped.select(
+        "review_capacity",
+        "selected_review_count",
+        ratio_or_zero(selected, F.col("review_capacity")).alias("capacity_utilisation"),
+        "captured_count",
+        "total_positives",
+        ratio_or_zero(captured, F.col("total_positives")).alias("capture_rate"),
+        (selected - captured).alias("false_positive_reviews"),
+        cost.alias("total_review_cost"),
+        value.alias("total_prevention_value"),
+        (value - cost).alias("net_value"),
+    )
+
+
+def evaluate_policy(rows: DataFrame, policy: ReviewPolicy, costs: CostMatrix, roles: Roles = Roles()) -> DataFrame:
+    """The result of one policy as one row."""
+    return capacity_results(
+        rows, [policy.capacity], costs, roles, policy.min_probability, policy.max_probability
+    )
+
+
+def keep_or_reject(comparison: DataFrame, captured: str = "captured_count", value: str = "net_value") -> DataFrame:
+    """Keep a candidate that gains captures without losing value, or value without losing captures."""
+    more, worth = F.col(f"{captured}_difference"), F.col(f"{value}_difference")
+    keep = ((more > 0) & (worth >= 0)) | ((worth > 0) & (more >= 0))
+    return comparison.withColumn("decision", F.when(keep, F.lit("keep")).otherwise(F.lit("reject")))
+
+
+def champion(models: DataFrame) -> DataFrame:
+    """Highest PR-AUC, then recall at capacity, then name."""
+    return models.orderBy(F.desc("pr_auc"), F.desc("recall_at_k"), "model").limit(1)
+
+
+def ablation_summary(comparisons: dict[str, DataFrame], capacity: int) -> DataFrame:
+    """One row per experiment at a capacity, with the verdict on its net value."""
+    parts = [
+        df.where(F.col("review_capacity") == capacity).withColumn("experiment", F.lit(name))
+        for name, df in comparisons.items()
+    ]
+    rows = reduce(lambda a, b: a.unionByName(b), parts)
+    verdict = F.when(F.col("candidate_net_value") <= F.col("baseline_net_value"), "rejected").otherwise("review")
+    return rows.withColumn("selection_decision", verdict)
