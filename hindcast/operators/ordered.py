@@ -338,33 +338,35 @@ def _narrow(base: DataFrame, brackets: list[_Bracket]) -> list:
 
 
 def _pick(base: DataFrame, brackets: list[_Bracket]) -> list[tuple]:
-    """Resolve brackets of bounded size by counting their distinct values, all in one job."""
-    if not brackets:
-        return []
-    entries = [
-        F.when(
-            b.inside(),
-            F.struct(
-                F.lit(j).alias("bracket"),
-                F.lit(b.position).cast("long").alias("position"),
-                F.lit(b.below).cast("long").alias("below"),
-            ),
-        )
-        for j, b in enumerate(brackets)
-    ]
+    """Resolve brackets of bounded size by counting their distinct values, one job per value type."""
+    kinds = dict(base.dtypes)
+    by_kind: dict[str, list[tuple[int, _Bracket]]] = {}
+    for j, b in enumerate(brackets):
+        by_kind.setdefault(kinds[f"_v{b.slot}"], []).append((j, b))
     found = []
-    running = Window.partitionBy("b").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    for slot in sorted({b.slot for b in brackets}):
-        mine = [e for e, b in zip(entries, brackets) if b.slot == slot]
+    running = Window.partitionBy("j").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    for members in by_kind.values():
+        entries = [
+            F.when(
+                b.inside(),
+                F.struct(
+                    F.lit(j).alias("j"),
+                    F.lit(b.position).cast("long").alias("position"),
+                    F.lit(b.below).cast("long").alias("below"),
+                    F.col(f"_v{b.slot}").alias("value"),
+                ),
+            )
+            for j, b in members
+        ]
         counted = (
-            base.select(F.col(f"_v{slot}").alias("value"), F.explode(F.array_compact(F.array(*mine))).alias("b"))
-            .groupBy("b", "value")
+            base.select(F.explode(F.array_compact(F.array(*entries))).alias("b"))
+            .groupBy("b.j", "b.position", "b.below", "b.value")
             .agg(F.count(F.lit(1)).alias("n"))
         )
-        start = F.col("b.below") + F.coalesce(F.sum("n").over(running), F.lit(0))
-        hit = (F.col("start") <= F.col("b.position")) & (F.col("b.position") < F.col("start") + F.col("n"))
+        start = F.col("below") + F.coalesce(F.sum("n").over(running), F.lit(0))
+        hit = (F.col("start") <= F.col("position")) & (F.col("position") < F.col("start") + F.col("n"))
         for row in counted.withColumn("start", start).where(hit).collect():
-            found.append((slot, row["b"]["position"], row["value"], row["start"]))
+            found.append((brackets[row["j"]].slot, row["position"], row["value"], row["start"]))
     return found
 
 

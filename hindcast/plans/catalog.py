@@ -4,6 +4,7 @@ from hindcast.plans import (  # noqa: F401
     decision_queries,
     feature_queries,
     history_queries,
+    model_queries,
     quality_queries,
     split_queries,
     table_queries,
