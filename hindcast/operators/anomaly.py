@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.operators.modelling import filled, fitted_medians
+from hindcast.functions.scalars import finite
+from hindcast.operators.modelling import filled
 from hindcast.operators.ordered import quantiles
 from hindcast.operators.splits import proportional_folds
 from hindcast.session import cut_lineage
@@ -102,7 +103,12 @@ def fit_forests(
     empty = [f for f in members if not counts[str(f)]]
     if empty:
         raise ValueError(f"forests {empty} have no training rows")
-    medians = {f: fitted_medians(rows.where(c), features) for f, c in members.items()}
+    values = {(f, x): F.when(c, finite(F.col(x).cast("double"))) for f, c in members.items() for x in features}
+    found = quantiles(rows, values, [0.5])
+    medians = {f: {x: found[f, x][0] for x in features} for f in members}
+    if max(counts.values()) < THIN_ROWS:
+        # A small table may sit in one file split; Python work should still use every core.
+        rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key)
 
     # Draw a little more than the sample per tree; each tree keeps its smallest hashes.
     wanted = settings.sample + 6 * math.sqrt(settings.sample) + 10

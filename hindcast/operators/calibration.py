@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -134,19 +133,32 @@ def reliability_curve(
 
 
 def calibration_metrics(rows: DataFrame, method: str, bins: int = 10, roles: Roles = Roles()) -> DataFrame:
-    error = calibration_error(rows, bins, roles).scalar()
-    return rows.agg(
-        F.lit(method).alias("method"), brier(roles.score, roles.label).alias("brier_score")
-    ).withColumn("expected_calibration_error", error)
+    return compare_scores(rows, {method: roles.score}, bins, roles)
 
 
 def compare_scores(rows: DataFrame, scores: dict[str, str], bins: int = 10, roles: Roles = Roles()) -> DataFrame:
-    """Metrics of several score columns on the same rows, one row per method."""
-    parts = [
-        calibration_metrics(rows, name, bins, Roles(roles.key, roles.time, roles.amount, roles.label, column))
-        for name, column in scores.items()
+    """Brier score and calibration error of several score columns on the same rows, in one pass."""
+    if bins < 2:
+        raise ValueError("at least two bins are needed")
+    shares = [i / bins for i in range(1, bins)]
+    found = quantiles(rows, {m: F.col(c) for m, c in scores.items()}, shares)
+    entries = [
+        F.struct(
+            F.lit(m).alias("method"),
+            F.col(c).cast("double").alias("p"),
+            right_closed_bin(F.col(c), sorted({0.0, 1.0, *found[m]})).alias("bin"),
+        )
+        for m, c in scores.items()
     ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    long = rows.select(F.col(roles.label).cast("double").alias("y"), F.explode(F.array(*entries)).alias("e"))
+    gap = F.col("e.p") - F.col("y")
+    per_bin = long.groupBy("e.method", "e.bin").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(gap).alias("gap"), F.sum(gap * gap).alias("squares")
+    )
+    return per_bin.groupBy("method").agg(
+        (F.sum("squares") / F.sum("n")).alias("brier_score"),
+        (F.sum(F.abs("gap")) / F.sum("n")).alias("expected_calibration_error"),
+    )
 
 
 def choose_method(results: DataFrame) -> DataFrame:

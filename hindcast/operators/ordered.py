@@ -75,7 +75,7 @@ def profile(
     if not any(layout.splits(g) for g in groups):
         return layout
     parallelism = rows.sparkSession.sparkContext.defaultParallelism
-    target = min(rows_per_chunk, max(n // parallelism, 20_000))
+    target = min(rows_per_chunk, max(n // parallelism, 2_000))
     return replace(layout, edges=order_edges(rows, order, min(max_chunks, math.ceil(n / target))))
 
 
@@ -251,6 +251,7 @@ def order_statistics(
     rows: DataFrame,
     targets: dict[str, tuple[Column, list[int]]],
     limit: int = SELECT_LIMIT,
+    counts: list[int] | None = None,
 ) -> dict[str, dict[int, tuple[object, int]]]:
     """Exact values at 0-based ascending positions, with the number of strictly smaller values.
 
@@ -262,7 +263,8 @@ def order_statistics(
     answers: dict[str, dict[int, tuple[object, int]]] = {name: {} for name in targets}
     names = list(targets)
     base = rows.select(*(targets[n][0].alias(f"_v{i}") for i, n in enumerate(names)))
-    counts = base.agg(*(F.count(f"_v{i}").alias(str(i)) for i in range(len(names)))).first()
+    if counts is None:
+        counts = base.agg(*(F.count(f"_v{i}").alias(str(i)) for i in range(len(names)))).first()
     open_brackets = []
     for i, name in enumerate(names):
         for position in targets[name][1]:
@@ -338,38 +340,41 @@ def _narrow(base: DataFrame, brackets: list[_Bracket]) -> list:
 
 
 def _pick(base: DataFrame, brackets: list[_Bracket]) -> list[tuple]:
-    """Resolve brackets of bounded size by counting their distinct values, one job per value type."""
+    """Resolve brackets of bounded size by counting their distinct values, one job per value type.
+
+    Positions that share an interval share its counts.
+    """
     kinds = dict(base.dtypes)
-    by_kind: dict[str, list[tuple[int, _Bracket]]] = {}
-    for j, b in enumerate(brackets):
-        by_kind.setdefault(kinds[f"_v{b.slot}"], []).append((j, b))
+    by_kind: dict[str, dict[tuple, list[_Bracket]]] = {}
+    for b in brackets:
+        interval = (b.slot, b.above, b.under, b.below)
+        by_kind.setdefault(kinds[f"_v{b.slot}"], {}).setdefault(interval, []).append(b)
     found = []
     running = Window.partitionBy("j").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    for members in by_kind.values():
+    for intervals in by_kind.values():
+        members = list(intervals.values())
         entries = [
-            F.when(
-                b.inside(),
-                F.struct(
-                    F.lit(j).alias("j"),
-                    F.lit(b.position).cast("long").alias("position"),
-                    F.lit(b.below).cast("long").alias("below"),
-                    F.col(f"_v{b.slot}").alias("value"),
-                ),
-            )
-            for j, b in members
+            F.when(same[0].inside(), F.struct(F.lit(j).alias("j"), F.col(f"_v{same[0].slot}").alias("value")))
+            for j, same in enumerate(members)
         ]
         counted = (
             base.select(F.explode(F.array_compact(F.array(*entries))).alias("b"))
-            .groupBy("b.j", "b.position", "b.below", "b.value")
+            .groupBy("b.j", "b.value")
             .agg(F.count(F.lit(1)).alias("n"))
         )
-        start = F.col("below") + F.coalesce(F.sum("n").over(running), F.lit(0))
-        hit = (F.col("start") <= F.col("position")) & (F.col("position") < F.col("start") + F.col("n"))
-        for row in counted.withColumn("start", start).where(hit).collect():
-            found.append((brackets[row["j"]].slot, row["position"], row["value"], row["start"]))
+        below = _choose([F.lit(same[0].below) for same in members])
+        wanted = _choose([F.array(*(F.lit(b.position) for b in same)) for same in members], "array<bigint>")
+        placed = counted.withColumn("start", below + F.coalesce(F.sum("n").over(running), F.lit(0)))
+        hits = F.filter(wanted, lambda p: (F.col("start") <= p) & (p < F.col("start") + F.col("n")))
+        for row in placed.select("j", "value", "start", F.explode(hits).alias("position")).collect():
+            found.append((members[row["j"]][0].slot, row["position"], row["value"], row["start"]))
     return found
 
 
+def _choose(values: list[Column], kind: str = "bigint") -> Column:
+    return F.coalesce(*(F.when(F.col("j") == j, v.cast(kind)) for j, v in enumerate(values)))
+
+
 def quantiles(
     rows: DataFrame,
     columns: dict[str, Column],
@@ -387,7 +392,8 @@ def quantiles(
         places[name] = [(n - 1) * p for p in probabilities]
         positions = {math.floor(x) for x in places[name]} | {math.ceil(x) for x in places[name]}
         wanted[name] = (columns[name], sorted(positions))
-    values = order_statistics(rows, wanted, limit) if wanted else {}
+    present = [counts[i] for i, name in enumerate(names) if name in places]
+    values = order_statistics(rows, wanted, limit, present) if wanted else {}
     result: dict[str, list[float | None]] = {}
     for name in names:
         if name not in places:

@@ -7,6 +7,7 @@ from hindcast.plans import (  # noqa: F401
     model_queries,
     quality_queries,
     split_queries,
+    stream_queries,
     table_queries,
 )
 from hindcast.plans.registry import QUERIES, SQL
