@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hindcast.functions.scalars import category
 from hindcast.operators.contract import require_columns
-from hindcast.operators.ordered import attach
+from hindcast.operators.ordered import attach, hot_keys
 from hindcast.operators.splits import array_split_folds
 from hindcast.roles import Roles
 
@@ -31,15 +31,16 @@ class FittedEncoder:
 
     def transform(self, rows: DataFrame, key: str) -> DataFrame:
         require_columns(rows, set(self.settings.columns), "the rows to encode")
-        out = rows
-        for c in self.settings.columns:
+        names = [f"_category_{c}" for c in self.settings.columns]
+        out = rows.withColumns({n: category(F.col(c)) for n, c in zip(names, self.settings.columns)})
+        hot = hot_keys(out, [(n,) for n in names])
+        for c, name, crowded in zip(self.settings.columns, names, hot):
             of_column = self.mapping.where(F.col("column") == c).select(
-                F.col("category").alias("_category"), F.col("encoded").alias(f"{c}_encoded")
+                F.col("category").alias(name), F.col("encoded").alias(f"{c}_encoded")
             )
-            probe = out.withColumn("_category", category(F.col(c)))
-            out = attach(probe, of_column, ("_category",), key).drop("_category")
+            out = attach(out, of_column, (name,), key, crowded)
             out = out.withColumn(f"{c}_encoded", F.coalesce(f"{c}_encoded", F.lit(self.global_rate)))
-        return out
+        return out.drop(*names)
 
 
 def _long(rows: DataFrame, settings: EncoderSettings, label: str, *keep: str) -> DataFrame:
@@ -101,14 +102,15 @@ def out_of_fold(
         F.coalesce(F.sum("s").over(past), F.lit(0)).alias("s"),
     )
     encoded = history.withColumn("encoded", _smoothed(F.col("n"), F.col("s"), rate, settings))
-    out = tagged
-    for c in settings.columns:
+    names = [f"_category_{c}" for c in settings.columns]
+    out = tagged.withColumns({n: category(F.col(c)) for n, c in zip(names, settings.columns)})
+    hot = hot_keys(out, [(n, "_fold") for n in names])
+    for c, name, crowded in zip(settings.columns, names, hot):
         of_column = encoded.where(F.col("column") == c).select(
-            F.col("category").alias("_category"), "_fold", F.col("encoded").alias(f"{c}_encoded")
+            F.col("category").alias(name), "_fold", F.col("encoded").alias(f"{c}_encoded")
         )
-        out = attach(out.withColumn("_category", category(F.col(c))), of_column, ("_category", "_fold"), roles.key)
-        out = out.drop("_category")
-    return out.drop("_fold")
+        out = attach(out, of_column, (name, "_fold"), roles.key, crowded)
+    return out.drop("_fold", *names)
 
 
 def encoding_guards(encoded: DataFrame, settings: EncoderSettings) -> DataFrame:

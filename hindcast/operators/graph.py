@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from hindcast.functions.scalars import all_of
 from hindcast.operators.components import LEAF_ELEMENTS, component_sizes
-from hindcast.operators.ordered import attach, before
-from hindcast.operators.pit import entity_features, spread_unknown
+from hindcast.operators.ordered import Layout, attach, before, profile
+from hindcast.operators.pit import entity_features, spread_name, spread_unknown
 from hindcast.roles import EntityFeatures, Roles
 
 FAMILIES = ("device", "email")
@@ -28,41 +28,61 @@ def first_edges(links: DataFrame) -> DataFrame:
     return links.groupBy("family", "card", "entity").agg(F.min("t").alias("t"))
 
 
-def _prior_count(rows: DataFrame, arrivals: DataFrame, group: str, out: str, known: Column, roles: Roles) -> DataFrame:
-    """Number of arrivals (group, t) strictly before each row, NULL where ``known`` is false."""
-    spread = spread_unknown(rows, (group,), roles.key)
-    marked = spread.withColumn("_probe", F.lit(True)).withColumn("_one", F.lit(0).cast("long")).unionByName(
+def _prior_count(
+    rows: DataFrame, arrivals: DataFrame, group: str, out: str, known: Column, roles: Roles, layout: Layout | None
+) -> DataFrame:
+    """Number of arrivals (group, t) strictly before each row, NULL where ``known`` is false.
+
+    Arrivals happen at transactions of their group, so a layout of the rows suits both.
+    """
+    spread = spread_name((group,))
+    marked = spread_unknown(rows, (group,), roles.key)
+    layout = layout or profile(marked, roles.time, ((group, spread),))
+    marked = marked.withColumn("_probe", F.lit(True)).withColumn("_one", F.lit(0).cast("long")).unionByName(
         arrivals.select(
             group,
             F.col("t").alias(roles.time),
-            F.lit(0).alias("_spread"),
+            F.lit(0).alias(spread),
             F.lit(False).alias("_probe"),
             F.lit(1).cast("long").alias("_one"),
         ),
         allowMissingColumns=True,
     )
-    done = before(marked, (group, "_spread"), roles.time, {out: "_one"}, probe="_probe")
+    done = before(marked, (group, spread), roles.time, {out: "_one"}, layout, probe="_probe")
     return done.select(*rows.columns, F.when(known, F.col(out)).alias(out))
 
 
-def prior_card_degree(rows: DataFrame, roles: Roles = Roles(), card: str = "card", families=FAMILIES) -> DataFrame:
+def prior_card_degree(
+    rows: DataFrame, roles: Roles = Roles(), card: str = "card", families=FAMILIES,
+    layout: Layout | None = None, first: DataFrame | None = None,
+) -> DataFrame:
     """Distinct earlier neighbours of the card, all families together."""
-    arrivals = first_edges(edges(rows, roles, card, families)).select(F.col("card").alias(card), "t")
-    return _prior_count(rows, arrivals, card, "card_prior_degree", F.col(card).isNotNull(), roles)
+    first = first if first is not None else first_edges(edges(rows, roles, card, families))
+    arrivals = first.select(F.col("card").alias(card), "t")
+    return _prior_count(rows, arrivals, card, "card_prior_degree", F.col(card).isNotNull(), roles, layout)
 
 
-def prior_entity_degree(rows: DataFrame, family: str, roles: Roles = Roles(), card: str = "card") -> DataFrame:
+def prior_entity_degree(
+    rows: DataFrame, family: str, roles: Roles = Roles(), card: str = "card",
+    layout: Layout | None = None, first: DataFrame | None = None,
+) -> DataFrame:
     """Distinct earlier cards of the device or recipient."""
     kind = dict(rows.dtypes)[family]
-    arrivals = first_edges(edges(rows, roles, card, (family,))).select(F.col("entity").cast(kind).alias(family), "t")
+    first = first if first is not None else first_edges(edges(rows, roles, card, (family,)))
+    arrivals = first.where(F.col("family") == family).select(F.col("entity").cast(kind).alias(family), "t")
     known = all_of([F.col(card).isNotNull(), F.col(family).isNotNull()])
-    return _prior_count(rows, arrivals, family, f"{family}_prior_card_degree", known, roles)
+    return _prior_count(rows, arrivals, family, f"{family}_prior_card_degree", known, roles, layout)
 
 
-def prior_edge_count(rows: DataFrame, family: str, roles: Roles = Roles(), card: str = "card") -> DataFrame:
+def _pair(card: str, family: str) -> EntityFeatures:
+    return EntityFeatures("_pair", (card, family), history=True)
+
+
+def prior_edge_count(
+    rows: DataFrame, family: str, roles: Roles = Roles(), card: str = "card", layout: Layout | None = None
+) -> DataFrame:
     """Earlier transactions of the same (card, entity) pair, and whether the pair is new."""
-    spec = EntityFeatures("_pair", (card, family), history=True)
-    made = entity_features(rows, spec, roles)
+    made = entity_features(rows, _pair(card, family), roles, layout)
     return made.withColumnsRenamed(
         {"history__pair_count": f"card_{family}_prior_edge_count", "is_new__pair": f"is_new_card_{family}"}
     )
@@ -130,12 +150,18 @@ def graph_features(
         raise ValueError(f"graph features need columns {missing}")
     if not rows.where(F.col(roles.time).isNull()).isEmpty():
         raise ValueError(f"{roles.time} has missing values: a chronological graph needs every time")
-    work = rows.select(roles.key, roles.time, "card", *FAMILIES)
-    work = prior_card_degree(work, roles)
+    base = rows.select(roles.key, roles.time, "card", *FAMILIES)
+    profiled, groups = base, []
+    for columns in (("card",), *((f,) for f in FAMILIES), *(("card", f) for f in FAMILIES)):
+        profiled = spread_unknown(profiled, columns, roles.key)
+        groups.append((*columns, spread_name(columns)))
+    layout = profile(profiled, roles.time, tuple(groups))
+    first = first_edges(edges(base, roles))
+    work = prior_card_degree(base, roles, layout=layout, first=first)
     for family in FAMILIES:
-        work = prior_entity_degree(work, family, roles)
-        work = prior_edge_count(work, family, roles)
+        work = prior_entity_degree(work, family, roles, layout=layout, first=first)
+        work = prior_edge_count(work, family, roles, layout=layout)
     if components:
-        sizes = prior_component_sizes(rows.select(roles.key, roles.time, "card", *FAMILIES), roles, leaf_elements=leaf_elements)
+        sizes = prior_component_sizes(base, roles, leaf_elements=leaf_elements)
         work = work.join(sizes.drop(roles.time, "card", *FAMILIES), roles.key)
     return work.select(roles.key, *(c for c in GRAPH_COLUMNS if c in work.columns))

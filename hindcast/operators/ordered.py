@@ -226,20 +226,44 @@ def as_of(
     return found.select(*probes.columns, *(F.col(f"_found.{v}").alias(v) for v in values))
 
 
-def attach(rows: DataFrame, states: DataFrame, on: tuple[str, ...], salt_by: str, copies: int = 64,
-           limit: int = ROWS_PER_CHUNK // 4) -> DataFrame:
+MAX_COPIES = 4096
+
+
+@dataclass(frozen=True)
+class HotKeys:
+    """Hashes of the keys that hold very many rows, and how finely to spread them."""
+
+    hashes: tuple[int, ...] = ()
+    copies: int = 1
+
+
+def hot_keys(rows: DataFrame, keys: list[tuple[str, ...]], limit: int = ROWS_PER_CHUNK // 4) -> list[HotKeys]:
+    """The crowded values of several keys from one sketch job; at most ``MAX_HOT_POINTS`` of each."""
+    facts = rows.agg(
+        F.count(F.lit(1)), *(_frequent(k, MAX_HOT_POINTS).alias(str(i)) for i, k in enumerate(keys))
+    ).first()
+    bar = max(limit, facts[0] // MAX_HOT_POINTS)
+    found = []
+    for i in range(len(keys)):
+        hot = [p for p in facts[i + 1] if p["count"] > bar]
+        most = max((p["count"] for p in hot), default=0)
+        found.append(HotKeys(tuple(p["item"] for p in hot), min(MAX_COPIES, -(-most // limit) or 1)))
+    return found
+
+
+def attach(
+    rows: DataFrame, states: DataFrame, on: tuple[str, ...], salt_by: str, hot: HotKeys | None = None
+) -> DataFrame:
     """Left join rows to one state per key, spreading keys that hold very many rows.
 
-    A sketch finds those keys (at most ``MAX_HOT_POINTS``); only their state rows are copied.
+    Only the state rows of hot keys are copied, so the copies stay few whatever the table.
     """
-    facts = rows.agg(F.count(F.lit(1)), _frequent(on, MAX_HOT_POINTS)).first()
-    bar = max(limit, facts[0] // MAX_HOT_POINTS)
-    hot = [p["item"] for p in facts[1] if p["count"] > bar]
-    if not hot:
+    hot = hot or hot_keys(rows, [on])[0]
+    if not hot.hashes:
         return rows.join(states, list(on), "left")
-    is_hot = F.xxhash64(*on).isin(hot)
-    slot = F.when(is_hot, F.pmod(F.xxhash64(salt_by), F.lit(copies))).otherwise(F.lit(0)).cast("int")
-    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(copies - 1))).otherwise(F.array(F.lit(0)))
+    is_hot = F.xxhash64(*on).isin(list(hot.hashes))
+    slot = F.when(is_hot, F.pmod(F.xxhash64(salt_by), F.lit(hot.copies))).otherwise(F.lit(0)).cast("int")
+    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(hot.copies - 1))).otherwise(F.array(F.lit(0)))
     spread = states.withColumn("_slot", F.explode(every))
     return rows.withColumn("_slot", slot).join(spread, [*on, "_slot"], "left").drop("_slot")
 

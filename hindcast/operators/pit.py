@@ -31,21 +31,14 @@ def entity_features(
 
     Bounded lookbacks use RANGE frames while the entity stays small. A large entity gets one sweep:
     each transaction enters at its time and leaves each window when it expires, so the cost of a
-    window does not depend on its length.
+    window does not depend on its length. A given layout must cover ``spec_group(spec)``.
     """
-    group = spec.columns
-    layout = layout or profile(rows, roles.time, (group,))
     columns = rows.columns
-    if spec.history and not (spec.velocity or spec.amounts or spec.recency):
-        rows = spread_unknown(rows, group, roles.key)
-        spread = replace(spec, columns=(*group, "_spread"))
-        known = layout.largest.get(group, layout.rows)
-        if known > DIRECT_FRAME_ROWS:
-            layout = profile(rows, roles.time, (spread.columns,), layout.rows_per_chunk)
-        else:
-            layout = replace(layout, largest={spread.columns: known})
-        work = rows.withColumn("_one", F.lit(1).cast("long"))
-        work = before(work, spread.columns, roles.time, {"_seen": "_one"}, layout)
+    rows = _grouped(rows, spec, roles)
+    group = spec_group(spec)
+    layout = layout or profile(rows, roles.time, (group,))
+    if group != spec.columns:
+        work = before(rows.withColumn("_one", F.lit(1).cast("long")), group, roles.time, {"_seen": "_one"}, layout)
         return work.select(*columns, *_finish(spec, roles, decimals))
     units = F.round(F.col(roles.amount) * F.lit(10**decimals)).cast("long")
     work = rows.withColumn("_units", units).withColumn("_square", _square(F.col("_units")))
@@ -54,13 +47,31 @@ def entity_features(
     return work.select(*columns, *_finish(spec, roles, decimals))
 
 
-def spread_unknown(rows: DataFrame, columns: tuple[str, ...], key: str, name: str = "_spread") -> DataFrame:
+def spec_group(spec: EntityFeatures) -> tuple[str, ...]:
+    """The grouping columns of a spec; history alone spreads the unknown entities."""
+    if spec.history and not (spec.velocity or spec.amounts or spec.recency):
+        return (*spec.columns, spread_name(spec.columns))
+    return spec.columns
+
+
+def _grouped(rows: DataFrame, spec: EntityFeatures, roles: Roles) -> DataFrame:
+    spread = spread_name(spec.columns)
+    if spec_group(spec) == spec.columns or spread in rows.columns:
+        return rows
+    return spread_unknown(rows, spec.columns, roles.key)
+
+
+def spread_name(columns: tuple[str, ...]) -> str:
+    return "_spread_" + "_".join(columns)
+
+
+def spread_unknown(rows: DataFrame, columns: tuple[str, ...], key: str) -> DataFrame:
     """A helper grouping column: 0 for known entities, many values where an entity column is NULL.
 
     For features that are NULL for unknown entities anyway, those rows then never pile up.
     """
     known = all_of(F.col(c).isNotNull() for c in columns)
-    return rows.withColumn(name, F.when(known, F.lit(0)).otherwise(F.pmod(F.xxhash64(key), F.lit(4096)).cast("int")))
+    return rows.withColumn(spread_name(columns), F.when(known, F.lit(0)).otherwise(F.pmod(F.xxhash64(key), F.lit(4096)).cast("int")))
 
 
 def _square(units: Column) -> Column:
@@ -91,6 +102,9 @@ def _framed(work: DataFrame, spec: EntityFeatures, roles: Roles) -> DataFrame:
 def _swept(work: DataFrame, spec: EntityFeatures, roles: Roles, layout: Layout) -> DataFrame:
     """Arrivals add to the running totals, expiries of window w at time t + w are kept apart."""
     windows = sorted({*spec.velocity.values(), *spec.amounts.values()})
+    if windows and layout.rows <= layout.rows_per_chunk:
+        # A small table may be one file split; the expansion below should still use every core.
+        work = work.repartition(work.sparkSession.sparkContext.defaultParallelism, roles.key)
     with_amount = set(spec.amounts.values())
     events = work
     if windows:
@@ -187,9 +201,11 @@ def behavioural_features(
     Specs over the same entity share one exchange, since their windows partition alike.
     """
     entities = list(dict.fromkeys(c for s in specs for c in s.columns))
-    groups = tuple(dict.fromkeys(s.columns for s in specs))
-    layout = layout or profile(rows, roles.time, groups)
     work = rows.select(*dict.fromkeys([roles.key, roles.time, roles.amount, *entities]))
+    for spec in specs:
+        work = _grouped(work, spec, roles)
+    # Profiled once on the plain rows, before any window is stacked on them.
+    layout = layout or profile(work, roles.time, tuple(dict.fromkeys(spec_group(s) for s in specs)))
     for spec in sorted(specs, key=lambda s: s.columns):
         work = entity_features(work, spec, roles, layout)
     return work.select(roles.key, *(o for s in specs for o in s.outputs()))

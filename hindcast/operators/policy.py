@@ -16,6 +16,8 @@ from hindcast.roles import Roles
 BLOCK_THRESHOLD = 0.95
 ACTIONS = ("approve", "review", "block")
 
+SLICES = 256
+
 
 def probability_facts(rows: DataFrame, score: str) -> DataFrame:
     """How many rows there are and how many scores are not finite numbers in [0, 1]."""
@@ -112,10 +114,18 @@ def select_for_review(rows: DataFrame, policy: ReviewPolicy, roles: Roles = Role
 
 
 def select_per_period(rows: DataFrame, policy: ReviewPolicy, period: str, roles: Roles = Roles()) -> DataFrame:
-    """The same selection within each period; Spark trims every period before the shuffle."""
-    rank = F.row_number().over(Window.partitionBy(period).orderBy(F.desc(roles.score), F.asc(roles.key)))
-    eligible = rows.where(policy.eligible(roles.score))
-    return eligible.withColumn("review_rank", rank).where(F.col("review_rank") <= policy.capacity)
+    """The same selection within each period.
+
+    A period may hold most rows, so slices of it are ranked first; only the best of each slice meet.
+    """
+    best_first = (F.desc(roles.score), F.asc(roles.key))
+    sliced = rows.where(policy.eligible(roles.score)).withColumn(
+        "_slice", F.pmod(F.xxhash64(roles.key), F.lit(SLICES))
+    )
+    in_slice = F.row_number().over(Window.partitionBy(period, "_slice").orderBy(*best_first))
+    best = sliced.withColumn("_place", in_slice).where(F.col("_place") <= policy.capacity).drop("_slice", "_place")
+    rank = F.row_number().over(Window.partitionBy(period).orderBy(*best_first))
+    return best.withColumn("review_rank", rank).where(F.col("review_rank") <= policy.capacity)
 
 
 def review_boundary(rows: DataFrame, policy: ReviewPolicy, roles: Roles = Roles()) -> Column:

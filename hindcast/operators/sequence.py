@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hindcast.operators.ordered import Layout, attach, before, profile, quantiles
-from hindcast.operators.pit import entity_features, spread_unknown
+from hindcast.operators.pit import entity_features, spread_name, spread_unknown
 from hindcast.roles import EntityFeatures, Roles
 
 EVENT = "struct<log_amount:double,log_gap:double>"
@@ -15,7 +15,7 @@ EVENT = "struct<log_amount:double,log_gap:double>"
 def event_features(rows: DataFrame, roles: Roles = Roles(), entity: str = "card") -> DataFrame:
     """log1p of the amount and of the gap to the entity's previous distinct timestamp (0 at first)."""
     spread = spread_unknown(rows, (entity,), roles.key)
-    group = (entity, "_spread")
+    group = (entity, spread_name((entity,)))
     made = entity_features(spread, EntityFeatures("_entity", group, recency=True), roles)
     gap = F.when(F.col(entity).isNotNull(), F.col("recency__entity"))
     return made.select(
@@ -66,8 +66,9 @@ def prior_events(
         states = states.where(F.col("_block") == F.col("_home"))
     kept = F.slice("_history", F.greatest(F.size("_history") - depth + 1, F.lit(1)), depth)
     states = states.select(entity, roles.time, kept.alias("history"))
-    spread = spread_unknown(events, (entity,), roles.key, "_unknown")
-    found = attach(spread, states.withColumn("_unknown", F.lit(0)), (entity, roles.time, "_unknown"), roles.key)
+    unknown = spread_name((entity,))
+    spread = spread_unknown(events, (entity,), roles.key)
+    found = attach(spread, states.withColumn(unknown, F.lit(0)), (entity, roles.time, unknown), roles.key)
     none = F.array().cast(f"array<{EVENT}>")
     return found.select(*events.columns, F.coalesce("history", none).alias("history"))
 

@@ -16,6 +16,7 @@ ROLES = Roles()
 DAY = 1
 MINUTE = 60_000_000
 HOUR = 60 * MINUTE
+NUDGE = 1e-9
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -76,11 +77,15 @@ txn AS (
   FROM raw)"""
 
 
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Round every floating column, so both engines print the same digits."""
+def rounded(df: DataFrame, places: int = 6, nudge: float = 0.0) -> DataFrame:
+    """Round every floating column, so both engines print the same digits.
+
+    ``nudge`` is added first where means of cents can end exactly on half a digit, which the two
+    engines round differently.
+    """
     return df.select(
         *(
-            F.round(F.col(f"`{c}`"), places).alias(c) if kind in ("double", "float") else F.col(f"`{c}`")
+            F.round(F.col(f"`{c}`") + nudge, places).alias(c) if kind in ("double", "float") else F.col(f"`{c}`")
             for c, kind in df.dtypes
         )
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hindcast.operators import pit, splits
-from hindcast.plans.bindings import DAY, EVENTS, HOUR, MINUTE, ORDERS, ROLES, events, orders, rounded
+from hindcast.plans.bindings import DAY, EVENTS, HOUR, MINUTE, NUDGE, ORDERS, ROLES, events, orders, rounded
 from hindcast.plans.registry import query
 from hindcast.roles import EntityFeatures
 
@@ -41,9 +41,9 @@ def _amount_sql(name: str, partition: str, windows: dict[str, int]) -> tuple[lis
         mean = f"CASE WHEN n_{c} > 0 THEN CAST(s_{c} AS DOUBLE) / n_{c} / 10000.0 END"
         std = f"CASE WHEN n_{c} > 1 THEN sqrt(CAST(n_{c} * q_{c} - s_{c} * s_{c} AS DOUBLE)) / n_{c} / 10000.0 END"
         outer += [
-            f"round({mean}, 6) AS amount_{c}_mean",
-            f"round({std}, 6) AS amount_{c}_std",
-            f"round(CASE WHEN {std} > 0 THEN (amount - {mean}) / ({std}) END, 6) AS amount_{c}_zscore",
+            f"round({mean} + 1e-9, 6) AS amount_{c}_mean",
+            f"round({std} + 1e-9, 6) AS amount_{c}_std",
+            f"round(CASE WHEN {std} > 0 THEN (amount - {mean}) / ({std}) END + 1e-9, 6) AS amount_{c}_zscore",
         ]
     return inner, outer
 
@@ -67,7 +67,7 @@ def _amount_query(name, binding, cte, entity, partition, windows):
 
     @query(name, sql)
     def build(spark, folder):
-        return rounded(pit.behavioural_features(binding(spark, folder), [spec], ROLES))
+        return rounded(pit.behavioural_features(binding(spark, folder), [spec], ROLES), nudge=NUDGE)
 
 
 _velocity_query("w1_velocity", orders, ORDERS, ("card", ("card",)), "card", DAYS)
@@ -186,7 +186,7 @@ def _bundle_sql() -> str:
 @query("w10_behavioural_bundle", _bundle_sql())
 def behavioural_bundle(spark, folder):
     """All 34 behavioural columns in one plan."""
-    return rounded(pit.behavioural_features(events(spark, folder), BUNDLE))
+    return rounded(pit.behavioural_features(events(spark, folder), BUNDLE), nudge=NUDGE)
 
 
 @query(

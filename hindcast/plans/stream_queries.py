@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hindcast.plans.bindings import EVENTS, HOUR, HOURLY, events, hourly_events, rounded
+from hindcast.plans.bindings import EVENTS, HOUR, HOURLY, NUDGE, events, hourly_events, rounded
 from hindcast.plans.feature_queries import _amount_sql, _frame
 from hindcast.plans.registry import query
 from hindcast.roles import EntityFeatures
@@ -42,4 +42,4 @@ INNER, OUTER = _amount_sql("card", "card", {"24h": 24 * HOUR})
 def _(spark, folder):
     window = {"24h": 24 * HOUR}
     spec = EntityFeatures("card", ("card",), window, window, recency=True, history=True)
-    return rounded(replay(events(spark, folder), LiveFeatures(spec, shared_path(spark, "live")), 4))
+    return rounded(replay(events(spark, folder), LiveFeatures(spec, shared_path(spark, "live")), 4), nudge=NUDGE)

@@ -138,7 +138,9 @@ def test_encoding_uses_history_only(spark):
 def test_attach_salts_hot_keys(spark):
     rows = spark.range(500).select(F.col("id").alias("k"), F.when(F.col("id") < 300, F.lit(1)).otherwise(F.col("id") % 7).alias("g"))
     states = spark.createDataFrame([(g, g * 10) for g in range(6)], "g long, v long")
-    got = ordered.attach(rows, states, ("g",), "k", copies=4, limit=50)
+    (hot,) = ordered.hot_keys(rows, [("g",)], limit=50)
+    assert hot.hashes and hot.copies > 1
+    got = ordered.attach(rows, states, ("g",), "k", hot)
     assert got.count() == 500
     assert got.where("g = 6").where("v IS NOT NULL").count() == 0
     assert got.where("g < 6 AND v = g * 10").count() == rows.where("g < 6").count()
@@ -146,7 +148,7 @@ def test_attach_salts_hot_keys(spark):
 
 def test_history_of_hot_and_unknown_entities(spark):
     df, rows = random_table(spark, 200, 8, crowd=0.3)
-    spec_layout = ordered.Layout(200, (30.0, 40.0, 41.0), {("device",): 5000}, {("device",): ()}, 1, 90)
+    spec_layout = ordered.Layout(200, (30.0, 40.0, 41.0), {("device", "_spread_device"): 5000}, {}, 1, 90)
     from hindcast.operators.pit import entity_features
     from hindcast.roles import EntityFeatures
 
