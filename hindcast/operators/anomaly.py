@@ -130,7 +130,7 @@ def fit_forests(
     )
     width, sample, seed = len(features), settings.sample, settings.seed
 
-    def grow(key_values, group: pd.DataFrame) -> pd.DataFrame:
+    def grow(key_values: tuple, group: pd.DataFrame) -> pd.DataFrame:
         forest, tree = (int(v) for v in key_values)
         x = group.sort_values("draw", kind="stable").head(sample)[[f"_x{i}" for i in range(width)]].to_numpy(dtype=float)
         nodes = _grow(x, np.random.default_rng([seed, forest, tree]), math.ceil(math.log2(max(sample, 2))))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.functions.scalars import ratio_or_zero
+from hindcast.operators.ordered import attach
 from hindcast.operators.quality import require_unique
 
 
@@ -36,9 +37,9 @@ def join_manifest(joined: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def lookup(rows: DataFrame, mapping: DataFrame, on: str, value: str, default) -> DataFrame:
-    """Left join to a mapping, unseen keys get the default. Spark broadcasts a mapping it finds small."""
-    joined = rows.join(mapping.select(on, value), on, "left")
+def lookup(rows: DataFrame, mapping: DataFrame, on: str, value: str, default, key: str) -> DataFrame:
+    """Left join to a mapping, unseen entries get the default; crowded entries are spread by key."""
+    joined = attach(rows, mapping.select(on, value), (on,), key)
     return joined.withColumn(value, F.coalesce(value, default))
 
 

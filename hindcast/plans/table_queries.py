@@ -271,7 +271,7 @@ def _(spark, folder):
     )
     fallback = customer.agg(F.avg("c_acctbal")).scalar()
     rows = table(spark, folder, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"))
-    return rounded(joins.lookup(rows, mapping, "nation", "encoded", fallback)).select("s_suppkey", "nation", "encoded")
+    return rounded(joins.lookup(rows, mapping, "nation", "encoded", fallback, "s_suppkey")).select("s_suppkey", "nation", "encoded")
 
 
 @query(
