@@ -68,13 +68,16 @@ def _star(edges: DataFrame, scope: str, size: int, moves: Column) -> DataFrame:
     return out.unionByName(smallest.select(scope, "a", F.col("m").alias("b")))
 
 
-def component_sizes(edges: DataFrame, probes: DataFrame, leaf_elements: int = LEAF_ELEMENTS) -> DataFrame:
+def component_sizes(
+    edges: DataFrame, probes: DataFrame, leaf_elements: int = LEAF_ELEMENTS, at_most: int | None = None
+) -> DataFrame:
     """For each distinct probe (node, t): nodes in its component over edges (u, v, t) earlier than t.
 
     A node without an earlier edge has size 0. Edges must be distinct pairs with their first time.
+    ``at_most`` bounds edges and probes together, if the caller knows; a small bound saves a count.
     """
     times = edges.select("t").unionByName(probes.select("t"))
-    total = times.count()
+    total = at_most if at_most is not None and at_most <= leaf_elements else times.count()
     cuts: tuple[float, ...] = ()
     crowded: list[int] = []
     if total > leaf_elements:

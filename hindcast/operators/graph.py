@@ -107,7 +107,8 @@ def prior_component_sizes(
         rows.select(F.explode(F.array_compact(F.array(*nodes.values()))).alias("node"), F.col(roles.time).alias("t"))
         .distinct()
     )
-    sizes = component_sizes(pairs, probes, leaf_elements)
+    # A transaction adds at most one probe per node and one edge per family.
+    sizes = component_sizes(pairs, probes, leaf_elements, rows.count() * (1 + 2 * len(families)))
     long = rows.select(
         roles.key,
         F.col(roles.time).alias("t"),

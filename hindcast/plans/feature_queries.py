@@ -202,7 +202,15 @@ def _(spark, folder):
     return pit.feature_guards(made, source, "txn_id", spec.outputs())
 
 
-@query("w12_feature_catalogue")
+def _catalogue_sql(name: str) -> str:
+    return f"""SELECT 'history_{name}' AS feature, '{name}' AS entity, '' AS windows, 'strictly earlier timestamps' AS availability,
+      false AS uses_target, 'v1' AS version, round(avg(CASE WHEN {name} IS NULL THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS null_rate FROM txn"""
+
+
+@query(
+    "w12_feature_catalogue",
+    f"WITH {EVENTS} {' UNION ALL '.join(_catalogue_sql(n) for n in ('card', 'product', 'device', 'email'))}",
+)
 def _(spark, folder):
     """Catalogue rows with the measured null rate of each family's first column."""
     specs = [s for s in BUNDLE if s.history]

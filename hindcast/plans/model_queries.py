@@ -73,7 +73,16 @@ def _(spark, folder):
     return modelling.modes(_splits(spark, folder)[0], ["email", "device"])
 
 
-@query("m2_one_hot")
+ONE_HOT = """known AS (SELECT email, row_number() OVER (ORDER BY email) AS slot FROM (SELECT DISTINCT email FROM train WHERE email IS NOT NULL)),
+mode AS (SELECT email AS top FROM train WHERE email IS NOT NULL GROUP BY email ORDER BY count(*) DESC, email LIMIT 1),
+hot AS (SELECT s.*, coalesce(k.slot, 0) AS slot FROM split s CROSS JOIN mode LEFT JOIN known k ON k.email = coalesce(s.email, top) WHERE split = 'validation')"""
+
+
+@query(
+    "m2_one_hot",
+    f"""WITH {EVENTS}, {SPLIT_SQL}, train AS (SELECT * FROM split WHERE split = 'train'), {ONE_HOT}
+        SELECT txn_id, slot AS hot_column FROM hot""",
+)
 def _(spark, folder):
     train, later = _splits(spark, folder)
     fitted = modelling.Preprocessor([], CATEGORICAL).fit(train)
@@ -87,7 +96,16 @@ def _prepared(spark, folder):
     return fitted, fitted.transform(train, ("txn_id", "label")), fitted.transform(later, ("txn_id", "label"))
 
 
-@query("m3_column_transformer")
+@query(
+    "m3_column_transformer",
+    f"""WITH {EVENTS}, {SPLIT_SQL}, train AS (SELECT * FROM split WHERE split = 'train'), {ONE_HOT},
+        {_scaled_sql('amount')}, {_scaled_sql('device')}, {_scaled_sql('card')}, w AS (SELECT 4 + count(*) AS width FROM known)
+        SELECT txn_id, CAST(width AS INTEGER) AS width, CAST(width AS INTEGER) AS expected_width,
+          round((amount - s_amount.m) / s_amount.s + (coalesce(CAST(device AS DOUBLE), f_device.med) - s_device.m) / s_device.s
+            + (CASE WHEN device IS NULL THEN 1.0::DOUBLE ELSE 0.0 END - s_device.im) / s_device.is_ + (card - s_card.m) / s_card.s
+            + CASE WHEN slot > 0 THEN 1.0::DOUBLE ELSE 0.0 END, 6) AS total
+        FROM hot, s_amount, f_device, s_device, s_card, w""",
+)
 def _(spark, folder):
     fitted, _, later = _prepared(spark, folder)
     values = vector_to_array("features")

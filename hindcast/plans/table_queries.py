@@ -102,7 +102,11 @@ def _(spark, folder):
     )
 
 
-@query("s9_run_record")
+@query(
+    "s9_run_record",
+    """SELECT 'load-1' AS run, count(*) AS row_count, count(DISTINCT o_orderkey) AS inserted, count(*) - count(DISTINCT o_orderkey) AS skipped,
+         1.0::DOUBLE AS coverage, 'txn_id,t,card,amount,product,device,email,label,score' AS columns FROM orders""",
+)
 def _(spark, folder):
     rows = orders(spark, folder)
     result = keyed_load.append_missing(rows, shared_path(spark, "loaded"), "txn_id")
@@ -154,7 +158,15 @@ def _(spark, folder):
     return rounded(contract.exclusions(tagged.where("split = 'train'").drop("split"), CONTRACT_RULES))
 
 
-@query("p4_column_kinds")
+TEXT_COLUMNS = ("product", "email")
+
+
+@query(
+    "p4_column_kinds",
+    f"""WITH {EVENTS} {' UNION ALL '.join(
+        f"SELECT '{c}' AS column, count(DISTINCT {c}) AS distinct_values, '{'categorical' if c in TEXT_COLUMNS else 'numeric'}' AS kind FROM txn"
+        for c in ("txn_id", "t", "card", "amount", "product", "device", "email", "label", "score"))}""",
+)
 def _(spark, folder):
     """Kinds of every column with its distinct count, over the whole table."""
     rows = events(spark, folder)
