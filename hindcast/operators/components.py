@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.operators.ordered import order_edges, with_chunk
+from hindcast.operators.ordered import attach, order_edges, with_chunk
 from hindcast.session import cut_lineage
 
 LEAF_ELEMENTS = 500_000
@@ -146,7 +146,8 @@ def _contract(leaf_edges: DataFrame, names: DataFrame, remaining: int) -> DataFr
     )
     weighed = members.join(weights, ["scope", "node"], "left")
     sizes = weighed.groupBy("scope", "root").agg(F.sum(F.coalesce("weight", F.lit(1))).alias("size"))
-    moved = members.join(sizes, ["scope", "root"]).select(
+    # A giant component gives most members one root, so that lookup is spread.
+    moved = attach(members, sizes, ("scope", "root"), "node").select(
         "scope", F.col("node").alias("super"), F.col("root").alias("new_super"), F.col("size").alias("new_weight")
     )
     # One row per (leaf, super): a popular super-node repeats at most once per leaf.

@@ -52,6 +52,12 @@ def append_features(rows: DataFrame, features: DataFrame, key: str) -> DataFrame
     counts = [df.count() for df in (rows, features, rows.select(key).join(features.select(key), key, "semi"))]
     if len(set(counts)) != 1:
         raise ValueError(f"rows and features do not pair up: {counts}")
+    kinds = dict(features.dtypes)
+    numbers = [c for c in features.columns if kinds[c] in ("double", "float")]
+    if numbers:
+        bad = non_finite_counts(features, numbers).where("infinite_values > 0").collect()
+        if bad:
+            raise ValueError(f"infinite feature values: {[r['column'] for r in bad]}")
     return rows.join(features, key)
 
 
@@ -107,3 +113,12 @@ def comparability(runs: DataFrame, candidate: str, baseline: str, facts: list[st
     a = long.where(F.col(name) == baseline).select("fact", F.col("value").alias("baseline"))
     b = long.where(F.col(name) == candidate).select("fact", F.col("value").alias("candidate"))
     return a.join(b, "fact").withColumn("equal", F.col("baseline").eqNullSafe(F.col("candidate")))
+
+
+def require_comparable(runs: DataFrame, candidate: str, baseline: str, facts: list[str], name: str = "run") -> None:
+    unequal = comparability(runs, candidate, baseline, facts, name).where("NOT equal").collect()
+    if unequal:
+        raise ValueError(
+            "runs are not comparable: "
+            + ", ".join(f"{r['fact']} {r['baseline']} against {r['candidate']}" for r in unequal)
+        )

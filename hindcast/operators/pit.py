@@ -240,6 +240,22 @@ def feature_guards(features: DataFrame, source: DataFrame, key: str, expected: l
     )
 
 
+def require_features(
+    features: DataFrame, source: DataFrame, key: str, expected: list[str], expected_count: int | None = None
+) -> None:
+    """Raise unless the feature table holds every source row once and every expected column."""
+    if expected_count is not None and len(expected) != expected_count:
+        raise ValueError(f"expected {expected_count} feature columns, the specs define {len(expected)}")
+    facts = feature_guards(features, source, key, expected).first()
+    if facts["missing_columns"]:
+        raise ValueError(f"{facts['missing_columns']} feature columns are missing")
+    if facts["repeated_keys"] or facts["feature_rows"] != facts["source_rows"]:
+        raise ValueError(
+            f"{facts['feature_rows']} feature rows for {facts['source_rows']} source rows, "
+            f"{facts['repeated_keys']} repeated keys"
+        )
+
+
 def feature_catalogue(specs: list[EntityFeatures], version: str) -> list[dict]:
     """One record per feature family, for publishing beside the feature table."""
     records = []

@@ -45,6 +45,14 @@ def label_facts(rows: DataFrame, label: str) -> DataFrame:
     )
 
 
+def require_labels(rows: DataFrame, label: str, both: bool = True) -> None:
+    facts = label_facts(rows, label).first()
+    if not facts["row_count"] or facts["invalid"]:
+        raise ValueError(f"{label} must hold 0 and 1 only, and at least one row")
+    if both and not (facts["positives"] and facts["negatives"]):
+        raise ValueError(f"{label} must contain both classes")
+
+
 @dataclass(frozen=True)
 class CostMatrix:
     false_negative_cost: float

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hindcast.operators.contract import require_columns
 from hindcast.operators.ordered import Layout, attach, before, profile, quantiles
 from hindcast.operators.pit import entity_features, spread_name, spread_unknown
 from hindcast.roles import EntityFeatures, Roles
@@ -83,11 +84,14 @@ def padded(length: int, padding: float = 0.0) -> Column:
 
 def sequences(
     rows: DataFrame, length: int, roles: Roles = Roles(), entity: str = "card", padding: float = 0.0,
-    layout: Layout | None = None, block: int | None = None,
+    layout: Layout | None = None, block: int | None = None, validate: bool = True,
 ) -> DataFrame:
     """Key, time, label, history length and the padded sequence; other columns pass through."""
     if length < 2:
         raise ValueError("a sequence needs length 2 or more")
+    if validate:
+        require_columns(rows, {roles.key, roles.time, roles.amount, roles.label, entity}, "the sequence input")
+        require_valid_input(rows, roles)
     events = event_features(rows, roles, entity)
     found = prior_events(events, length, roles, entity, layout, block)
     return found.select(

@@ -199,6 +199,7 @@ def _(spark, folder):
     source = orders(spark, folder)
     spec = EntityFeatures("card", ("card",), velocity={"7d": 7 * DAY}, recency=True)
     made = pit.behavioural_features(source, [spec])
+    pit.require_features(made, source, "txn_id", spec.outputs(), 2)
     return pit.feature_guards(made, source, "txn_id", spec.outputs())
 
 

@@ -30,6 +30,7 @@ class LiveFeatures:
     def process(self, arrived: DataFrame, batch: int) -> None:
         """Score one period; rows at or before the last closed time go to the side table."""
         spark, time = arrived.sparkSession, self.roles.time
+        arrived = arrived.persist()
         state = self._state(spark, batch - 1)
         closed = state.agg(F.max("last")).first()[0] if state is not None else None
         late = arrived.where(F.lit(False)) if closed is None else arrived.where(F.col(time) <= F.lit(closed))
@@ -43,6 +44,7 @@ class LiveFeatures:
             both = state.unionByName(seen)
             seen = both.groupBy("entity").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
         self._write(seen, "state", batch)
+        arrived.unpersist()
 
     def _scored(self, rows: DataFrame, state: DataFrame | None, batch: int) -> DataFrame:
         spec, roles = self.spec, self.roles

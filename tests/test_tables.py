@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from hindcast.operators import contract, groups, joins, quality, splits
+from hindcast.operators import contract, groups, joins, policy, quality, sequence, splits
 from hindcast.sources import files, keyed_load, sinks
 
 
@@ -147,5 +147,40 @@ def test_append_features_checks_names_and_rows(spark):
     assert joins.append_features(df, extra, "txn_id").columns[-1] == "f"
     with pytest.raises(ValueError, match="already exist"):
         joins.append_features(df, df.select("txn_id", "t"), "txn_id")
+    with pytest.raises(ValueError, match="infinite"):
+        joins.append_features(df, df.select("txn_id", F.lit(float("inf")).alias("f")), "txn_id")
     with pytest.raises(ValueError, match="pair up"):
         joins.append_features(df, extra.where("txn_id = 0"), "txn_id")
+
+
+def test_runs_must_agree(spark):
+    runs = spark.createDataFrame([("a", 10, None), ("b", 10, None), ("c", 11, "x")], "run string, n int, v string")
+    joins.require_comparable(runs, "b", "a", ["n", "v"])
+    with pytest.raises(ValueError, match="n 10 against 11"):
+        joins.require_comparable(runs, "c", "a", ["n", "v"])
+
+
+def test_label_guards(spark):
+    df = small(spark, [1, 2], [0, 0])
+    policy.require_labels(df, "label", both=False)
+    with pytest.raises(ValueError, match="both classes"):
+        policy.require_labels(df, "label")
+    with pytest.raises(ValueError, match="only"):
+        policy.require_labels(df.withColumn("label", F.lit(2)), "label")
+
+
+def test_sequence_input_guards(spark):
+    df = small(spark, [1, 2]).withColumn("card", F.lit(1))
+    assert sequence.sequences(df, 3).count() == 2
+    for broken, word in (
+        (df.withColumn("amount", F.lit(-1.0)), "negative_amounts"),
+        (df.withColumn("t", F.lit(None).cast("long")), "null_times"),
+        (df.withColumn("txn_id", F.lit(1)), "repeated_keys"),
+        (df.withColumn("label", F.lit(5)), "bad_labels"),
+        (df.limit(0), "empty"),
+        (df.drop("card"), "card"),
+    ):
+        with pytest.raises(ValueError, match=word):
+            sequence.sequences(broken, 3)
+    with pytest.raises(ValueError, match="length 2"):
+        sequence.sequences(df, 1)

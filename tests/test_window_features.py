@@ -77,5 +77,10 @@ def test_guards_and_catalogue(table):
     facts = pit.feature_guards(made, table, "txn_id", SPECS[1].outputs() + ["absent"]).first()
     assert facts["feature_rows"] == facts["source_rows"] == 6
     assert facts["repeated_keys"] == 0 and facts["missing_columns"] == 1
+    pit.require_features(made, table, "txn_id", SPECS[1].outputs(), 7)
+    with pytest.raises(ValueError, match="missing"):
+        pit.require_features(made, table, "txn_id", ["absent"])
+    with pytest.raises(ValueError, match="source rows"):
+        pit.require_features(made.where("txn_id > 1"), table, "txn_id", [])
     records = pit.feature_catalogue(SPECS, "v1")
     assert len(records) == 7 and not any(r["uses_target"] for r in records)
