@@ -120,4 +120,4 @@ def representative_cases(rows: DataFrame, roles: Roles = Roles()) -> DataFrame:
 
 def hash_sample(rows: DataFrame, n: int, key: str, seed: int) -> DataFrame:
     """n rows in hash order: the same rows whatever the partitioning."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return rows.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)

@@ -88,17 +88,32 @@ def _(spark, folder):
     return rounded(calibration.Calibrator("sigmoid").fit(early).predict(late).select("txn_id", "calibrated"))
 
 
-@query("c3_isotonic")
-def _(spark, folder):
-    early, late = _halves(spark, folder)
-    return rounded(calibration.Calibrator("isotonic").fit(early).predict(late).select("txn_id", "calibrated"))
-
-
 HALVES_SQL = """ranked AS (SELECT *, row_number() OVER (ORDER BY t, txn_id) - 1 AS pos, count(*) OVER () AS n FROM txn),
 cut AS (SELECT t AS boundary FROM ranked WHERE pos = CAST(floor(n * 0.5) AS BIGINT)),
 late AS (SELECT txn.* FROM txn, cut WHERE t >= boundary)"""
 
 
+# The isotonic fit at point i is max over a <= i of min over b >= i of the mean of points a to b.
+ISOTONIC = """points AS (SELECT score AS x, sum(label) AS s, count(*) AS w, row_number() OVER (ORDER BY score) AS i
+  FROM (SELECT txn.* FROM txn, cut WHERE t < boundary) GROUP BY score),
+sums AS (SELECT i, x, s, w, sum(s) OVER (ORDER BY i) AS cs, sum(w) OVER (ORDER BY i) AS cw FROM points),
+means AS (SELECT a.i AS a, b.i AS b, CAST(b.cs - a.cs + a.s AS DOUBLE) / (b.cw - a.cw + a.w) AS m FROM sums a JOIN sums b ON b.i >= a.i),
+least_means AS (SELECT a, b AS i, min(m) OVER (PARTITION BY a ORDER BY b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v FROM means),
+fitted AS (SELECT x, f FROM (SELECT i, max(v) AS f FROM least_means GROUP BY i) JOIN sums USING (i)),
+around AS (SELECT l.txn_id, l.score, p.x AS x0, p.f AS f0 FROM late l ASOF LEFT JOIN fitted p ON l.score >= p.x),
+both_sides AS (SELECT a.*, n.x AS x1, n.f AS f1 FROM around a ASOF LEFT JOIN fitted n ON a.score <= n.x)"""
+
+
+@query(
+    "c3_isotonic",
+    f"""WITH {EVENTS}, {HALVES_SQL}, {ISOTONIC} SELECT txn_id, round(CASE WHEN x0 IS NULL THEN f1 WHEN x1 IS NULL OR x1 = x0 THEN f0
+          ELSE f0 + (f1 - f0) * (score - x0) / (x1 - x0) END, 6) AS calibrated FROM both_sides""",
+)
+def _(spark, folder):
+    early, late = _halves(spark, folder)
+    return rounded(calibration.Calibrator("isotonic").fit(early).predict(late).select("txn_id", "calibrated"))
+
+
 @query("c4_uncalibrated", f"WITH {EVENTS}, {HALVES_SQL} SELECT txn_id, score AS calibrated FROM late")
 def _(spark, folder):
     early, late = _halves(spark, folder)
@@ -634,6 +649,9 @@ def _(spark, folder):
     return attribution.representative_cases(orders(spark, folder))
 
 
-@query("h8_background_sample")
+@query(
+    "h8_background_sample",
+    f"WITH {ORDERS} SELECT txn_id, amount, label FROM txn ORDER BY md5(CAST(txn_id AS VARCHAR) || ':42'), txn_id LIMIT 500",
+)
 def _(spark, folder):
     return attribution.hash_sample(orders(spark, folder), 500, "txn_id", 42).select("txn_id", "amount", "label")

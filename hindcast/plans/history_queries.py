@@ -79,7 +79,36 @@ def _(spark, folder):
     return rows.select("txn_id", "is_new_card_device", "is_new_card_email")
 
 
-@query("g6_component_sizes")
+def _squarings(times: int) -> str:
+    """Repeated (min, max) products: the earliest time by which two nodes are connected."""
+    steps = [
+        f"""d{k + 1} AS MATERIALIZED (SELECT a.i, b.j, min(greatest(a.t, b.t)) AS t FROM d{k} a JOIN d{k} b ON a.j = b.i GROUP BY a.i, b.j)"""
+        for k in range(times)
+    ]
+    return ", ".join(steps)
+
+
+# 2 ** 9 steps exceed any simple path of the smaller test tables (239 nodes at scale 0.01).
+COMPONENTS = f"""ends AS (SELECT 'card:' || card AS u, family || ':' || entity AS v, t0 FROM firsts),
+ids AS (SELECT node, row_number() OVER (ORDER BY node) AS id FROM (SELECT u AS node FROM ends UNION SELECT v FROM ends)),
+d0 AS MATERIALIZED (SELECT a.id AS i, b.id AS j, t0 AS t FROM ends JOIN ids a ON a.node = u JOIN ids b ON b.node = v
+  UNION ALL SELECT b.id, a.id, t0 FROM ends JOIN ids a ON a.node = u JOIN ids b ON b.node = v
+  UNION ALL SELECT id, id, -1 FROM ids),
+{_squarings(9)},
+probes AS (SELECT txn_id, t, 'card' AS part, 'card:' || card AS node FROM txn WHERE card IS NOT NULL
+  UNION ALL SELECT txn_id, t, 'device', 'device:' || device FROM txn WHERE card IS NOT NULL AND device IS NOT NULL
+  UNION ALL SELECT txn_id, t, 'email', 'email:' || email FROM txn WHERE card IS NOT NULL AND email IS NOT NULL),
+others AS (SELECT p.node, p.t, count(d.j) AS others FROM (SELECT DISTINCT node, t FROM probes) p JOIN ids USING (node)
+  LEFT JOIN d9 d ON d.i = ids.id AND d.j <> d.i AND d.t < p.t GROUP BY p.node, p.t),
+sized AS (SELECT txn_id, part, CASE WHEN coalesce(others, 0) = 0 THEN 0 ELSE others + 1 END AS size
+  FROM probes LEFT JOIN others USING (node, t)),
+component_columns AS (SELECT txn.txn_id, CAST(max(size) FILTER (WHERE part = 'card') AS BIGINT) AS card_prior_component_size,
+  CAST(max(size) FILTER (WHERE part = 'device') AS BIGINT) AS device_prior_component_size,
+  CAST(max(size) FILTER (WHERE part = 'email') AS BIGINT) AS email_prior_component_size
+  FROM txn LEFT JOIN sized USING (txn_id) GROUP BY txn.txn_id)"""
+
+
+@query("g6_component_sizes", f"WITH {HOURLY}, {LINKS}, {COMPONENTS} SELECT * FROM component_columns")
 def _(spark, folder):
     rows = graph.prior_component_sizes(hourly_events(spark, folder))
     return rows.select("txn_id", *(f"{p}_prior_component_size" for p in ("card", "device", "email")))
@@ -100,21 +129,25 @@ def _(spark, folder):
     return made.select("txn_id", "card_prior_degree")
 
 
-@query(
-    "g8_graph_bundle",
-    f"""WITH {HOURLY}, {LINKS}, c AS (SELECT x.txn_id, count(f.t0) AS card_prior_degree FROM txn x
-          LEFT JOIN firsts f ON f.card = x.card AND f.t0 < x.t GROUP BY x.txn_id),
-        d AS ({_entity_degree_sql('device')}), e AS ({_entity_degree_sql('email')}),
-        p AS (SELECT txn_id, {_pair_sql('device')}, {_pair_sql('email')} FROM txn)
-        SELECT txn_id, card_prior_degree, device_prior_card_degree, email_prior_card_degree,
-          card_device_prior_edge_count, card_email_prior_edge_count, {_new_sql('device')}, {_new_sql('email')}
-        FROM c JOIN d USING (txn_id) JOIN e USING (txn_id) JOIN p USING (txn_id)""",
-)
+BUNDLE = f"""c AS (SELECT x.txn_id, count(f.t0) AS card_prior_degree FROM txn x
+    LEFT JOIN firsts f ON f.card = x.card AND f.t0 < x.t GROUP BY x.txn_id),
+  d AS ({_entity_degree_sql('device')}), e AS ({_entity_degree_sql('email')}),
+  p AS (SELECT txn_id, {_pair_sql('device')}, {_pair_sql('email')} FROM txn)"""
+BUNDLE_COLUMNS = f"""card_prior_degree, device_prior_card_degree, email_prior_card_degree, card_device_prior_edge_count,
+  card_email_prior_edge_count, {_new_sql('device')}, {_new_sql('email')}"""
+BUNDLE_JOIN = "c JOIN d USING (txn_id) JOIN e USING (txn_id) JOIN p USING (txn_id)"
+
+
+@query("g8_graph_bundle", f"WITH {HOURLY}, {LINKS}, {BUNDLE} SELECT txn_id, {BUNDLE_COLUMNS} FROM {BUNDLE_JOIN}")
 def _(spark, folder):
     return graph.graph_features(hourly_events(spark, folder), components=False)
 
 
-@query("g8_graph_bundle_with_components")
+@query(
+    "g8_graph_bundle_with_components",
+    f"""WITH {HOURLY}, {LINKS}, {BUNDLE}, {COMPONENTS} SELECT txn_id, {BUNDLE_COLUMNS}, card_prior_component_size,
+          device_prior_component_size, email_prior_component_size FROM {BUNDLE_JOIN} JOIN component_columns USING (txn_id)""",
+)
 def _(spark, folder):
     return graph.graph_features(hourly_events(spark, folder))
 
