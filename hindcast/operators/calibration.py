@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +28,46 @@ def _require(rows: DataFrame, roles: Roles) -> int:
     return scores["row_count"]
 
 
+def fit_sigmoid(points: DataFrame, penalty: float, rounds: int = 100) -> tuple[float, float]:
+    """Slope and intercept of a one-feature logistic regression on weighted points (x, y, w).
+
+    Newton's method: one small aggregate per round, a handful of rounds, halving any step that
+    raises the loss. Only the slope is penalised.
+    """
+    points = points.persist()
+    at, step, best = (0.0, 0.0), (0.0, 0.0), math.inf
+    for _ in range(rounds):
+        trial = (at[0] + step[0], at[1] + step[1])
+        loss, update = _newton_round(points, trial, penalty)
+        if loss > best + 1e-15 * abs(best):
+            step = (step[0] / 2, step[1] / 2)
+        else:
+            at, best, step = trial, loss, update
+        if max(abs(step[0]), abs(step[1])) < 1e-12:
+            break
+    points.unpersist()
+    return at
+
+
+def _newton_round(points: DataFrame, at: tuple[float, float], penalty: float):
+    x, y, w = F.col("x"), F.col("y"), F.col("w")
+    margin = x * at[0] + at[1]
+    p = 1.0 / (1.0 + F.exp(-margin))
+    loss = F.greatest(margin, F.lit(0.0)) + F.log1p(F.exp(-F.abs(margin))) - y * margin
+    curve = w * p * (1.0 - p)
+    n, total, ga, gb, haa, hab, hbb = points.agg(
+        F.sum(w), F.sum(w * loss), F.sum(w * (p - y) * x), F.sum(w * (p - y)),
+        F.sum(curve * x * x), F.sum(curve * x), F.sum(curve),
+    ).first()
+    ga, gb = ga / n + penalty * at[0], gb / n
+    haa, hab, hbb = haa / n + penalty, hab / n, hbb / n
+    determinant = haa * hbb - hab * hab
+    if determinant <= 0:
+        return total / n + penalty / 2 * at[0] ** 2, (0.0, 0.0)
+    update = ((hab * gb - hbb * ga) / determinant, (hab * ga - haa * gb) / determinant)
+    return total / n + penalty / 2 * at[0] ** 2, update
+
+
 @dataclass
 class Calibrator:
     """Maps raw probabilities to calibrated ones; must be fitted first."""
@@ -51,12 +90,8 @@ class Calibrator:
             F.count(F.lit(1)).cast("double").alias("w")
         )
         if self.method == "sigmoid":
-            points = self._assembled(merged.withColumn("x", log_odds(F.col("p"), self.epsilon)))
-            learner = LogisticRegression(
-                featuresCol="v", labelCol="y", weightCol="w", standardization=False, tol=1e-9, maxIter=200,
-                regParam=1.0 / (INVERSE_REGULARISATION * n),
-            )
-            self.model = learner.fit(points)
+            points = merged.select(log_odds(F.col("p"), self.epsilon).alias("x"), "y", "w")
+            self.model = fit_sigmoid(points, 1.0 / (INVERSE_REGULARISATION * n))
         elif self.method == "isotonic":
             rates = merged.groupBy("p").agg(
                 (F.sum(F.col("y") * F.col("w")) / F.sum("w")).alias("y"), F.sum("w").alias("w")
@@ -74,15 +109,12 @@ class Calibrator:
             return rows.withColumn(column, score)
         if self.method == "sigmoid":
             # The fitted mapping is one slope and one intercept, so it needs no model at scoring time.
-            margin = self.model.intercept + float(self.model.coefficients[0]) * log_odds(score, self.epsilon)
+            slope, intercept = self.model
+            margin = intercept + slope * log_odds(score, self.epsilon)
             return rows.withColumn(column, 1.0 / (1.0 + F.exp(-margin)))
         made = self.model.setFeaturesCol("_p").setPredictionCol("_fit").transform(rows.withColumn("_p", score))
         return made.withColumn(column, clipped(F.col("_fit"), 0.0, 1.0)).drop("_p", "_fit")
 
-    @staticmethod
-    def _assembled(points: DataFrame) -> DataFrame:
-        return VectorAssembler(inputCols=["x"], outputCol="v").transform(points)
-
 
 def brier(score: str, label: str) -> Column:
     gap = F.col(score) - F.col(label)

@@ -82,17 +82,36 @@ def _halves(spark, folder):
     return tagged.where("period = 'fit'"), tagged.where("period = 'select'")
 
 
-@query("c2_sigmoid")
-def _(spark, folder):
-    early, late = _halves(spark, folder)
-    return rounded(calibration.Calibrator("sigmoid").fit(early).predict(late).select("txn_id", "calibrated"))
-
-
 HALVES_SQL = """ranked AS (SELECT *, row_number() OVER (ORDER BY t, txn_id) - 1 AS pos, count(*) OVER () AS n FROM txn),
 cut AS (SELECT t AS boundary FROM ranked WHERE pos = CAST(floor(n * 0.5) AS BIGINT)),
 late AS (SELECT txn.* FROM txn, cut WHERE t >= boundary)"""
 
 
+def _newton_sql(name: str, source: str) -> str:
+    """Slope and intercept by thirty Newton steps from zero, as a recursive query."""
+    return f"""{name}_points AS (SELECT ln(p / (1.0::DOUBLE - p)) AS x, CAST(label AS DOUBLE) AS y FROM (
+    SELECT least(greatest(score, 1e-6::DOUBLE), 1.0::DOUBLE - 1e-6::DOUBLE) AS p, label FROM {source})),
+  {name}_steps AS (SELECT 0 AS step, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b UNION ALL
+    SELECT step + 1, a + (hab * gb - hbb * ga) / (haa * hbb - hab * hab), b + (hab * ga - haa * gb) / (haa * hbb - hab * hab) FROM (
+      SELECT step, a, b, avg((p - y) * x) + a / (1e6::DOUBLE * count(*)) AS ga, avg(p - y) AS gb,
+        avg(p * (1 - p) * x * x) + 1 / (1e6::DOUBLE * count(*)) AS haa, avg(p * (1 - p) * x) AS hab, avg(p * (1 - p)) AS hbb FROM (
+        SELECT step, a, b, x, y, 1 / (1 + exp(-(a * x + b))) AS p FROM {name}_steps, {name}_points WHERE step < 30) GROUP BY step, a, b)),
+  {name} AS (SELECT a, b FROM {name}_steps WHERE step = 30)"""
+
+
+SIGMOID = "1 / (1 + exp(-(a * ln(least(greatest(score, 1e-6::DOUBLE), 1.0::DOUBLE - 1e-6::DOUBLE) / (1.0::DOUBLE - least(greatest(score, 1e-6::DOUBLE), 1.0::DOUBLE - 1e-6::DOUBLE))) + b)))"
+
+
+@query(
+    "c2_sigmoid",
+    f"""WITH RECURSIVE {EVENTS}, {HALVES_SQL}, early AS (SELECT txn.* FROM txn, cut WHERE t < boundary), {_newton_sql('newton', 'early')}
+        SELECT txn_id, round({SIGMOID}, 6) AS calibrated FROM late, newton""",
+)
+def _(spark, folder):
+    early, late = _halves(spark, folder)
+    return rounded(calibration.Calibrator("sigmoid").fit(early).predict(late).select("txn_id", "calibrated"))
+
+
 # The isotonic fit at point i is max over a <= i of min over b >= i of the mean of points a to b.
 ISOTONIC = """points AS (SELECT score AS x, sum(label) AS s, count(*) AS w, row_number() OVER (ORDER BY score) AS i
   FROM (SELECT txn.* FROM txn, cut WHERE t < boundary) GROUP BY score),
@@ -183,7 +202,16 @@ def _(spark, folder):
     return rounded(calibration.choose_method(results))
 
 
-@query("c8_fitted_method_comparison")
+@query(
+    "c8_fitted_method_comparison",
+    f"""WITH RECURSIVE {EVENTS}, {HALVES_SQL}, early AS (SELECT txn.* FROM txn, cut WHERE t < boundary), {_newton_sql('newton', 'early')}, {ISOTONIC},
+        iso AS (SELECT txn_id, CASE WHEN x0 IS NULL THEN f1 WHEN x1 IS NULL OR x1 = x0 THEN f0
+          ELSE f0 + (f1 - f0) * (score - x0) / (x1 - x0) END AS isotonic FROM both_sides),
+        s AS (SELECT late.*, {SIGMOID} AS sigmoid, isotonic FROM late JOIN iso USING (txn_id), newton)
+        SELECT 'uncalibrated' AS method, round(avg((score - label) * (score - label)), 6) AS brier_score, round({_error_sql('s', 'score')}, 6) AS expected_calibration_error FROM s
+        UNION ALL SELECT 'sigmoid', round(avg((sigmoid - label) * (sigmoid - label)), 6), round({_error_sql('s', 'sigmoid')}, 6) FROM s
+        UNION ALL SELECT 'isotonic', round(avg((isotonic - label) * (isotonic - label)), 6), round({_error_sql('s', 'isotonic')}, 6) FROM s""",
+)
 def _(spark, folder):
     return rounded(calibration.compare_methods(*_halves(spark, folder)))
 
@@ -539,7 +567,20 @@ def _(spark, folder):
     return rounded(outcomes.period_comparison(results))
 
 
-@query("k22_final_holdout")
+@query(
+    "k22_final_holdout",
+    f"""WITH RECURSIVE {ORDERS}, {SPLIT_SQL}, cuts AS (SELECT max(t) FILTER (WHERE pos = CAST(floor(n * CAST(0.7 AS DOUBLE)) AS BIGINT)) AS a,
+          max(t) FILTER (WHERE pos = CAST(floor(n * CAST(0.85 AS DOUBLE)) AS BIGINT)) AS b FROM split),
+        validation AS (SELECT txn.* FROM txn, cuts WHERE t >= a AND t < b),
+        placed AS (SELECT *, row_number() OVER (ORDER BY t, txn_id) - 1 AS vpos, count(*) OVER () AS vn FROM validation),
+        early AS (SELECT * FROM validation WHERE t < (SELECT t FROM placed WHERE vpos = CAST(floor(vn * 0.5) AS BIGINT))),
+        {_newton_sql('newton', 'early')}, holdout AS (SELECT txn.* REPLACE ({SIGMOID.replace('a *', 'newton.a *').replace('+ b)', '+ newton.b)')} AS score) FROM txn, cuts, newton WHERE t >= cuts.b),
+        picked AS (SELECT *, {TOP} AS r FROM holdout),
+        k AS (SELECT count(*) FILTER (WHERE r <= 200) AS s, CAST(sum(label) FILTER (WHERE r <= 200) AS BIGINT) AS c, CAST(sum(label) AS BIGINT) AS p FROM picked)
+        SELECT 200 AS review_capacity, s AS selected_review_count, round(s / 200.0::DOUBLE, 6) AS capacity_utilisation, c AS captured_count, p AS total_positives,
+          round(c / p::DOUBLE, 6) AS capture_rate, s - c AS false_positive_reviews, s * 5.0::DOUBLE AS total_review_cost,
+          c * 500.0::DOUBLE AS total_prevention_value, c * 500.0::DOUBLE - s * 5.0::DOUBLE AS net_value FROM k""",
+)
 def _(spark, folder):
     """Fit the mapping on the earlier half of validation, then price the holdout once."""
     tagged = splits.ratio_split(orders(spark, folder), snap=True)
