@@ -38,7 +38,9 @@ HEADLINE = [
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session("bench", os.environ.get("BENCH_CPUS", "8"), "16g")
-    spark.read.parquet(f"{folder}/events.parquet").count()
+    # Start the JVM, the code generator and the Python workers before the clock runs.
+    for name in ("w3_recency", "b3_group_comparison_p_values"):
+        catalog.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in HEADLINE:
         started = time.perf_counter()

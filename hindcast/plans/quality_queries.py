@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hindcast.operators import contract, pit, quality, splits
-from hindcast.plans.bindings import EVENTS, HOUR, ORDERS, events, orders, rounded, table
+from hindcast.plans.bindings import EVENTS, HOUR, ORDERS, events, orders, rounded, table, tail_sql
 from hindcast.plans.feature_queries import SPLIT_SQL, _frame
 from hindcast.plans.registry import query
 from hindcast.roles import EntityFeatures
@@ -144,7 +144,13 @@ def _(spark, folder):
     return rounded(made.drop("p_value", "significant"))
 
 
-@query("d8_differential_missingness_p_values")
+@query(
+    "d8_differential_missingness_p_values",
+    f"""WITH {SPARSE}, cells AS ({' UNION ALL '.join(_cells(c) for c in ('channel', 'depth', 'device', 'email'))}),
+        x AS (SELECT "column", (a+b+c+d) * power(greatest(abs(a*d - b*c) - (a+b+c+d)/2, 0), 2) / ((a+b)*(c+d)*(a+c)*(b+d)) AS chi2
+          FROM cells WHERE least(a, b, c, d) >= 5), p AS (SELECT *, {tail_sql('sqrt(chi2 / 2)')} AS p FROM x)
+        SELECT "column", round(chi2, 10) AS chi2_statistic, round(p, 10) AS p_value, p < 0.05 AS significant FROM p""",
+)
 def _(spark, folder):
     made = quality.differential_missingness(_sparse_events(spark, folder), "label", ["channel", "depth", "device", "email"])
     return rounded(made.select("column", "chi2_statistic", "p_value", "significant"), 10)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hindcast.functions import scalars
 from hindcast.operators import contract, groups, joins, pit, quality, splits
-from hindcast.plans.bindings import DAY, EVENTS, HOUR, ORDERS, events, orders, rounded, table
+from hindcast.plans.bindings import DAY, EVENTS, HOUR, ORDERS, events, orders, rounded, table, tail_sql
 from hindcast.plans.feature_queries import SPLIT_SQL, _frame
 from hindcast.plans.registry import query
 from hindcast.roles import EntityFeatures
@@ -409,7 +409,15 @@ def _(spark, folder):
     return rounded(made.drop("p_value", "significant"))
 
 
-@query("b3_group_comparison_p_values")
+@query(
+    "b3_group_comparison_p_values",
+    f"""WITH {EVENTS}, c AS ({_comparison_sql('high_device', 'device > 50', 'device <= 50')}
+          UNION ALL {_comparison_sql('high_amount', 'amount >= 40.0', 'amount < 40.0')}
+          UNION ALL {_comparison_sql('known_email', "email = 'click'", "email = 'view'")}),
+        z AS (SELECT comparison, (ha/na - hb/nb) / nullif(sqrt(((ha+hb)/(na+nb)) * (1 - (ha+hb)/(na+nb)) * (1/na + 1/nb)), 0) AS z FROM c),
+        p AS (SELECT *, {tail_sql('abs(z) / sqrt(2)')} AS p FROM z)
+        SELECT comparison, round(z, 10) AS z_statistic, round(p, 10) AS p_value, coalesce(p < 0.05, false) AS significant FROM p""",
+)
 def _(spark, folder):
     made = groups.compare_groups(events(spark, folder), "label", _comparisons())
     return rounded(made.select("comparison", "z_statistic", "p_value", "significant"), 10)
