@@ -18,7 +18,7 @@ from hindcast.operators.ordered import attach, order_edges, with_chunk
 from hindcast.session import cut_lineage
 
 LEAF_ELEMENTS = 500_000
-MAX_LEAVES = 4096
+MAX_LEAVES = 65_536
 
 
 def connected_components(edges: DataFrame, scope: str = "scope") -> DataFrame:
@@ -82,8 +82,10 @@ def component_sizes(
     crowded: list[int] = []
     if total > leaf_elements:
         chunks = min(MAX_LEAVES, math.ceil(total / leaf_elements))
-        top = times.agg(F.expr("approx_top_k(t, 256, 8192)")).first()[0]
-        crowded = [p["item"] for p in top if p["count"] > leaf_elements]
+        bar = max(leaf_elements, total // MAX_LEAVES)
+        # No more than total / bar timestamps can be this crowded.
+        per_time = times.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+        crowded = sorted(r["t"] for r in per_time.where(F.col("n") > bar).select("t").collect())
         cuts = tuple(sorted({*order_edges(times, "t", chunks), *(float(h + d) for h in crowded for d in (0, 1))}))
     leaf_edges = with_chunk(edges, "t", cuts, "leaf")
     leaf_probes = with_chunk(probes, "t", cuts, "leaf")

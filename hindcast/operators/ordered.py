@@ -23,8 +23,9 @@ from pyspark.sql import types as T
 
 ROWS_PER_CHUNK = 2_000_000
 MAX_CHUNKS = 4096
-MAX_HOT_POINTS = 1024
-SKETCH_ITEMS = 8192
+MAX_HOT_POINTS = 4096
+# The sketch overstates a count by up to about 3.5 / SKETCH_ITEMS of the rows, well below a chunk.
+SKETCH_ITEMS = 32_768
 
 _FIRST_LONG = -(2**62)
 _CHUNK, _CARRY, _REP = "_chunk", "_carry", "_rep"
@@ -42,7 +43,9 @@ class Layout:
     last: object = None
 
     def splits(self, group: tuple[str, ...]) -> bool:
-        return not group or self.largest.get(group, self.rows) > self.rows_per_chunk
+        """Whether some group exceeds what a chunk would hold anyway."""
+        chunk = max(self.rows_per_chunk, self.rows // MAX_CHUNKS)
+        return not group or self.largest.get(group, self.rows) > chunk
 
 
 def profile(

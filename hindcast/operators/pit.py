@@ -16,7 +16,7 @@ from hindcast.functions.scalars import all_of
 from hindcast.operators.ordered import Layout, before, profile
 from hindcast.roles import EntityFeatures, Roles
 
-DIRECT_FRAME_ROWS = 2_000
+DIRECT_FRAME_ROWS = 500
 SQUARE = "decimal(38,0)"
 
 
