@@ -30,7 +30,10 @@ HEADLINE = [
     "k7_capacity_sensitivity",
     "k16_time_deciles",
     "h5_pairwise_stability",
+    "c2_sigmoid",
+    "m3_column_transformer",
     "m5_logistic_scores",
+    "m6_boosted_scores",
     "n2_anomaly_scores",
 ]
 

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hindcast.functions.scalars import any_of
+
 ROWS_PER_CHUNK = 2_000_000
 MAX_CHUNKS = 4096
 MAX_HOT_POINTS = 4096
@@ -163,7 +165,7 @@ def before(
         *(F.sum(c).over(earlier_chunks).cast(events.schema[c].dataType).alias(c) for c in dict.fromkeys(sums.values())),
         *(F.max(c).over(earlier_chunks).alias(c) for c in dict.fromkeys(maxima.values())),
         F.lit(True).alias(_CARRY),
-    ).where(F.coalesce(*(F.col(c).isNotNull() for c in contributions), F.lit(False)))
+    ).where(any_of(F.col(c).isNotNull() for c in contributions))
     framed = work.withColumn(_CARRY, F.lit(False)).unionByName(carry, allowMissingColumns=True)
     window = _earlier(Window.partitionBy(*group, _CHUNK), order, unique)
     done = framed.select("*", *_over(sums, maxima, window)).where(~F.col(_CARRY))

@@ -140,10 +140,12 @@ def _(spark, folder):
 
 @query("m6_boosted_scores")
 def _(spark, folder):
-    _, train, later = _prepared(spark, folder)
-    tail = train.withColumn("stops", F.pmod(F.xxhash64("txn_id"), F.lit(10)) == 0)
-    model = modelling.fit_boosted(cut_lineage(tail), "label", "stops", rounds=10, depth=4)
-    return rounded(modelling.score(model, later))
+    train, later = _splits(spark, folder)
+    fitted = modelling.Preprocessor(NUMERIC, CATEGORICAL).fit(train)
+    parts = splits.tail_split(train, 0.1).withColumn("stops", F.col("part") == "early_stop")
+    prepared = cut_lineage(fitted.transform(parts, ("txn_id", "label", "stops")))
+    model = modelling.fit_boosted(prepared, "label", "stops", rounds=10, depth=4)
+    return rounded(modelling.score(model, fitted.transform(later, ("txn_id", "label"))))
 
 
 @query("m7_scoring_latency")

@@ -85,3 +85,23 @@ def test_rows_at_breaks_ties_by_key(spark):
     expected = sorted((v, k) for k, v in rows)
     got = ordered.rows_at(df, F.col("v"), "k", [0, 5, 350, 699], limit=20)
     assert got == [expected[p] for p in (0, 5, 350, 699)]
+
+
+def test_carry_of_a_late_first_contribution(spark):
+    """A column that is NULL in the early chunks must not hide the carry of the others."""
+    rows = [(t, None if t < 60 else 1, 2) for t in range(100)]
+    df = spark.createDataFrame(rows, "t long, late long, always long")
+    layout = ordered.Layout(100, (30.0, 70.0), {}, {(): ()}, 1, 99)
+    got = ordered.before(df, (), "t", {"a": "late", "b": "always"}, layout).collect()
+    assert all((r["a"], r["b"]) == (max(0, r["t"] - 60), 2 * r["t"]) for r in got)
+
+
+def test_as_of_takes_the_latest_strictly_earlier_state(spark):
+    probes = spark.createDataFrame([(i, i % 2, i * 5) for i in range(20)], "k long, g long, t long")
+    states = spark.createDataFrame([(g, t, t * 10) for g in (0, 1) for t in (0, 20, 50)], "g long, t long, v long")
+    for layout in (None, ordered.Layout(20, (15.0, 45.0), {("g",): 99}, {("g",): ()}, 1, 95)):
+        got = ordered.as_of(probes, states, ("g",), "t", ("v",), layout).collect()
+        assert len(got) == 20
+        for r in got:
+            earlier = [t for t in (0, 20, 50) if t < r["t"]]
+            assert r["v"] == (10 * earlier[-1] if earlier else None)
