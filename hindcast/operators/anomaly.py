@@ -113,7 +113,7 @@ def fit_forests(
     # Draw a little more than the sample per tree; each tree keeps its smallest hashes.
     wanted = settings.sample + 6 * math.sqrt(settings.sample) + 10
     largest = max(counts.values())
-    thin = min(1.0, THIN_ROWS / largest)
+    thin = min(1.0, max(THIN_ROWS / largest, 8 * wanted / min(counts.values())))
     pool = rows if thin == 1.0 else rows.where(F.pmod(F.xxhash64(key, F.lit(settings.seed)), F.lit(BUCKETS)) < int(thin * BUCKETS))
     picks = [
         _picks(key, f, condition, min(1.0, wanted / (counts[str(f)] * thin)), settings)

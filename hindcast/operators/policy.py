@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hindcast.functions.scalars import ratio_or_zero
+from hindcast.operators.ordered import rows_at, sorts_before
 from hindcast.roles import Roles
 
 # Fixed values.
@@ -17,6 +18,7 @@ BLOCK_THRESHOLD = 0.95
 ACTIONS = ("approve", "review", "block")
 
 SLICES = 256
+TAKE_LIMIT = 100_000
 
 
 def probability_facts(rows: DataFrame, score: str) -> DataFrame:
@@ -116,9 +118,25 @@ def cost_violations(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def select_for_review(rows: DataFrame, policy: ReviewPolicy, roles: Roles = Roles()) -> DataFrame:
-    """The highest eligible scores up to the capacity, ties by key."""
+    """The highest eligible scores up to the capacity, ties by key.
+
+    A capacity of ordinary size is Spark's top-k. A very large one compares each row with the exact
+    last selected (score, key), so nothing is gathered.
+    """
     eligible = rows.where(policy.eligible(roles.score))
-    return eligible.orderBy(F.desc(roles.score), F.asc(roles.key)).limit(policy.capacity)
+    if policy.capacity <= TAKE_LIMIT:
+        return eligible.orderBy(F.desc(roles.score), F.asc(roles.key)).limit(policy.capacity)
+    (within,) = _within(eligible, [policy.capacity], roles)
+    return eligible.where(within)
+
+
+def _within(eligible: DataFrame, capacities: list[int], roles: Roles) -> list[Column]:
+    """For each capacity, whether a row is among that many best ones."""
+    n = eligible.count()
+    down, key = -F.col(roles.score), F.col(roles.key)
+    binding = sorted({c for c in capacities if c < n})
+    first_outside = dict(zip(binding, rows_at(eligible, down, roles.key, binding))) if binding else {}
+    return [sorts_before(down, key, first_outside[c]) if c in first_outside else F.lit(True) for c in capacities]
 
 
 def select_per_period(rows: DataFrame, policy: ReviewPolicy, period: str, roles: Roles = Roles()) -> DataFrame:
@@ -177,22 +195,29 @@ def capacity_results(
     rows: DataFrame, capacities: list[int], costs: CostMatrix, roles: Roles = Roles(),
     min_probability: float = 0.0, max_probability: float = 1.0,
 ) -> DataFrame:
-    """Policy results at every capacity, from one ranking of at most max(capacities) rows."""
+    """Policy results at every capacity from one aggregate."""
     widest = ReviewPolicy(max(capacities), min_probability, max_probability)
     for capacity in capacities:
         ReviewPolicy(capacity, min_probability, max_probability)
     y = F.col(roles.label).cast("long")
     total = rows.agg(F.coalesce(F.sum(y), F.lit(0))).scalar()
-    best = select_for_review(rows.select(roles.key, roles.score, roles.label), widest, roles)
-    # The window has no partition, but its input is bounded by the largest capacity.
-    ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(roles.score), F.asc(roles.key))))
-    wide = ranked.agg(
+    narrow = rows.select(roles.key, roles.score, roles.label)
+    if widest.capacity <= TAKE_LIMIT:
+        best = select_for_review(narrow, widest, roles)
+        # The window has no partition, but its input is bounded by the largest capacity.
+        place = F.row_number().over(Window.orderBy(F.desc(roles.score), F.asc(roles.key)))
+        source = best.withColumn("rank", place)
+        tests = [F.col("rank") <= c for c in capacities]
+    else:
+        source = narrow.where(widest.eligible(roles.score))
+        tests = _within(source, capacities, roles)
+    wide = source.agg(
         *(
             F.struct(
-                F.count_if(F.col("rank") <= c).alias("selected_review_count"),
-                F.coalesce(F.sum(F.when(F.col("rank") <= c, y)), F.lit(0)).alias("captured_count"),
+                F.count_if(test).alias("selected_review_count"),
+                F.coalesce(F.sum(F.when(test, y)), F.lit(0)).alias("captured_count"),
             ).alias(str(c))
-            for c in capacities
+            for c, test in zip(capacities, tests)
         )
     )
     long = wide.unpivot([], [str(c) for c in capacities], "capacity", "r")

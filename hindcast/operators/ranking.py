@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from hindcast.functions.scalars import ratio, ratio_or_zero
 from hindcast.operators.ordered import before, profile
-from hindcast.operators.policy import label_facts, probability_facts
+from hindcast.operators.policy import ReviewPolicy, label_facts, probability_facts, select_for_review
 from hindcast.roles import Roles
 
 
 def top_k(rows: DataFrame, k: int, roles: Roles = Roles()) -> DataFrame:
-    """The k rows with the highest scores; Spark keeps at most k rows per task on the way."""
-    return rows.orderBy(F.desc(roles.score), F.asc(roles.key)).limit(k)
+    """The k rows with the highest probabilities, ties by key."""
+    return select_for_review(rows, ReviewPolicy(k), roles)
 
 
 def metrics_at_k(rows: DataFrame, k: int, roles: Roles = Roles()) -> DataFrame:

@@ -169,3 +169,18 @@ def test_hash_sample_ignores_partitioning(spark):
     df = spark.range(1000).withColumnRenamed("id", "k")
     samples = [{r["k"] for r in attribution.hash_sample(df.repartition(p), 50, "k", 7).collect()} for p in (1, 9)]
     assert samples[0] == samples[1] and len(samples[0]) == 50
+
+
+def test_large_capacities_give_the_same_answers(spark, monkeypatch):
+    df = scored(spark, random_scores(12, 120))
+    kept = {"min_probability": 0.1, "max_probability": 0.9}
+    chosen = policy.ReviewPolicy(30, **kept)
+
+    def answers():
+        table = policy.capacity_results(df, [5, 30, 500], COSTS, **kept).orderBy("review_capacity").collect()
+        marked = {r["txn_id"] for r in policy.apply_policy(df, chosen).where("reviewed").collect()}
+        return table, marked, {r["txn_id"] for r in policy.select_for_review(df, chosen).collect()}
+
+    usual = answers()
+    monkeypatch.setattr(policy, "TAKE_LIMIT", 2)
+    assert answers() == usual and len(usual[1]) == 30 and usual[1] == usual[2]
