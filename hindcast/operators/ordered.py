@@ -21,8 +21,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hindcast.functions.scalars import any_of
-
 ROWS_PER_CHUNK = 2_000_000
 MAX_CHUNKS = 4096
 MAX_HOT_POINTS = 4096
@@ -156,7 +154,6 @@ def before(
     totals = work.groupBy(*group, _CHUNK).agg(*_totals(sums, maxima))
     # At most MAX_CHUNKS (plus hot edges) rows per group reach this window.
     earlier_chunks = Window.partitionBy(*group).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    contributions = dict.fromkeys([*sums.values(), *maxima.values()])
     floor = F.lit(-math.inf if events.schema[order].dataType == T.DoubleType() else _FIRST_LONG)
     carry = totals.select(
         *group,
@@ -165,7 +162,8 @@ def before(
         *(F.sum(c).over(earlier_chunks).cast(events.schema[c].dataType).alias(c) for c in dict.fromkeys(sums.values())),
         *(F.max(c).over(earlier_chunks).alias(c) for c in dict.fromkeys(maxima.values())),
         F.lit(True).alias(_CARRY),
-    ).where(any_of(F.col(c).isNotNull() for c in contributions))
+        F.row_number().over(Window.partitionBy(*group).orderBy(_CHUNK)).alias("_place"),
+    ).where(F.col("_place") > 1).drop("_place")
     framed = work.withColumn(_CARRY, F.lit(False)).unionByName(carry, allowMissingColumns=True)
     window = _earlier(Window.partitionBy(*group, _CHUNK), order, unique)
     done = framed.select("*", *_over(sums, maxima, window)).where(~F.col(_CARRY))
