@@ -12,8 +12,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Texts are hashed together until they hold so many bytes; one longer text is a piece of its own.
 PIECE_BYTES = 1 << 20
@@ -48,6 +50,52 @@ def same_doc(left: DataFrame, right: DataFrame) -> Column:
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["h"] == right["h"])
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, h and ``row``, all input columns in one struct, whose names then clash with nothing."""
+    return docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("h"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+
+
+def chosen_once(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``whole_rows(docs)`` named by ``chosen`` with its other columns, a repeated document only once.
+
+    ``chosen`` has doc_id, h and ``times``, how many rows of ``docs`` are this document.
+    """
+    rows = whole_rows(docs)
+    joined = rows.join(chosen, same_doc(rows, chosen)).select(rows["doc_id"], rows["h"], "row", *(chosen[c] for c in chosen.columns if c not in ("doc_id", "h")))
+    if chosen.where("times > 1").isEmpty():
+        return joined
+    return joined.where("times = 1").union(joined.where("times > 1").dropDuplicates(["doc_id", "h"]))
+
+
+def packed(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, h, packed: the texts compressed for a shuffle; with ``carry`` also ``row``, the other input columns.
+
+    Texts are most of what a join by document moves; compressed one by one they are about half as large on disk.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            blobs = pa.array([None if t is None else compress(t) for t in texts_of(batch)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], blobs, *batch.columns[3:]], names=["doc_id", "h", "packed", *batch.schema.names[3:]])
+
+    text = F.col("text").cast("string")
+    rest = [docs[c] for c in docs.columns if c != "text"]
+    rows = docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text"), *([F.struct(*rest).alias("row")] if carry else []))
+    return rows.mapInArrow(pack, shape(rows, "doc_id", "h", packed="binary", **({"row": rows.schema["row"].dataType} if carry else {})))
+
+
+def shape(df: DataFrame, *same: str, **made: str | T.DataType) -> T.StructType:
+    """A schema of columns as they are in ``df`` and of made ones, whose type may be given as text."""
+    new = [T.StructField(n, T.StructType.fromDDL(f"x {k}")["x"].dataType if isinstance(k, str) else k) for n, k in made.items()]
+    return T.StructType([df.schema[c] for c in same] + new)
+
+
+def unpacked(column: pa.Array) -> list[bytes | None]:
+    expand = zstandard.ZstdDecompressor().decompress
+    return [None if blob is None else expand(blob) for blob in column.to_pylist()]
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, remembered for the words that come again."""
 
