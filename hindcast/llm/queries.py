@@ -105,13 +105,13 @@ LINES_SQL = r"""
 WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, i, ls[i] AS raw, regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+') AS w FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM t)),
 f AS (SELECT doc_id, i, raw, array_to_string(w, ' ') AS s, w FROM l WHERE len(w) > 0),
-d AS (SELECT s, any_value(w) AS w, min((doc_id, i)) AS at FROM f GROUP BY s),
-v AS (SELECT s, at, len(w) AS n, p, md5(array_to_string(list_concat(list_slice(w, 1, p - 1), list_slice(w, p + 1, len(w))), ' ')) AS m
-  FROM (SELECT s, w, at, unnest(range(1, len(w) + 1)) AS p FROM d WHERE len(w) >= 8)),
-sub AS (SELECT x.s FROM v x JOIN v y ON x.m = y.m AND x.n = y.n AND x.p = y.p AND y.at < x.at),
-gap AS (SELECT v.s AS long_line, v.at AS long_at, d.s AS short_line, d.at AS short_at FROM v JOIN d ON v.m = md5(d.s) AND len(d.w) = v.n - 1 AND v.n > 8),
+d AS (SELECT s, any_value(w) AS w, min((doc_id, i)) AS place FROM f GROUP BY s),
+v AS (SELECT s, place, len(w) AS n, p, md5(array_to_string(list_concat(list_slice(w, 1, p - 1), list_slice(w, p + 1, len(w))), ' ')) AS m
+  FROM (SELECT s, w, place, unnest(range(1, len(w) + 1)) AS p FROM d WHERE len(w) >= 8)),
+sub AS (SELECT x.s FROM v x JOIN v y ON x.m = y.m AND x.n = y.n AND x.p = y.p AND y.place < x.place),
+gap AS (SELECT v.s AS long_line, v.place AS long_at, d.s AS short_line, d.place AS short_at FROM v JOIN d ON v.m = md5(d.s) AND len(d.w) = v.n - 1 AND v.n > 8),
 near AS (SELECT s FROM sub UNION SELECT long_line FROM gap WHERE short_at < long_at UNION SELECT short_line FROM gap WHERE long_at < short_at),
-gone AS (SELECT f.doc_id, f.i FROM f JOIN d USING (s) WHERE (f.doc_id, f.i) <> d.at OR s IN (SELECT s FROM near)),
+gone AS (SELECT f.doc_id, f.i FROM f JOIN d USING (s) WHERE (f.doc_id, f.i) <> d.place OR s IN (SELECT s FROM near)),
 k AS (SELECT l.doc_id, string_agg(raw, chr(10) ORDER BY l.i) AS text FROM l ANTI JOIN gone ON gone.doc_id = l.doc_id AND gone.i = l.i GROUP BY l.doc_id)
 SELECT documents.doc_id, (SELECT count(*) FROM f WHERE f.doc_id = documents.doc_id) AS n_lines,
   (SELECT count(*) FROM gone WHERE gone.doc_id = documents.doc_id) AS n_dropped, CASE WHEN documents.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
