@@ -16,8 +16,8 @@ from hindcast.llm.common import kept, keyed, same_doc
 #: Fixed by the contract: A-Z fall to a-z, and a word is a run of characters outside these ASCII ranges.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Test vocabularies of at most this many rows are broadcast (a few MB); larger ones join by shuffle.
-BROADCAST_ROWS = 100_000
+#: Tables made from the test items are broadcast up to so many words in all (some ten MB), and join by shuffle beyond.
+BROADCAST_WORDS = 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -26,8 +26,10 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.array_remove(parts, ""), F.array().cast("array<string>"))
 
 
-def _sized(small: DataFrame) -> DataFrame:
-    return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
+def _sized(table: DataFrame, words: Column | None = None) -> DataFrame:
+    """``table`` to be broadcast if its rows, or the words it holds, are few enough; the result is the same either way."""
+    total = table.agg(F.coalesce(F.sum(F.lit(1) if words is None else words), F.lit(0))).first()[0]
+    return F.broadcast(table) if total <= BROADCAST_WORDS else table.hint("merge")
 
 
 def item_terms(benchmark: DataFrame) -> DataFrame:
@@ -87,7 +89,7 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, list
     phrases = terms.groupBy("item", "item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda x: x["term"]).alias("phrase"))
     found = candidate_shifts(docs, places).join(_sized(phrases), "item")
     sought = found.groupBy("doc_id", "h").agg(F.collect_list(F.struct("item_id", "shift", "starts", "phrase")).alias("sought"))
-    sought = kept(sought)
+    sought = _sized(kept(sought), F.aggregate("sought", F.lit(0), lambda n, one: n + F.size(one["phrase"]) + F.size(one["starts"])))
     rows = keyed(docs)
     joined = rows.join(sought, same_doc(rows, sought), "left").select(rows["doc_id"], rows["h"], words_of(rows["text"]).alias("words"), sought["sought"])
 
