@@ -34,7 +34,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage and survives lost executors."""
+    """Write to the shared folder and read back: cuts the lineage and survives lost executors.
+
+    A side of a join that comes from here is a plain shuffle, so adaptive execution can split the other side's hot keys;
+    behind an aggregation in the same stage it could not.
+    """
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -125,7 +125,7 @@ def within_one_edit(one: list[bytes], other: list[bytes]) -> bool:
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """a, b of distinct lines that have an earlier neighbour within one word edit."""
     halves = distinct.where("p0 is not null").select("a", "b", F.explode(F.array(*_HALVES)).alias("key"))
-    shared = halves.groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low != high").select("key")
+    shared = kept(halves.groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low != high").select("key"))
     wanted = halves.join(shared, "key").select("a", "b").distinct()
     sources = distinct.join(wanted, ["a", "b"]).select("a", "b", "first.doc_id", "first.h", "first.line")
     asked = sources.groupBy("doc_id", "h").agg(F.collect_list(F.struct("line", "a", "b")).alias("asked"))
@@ -138,9 +138,9 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
     # Replaced word: lines of one length that agree in all but the word at one place. Their earliest is the keeper.
     cut = variants.where("at >= 0").select("a", "b", "n", "at", "variant")
-    met = cut.groupBy("variant", "n", "at").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low != high").select("variant", "n", "at")
-    groups = cut.join(met, ["variant", "n", "at"]).join(whole.select("a", "b", "first"), ["a", "b"])
-    earliest = groups.groupBy("variant", "n", "at").agg(F.min(F.struct("first", "a", "b")).alias("keeper"))
+    met = kept(cut.groupBy("variant", "n", "at").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low != high").select("variant", "n", "at"))
+    groups = kept(cut.join(met, ["variant", "n", "at"]).join(whole.select("a", "b", "first"), ["a", "b"]))
+    earliest = kept(groups.groupBy("variant", "n", "at").agg(F.min(F.struct("first", "a", "b")).alias("keeper")))
     replaced = groups.join(earliest, ["variant", "n", "at"]).select("a", "b", "first", F.col("keeper.a").alias("a2"), F.col("keeper.b").alias("b2"), F.col("keeper.first").alias("first2"))
 
     # Inserted or deleted word: the variant of the longer line is the shorter line.
@@ -170,7 +170,7 @@ def drop_repeated_lines(docs: DataFrame, near_words: int = 8) -> DataFrame:
     same = [F.first(c).alias(c) for c in ("n", *_HALVES)]
     distinct = kept(every.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), *same))
     near = kept(near_lines(docs, distinct)).withColumn("near", F.lit(True))
-    judged = distinct.join(near, ["a", "b"], "left").where("copies > 1 or near").select("a", "b", "near", "first")
+    judged = kept(distinct.join(near, ["a", "b"], "left").where("copies > 1 or near").select("a", "b", "near", "first"))
     gone = every.select("doc_id", "h", "line", "a", "b").join(judged, ["a", "b"]).where(F.coalesce("near", F.lit(False)) | (place != F.col("first")))
     lists = gone.groupBy("doc_id", "h").agg(F.collect_set("line").alias("gone"))
 

@@ -71,7 +71,7 @@ def repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
     suffixes = kept(paths(docs, window))
     shared = kept(compared(suffixes))
     sources = shared.where("source")
-    masks = branch_masks(docs, sources.select("seed", "body", "doc_id", "h", "start", "n", F.lit(1).cast("long").alias("copies")), window)
+    masks = kept(branch_masks(docs, sources.select("seed", "body", "doc_id", "h", "start", "n", F.lit(1).cast("long").alias("copies")), window))
     part = sources.join(masks, ["seed", "body"]).select("doc_id", "h", "start", "n", "mask")
     whole = shared.where("whole").select("doc_id", "h", "start", "n", full_mask("n").alias("mask"))
     own = suffixes.where("own != 0").select("doc_id", "h", "start", "n", F.col("own").alias("mask"))

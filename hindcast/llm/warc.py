@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hindcast.llm.common import kept
+
 END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _FIELDS = {"warc-type": "type", "warc-record-id": "record_id", "warc-concurrent-to": "concurrent_to", "warc-target-uri": "uri", "warc-date": "date", "warc-payload-digest": "digest"}
@@ -38,7 +40,7 @@ def write_captures(pages: DataFrame, path: str, least_bytes: int = 1000, date: s
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
     large = F.octet_length("html") >= least_bytes
-    tops = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("uses")).where("uses > 1").select("digest", "top")
+    tops = kept(rows.where(large).groupBy("digest").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("uses")).where("uses > 1").select("digest", "top"))
     # Only payloads that come again travel by their digest; the left join keeps the others.
     judged = rows.where(large).join(tops, "digest", "left")
     original = F.col("top").isNull() | F.col("page_id").eqNullSafe(F.col("top"))
@@ -166,10 +168,10 @@ def captured_pages(captures: DataFrame, least_bytes: int = 1000) -> DataFrame:
     A revisit has the length and the page of the response with its digest: the one of at least ``least_bytes`` bytes.
     """
     page = F.nullif(F.regexp_extract(F.element_at("metadata", 1)["payload"].cast("string"), r"page_id: ([^\r\n]*)", 1), F.lit(""))
-    rows = captures.select(F.when(F.size("metadata") > 0, page).alias("page_id"), F.col("response.type").alias("record_type"), F.col("response.payload_bytes").alias("bytes"), F.col("response.payload_sha1").alias("sha1"), F.regexp_extract("response.digest", "^sha1:(.*)$", 1).alias("stated"))
+    rows = kept(captures.select(F.when(F.size("metadata") > 0, page).alias("page_id"), F.col("response.type").alias("record_type"), F.col("response.payload_bytes").alias("bytes"), F.col("response.payload_sha1").alias("sha1"), F.regexp_extract("response.digest", "^sha1:(.*)$", 1).alias("stated")))
     whole = rows.where("record_type = 'response'")
     revisits = rows.where("record_type = 'revisit'").select("page_id", "record_type", "stated")
-    originals = whole.where(F.col("bytes") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.max("bytes").alias("bytes"))
+    originals = kept(whole.where(F.col("bytes") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.max("bytes").alias("bytes")))
     back = revisits.join(originals, revisits["stated"] == originals["sha1"], "left")
     return whole.select("page_id", F.col("bytes").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), "record_type", F.lit(None).cast("string").alias("refers_to")).union(
         back.select("page_id", F.col("bytes").alias("payload_bytes"), F.col("stated").alias("payload_digest"), "record_type", "refers_to")
