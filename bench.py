@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from hindcast.plans import catalog
@@ -15,7 +16,7 @@ HEADLINE = [
     "w4_history_count",
     "w7_global_velocity",
     "w10_behavioural_bundle",
-    "g8_graph_bundle",
+    "g8_graph_bundle_with_components",
     "g6_component_sizes",
     "q3_padded_sequences",
     "t4_out_of_fold",
@@ -35,12 +36,14 @@ HEADLINE = [
     "m5_logistic_scores",
     "m6_boosted_scores",
     "n2_anomaly_scores",
+    "m7_scoring_latency",
+    "r2_replay",
 ]
 
 
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = local_session("bench", os.environ.get("BENCH_CPUS", "8"), "16g")
+    spark = local_session("bench", os.environ.get("BENCH_CPUS", "8"), "16g", tempfile.mkdtemp(prefix="bench-"))
     # Start the JVM, the code generator and the Python workers before the clock runs.
     for name in ("w3_recency", "b3_group_comparison_p_values"):
         catalog.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()

@@ -113,9 +113,18 @@ def _(spark, folder):
     return keyed_load.record_run(rows, shared_path(spark, "runs"), "load-1", result, 1.0)
 
 
-@query("s11_fingerprints")
+@query(
+    "s11_fingerprints",
+    """SELECT 'labels.bin' AS file_name, CAST(octet_length(encode(body)) AS BIGINT) AS size_bytes, sha256(body) AS sha256
+       FROM (SELECT string_agg(doc_id || ',' || quality || ',' || toxic || chr(10), '' ORDER BY doc_id) AS body FROM labels)""",
+)
 def _(spark, folder):
-    return files.fingerprints(spark, folder, ("orders.parquet", "events.parquet"))
+    """The fingerprint of a file whose bytes are known: the label table as ordered lines."""
+    path = shared_path(spark, "fingerprint")
+    line = F.concat_ws(",", "doc_id", F.col("quality").cast("string"), F.col("toxic").cast("string"))
+    table(spark, folder, "labels").orderBy("doc_id").coalesce(1).select(line).write.text(path)
+    found = files.fingerprints(spark, f"{path}/part-*")
+    return found.select(F.lit("labels.bin").alias("file_name"), "size_bytes", "sha256")
 
 
 @query(
@@ -296,15 +305,10 @@ def _(spark, folder):
     return joins.append_features(rows.select("txn_id", "t", "amount"), made, "txn_id")
 
 
-@query(
-    "j6_keyed_anti_join",
-    "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000)",
-)
+@query("j6_keyed_anti_join", "SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def _(spark, folder):
-    customers = table(spark, folder, "customer").select("c_custkey", "c_name")
-    ordered = table(spark, folder, "orders").where("o_totalprice > 350000")
-    ordered = ordered.select(F.col("o_custkey").alias("c_custkey"))
-    return keyed_load.missing_rows(customers, ordered, "c_custkey")
+    offered = table(spark, folder, "documents").select("doc_id", "lang", "source")
+    return keyed_load.missing_rows(offered, table(spark, folder, "labels"), "doc_id")
 
 
 @query(
@@ -329,10 +333,9 @@ def _(spark, folder):
         FROM txn a LEFT JOIN txn b ON a.card = b.card AND b.t >= a.t - {24 * HOUR} AND b.t < a.t GROUP BY a.txn_id""",
 )
 def _(spark, folder):
-    spec = EntityFeatures("card", ("card",), velocity={"w": 24 * HOUR}, amounts={"w": 24 * HOUR})
+    spec = EntityFeatures("card", ("card",), velocity={"w": 24 * HOUR}, amounts={"w": 24 * HOUR}, sums=True)
     made = pit.behavioural_features(events(spark, folder), [spec])
-    total = F.coalesce(F.col("amount_card_w_mean") * F.col("velocity_card_w"), F.lit(0.0))
-    return made.select("txn_id", F.col("velocity_card_w").alias("earlier_rows"), F.round(total, 4).alias("earlier_amount"))
+    return made.select("txn_id", F.col("velocity_card_w").alias("earlier_rows"), F.round("amount_card_w_sum", 4).alias("earlier_amount"))
 
 
 @query(

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(app: str = "hindcast", cores: str = "*", memory: str = "8g") -> SparkSession:
-    """A local session for tests and benchmarks; a cluster brings its own."""
-    spark = (
+def local_session(app: str = "hindcast", cores: str = "*", memory: str = "8g", shared: str | None = None) -> SparkSession:
+    """A local session for tests and benchmarks; a cluster brings its own.
+
+    ``shared`` is the folder for checkpoints and written tables, the warehouse when none is given.
+    """
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
@@ -19,25 +21,33 @@ def local_session(app: str = "hindcast", cores: str = "*", memory: str = "8g") -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared).config("spark.sql.warehouse.dir", f"{shared}/warehouse")
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else the warehouse.
 
-    A folder is chosen here only when the session names none, as in a bare test session.
+    Both are chosen when the application is submitted; a folder of one machine would be no folder for the others.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir", None)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="hindcast-checkpoint-"))
+        context.setCheckpointDir(f"{shared_folder(df.sparkSession)}/hindcast-checkpoints")
     return df.checkpoint()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder that every executor can read and write."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{folder.rstrip('/')}/hindcast/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/hindcast/{name}-{uuid.uuid4().hex}"

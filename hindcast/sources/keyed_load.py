@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from hindcast.operators.quality import require_unique
+from hindcast.sources.sinks import claim, publish, release, table_exists
 
 
 @dataclass(frozen=True)
@@ -26,26 +27,32 @@ def missing_rows(offered: DataFrame, existing: DataFrame, key: str) -> DataFrame
 def append_missing(offered: DataFrame, path: str, key: str, expected_rows: int | None = None) -> LoadResult:
     """Insert rows with new keys, skip the rest. Repeating a load inserts nothing.
 
-    The append is one committed job, so a failed load leaves the table as it was; the row counts
-    are checked before anything is written.
+    The new rows are staged beside the table and compared with what was offered before anything is published; then one
+    rename makes them a folder ``load_id=...`` of the table. A reader sees all of a load or nothing, a failure before the
+    rename leaves the table as it was, and older rows are never written again. Only one load of a table runs at a time.
     """
+    spark = offered.sparkSession
     require_unique(offered, key, "the load")
     total = offered.count()
     if expected_rows is not None and total != expected_rows:
         raise ValueError(f"the manifest promises {expected_rows} rows, the load has {total}")
-    existing = _existing(offered.sparkSession, path)
-    fresh = offered if existing is None else missing_rows(offered, existing, key)
-    held = 0 if existing is None else existing.count()
-    fresh.write.mode("append").parquet(path)
-    inserted = offered.sparkSession.read.parquet(path).count() - held
-    return LoadResult(total, inserted, total - inserted)
-
-
-def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+    lock = f"{path}.lock"
+    if not claim(spark, lock):
+        raise RuntimeError(f"another load of {path} is under way (or ended without releasing {lock})")
     try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+        existing = spark.read.parquet(path) if table_exists(spark, path) else None
+        load = uuid.uuid4().hex
+        staged = f"{path}.load-{load}"
+        (offered if existing is None else missing_rows(offered, existing, key)).write.parquet(staged)
+        inserted = spark.read.parquet(staged).count()
+        known = 0 if existing is None else offered.join(existing.select(key), key, "left_semi").count()
+        if inserted + known != total:
+            raise RuntimeError(f"{total} rows were offered, but {inserted} staged and {known} known")
+        if inserted or existing is None:
+            publish(spark, staged, f"{path}/load_id={load}")
+    finally:
+        release(spark, lock)
+    return LoadResult(total, inserted, total - inserted)
 
 
 def record_run(source: DataFrame, path: str, run: str, result: LoadResult, coverage: float) -> DataFrame:

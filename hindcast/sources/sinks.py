@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -12,23 +14,78 @@ def write_new(rows: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
 
 
 def write_replacing(rows: DataFrame, path: str) -> None:
-    """Parquet; the commit protocol publishes the new files only when all tasks succeeded.
+    """Parquet that takes the place of an older table, which stays readable until the new one is whole.
 
-    The input must not read from ``path``: Spark would be overwriting its own source.
+    The rows go to a folder beside ``path``; only when all of them are written are the two folders renamed. A failed write
+    leaves the old table as it was, so the input may even read from ``path``.
     """
-    if any(f.startswith(f"{path}/") or f"{path}/" in f for f in rows.inputFiles()):
-        raise ValueError(f"{path} is also an input; write to a new versioned path instead")
-    rows.write.mode("overwrite").parquet(path)
+    staged, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    rows.write.mode("errorifexists").parquet(staged)
+    system, of = _file_system(rows.sparkSession, path)
+    replaced = system.exists(of(path))
+    if replaced and not system.rename(of(path), of(old)):
+        raise OSError(f"{path} cannot be moved aside; the new table is at {staged}")
+    if not system.rename(of(staged), of(path)):
+        if replaced:
+            system.rename(of(old), of(path))
+        raise OSError(f"{staged} cannot be moved to {path}")
+    if replaced:
+        system.delete(of(old), True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the maker of its paths: works for any store that Spark writes to."""
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), of
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    system, of = _file_system(spark, path)
+    return system.exists(of(path))
+
+
+def claim(spark: SparkSession, path: str) -> bool:
+    """Create an empty file unless it exists, in one step of the file system; False if it does."""
+    system, of = _file_system(spark, path)
+    parent = of(path).getParent()
+    if parent is not None:
+        system.mkdirs(parent)
+    return system.createNewFile(of(path))
+
+
+def publish(spark: SparkSession, staged: str, path: str) -> None:
+    """Move a finished folder to its place by one rename."""
+    system, of = _file_system(spark, path)
+    system.mkdirs(of(path).getParent())
+    if not system.rename(of(staged), of(path)):
+        raise OSError(f"{staged} cannot be moved to {path}")
+
+
+def release(spark: SparkSession, path: str) -> None:
+    system, of = _file_system(spark, path)
+    system.delete(of(path), False)
+
+
+#: Rows a report file may hold; a larger table belongs into a table of many files.
+REPORT_ROWS = 100_000
+
+
+def _report(rows: DataFrame) -> DataFrame:
+    """The few rows of a report in one partition of their own: what makes them stays as parallel as it was."""
+    few = rows.limit(REPORT_ROWS + 1)
+    if few.count() > REPORT_ROWS:
+        raise ValueError(f"a report holds {REPORT_ROWS} rows at most")
+    return few.repartition(1)
 
 
 def write_json_report(report: DataFrame, path: str) -> None:
     """A manifest or metric report: a handful of aggregate rows as one JSON file."""
-    report.coalesce(1).write.mode("overwrite").json(path)
+    _report(report).write.mode("overwrite").json(path)
 
 
 def write_csv_report(report: DataFrame, path: str) -> None:
     """A small result table as one CSV file with a header."""
-    report.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    _report(report).write.mode("overwrite").csv(path, header=True)
 
 
 def write_sequences(dataset: DataFrame, path: str, values: str = "sequence") -> None:

@@ -9,8 +9,8 @@ from hindcast.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("hindcast-tests", "4", "4g")
+def spark(tmp_path_factory):
+    session = local_session("hindcast-tests", "4", "4g", str(tmp_path_factory.mktemp("shared")))
     session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()

@@ -64,22 +64,82 @@ def test_group_comparison_edges(spark):
     assert got["unknown"]["group_a_rows"] == 0
 
 
-def test_contract(spark):
-    schema = "txn_id long, t long, label int, amount double, product string, sparse double"
-    train = spark.createDataFrame([(1, 10, 0, 1.0, "A", None), (2, 20, 1, 2.0, "B", None), (3, 30, 0, 3.0, "A", None)], schema)
-    later = spark.createDataFrame([(4, 40, 0, 4.0, "C", 1.0), (5, 50, 1, 5.0, None, None)], schema)
+@pytest.mark.parametrize("gap", ["none", "late column", "early column"])
+def test_contract_takes_shared_dense_columns(spark, gap):
+    """Generated columns: every kind at every null share; those above the rule in training drop out."""
+    shares = {f"{kind}{i}": i / 4 for kind in ("number", "word") for i in range(5)}
+
+    def made(first, n):
+        rows = spark.range(first, first + n).select(F.col("id").alias("txn_id"), F.col("id").alias("t"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+        for name, share in shares.items():
+            value = F.col("txn_id").cast("double") if name.startswith("number") else F.concat(F.lit("w"), F.col("txn_id") % 7)
+            rows = rows.withColumn(name, F.when((F.col("txn_id") - first) >= share * n, value))
+        return rows
+
+    train, later = made(0, 40), made(40, 12)
     rules = contract.ContractRules(("txn_id", "t", "label"))
-    agreed = contract.feature_contract(train, later, rules)
-    assert agreed.features == ("amount", "product") and agreed.numeric == ("amount",)
-    assert agreed.apply(later).columns == ["amount", "product"]
-    with pytest.raises(ValueError, match="missing"):
-        agreed.apply(later.drop("product"))
-    with pytest.raises(ValueError, match="strictly after"):
-        contract.feature_contract(train, later.withColumn("t", F.lit(30)), rules)
-    with pytest.raises(ValueError, match="lacks"):
-        contract.feature_contract(train, later.drop("sparse"), rules)
-    with pytest.raises(ValueError, match="duplicate"):
-        contract.feature_contract(train.withColumn("txn_id", F.lit(1)), later, rules)
+    if gap == "late column":
+        with pytest.raises(ValueError, match="lacks"):
+            contract.feature_contract(train, later.drop("word1"), rules)
+    elif gap == "early column":
+        with pytest.raises(ValueError, match="strictly after"):
+            contract.feature_contract(train, later.withColumn("t", F.col("t") - 1), rules)
+    else:
+        agreed = contract.feature_contract(train, later, rules)
+        dense = sorted(n for n, share in shares.items() if share < 1)
+        assert sorted(agreed.features) == dense
+        assert sorted(agreed.numeric) == [n for n in dense if n.startswith("number")]
+        assert sorted(agreed.apply(later).columns) == dense
+        with pytest.raises(ValueError, match="missing"):
+            agreed.apply(later.drop("number2"))
+
+
+def test_temporal_missingness_keeps_every_sparse_column(spark):
+    rows = spark.range(200).select(F.col("id").alias("t"), *(F.when(F.col("id") % (i + 2) != 0, 1).alias(f"c{i}") for i in range(15)), *(F.when(F.col("id") > 20 + i, 1).alias(f"late{i}") for i in range(10)))
+    columns = [c for c in rows.columns if c != "t"]
+    got = quality.temporal_missingness(rows, "t", columns)
+    assert got.select("column").distinct().count() == 25
+    assert {r["trend"] for r in got.where("column like 'late%'").collect()} == {"decreasing"}
+    assert quality.temporal_missingness(rows, "t", columns, most=3).select("column").distinct().count() == 3
+    none = quality.temporal_missingness(rows.select("t", F.lit(1).alias("full")), "t", ["full"])
+    assert none.columns == got.columns and none.count() == 0
+
+
+def test_a_failed_write_keeps_the_old_table(spark, tmp_path):
+    path = f"{tmp_path}/replaced"
+    sinks.write_replacing(spark.range(10), path)
+    broken = spark.range(50).select(F.when(F.col("id") < 49, F.col("id")).otherwise(F.raise_error(F.lit("broken row"))).alias("id"))
+    with pytest.raises(Exception, match="broken row"):
+        sinks.write_replacing(broken, path)
+    assert spark.read.parquet(path).count() == 10
+    sinks.write_replacing(spark.read.parquet(path).where("id < 4"), path)  # its own source
+    assert spark.read.parquet(path).count() == 4
+    with pytest.raises(ValueError, match="at most"):
+        sinks.write_json_report(spark.range(sinks.REPORT_ROWS + 1), f"{tmp_path}/report")
+
+
+def test_a_load_is_published_whole_or_not_at_all(spark, tmp_path):
+    path = f"{tmp_path}/loaded"
+    rows = spark.range(30).select(F.col("id").alias("txn_id"), F.lit("x").alias("v"))
+    first = keyed_load.append_missing(rows.where("txn_id < 20"), path, "txn_id", 20)
+    assert (first.offered, first.inserted, first.skipped) == (20, 20, 0)
+    broken = rows.withColumn("v", F.when(F.col("txn_id") == 29, F.raise_error(F.lit("broken row"))).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="broken row"):
+        keyed_load.append_missing(broken, path, "txn_id")
+    assert spark.read.parquet(path).count() == 20
+    assert sinks.claim(spark, f"{path}.lock")
+    with pytest.raises(RuntimeError, match="under way"):
+        keyed_load.append_missing(rows, path, "txn_id")
+    sinks.release(spark, f"{path}.lock")
+    second = keyed_load.append_missing(rows, path, "txn_id")
+    assert (second.inserted, second.skipped) == (10, 20)
+    assert keyed_load.append_missing(rows, path, "txn_id").inserted == 0
+    assert spark.read.parquet(path).select("txn_id").distinct().count() == spark.read.parquet(path).count() == 30
+    (tmp_path / "unreadable").mkdir()
+    (tmp_path / "unreadable" / "part-0.parquet").write_bytes(b"not a table")
+    with pytest.raises(Exception):
+        keyed_load.append_missing(rows, f"{tmp_path}/unreadable", "txn_id")
+    assert (tmp_path / "unreadable" / "part-0.parquet").read_bytes() == b"not a table"
 
 
 def test_fold_rules_differ(spark):
@@ -114,8 +174,6 @@ def test_sinks_and_loads(spark, tmp_path):
     sinks.write_new(df, f"{tmp_path}/a")
     with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
         sinks.write_new(df, f"{tmp_path}/a")
-    with pytest.raises(ValueError, match="versioned"):
-        sinks.write_replacing(spark.read.parquet(f"{tmp_path}/a"), f"{tmp_path}/a")
     first = keyed_load.append_missing(df.where("t < 3"), f"{tmp_path}/load", "txn_id")
     again = keyed_load.append_missing(df, f"{tmp_path}/load", "txn_id", expected_rows=3)
     assert (first.inserted, again.inserted, again.skipped) == (2, 1, 2)
