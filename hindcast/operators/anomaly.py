@@ -22,8 +22,9 @@ from hindcast.operators.splits import proportional_folds
 from hindcast.session import cut_lineage
 
 NODES = "forest int, tree int, node int, feature int, threshold double, left int, right int, size int, depth int"
-THIN_ROWS = 5_000_000
 BUCKETS = 10**9
+#: Finer, for shares of 1e12 rows; places up to here are exact in a double.
+FINE_BUCKETS = 2**52
 
 
 @dataclass(frozen=True)
@@ -106,20 +107,10 @@ def fit_forests(
     values = {(f, x): F.when(c, finite(F.col(x).cast("double"))) for f, c in members.items() for x in features}
     found = quantiles(rows, values, [0.5])
     medians = {f: {x: found[f, x][0] for x in features} for f in members}
-    if max(counts.values()) < THIN_ROWS:
-        # A small table may sit in one file split; Python work should still use every core.
-        rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key)
-
-    # Draw a little more than the sample per tree; each tree keeps its smallest hashes.
+    # Draw a little more than the sample per tree, from all rows; each tree keeps its smallest hashes.
     wanted = settings.sample + 6 * math.sqrt(settings.sample) + 10
-    largest = max(counts.values())
-    thin = min(1.0, max(THIN_ROWS / largest, 8 * wanted / min(counts.values())))
-    pool = rows if thin == 1.0 else rows.where(F.pmod(F.xxhash64(key, F.lit(settings.seed)), F.lit(BUCKETS)) < int(thin * BUCKETS))
-    picks = [
-        _picks(key, f, condition, min(1.0, wanted / (counts[str(f)] * thin)), settings)
-        for f, condition in members.items()
-    ]
-    drawn = pool.select(
+    picks = [_picks(key, f, condition, min(1.0, wanted / counts[str(f)]), settings) for f, condition in members.items()]
+    drawn = rows.select(
         "*", F.explode(F.concat(*picks)).alias("_pick")
     ).select(
         "_pick.forest", "_pick.tree", "_pick.draw",
@@ -145,16 +136,29 @@ def fit_forests(
 
 
 def _picks(key: str, forest: int, condition: Column, share: float, settings: ForestSettings) -> Column:
-    """The trees of one forest that draw this row, each with the hash that decided it."""
+    """The trees of one forest that draw this row, each with the hash that decided it.
+
+    Every tree draws its share of all rows. While the trees together draw less than every row, one hash per row is enough:
+    the unit interval holds a stretch of that share for each tree, and the rest belongs to none. A row then serves one tree
+    of a forest at most. With larger shares the table is small, and each tree has a hash of its own.
+    """
+    nothing = F.array().cast("array<struct<forest:int,tree:int,draw:bigint>>")
+
+    def pick(tree: Column, draw: Column) -> Column:
+        return F.struct(F.lit(forest).alias("forest"), tree.cast("int").alias("tree"), draw.alias("draw"))
+
+    if share * settings.trees < 1.0:
+        stretch = max(1, int(share * FINE_BUCKETS))
+        place = F.pmod(F.xxhash64(F.col(key), F.lit(forest), F.lit(settings.seed)), F.lit(FINE_BUCKETS))
+        one = F.array(pick(F.floor(place / stretch), F.pmod(place, F.lit(stretch))))
+        return F.when(condition & (place < settings.trees * stretch), one).otherwise(nothing)
 
     def draw(tree: Column) -> Column:
         return F.pmod(F.xxhash64(F.col(key), F.lit(forest), tree, F.lit(settings.seed)), F.lit(BUCKETS))
 
     trees = F.sequence(F.lit(0), F.lit(settings.trees - 1))
     chosen = F.filter(trees, lambda t: draw(t) < int(share * BUCKETS))
-    as_picks = F.transform(chosen, lambda t: F.struct(F.lit(forest).alias("forest"), t.alias("tree"), draw(t).alias("draw")))
-    nothing = F.array().cast("array<struct<forest:int,tree:int,draw:bigint>>")
-    return F.when(condition, as_picks).otherwise(nothing)
+    return F.when(condition, F.transform(chosen, lambda t: pick(t, draw(t)))).otherwise(nothing)
 
 
 def _offsets(forests: Forests, rows: DataFrame, key: str, members: dict[int, Column]) -> dict[int, float]:

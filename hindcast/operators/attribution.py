@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,13 +32,13 @@ def global_importance(attributions: DataFrame) -> DataFrame:
     return made.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean_absolute_value"), "feature")))
 
 
-def local_explanation(attributions: DataFrame, top: int) -> DataFrame:
-    """The strongest positive and negative contributors of every case."""
+def local_explanation(attributions: DataFrame, top: int, by: tuple[str, ...] = ("case",)) -> DataFrame:
+    """The strongest positive and negative contributors of every case (and background sample, if ``by`` names it)."""
     if top < 1:
         raise ValueError("top must be at least 1")
     sign = F.when(F.col("value") > 0, "positive").when(F.col("value") < 0, "negative")
     signed = attributions.withColumn("direction", sign).where(F.col("direction").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("case", "direction").orderBy(F.desc(F.abs("value")), "feature"))
+    rank = F.row_number().over(Window.partitionBy(*by, "direction").orderBy(F.desc(F.abs("value")), "feature"))
     return signed.withColumn("rank", rank).where(F.col("rank") <= top)
 
 
@@ -119,5 +121,18 @@ def representative_cases(rows: DataFrame, roles: Roles = Roles()) -> DataFrame:
 
 
 def hash_sample(rows: DataFrame, n: int, key: str, seed: int) -> DataFrame:
-    """n rows in hash order: the same rows whatever the partitioning."""
-    return rows.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
+    """n rows in hash order: the same rows whatever the partitioning.
+
+    The hashes are evenly spread, so the n smallest lie below a bound a little above n / rows; only rows below it are
+    sorted. Should they be too few after all, the bound is doubled.
+    """
+    hashed = rows.withColumn("_hash", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))))
+    total = rows.count()
+    wanted = n + 6 * math.sqrt(n) + 10
+    while True:
+        share = min(1.0, wanted / max(total, 1))
+        bound = F.lit(f"{int(share * (16**8 - 1)):08x}g")  # above every hash that begins with these digits
+        near = hashed.where(F.col("_hash") < bound)
+        if share == 1.0 or near.count() >= n:
+            return near.orderBy("_hash", key).limit(n).drop("_hash")
+        wanted *= 2

@@ -18,6 +18,7 @@ from hindcast.operators.ordered import attach, order_edges, with_chunk
 from hindcast.session import cut_lineage
 
 LEAF_ELEMENTS = 500_000
+LEAST_LEAF = 2_000
 MAX_LEAVES = 65_536
 
 
@@ -69,15 +70,16 @@ def _star(edges: DataFrame, scope: str, size: int, moves: Column) -> DataFrame:
 
 
 def component_sizes(
-    edges: DataFrame, probes: DataFrame, leaf_elements: int = LEAF_ELEMENTS, at_most: int | None = None
+    edges: DataFrame, probes: DataFrame, leaf_elements: int = LEAF_ELEMENTS
 ) -> DataFrame:
     """For each distinct probe (node, t): nodes in its component over edges (u, v, t) earlier than t.
 
     A node without an earlier edge has size 0. Edges must be distinct pairs with their first time.
-    ``at_most`` bounds edges and probes together, if the caller knows; a small bound saves a count.
+    ``leaf_elements`` bounds the edges and probes of a leaf; smaller tables get a leaf per core, too.
     """
     times = edges.select("t").unionByName(probes.select("t"))
-    total = at_most if at_most is not None and at_most <= leaf_elements else times.count()
+    total = times.count()
+    leaf_elements = min(leaf_elements, max(total // edges.sparkSession.sparkContext.defaultParallelism, LEAST_LEAF))
     cuts: tuple[float, ...] = ()
     crowded: list[int] = []
     if total > leaf_elements:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hindcast.functions.scalars import ratio_or_zero
 from hindcast.operators.ordered import attach
 from hindcast.operators.quality import require_unique
+from hindcast.session import shared_path
 
 
 def one_to_one_left(left: DataFrame, right: DataFrame, key: str, suffix: str = "_identity") -> DataFrame:
@@ -44,10 +45,16 @@ def lookup(rows: DataFrame, mapping: DataFrame, on: str, value: str, default, ke
 
 
 def append_features(rows: DataFrame, features: DataFrame, key: str) -> DataFrame:
-    """Join precomputed feature columns on the key; names must not clash and rows must pair up."""
+    """Join precomputed feature columns on the key; names must not clash and rows must pair up.
+
+    The features are written once to the shared folder, and all checks read that table.
+    """
     clash = sorted((set(rows.columns) & set(features.columns)) - {key})
     if clash:
         raise ValueError(f"feature columns already exist: {clash}")
+    path = shared_path(features.sparkSession, "features")
+    features.write.parquet(path)
+    features = features.sparkSession.read.parquet(path)
     require_unique(features, key, "the feature table")
     counts = [df.count() for df in (rows, features, rows.select(key).join(features.select(key), key, "semi"))]
     if len(set(counts)) != 1:

@@ -49,7 +49,10 @@ class Scaling:
 
 @dataclass
 class Preprocessor:
-    """Median imputation with indicators and scaling; most-frequent imputation with one-hot columns."""
+    """Median imputation with indicators and scaling; most-frequent imputation with one-hot columns.
+
+    A numeric column without a single value in training gives no feature.
+    """
 
     numeric: list[str]
     categorical: list[str]
@@ -94,6 +97,8 @@ class Preprocessor:
         facts = train.agg(*wide).first()
         for c in self.numeric:
             f = facts[c]
+            if medians[c] is None:
+                continue  # nothing was seen of it: the column is dropped, as it is from every later table
             self.scaling[c] = Scaling(medians[c], f["m"], f["s"] or 1.0, f["im"] > 0, f["im"], f["is"] or 1.0)
 
     def _texts(self, rows: DataFrame) -> DataFrame:

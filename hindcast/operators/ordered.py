@@ -60,12 +60,12 @@ def profile(
     The sketches bound the largest group from above and list the (group, order) points that hold
     many rows. Both are bounded in size whatever the table.
     """
-    aggregates = [F.count(F.lit(1)).alias("rows"), F.max(order).alias("last")]
+    sketches = {}
     for i, group in enumerate(groups):
         if group:
-            aggregates.append(_frequent(group, 1).alias(f"group_{i}"))
-        aggregates.append(_frequent((*group, order), MAX_HOT_POINTS).alias(f"points_{i}"))
-    facts = rows.agg(*aggregates).first()
+            sketches[f"group_{i}"] = (group, 1)
+        sketches[f"points_{i}"] = ((*group, order), MAX_HOT_POINTS)
+    facts = _frequent(rows, sketches, F.max(order))
     n = facts["rows"]
     largest, hot = {}, {}
     for i, group in enumerate(groups):
@@ -82,18 +82,41 @@ def profile(
     return replace(layout, edges=order_edges(rows, order, min(max_chunks, math.ceil(n / target))))
 
 
+#: Sketches of tasks meet in so many groups before the last task merges them.
+MERGE_GROUPS = 1024
+
+
+def _by_task(rows: DataFrame) -> DataFrame:
+    """Rows with the group in which the sketches of their task are merged first."""
+    return rows.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)))
+
+
 def order_edges(rows: DataFrame, order: str, chunks: int) -> tuple[float, ...]:
-    """Approximate quantiles that cut the order axis into chunks of similar size."""
+    """Approximate quantiles that cut the order axis into chunks of similar size.
+
+    Sketches merge in two levels, so the last task meets a bounded number however many tasks there are.
+    """
     if chunks < 2:
         return ()
+    items = min(65_535, max(200, 8 * chunks))
+    values = _by_task(rows.select(F.col(order).cast("double").alias("v")))
+    sketches = values.groupBy("_group").agg(F.expr(f"kll_sketch_agg_double(v, {items})").alias("s"), F.count("v").alias("n")).where("n > 0")
+    # Grouped by nothing but a constant: an empty table then has no row, and no sketch of nothing to read.
+    whole = sketches.groupBy(F.lit(0).alias("all")).agg(F.expr(f"kll_merge_agg_double(s, {items})").alias("s"))
     shares = ", ".join(f"{i / chunks!r}D" for i in range(1, chunks))
-    quantile = f"percentile_approx(CAST(`{order}` AS DOUBLE), array({shares}), {max(10 * chunks, 1000)})"
-    return tuple(sorted(set(rows.agg(F.expr(quantile)).first()[0] or ())))
+    found = whole.select(F.expr(f"kll_sketch_get_quantile_double(s, array({shares}))").alias("q")).first()
+    return tuple(sorted(set(found["q"]))) if found else ()
 
 
-def _frequent(columns: tuple[str, ...], k: int) -> Column:
-    names = ", ".join(f"`{c}`" for c in columns)
-    return F.expr(f"approx_top_k(xxhash64({names}), {k}, {SKETCH_ITEMS})")
+def _frequent(rows: DataFrame, sketches: dict[str, tuple[tuple[str, ...], int]], last: Column) -> dict:
+    """One job: the row count, ``last``, and for each name the k most frequent values (hashed) of its columns."""
+    state = {name: f"approx_top_k_accumulate(xxhash64({', '.join(f'`{c}`' for c in columns)}), {SKETCH_ITEMS})" for name, (columns, _) in sketches.items()}
+    first = _by_task(rows).groupBy("_group").agg(F.count(F.lit(1)).alias("rows"), last.alias("last"), *(F.expr(e).alias(n) for n, e in state.items()))
+    merged = (F.expr(f"approx_top_k_estimate(approx_top_k_combine(`{n}`, {SKETCH_ITEMS}), {k})").alias(n) for n, (_, k) in sketches.items())
+    facts = first.groupBy(F.lit(0).alias("all")).agg(F.sum("rows").alias("rows"), F.max("last").alias("last"), *merged).first()
+    if facts is None:
+        return {"rows": 0, "last": None} | {n: [] for n in sketches}
+    return facts.asDict() | {n: facts[n] or [] for n in sketches}
 
 
 def with_chunk(rows: DataFrame, order: str, edges: tuple[float, ...], name: str = _CHUNK) -> DataFrame:
@@ -242,13 +265,11 @@ class HotKeys:
 
 def hot_keys(rows: DataFrame, keys: list[tuple[str, ...]], limit: int = ROWS_PER_CHUNK // 4) -> list[HotKeys]:
     """The crowded values of several keys from one sketch job; at most ``MAX_HOT_POINTS`` of each."""
-    facts = rows.agg(
-        F.count(F.lit(1)), *(_frequent(k, MAX_HOT_POINTS).alias(str(i)) for i, k in enumerate(keys))
-    ).first()
-    bar = max(limit, facts[0] // MAX_HOT_POINTS)
+    facts = _frequent(rows, {str(i): (k, MAX_HOT_POINTS) for i, k in enumerate(keys)}, F.lit(0))
+    bar = max(limit, facts["rows"] // MAX_HOT_POINTS)
     found = []
     for i in range(len(keys)):
-        hot = [p for p in facts[i + 1] if p["count"] > bar]
+        hot = [p for p in facts[str(i)] if p["count"] > bar]
         most = max((p["count"] for p in hot), default=0)
         found.append(HotKeys(tuple(p["item"] for p in hot), min(MAX_COPIES, -(-most // limit) or 1)))
     return found

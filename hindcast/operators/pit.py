@@ -1,23 +1,25 @@
 """Historical features of a transaction that use only strictly earlier transactions.
 
-Rows sharing a timestamp see the same history. Amounts are counted in integer units of
-``10 ** -decimals`` so that every sum is exact and a zero variance is exactly zero.
+Rows sharing a timestamp see the same history. Amounts are counted in integer units of the smallest
+decimal place they use, so that every sum is exact and a zero variance is exactly zero; amounts that
+are not finite are skipped like NULL.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hindcast.functions.scalars import all_of
+from hindcast.functions.scalars import all_of, finite
 from hindcast.operators.ordered import Layout, before, profile
 from hindcast.roles import EntityFeatures, Roles
 
 DIRECT_FRAME_ROWS = 500
-SQUARE = "decimal(38,0)"
+TOTAL = "decimal(38,0)"
 
 
 def entity_features(
@@ -25,7 +27,7 @@ def entity_features(
     spec: EntityFeatures,
     roles: Roles = Roles(),
     layout: Layout | None = None,
-    decimals: int = 4,
+    decimals: int | None = None,
 ) -> DataFrame:
     """Append velocity, amount, recency and history columns of one entity.
 
@@ -40,8 +42,10 @@ def entity_features(
     if group != spec.columns:
         work = before(rows.withColumn("_one", F.lit(1).cast("long")), group, roles.time, {"_seen": "_one"}, layout)
         return work.select(*columns, *_finish(spec, roles, decimals))
-    units = F.round(F.col(roles.amount) * F.lit(10**decimals)).cast("long")
-    work = rows.withColumn("_units", units).withColumn("_square", _square(F.col("_units")))
+    if spec.amounts and decimals is None:
+        decimals = decimal_places(rows, roles.amount)
+    units = amount_units(F.col(roles.amount), decimals or 0)
+    work = rows.withColumn("_units", units).withColumn("_square", (F.col("_units") * F.col("_units")).cast(TOTAL))
     small = group and layout.largest.get(group, layout.rows) <= DIRECT_FRAME_ROWS
     work = _framed(work, spec, roles) if small else _swept(work, spec, roles, layout)
     return work.select(*columns, *_finish(spec, roles, decimals))
@@ -74,9 +78,25 @@ def spread_unknown(rows: DataFrame, columns: tuple[str, ...], key: str) -> DataF
     return rows.withColumn(spread_name(columns), F.when(known, F.lit(0)).otherwise(F.pmod(F.xxhash64(key), F.lit(4096)).cast("int")))
 
 
-def _square(units: Column) -> Column:
-    wide = units.cast("decimal(19,0)")
-    return (wide * wide).cast(SQUARE)
+def decimal_places(rows: DataFrame, amount: str) -> int:
+    """The decimal places in which the amounts are exact, up to 12, as far as 38 digits hold the sum of their squares.
+
+    Doubles beyond 15 significant digits have none of their own; they are rounded at the last place.
+    """
+    value = F.abs(finite(F.col(amount).cast("double")))
+    text = F.rtrim(F.format_number(value, 12), F.lit("0"))
+    facts = rows.agg(F.count(value).alias("n"), F.max(value).alias("largest"), F.max(F.length(F.substring_index(text, ".", -1))).alias("used")).first()
+    if not facts["n"]:
+        return 0
+    # largest^2 * n * 10^(2 * places) must stay below 10^37; a negative answer counts in tens, hundreds, ...
+    room = math.floor((37 - math.log10(facts["n"]) - 2 * math.log10(max(facts["largest"], 1e-12))) / 2)
+    return min(facts["used"], 12, room)
+
+
+def amount_units(amount: Column, decimals: int) -> Column:
+    """How many units of 10^-decimals an amount is; NULL when it is not finite."""
+    scaled = finite(amount.cast("double")) * F.lit(10.0**decimals)
+    return F.round(scaled).cast("decimal(19,0)")
 
 
 def _framed(work: DataFrame, spec: EntityFeatures, roles: Roles) -> DataFrame:
@@ -89,8 +109,8 @@ def _framed(work: DataFrame, spec: EntityFeatures, roles: Roles) -> DataFrame:
         frame = ordered.rangeBetween(-length, -1)
         made += [
             F.count("_units").over(frame).alias(f"_an_{label}"),
-            F.coalesce(F.sum("_units").over(frame), F.lit(0)).alias(f"_as_{label}"),
-            F.coalesce(F.sum("_square").over(frame), F.lit(0)).cast(SQUARE).alias(f"_aq_{label}"),
+            F.coalesce(F.sum("_units").over(frame), F.lit(0)).cast(TOTAL).alias(f"_as_{label}"),
+            F.coalesce(F.sum("_square").over(frame), F.lit(0)).cast(TOTAL).alias(f"_aq_{label}"),
         ]
     if spec.recency:
         made.append(F.max(roles.time).over(past).alias("_last"))
@@ -118,7 +138,7 @@ def _swept(work: DataFrame, spec: EntityFeatures, roles: Roles, layout: Layout)
     if with_amount:
         contributions |= {
             "_c_an": F.when(arrival & F.col("_units").isNotNull(), one),
-            "_c_as": F.when(arrival, F.col("_units")),
+            "_c_as": F.when(arrival, F.col("_units").cast(TOTAL)),
             "_c_aq": F.when(arrival, F.col("_square")),
         }
     for w in windows:
@@ -127,7 +147,7 @@ def _swept(work: DataFrame, spec: EntityFeatures, roles: Roles, layout: Layout)
         if w in with_amount:
             contributions |= {
                 f"_x_an_{w}": F.when(leaving & F.col("_units").isNotNull(), one),
-                f"_x_as_{w}": F.when(leaving, F.col("_units")),
+                f"_x_as_{w}": F.when(leaving, F.col("_units").cast(TOTAL)),
                 f"_x_aq_{w}": F.when(leaving, F.col("_square")),
             }
     events = events.select(
@@ -158,26 +178,36 @@ def _swept(work: DataFrame, spec: EntityFeatures, roles: Roles, layout: Layout)
     for label, w in spec.amounts.items():
         made += [
             (F.col("_before_c_an") - F.col(f"_before_x_an_{w}")).alias(f"_an_{label}"),
-            (F.col("_before_c_as") - F.col(f"_before_x_as_{w}")).alias(f"_as_{label}"),
-            (F.col("_before_c_aq") - F.col(f"_before_x_aq_{w}")).cast(SQUARE).alias(f"_aq_{label}"),
+            (F.col("_before_c_as") - F.col(f"_before_x_as_{w}")).cast(TOTAL).alias(f"_as_{label}"),
+            (F.col("_before_c_aq") - F.col(f"_before_x_aq_{w}")).cast(TOTAL).alias(f"_aq_{label}"),
         ]
     if spec.history:
         made.append(F.col("_before_c_n").alias("_seen"))
     return done.select("*", *made)
 
 
-def _finish(spec: EntityFeatures, roles: Roles, decimals: int) -> list[Column]:
+def _deviation(n: Column, total: Column, squares: Column) -> Column:
+    """sqrt(n * squares - total^2) / n in units: exact where 38 digits hold the products, in doubles beyond."""
+    exact = F.try_subtract(F.try_multiply(n.cast("decimal(12,0)"), squares), F.try_multiply(total, total)).cast("double")
+    wide = total.cast("double")
+    rough = F.greatest(n.cast("double") * squares.cast("double") - wide * wide, F.lit(0.0))
+    # A constant window has no deviation, whatever a product of doubles says.
+    constant = (F.pmod(total, n.cast("decimal(12,0)")) == 0) & (squares.cast("double") == wide / n * wide)
+    return F.sqrt(F.coalesce(exact, F.when(constant, 0.0).otherwise(rough))) / n
+
+
+def _finish(spec: EntityFeatures, roles: Roles, decimals: int | None) -> list[Column]:
     out = [F.col(f"_n_{label}").alias(f"velocity_{spec.name}_{label}") for label in spec.velocity]
-    scale = F.lit(float(10**decimals))
+    scale = F.lit(10.0 ** (decimals or 0))
     for label in spec.amounts:
         n, s, q = F.col(f"_an_{label}"), F.col(f"_as_{label}"), F.col(f"_aq_{label}")
-        wide_s = s.cast("decimal(19,0)")
-        spread = (n.cast("decimal(12,0)") * q - wide_s * wide_s).cast("double")
-        mean = F.when(n > 0, s / n / scale)
-        std = F.when(n > 1, F.sqrt(spread) / n / scale)
-        zscore = F.when(std > 0, (F.col(roles.amount) - mean) / std)
+        mean = F.when(n > 0, s.cast("double") / n / scale)
+        std = F.when(n > 1, _deviation(n, s, q) / scale)
+        zscore = F.when(std > 0, (finite(F.col(roles.amount).cast("double")) - mean) / std)
         prefix = f"amount_{spec.name}_{label}"
         out += [mean.alias(f"{prefix}_mean"), std.alias(f"{prefix}_std"), zscore.alias(f"{prefix}_zscore")]
+        if spec.sums:
+            out.append((s.cast("double") / scale).alias(f"{prefix}_sum"))
     if spec.recency:
         out.append((F.col(roles.time) - F.col("_last")).alias(f"recency_{spec.name}"))
     if spec.history:
@@ -206,21 +236,25 @@ def behavioural_features(
         work = _grouped(work, spec, roles)
     # Profiled once on the plain rows, before any window is stacked on them.
     layout = layout or profile(work, roles.time, tuple(dict.fromkeys(spec_group(s) for s in specs)))
+    decimals = decimal_places(rows, roles.amount) if any(s.amounts for s in specs) else None
     for spec in sorted(specs, key=lambda s: s.columns):
-        work = entity_features(work, spec, roles, layout)
+        work = entity_features(work, spec, roles, layout, decimals)
     return work.select(roles.key, *(o for s in specs for o in s.outputs()))
 
 
 def with_history_of(
-    earlier: list[DataFrame], current: DataFrame, compute, tag: str = "split"
+    earlier: list[DataFrame], current: DataFrame, compute, tag: str = "split", key: str = Roles().key
 ) -> DataFrame:
     """Compute over earlier splits and the current one, then keep the current rows only.
 
-    The tag travels through ``compute``, so it must keep columns it does not know.
+    Operators that append columns pass the tag through. A bundle returns its key and features only; its rows are then
+    those whose key is in the current split.
     """
     tagged = [df.withColumn(tag, F.lit(i)) for i, df in enumerate([*earlier, current])]
-    together = reduce(lambda a, b: a.unionByName(b), tagged)
-    return compute(together).where(F.col(tag) == len(earlier)).drop(tag)
+    made = compute(reduce(lambda a, b: a.unionByName(b), tagged))
+    if tag in made.columns:
+        return made.where(F.col(tag) == len(earlier)).drop(tag)
+    return made.join(current.select(key), key, "left_semi")
 
 
 def feature_guards(features: DataFrame, source: DataFrame, key: str, expected: list[str]) -> DataFrame:

@@ -13,12 +13,13 @@ from hindcast.functions.scalars import ratio_or_zero
 from hindcast.operators.ordered import rows_at, sorts_before
 from hindcast.roles import Roles
 
-# Fixed values.
+# Fixed values. So are the field names of the cost table and the columns of the policy results below, which are the
+# published vocabulary of these reports.
 BLOCK_THRESHOLD = 0.95
 ACTIONS = ("approve", "review", "block")
 
-SLICES = 256
-TAKE_LIMIT = 100_000
+#: Rows of a period that are ranked together, and how many such selections meet in the next round.
+SLICE_ROWS, FAN_IN = 1_000_000, 64
 
 
 def probability_facts(rows: DataFrame, score: str) -> DataFrame:
@@ -120,12 +121,10 @@ def cost_violations(rows: DataFrame, columns: list[str]) -> DataFrame:
 def select_for_review(rows: DataFrame, policy: ReviewPolicy, roles: Roles = Roles()) -> DataFrame:
     """The highest eligible scores up to the capacity, ties by key.
 
-    A capacity of ordinary size is Spark's top-k. A very large one compares each row with the exact
-    last selected (score, key), so nothing is gathered.
+    Each row is compared with the exact first (score, key) beyond the capacity, whatever its size: nothing is sorted and
+    no task meets the best rows of all the others.
     """
     eligible = rows.where(policy.eligible(roles.score))
-    if policy.capacity <= TAKE_LIMIT:
-        return eligible.orderBy(F.desc(roles.score), F.asc(roles.key)).limit(policy.capacity)
     (within,) = _within(eligible, [policy.capacity], roles)
     return eligible.where(within)
 
@@ -142,16 +141,21 @@ def _within(eligible: DataFrame, capacities: list[int], roles: Roles) -> list[Co
 def select_per_period(rows: DataFrame, policy: ReviewPolicy, period: str, roles: Roles = Roles()) -> DataFrame:
     """The same selection within each period.
 
-    A period may hold most rows, so slices of it are ranked first; only the best of each slice meet.
+    Spark limits a rank before its shuffle: each task passes on at most ``capacity`` rows of a period. Where a period holds
+    so many rows that even these are many, slices of it are ranked first, and the selections of FAN_IN slices at a time.
     """
     best_first = (F.desc(roles.score), F.asc(roles.key))
-    sliced = rows.where(policy.eligible(roles.score)).withColumn(
-        "_slice", F.pmod(F.xxhash64(roles.key), F.lit(SLICES))
-    )
-    in_slice = F.row_number().over(Window.partitionBy(period, "_slice").orderBy(*best_first))
-    best = sliced.withColumn("_place", in_slice).where(F.col("_place") <= policy.capacity).drop("_slice", "_place")
+    left = rows.where(policy.eligible(roles.score))
+    counted = left.groupBy(period).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    # Slices of some SLICE_ROWS rows, then FAN_IN of their selections at a time.
+    slices = max(1, -(-counted // SLICE_ROWS))
+    while slices > 1:
+        piece = F.pmod(F.xxhash64(roles.key), F.lit(slices))
+        place = F.row_number().over(Window.partitionBy(period, "_slice").orderBy(*best_first))
+        left = left.withColumn("_slice", piece).withColumn("_place", place).where(F.col("_place") <= policy.capacity).drop("_slice", "_place")
+        slices = slices // FAN_IN if slices >= FAN_IN * FAN_IN else 1
     rank = F.row_number().over(Window.partitionBy(period).orderBy(*best_first))
-    return best.withColumn("review_rank", rank).where(F.col("review_rank") <= policy.capacity)
+    return left.withColumn("review_rank", rank).where(F.col("review_rank") <= policy.capacity)
 
 
 def review_boundary(rows: DataFrame, policy: ReviewPolicy, roles: Roles = Roles()) -> Column:
@@ -202,15 +206,8 @@ def capacity_results(
     y = F.col(roles.label).cast("long")
     total = rows.agg(F.coalesce(F.sum(y), F.lit(0))).scalar()
     narrow = rows.select(roles.key, roles.score, roles.label)
-    if widest.capacity <= TAKE_LIMIT:
-        best = select_for_review(narrow, widest, roles)
-        # The window has no partition, but its input is bounded by the largest capacity.
-        place = F.row_number().over(Window.orderBy(F.desc(roles.score), F.asc(roles.key)))
-        source = best.withColumn("rank", place)
-        tests = [F.col("rank") <= c for c in capacities]
-    else:
-        source = narrow.where(widest.eligible(roles.score))
-        tests = _within(source, capacities, roles)
+    source = narrow.where(widest.eligible(roles.score))
+    tests = _within(source, capacities, roles)
     wide = source.agg(
         *(
             F.struct(

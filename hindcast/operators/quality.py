@@ -201,11 +201,17 @@ def differential_missingness(
 
 
 def temporal_missingness(
-    rows: DataFrame, time: str, columns: list[str], bins: int = 10, min_rate: float = 0.05, most: int = 20
+    rows: DataFrame, time: str, columns: list[str], bins: int = 10, min_rate: float = 0.05, most: int | None = None
 ) -> DataFrame:
-    """Null rate per time bin for the first sparse columns, with the first-to-last trend."""
-    rates = rows.agg(*(_null_rate(F.col(c)).alias(c) for c in columns)).first()
+    """Null rate per time bin for every sparse column, with the first-to-last trend.
+
+    ``most`` keeps only so many of them, in the order given; without sparse columns the table is empty.
+    """
+    rates = rows.agg(*(_null_rate(F.col(c)).alias(c) for c in columns)).first() if columns else {}
     sparse = [c for c in columns if rates[c] is not None and rates[c] > min_rate][:most]
+    if not sparse:
+        kinds = "column string, time_bin int, null_rate double, overall_null_rate double, trend string"
+        return rows.sparkSession.createDataFrame([], kinds)
     edges = quantile_edges(rows, time, bins)
     binned = rows.withColumn("time_bin", right_closed_bin(F.col(time), edges))
     per_bin = binned.groupBy("time_bin").agg(*(_null_rate(F.col(c)).alias(c) for c in sparse))

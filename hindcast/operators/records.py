@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hindcast.functions.scalars import ratio
+from hindcast.operators.ordered import order_edges, with_chunk
 from hindcast.operators.policy import CostMatrix, ReviewPolicy, action_costs, apply_policy, select_for_review
 from hindcast.operators.splits import quantile_edges, right_closed_bin
 from hindcast.roles import Roles
+from hindcast.session import cut_lineage
 
 # Lower bounds of the reporting bands.
 RISK_BANDS = (("low", 0.0), ("medium", 0.05), ("high", 0.20), ("critical", 0.50))
@@ -42,12 +44,23 @@ def predictions(
     )
 
 
+#: Reviewed rows that are ranked in one task.
+RANKED_ROWS = 500_000
+
+
 def investigation_queue(rows: DataFrame, policy: ReviewPolicy, roles: Roles = Roles()) -> DataFrame:
-    """One open case per reviewed row, with its priority rank."""
-    chosen = select_for_review(rows.select(roles.key, roles.score), policy, roles)
-    # Unpartitioned, but over no more rows than the review capacity.
-    priority = F.row_number().over(Window.orderBy(F.desc(roles.score), F.asc(roles.key)))
-    return chosen.select(roles.key, F.lit("open").alias("case_status"), priority.alias("priority"))
+    """One open case per reviewed row, with its priority rank.
+
+    Scores are cut into chunks; a row's rank is its place in its chunk after all better chunks.
+    """
+    chosen = cut_lineage(select_for_review(rows.select(roles.key, roles.score), policy, roles).withColumn("_down", -F.col(roles.score)))
+    cut = with_chunk(chosen, "_down", order_edges(chosen, "_down", -(-chosen.count() // RANKED_ROWS)))
+    counts = cut.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    # One row per chunk.
+    start = F.sum("_n").over(Window.orderBy("_chunk")) - F.col("_n")
+    place = F.row_number().over(Window.partitionBy("_chunk").orderBy("_down", F.asc(roles.key)))
+    placed = cut.withColumn("_place", place).join(counts.select("_chunk", start.alias("_start")), "_chunk")
+    return placed.select(roles.key, F.lit("open").alias("case_status"), (F.col("_start") + F.col("_place")).cast("int").alias("priority"))
 
 
 def entities(rows: DataFrame, kinds: list[str], roles: Roles = Roles()) -> DataFrame:

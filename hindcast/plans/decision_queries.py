@@ -9,6 +9,8 @@ from hindcast.plans.bindings import EVENTS, ORDERS, events, orders, rounded, tab
 from hindcast.plans.feature_queries import SPLIT_SQL
 from hindcast.plans.registry import query
 from hindcast.roles import Roles
+from hindcast.session import shared_path
+from hindcast.sources import state
 
 TOP = "row_number() OVER (ORDER BY score DESC, txn_id)"
 COSTS = policy.CostMatrix(500.0, 5.0, 10.0, 500.0)
@@ -582,11 +584,12 @@ def _(spark, folder):
           c * 500.0::DOUBLE AS total_prevention_value, c * 500.0::DOUBLE - s * 5.0::DOUBLE AS net_value FROM k""",
 )
 def _(spark, folder):
-    """Fit the mapping on the earlier half of validation, then price the holdout once."""
+    """Fit and lock the mapping on the earlier half of validation, then price the holdout once with the saved mapping."""
     tagged = splits.ratio_split(orders(spark, folder), snap=True)
     later = splits.fraction_split(tagged.where("split = 'validation'"), "t", 0.5)
-    fitted = calibration.Calibrator("sigmoid").fit(later.where("period = 'fit'"))
-    holdout = fitted.predict(tagged.where("split = 'test'"))
+    path = shared_path(spark, "locked-mapping")
+    state.save_calibrator(spark, calibration.Calibrator("sigmoid").fit(later.where("period = 'fit'")), path)
+    holdout = state.load_calibrator(spark, path).predict(tagged.where("split = 'test'"))
     return rounded(policy.evaluate_policy(holdout, policy.ReviewPolicy(200), COSTS, Roles(score="calibrated")))
 
 
@@ -635,13 +638,13 @@ def _(spark, folder):
 
 @query(
     "h3_local_explanations",
-    f"""WITH {ATTRIBUTIONS}, one AS (SELECT * FROM attr WHERE seed = 0 AND value <> 0), d AS (SELECT *, CASE WHEN value > 0 THEN 'positive' ELSE 'negative' END AS direction FROM one)
-        SELECT "case", direction, feature, round(value, 6) AS value, CAST(row_number() OVER (PARTITION BY "case", direction ORDER BY abs(value) DESC, feature) AS INTEGER) AS rank
+    f"""WITH {ATTRIBUTIONS}, one AS (SELECT * FROM attr WHERE value <> 0), d AS (SELECT *, CASE WHEN value > 0 THEN 'positive' ELSE 'negative' END AS direction FROM one)
+        SELECT "case", seed, direction, feature, round(value, 6) AS value, CAST(row_number() OVER (PARTITION BY "case", seed, direction ORDER BY abs(value) DESC, feature) AS INTEGER) AS rank
         FROM d QUALIFY rank <= 5""",
 )
 def _(spark, folder):
-    made = attribution.local_explanation(_attributions(spark, folder).where("seed = 0"), 5)
-    return rounded(made.select("case", "direction", "feature", "value", "rank"))
+    made = attribution.local_explanation(_attributions(spark, folder), 5, ("case", "seed"))
+    return rounded(made.select("case", "seed", "direction", "feature", "value", "rank"))
 
 
 BEST = """best AS (SELECT *, row_number() OVER (PARTITION BY "case", seed ORDER BY abs(value) DESC, feature) AS r FROM attr QUALIFY r <= 10)"""

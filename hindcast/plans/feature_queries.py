@@ -24,7 +24,8 @@ def _velocity_sql(name: str, partition: str, windows: dict[str, int]) -> list[st
     return [f"count(*) {_frame(partition, w)} AS velocity_{name}_{label}" for label, w in windows.items()]
 
 
-UNITS = "CAST(round(amount * 10000) AS HUGEINT)"
+# Millionths: finer than any amount of the test tables, and than the unit that the operator finds.
+UNITS = "CAST(round(amount * 1000000) AS HUGEINT)"
 
 
 def _amount_sql(name: str, partition: str, windows: dict[str, int]) -> tuple[list[str], list[str]]:
@@ -38,8 +39,8 @@ def _amount_sql(name: str, partition: str, windows: dict[str, int]) -> tuple[lis
             f"sum({UNITS}) {frame} AS s_{c}",
             f"sum({UNITS} * {UNITS}) {frame} AS q_{c}",
         ]
-        mean = f"CASE WHEN n_{c} > 0 THEN CAST(s_{c} AS DOUBLE) / n_{c} / 10000.0 END"
-        std = f"CASE WHEN n_{c} > 1 THEN sqrt(CAST(n_{c} * q_{c} - s_{c} * s_{c} AS DOUBLE)) / n_{c} / 10000.0 END"
+        mean = f"CASE WHEN n_{c} > 0 THEN CAST(s_{c} AS DOUBLE) / n_{c} / 1000000.0 END"
+        std = f"CASE WHEN n_{c} > 1 THEN sqrt(CAST(n_{c} * q_{c} - s_{c} * s_{c} AS DOUBLE)) / n_{c} / 1000000.0 END"
         outer += [
             f"round({mean} + 1e-9, 6) AS amount_{c}_mean",
             f"round({std} + 1e-9, 6) AS amount_{c}_std",
@@ -165,7 +166,7 @@ BUNDLE = [
 ]
 
 
-def _bundle_sql() -> str:
+def _bundle_sql(cte: str = EVENTS, rows: str = "txn", keep: str = "true") -> str:
     inner, outer = [], []
     for name, partition in (("all", ""), ("card", "card")):
         inner += _velocity_sql(name, partition, MINUTES)
@@ -180,7 +181,7 @@ def _bundle_sql() -> str:
             f"CASE WHEN history_{name}_count IS NULL THEN NULL WHEN history_{name}_count = 0 "
             f"THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_new_{name}",
         ]
-    return f"WITH {EVENTS}, w AS (SELECT *, {', '.join(inner)} FROM txn) SELECT txn_id, {', '.join(outer)} FROM w"
+    return f"WITH {cte}, w AS (SELECT *, {', '.join(inner)} FROM {rows}) SELECT txn_id, {', '.join(outer)} FROM w WHERE {keep}"
 
 
 @query("w10_behavioural_bundle", _bundle_sql())
@@ -189,6 +190,15 @@ def behavioural_bundle(spark, folder):
     return rounded(pit.behavioural_features(events(spark, folder), BUNDLE), nudge=NUDGE)
 
 
+@query("w9_bundle_carry_over", _bundle_sql(f"{EVENTS}, {SPLIT_SQL}", "split", "split = 'test'"))
+def _(spark, folder):
+    """All 34 columns of the last split, with the earlier splits as history."""
+    tagged = splits.ratio_split(events(spark, folder))
+    parts = [tagged.where(F.col("split") == s).drop("split") for s in ("train", "validation", "test")]
+    made = pit.with_history_of(parts[:2], parts[2], lambda df: pit.behavioural_features(df, BUNDLE))
+    return rounded(made, nudge=NUDGE)
+
+
 @query(
     "w11_feature_guards",
     f"""WITH {ORDERS}, per_key AS (SELECT txn_id, count(*) AS n FROM txn GROUP BY txn_id)

@@ -152,6 +152,21 @@ def _(spark, folder):
     return graph.graph_features(hourly_events(spark, folder))
 
 
+@query(
+    "g7_bundle_carry_over",
+    f"""WITH {HOURLY}, {SPLIT_SQL}, {LINKS}, {BUNDLE}, {COMPONENTS} SELECT txn_id, {BUNDLE_COLUMNS}, card_prior_component_size,
+          device_prior_component_size, email_prior_component_size FROM {BUNDLE_JOIN} JOIN component_columns USING (txn_id)
+          WHERE txn_id IN (SELECT txn_id FROM split WHERE split = 'test')""",
+)
+def _(spark, folder):
+    """All ten columns of the last split, with the earlier splits as history."""
+    from hindcast.operators.pit import with_history_of
+
+    tagged = splits.ratio_split(hourly_events(spark, folder))
+    parts = [tagged.where(F.col("split") == s).drop("split") for s in ("train", "validation", "test")]
+    return with_history_of(parts[:2], parts[2], graph.graph_features)
+
+
 LENGTH = 10
 GAPS = """ev AS (SELECT *, ln(1 + amount) AS log_amount, ln(1 + greatest(coalesce(
     t - max(t) OVER (PARTITION BY card ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)) AS log_gap FROM txn)"""
@@ -166,7 +181,7 @@ def _text_sql(values: str) -> str:
     return f"array_to_string(list_transform({values}, lambda v: CAST(CAST(round(v, 6) AS DECIMAL(18,6)) AS VARCHAR)), ',')"
 
 
-def _text(values: str, field: str):
+def _text(values, field: str):
     digits = F.transform(values, lambda e: F.round(e[field], 6).cast("decimal(18,6)").cast("string"))
     return F.array_join(digits, ",")
 
@@ -190,14 +205,14 @@ def _(spark, folder):
     )
 
 
-@query(
-    "q3_padded_sequences",
-    f"""WITH {HOURLY}, {HISTORY}, padded AS (SELECT txn_id, list_concat(list_resize([]::DOUBLE[], {LENGTH - 1} - len(amounts), 0.0::DOUBLE),
+PADDED_SQL = f"""WITH {HOURLY}, {HISTORY}, padded AS (SELECT txn_id, list_concat(list_resize([]::DOUBLE[], {LENGTH - 1} - len(amounts), 0.0::DOUBLE),
             list_append(amounts, log_amount)) AS amounts,
           list_concat(list_resize([]::DOUBLE[], {LENGTH - 1} - len(gaps), 0.0::DOUBLE), list_append(gaps, log_gap)) AS gaps
           FROM hist JOIN ev USING (txn_id))
-        SELECT txn_id, {_text_sql('amounts')} AS amounts, {_text_sql('gaps')} AS gaps FROM padded""",
-)
+        SELECT txn_id, {_text_sql('amounts')} AS amounts, {_text_sql('gaps')} AS gaps FROM padded"""
+
+
+@query("q3_padded_sequences", PADDED_SQL)
 def _(spark, folder):
     return sequence.sequences(hourly_events(spark, folder), LENGTH).select(
         "txn_id", _text("sequence", "log_amount").alias("amounts"), _text("sequence", "log_gap").alias("gaps")
@@ -254,12 +269,25 @@ def _(spark, folder):
     return sequence.dataset_guards(sequence.sequences(hourly_events(spark, folder), LENGTH), length=LENGTH)
 
 
-@query("s10_sequence_sink")
+def _float_text_sql(values: str) -> str:
+    return _text_sql(f"list_transform({values}, lambda f: CAST(CAST(f AS FLOAT) AS DOUBLE))")
+
+
+@query(
+    "s10_sequence_sink",
+    f"""{PADDED_SQL[: PADDED_SQL.rindex("SELECT txn_id")]} SELECT txn_id, t, label, CAST(least(len(hist.amounts), {LENGTH - 1}) AS INTEGER) AS history_length,
+          {_float_text_sql('padded.amounts')} AS amounts, {_float_text_sql('padded.gaps')} AS gaps
+        FROM padded JOIN hist USING (txn_id) JOIN txn USING (txn_id)""",
+)
 def _(spark, folder):
+    """The written dataset read back: tensors of single precision, labels, ids, times and lengths."""
     path = shared_path(spark, "sequences")
     made = sequence.sequences(hourly_events(spark, folder).select("txn_id", "t", "card", "amount", "label"), LENGTH)
     sinks.write_sequences(made, path)
-    return spark.read.parquet(path)
+    amounts = F.transform("sequence", lambda e: F.struct(e[0].cast("double").alias("v")))
+    gaps = F.transform("sequence", lambda e: F.struct(e[1].cast("double").alias("v")))
+    back = spark.read.parquet(path)
+    return back.select("txn_id", "t", "label", "history_length", _text(amounts, "v").alias("amounts"), _text(gaps, "v").alias("gaps"))
 
 
 SETTINGS = encoding.EncoderSettings(("product", "email"), 10.0, 20)

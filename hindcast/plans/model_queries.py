@@ -138,6 +138,24 @@ def _(spark, folder):
     return rounded(modelling.score(modelling.fit_logistic(train, "label"), later))
 
 
+@query(
+    "m5_logistic_optimum",
+    f"""WITH {EVENTS}, {SPLIT_SQL}, train AS (SELECT * FROM split WHERE split = 'train'), known AS (SELECT DISTINCT email FROM train WHERE email IS NOT NULL)
+        SELECT CAST(unnest(range(0, 4 + (SELECT count(*) FROM known))) AS INTEGER) AS feature, 0.0::DOUBLE AS gradient""",
+)
+def _(spark, folder):
+    """The penalised gradient of every coefficient per unit of weight: zero at the optimum."""
+    _, train, _ = _prepared(spark, folder)
+    model = modelling.fit_logistic(train, "label")
+    weighted = modelling.balanced_weights(modelling.score(model, train).join(train.select("txn_id", "features"), "txn_id"), "label")
+    long = weighted.select("label", "score", "weight", F.posexplode(vector_to_array("features")).alias("feature", "x"))
+    total = weighted.agg(F.sum("weight")).scalar()
+    slope = long.groupBy("feature").agg(F.sum(F.col("weight") * (F.col("score") - F.col("label")) * F.col("x")).alias("slope"))
+    coefficients = F.element_at(F.array(*(F.lit(float(c)) for c in model.coefficients)), F.col("feature") + 1)
+    gradient = (F.col("slope") + coefficients / 0.1) / total
+    return slope.select("feature", (F.round(gradient, 4) + 0.0).alias("gradient"))
+
+
 @query("m6_boosted_scores")
 def _(spark, folder):
     train, later = _splits(spark, folder)
@@ -154,6 +172,16 @@ def _(spark, folder):
     return modelling.scoring_latency(modelling.fit_logistic(train, "label"), later)
 
 
+@query(
+    "m7_scored_rows",
+    f"WITH {EVENTS}, {SPLIT_SQL} SELECT count(*) AS row_count, true AS timed, true AS mean_is_a_probability FROM split WHERE split = 'validation'",
+)
+def _(spark, folder):
+    _, train, later = _prepared(spark, folder)
+    made = modelling.scoring_latency(modelling.fit_logistic(train, "label"), later)
+    return made.select("row_count", (F.col("ms_per_row") > 0).alias("timed"), F.col("mean_score").between(0, 1).alias("mean_is_a_probability"))
+
+
 @query("h1_fitted_attributions")
 def _(spark, folder):
     """Attributions of the fitted linear model against a background sample of training rows."""
@@ -167,8 +195,30 @@ def _(spark, folder):
     return rounded(attribution.linear_attributions(scaled[1], coefficients, background, "txn_id"))
 
 
+@query(
+    "h1_attributions_add_up",
+    f"WITH {EVENTS}, {SPLIT_SQL} SELECT txn_id, 0.0::DOUBLE AS gap FROM split WHERE split = 'validation'",
+)
+def _(spark, folder):
+    """Attributions of a row sum to its margin less the background's mean margin."""
+    train, later = _splits(spark, folder)
+    fitted = modelling.Preprocessor(["amount", "card"], []).fit(train)
+    model = modelling.fit_logistic(fitted.transform(train, ("txn_id", "label")), "label")
+    columns = fitted.scaled_columns()
+    coefficients = dict(zip(columns, (float(c) for c in model.coefficients), strict=True))
+    scaled = [df.select("txn_id", *(c.alias(n) for n, c in columns.items())) for df in (train, later)]
+    background = attribution.hash_sample(scaled[0], 500, "txn_id", 42)
+    made = attribution.linear_attributions(scaled[1], coefficients, background, "txn_id")
+    margin = sum((F.col(n) * c for n, c in coefficients.items()), F.lit(0.0))
+    base = background.agg(F.avg(margin)).scalar()
+    key = next(c for c in ("txn_id", "case") if c in made.columns)
+    total = made.groupBy(F.col(key).alias("txn_id")).agg(F.sum("value").alias("total"))
+    rows = scaled[1].select("txn_id", (margin - base).alias("expected"))
+    return total.join(rows, "txn_id").select("txn_id", (F.round(F.col("total") - F.col("expected"), 6) + 0.0).alias("gap"))
+
+
 FEATURES = ["amount", "device", "score"]
-FOREST = anomaly.ForestSettings(trees=100)
+FOREST = anomaly.ForestSettings()
 
 
 @query("n1_isolation_forest")
@@ -177,6 +227,38 @@ def _(spark, folder):
     return anomaly.forest_summary(anomaly.fit_forests(rows, "txn_id", FEATURES, {0: F.lit(True)}, FOREST), rows)
 
 
+@query(
+    "n1_forest_shape",
+    "SELECT 200 AS trees, 200 AS trees_with_a_full_sample, true AS depth_is_bounded",
+)
+def _(spark, folder):
+    """Every tree drew its whole sample, and none is deeper than the logarithm of it."""
+    rows = events(spark, folder)
+    made = anomaly.forest_summary(anomaly.fit_forests(rows, "txn_id", FEATURES, {0: F.lit(True)}, FOREST), rows)
+    return made.agg(
+        F.count(F.lit(1)).cast("int").alias("trees"),
+        F.count_if(F.col("sample_size") == FOREST.sample).cast("int").alias("trees_with_a_full_sample"),
+        (F.max("depth") <= 8).alias("depth_is_bounded"),
+    )
+
+
+@query(
+    "n2_contamination",
+    f"""WITH {EVENTS}, {SPLIT_SQL} SELECT count(*) AS row_count, 0 AS rows_without_score, true AS share_is_the_contamination FROM split WHERE split = 'train'""",
+)
+def _(spark, folder):
+    """The threshold leaves the stated share of the training rows above it."""
+    train, _ = _splits(spark, folder)
+    fitted = anomaly.fit_forests(train, "txn_id", FEATURES, {0: F.lit(True)}, FOREST)
+    scored = fitted.score(train, F.lit(0), ("txn_id",))
+    share = F.avg((F.col("anomaly_score") > 0).cast("double"))
+    return scored.agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.count_if(F.col("anomaly_score").isNull()).cast("int").alias("rows_without_score"),
+        (F.abs(share - FOREST.contamination) <= 0.01).alias("share_is_the_contamination"),
+    )
+
+
 @query("n2_anomaly_scores")
 def _(spark, folder):
     train, later = _splits(spark, folder)
@@ -190,6 +272,23 @@ def _(spark, folder):
     return rounded(anomaly.out_of_fold_scores(train, later, "txn_id", "t", FEATURES, 5, FOREST))
 
 
+@query(
+    "n3_out_of_fold_coverage",
+    f"""WITH {EVENTS}, {SPLIT_SQL} SELECT CASE WHEN split = 'validation' THEN 'later' ELSE 'train' END AS part, count(*) AS row_count, split = 'train' AS some_without_score
+        FROM split WHERE split IN ('train', 'validation') GROUP BY split""",
+)
+def _(spark, folder):
+    """All rows come back; only the first training fold has no past to learn from."""
+    train, later = (df.drop("split") for df in _splits(spark, folder))
+    made = anomaly.out_of_fold_scores(train, later, "txn_id", "t", FEATURES, 5, FOREST)
+    consistent = F.col("anomaly_score").isNull() == (F.col("fold") == 0)
+    part = F.when(F.col("fold") == 5, "later").otherwise("train").alias("part")
+    return made.groupBy(part).agg(
+        F.count(F.lit(1)).alias("row_count"),
+        (F.every(consistent) & (F.count_if(F.col("anomaly_score").isNull()) > 0)).alias("some_without_score"),
+    )
+
+
 @query(
     "x8_holdout_lock",
     f"WITH {ORDERS}, {SPLIT_SQL} SELECT count(*) AS row_count, count(*) AS opened_rows, true AS locked_for_training FROM split WHERE split = 'test'",

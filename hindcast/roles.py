@@ -18,7 +18,8 @@ class Roles:
 class EntityFeatures:
     """Historical features wanted for one entity; an empty ``columns`` means the whole stream.
 
-    Windows map a label used in the output name to a length in units of the time column.
+    Windows map a label used in the output name to a length in units of the time column. ``sums`` adds
+    the total of each amount window.
     """
 
     name: str
@@ -27,11 +28,12 @@ class EntityFeatures:
     amounts: dict[str, int] = field(default_factory=dict)
     recency: bool = False
     history: bool = False
+    sums: bool = False
 
     def outputs(self) -> list[str]:
         names = [f"velocity_{self.name}_{w}" for w in self.velocity]
         for w in self.amounts:
-            names += [f"amount_{self.name}_{w}_{s}" for s in ("mean", "std", "zscore")]
+            names += [f"amount_{self.name}_{w}_{s}" for s in ("mean", "std", "zscore", *(["sum"] if self.sums else []))]
         if self.recency:
             names.append(f"recency_{self.name}")
         if self.history:

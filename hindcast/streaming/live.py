@@ -4,6 +4,11 @@ Every micro-batch is a later period. It is scored from a state table (count and
 entity) and from the recent rows the longest window can still see, and only then enters the state.
 All state lives in versioned folders named by the batch, so a repeated batch rewrites its own
 output and nothing else, and no entity's state has to fit into one task.
+
+What a period costs does not grow with the periods before it: it writes the state of its own
+entities only (every COMPACT_EVERY periods these are merged into one table), opens the rows of those
+periods only that its longest window reaches, and finds the closed time in the one-row span of the
+period before.
 """
 
 from __future__ import annotations
@@ -19,6 +24,10 @@ from hindcast.operators.pit import entity_features
 from hindcast.roles import EntityFeatures, Roles
 
 
+#: Periods whose changes of the state are read beside the last merged state.
+COMPACT_EVERY = 16
+
+
 @dataclass(frozen=True)
 class LiveFeatures:
     """Where one entity's live features are kept and how they are computed."""
@@ -31,19 +40,23 @@ class LiveFeatures:
         """Score one period; rows at or before the last closed time go to the side table."""
         spark, time = arrived.sparkSession, self.roles.time
         arrived = arrived.persist()
-        state = self._state(spark, batch - 1)
-        closed = state.agg(F.max("last")).first()[0] if state is not None else None
+        before = self._span(spark, batch - 1)
+        closed = before["closed"] if before else None
         late = arrived.where(F.lit(False)) if closed is None else arrived.where(F.col(time) <= F.lit(closed))
         rows = arrived if closed is None else arrived.where(F.col(time) > F.lit(closed))
+        state = self._state(spark, batch - 1)
         self._write(late, "late", batch)
         self._write(self._scored(rows, state, batch), "features", batch)
         self._write(rows.select(*self._narrow()), "rows", batch)
-        entity = self._entity()
-        seen = rows.groupBy(entity.alias("entity")).agg(F.count(F.lit(1)).alias("n"), F.max(time).alias("last"))
+        seen = rows.groupBy(self._entity().alias("entity")).agg(F.count(F.lit(1)).alias("n"), F.max(time).alias("last"))
         if state is not None:
-            both = state.unionByName(seen)
-            seen = both.groupBy("entity").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+            known = seen.select("entity", F.col("n").alias("more"), F.col("last").alias("now")).join(state, "entity", "left")
+            seen = known.select("entity", (F.coalesce("n", F.lit(0)) + F.col("more")).alias("n"), F.col("now").alias("last"))
         self._write(seen, "state", batch)
+        if batch % COMPACT_EVERY == COMPACT_EVERY - 1:
+            self._write(self._state(spark, batch, batch - COMPACT_EVERY), "merged", batch)
+        span = rows.agg(F.min(time).alias("first"), F.max(time).alias("last"))
+        self._write(span.withColumn("closed", F.coalesce("last", F.lit(closed).cast(span.schema["last"].dataType))), "span", batch)
         arrived.unpersist()
 
     def _scored(self, rows: DataFrame, state: DataFrame | None, batch: int) -> DataFrame:
@@ -79,7 +92,14 @@ class LiveFeatures:
         longest = max([*spec.velocity.values(), *spec.amounts.values()])
         if batch == 0 or first is None:
             return rows.select(*self._narrow()).where(F.lit(False))
-        paths = [f"{self.folder}/rows/batch={b}" for b in range(batch)]
+        paths = []
+        for b in range(batch - 1, -1, -1):  # periods follow one another, so the first one out of reach ends the search
+            span = self._span(rows.sparkSession, b)
+            if span["closed"] is None or span["closed"] < first - longest:
+                break
+            paths.append(f"{self.folder}/rows/batch={b}")
+        if not paths:
+            return rows.select(*self._narrow()).where(F.lit(False))
         return rows.sparkSession.read.parquet(*paths).where(F.col(time) >= F.lit(first - longest))
 
     def _narrow(self) -> list[str]:
@@ -89,8 +109,19 @@ class LiveFeatures:
         """The entity as one text that keeps NULL apart from every value."""
         return F.to_json(F.struct(F.lit(0).alias("_"), *self.spec.columns), {"ignoreNullFields": "false"})
 
-    def _state(self, spark: SparkSession, batch: int) -> DataFrame | None:
-        return spark.read.parquet(f"{self.folder}/state/batch={batch}") if batch >= 0 else None
+    def _state(self, spark: SparkSession, batch: int, merged: int | None = None) -> DataFrame | None:
+        """(entity, n, last) after a batch: the last merged state, and the changes since; counts only grow."""
+        if batch < 0:
+            return None
+        if merged is None:
+            merged = (batch + 1) // COMPACT_EVERY * COMPACT_EVERY - 1
+        paths = [f"{self.folder}/state/batch={b}" for b in range(merged + 1, batch + 1)]
+        if merged >= 0:
+            paths.append(f"{self.folder}/merged/batch={merged}")
+        return spark.read.parquet(*paths).groupBy("entity").agg(F.max("n").alias("n"), F.max("last").alias("last"))
+
+    def _span(self, spark: SparkSession, batch: int):
+        return spark.read.parquet(f"{self.folder}/span/batch={batch}").first() if batch >= 0 else None
 
     def _write(self, rows: DataFrame, name: str, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}")

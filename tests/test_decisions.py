@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from hindcast.operators import attribution, calibration, joins, outcomes, policy, ranking, splits
+from hindcast.operators import attribution, calibration, joins, outcomes, policy, ranking, records, splits
 
 COSTS = policy.CostMatrix(500.0, 5.0, 10.0, 500.0)
 
@@ -21,15 +21,29 @@ def random_scores(seed, n=400):
     return [(round(rng.random(), 2), int(rng.random() < 0.3)) for _ in range(n)]
 
 
-def test_perfect_ranking(spark):
-    df = scored(spark, [(0.1, 0), (0.9, 1), (0.2, 0), (0.8, 1)])
-    record = ranking.evaluate(df, 2).first()
-    assert record["pr_auc"] == record["roc_auc"] == record["precision_at_k"] == record["recall_at_k"] == 1.0
-    assert (record["true_positives"], record["true_negatives"]) == (2, 2)
+def best_first(pairs):
+    return sorted(range(len(pairs)), key=lambda i: (-pairs[i][0], i))
+
+
+@pytest.mark.parametrize("k", [1, 17, 90])
+def test_evaluation_equals_its_definition(spark, k):
+    pairs = random_scores(21, 90)
+    df = scored(spark, pairs)
+    record = ranking.evaluate(df, k).first()
+    captured = sum(pairs[i][1] for i in best_first(pairs)[:k])
+    positives = sum(y for _, y in pairs)
+    assert record["precision_at_k"] == pytest.approx(captured / k) and record["recall_at_k"] == pytest.approx(captured / positives)
     with pytest.raises(ValueError, match="capacity"):
-        ranking.evaluate(df, 5)
+        ranking.evaluate(df, 91)
     with pytest.raises(ValueError, match="labels"):
-        ranking.evaluate(df.withColumn("label", F.lit(1)), 2)
+        ranking.evaluate(df.withColumn("label", F.lit(1)), k)
+
+
+def test_separated_classes_rank_perfectly(spark):
+    rng = random.Random(4)
+    pairs = [(round(y * 0.5 + rng.random() * 0.4, 3), y) for y in (rng.randint(0, 1) for _ in range(40))]
+    record = ranking.evaluate(scored(spark, pairs), sum(y for _, y in pairs)).first()
+    assert record["pr_auc"] == record["roc_auc"] == record["precision_at_k"] == record["recall_at_k"] == 1.0
 
 
 def test_areas_equal_their_definitions(spark):
@@ -47,12 +61,25 @@ def test_areas_equal_their_definitions(spark):
     assert got["pr_auc"] == pytest.approx(area)
 
 
-def test_calibration_error_fixture(spark):
-    df = scored(spark, [(0.1, 0), (0.2, 0), (0.8, 1), (0.9, 1)])
-    assert calibration.calibration_error(df, 2).first()[0] == pytest.approx(0.15)
-    assert calibration.calibration_metrics(df, "x", 2).first()["expected_calibration_error"] == pytest.approx(0.15)
+@pytest.mark.parametrize("bins", [2, 7])
+def test_calibration_error_equals_its_definition(spark, bins):
+    rng = random.Random(bins)
+    pairs = [(s, int(rng.random() < s * 0.8)) for s in rng.sample([i / 1000 for i in range(1, 1000)], 140)]
+    df = scored(spark, pairs)
+    values = sorted(s for s, _ in pairs)
+    edges = []
+    for i in range(1, bins):
+        place = (len(values) - 1) * i / bins
+        low = math.floor(place)
+        edges.append(values[low] + (values[min(low + 1, len(values) - 1)] - values[low]) * (place - low))
+    groups = {}
+    for s, y in pairs:  # bins are closed on the right
+        groups.setdefault(sum(e < s for e in edges), []).append((s, y))
+    wanted = sum(abs(sum(s for s, _ in g) - sum(y for _, y in g)) for g in groups.values()) / len(pairs)
+    assert calibration.calibration_error(df, bins).first()[0] == pytest.approx(wanted)
+    assert calibration.calibration_metrics(df, "x", bins).first()["expected_calibration_error"] == pytest.approx(wanted)
     curve = calibration.reliability_curve(df, 4, "uniform").collect()
-    assert sum(r["bin_count"] for r in curve) == 4
+    assert sum(r["bin_count"] for r in curve) == 140
     with pytest.raises(ValueError):
         calibration.calibration_error(df, 1)
 
@@ -94,27 +121,63 @@ def test_costs_and_their_guards(spark):
         policy.require_probabilities(scored(spark, [(1.5, 0)]), "score")
 
 
-def test_policy_fixture(spark):
-    df = scored(spark, list(zip([0.05, 0.2, 0.4, 0.6, 0.8, 0.95], [0, 0, 1, 1, 1, 1])))
-    got = policy.evaluate_policy(df, policy.ReviewPolicy(3, 0.10, 0.99), COSTS).first()
-    assert (got["captured_count"], got["total_positives"], got["capture_rate"]) == (3, 4, 0.75)
-    assert (got["total_review_cost"], got["total_prevention_value"], got["net_value"]) == (15.0, 1500.0, 1485.0)
-    many = policy.capacity_results(df, [1, 2, 3, 6], COSTS).orderBy("review_capacity").collect()
-    captured = [r["captured_count"] for r in many]
-    assert captured == sorted(captured) == [1, 2, 3, 4]
-
-
-def test_actions_and_outcomes(spark):
-    df = scored(spark, list(zip([0.1, 0.5, 0.7, 0.97, 0.98], [0, 1, 1, 1, 0])))
-    chosen = policy.ReviewPolicy(2, 0.2, 0.9)
+def reviewed_by(pairs, capacity, low, high):
+    return [i for i in best_first(pairs) if low <= pairs[i][0] <= high][:capacity]
+
+
+@pytest.mark.parametrize("low,high", [(0.0, 1.0), (0.15, 0.85), (0.999, 1.0)])
+def test_policy_equals_its_definition(spark, low, high):
+    pairs = random_scores(31, 130)
+    df = scored(spark, pairs)
+    capacities = [1, 10, 40, 500]
+    rows = policy.capacity_results(df, capacities, COSTS, min_probability=low, max_probability=high).collect()
+    for row in rows:
+        chosen = reviewed_by(pairs, row["review_capacity"], low, high)
+        captured, positives = sum(pairs[i][1] for i in chosen), sum(y for _, y in pairs)
+        assert (row["selected_review_count"], row["captured_count"], row["total_positives"]) == (len(chosen), captured, positives)
+        assert row["capture_rate"] == pytest.approx(captured / positives)
+        assert row["net_value"] == pytest.approx(captured * 500.0 - len(chosen) * 5.0)
+    one = policy.evaluate_policy(df, policy.ReviewPolicy(10, low, high), COSTS).first()
+    assert one == next(r for r in rows if r["review_capacity"] == 10)
+
+
+@pytest.mark.parametrize("capacity", [1, 25, 400])
+def test_actions_and_outcomes_equal_their_definition(spark, capacity):
+    pairs = random_scores(32, 120)
+    df = scored(spark, pairs)
+    chosen = policy.ReviewPolicy(capacity, 0.2, 0.9)
+    reviewed = set(reviewed_by(pairs, capacity, 0.2, 0.9))
+    actions = {i: "review" if i in reviewed else "block" if s > 0.95 else "approve" for i, (s, _) in enumerate(pairs)}
     decided = policy.apply_policy(df, chosen)
-    assert [r["action"] for r in decided.orderBy("txn_id").collect()] == ["approve", "review", "review", "block", "block"]
-    counts = policy.outcome_counts(decided, chosen).first().asDict()
-    assert counts == {"true_positives": 2, "false_positives": 0, "false_negatives": 0, "true_negatives": 1}
-    none = policy.apply_policy(df, policy.ReviewPolicy(2, 0.11, 0.12))
+    assert {r["txn_id"]: r["action"] for r in decided.collect()} == actions
+    assert {r["txn_id"] for r in policy.select_for_review(df, chosen).collect()} == reviewed
+    queue = records.investigation_queue(df, chosen).orderBy("priority").collect()
+    assert [r["txn_id"] for r in queue] == reviewed_by(pairs, capacity, 0.2, 0.9)
+    assert [r["priority"] for r in queue] == list(range(1, len(queue) + 1))
+    count = lambda action, y: sum(actions[i] == action and pairs[i][1] == y for i in actions)
+    assert policy.outcome_counts(decided, chosen).first().asDict() == {
+        "true_positives": count("review", 1), "false_positives": count("review", 0),
+        "false_negatives": count("approve", 1), "true_negatives": count("approve", 0),
+    }
+    none = policy.apply_policy(df, policy.ReviewPolicy(2, 0.991, 0.9999))
     assert none.where("reviewed").count() == 0
 
 
+@pytest.mark.parametrize("slice_rows,fan_in", [(1_000_000, 64), (20, 2)])
+def test_period_selection_equals_its_definition(spark, monkeypatch, slice_rows, fan_in):
+    monkeypatch.setattr(policy, "SLICE_ROWS", slice_rows)
+    monkeypatch.setattr(policy, "FAN_IN", fan_in)
+    pairs = random_scores(33, 300)
+    df = scored(spark, pairs).withColumn("period", F.when(F.col("txn_id") % 5 == 0, F.col("txn_id") % 3).otherwise(7))
+    got = policy.select_per_period(df, policy.ReviewPolicy(6, 0.1, 0.9), "period").collect()
+    wanted = {}
+    for i in best_first(pairs):
+        period = i % 3 if i % 5 == 0 else 7
+        if 0.1 <= pairs[i][0] <= 0.9 and len(wanted.setdefault(period, [])) < 6:
+            wanted[period].append(i)
+    assert {(r["period"], r["review_rank"], r["txn_id"]) for r in got} == {(p, k, i) for p, ids in wanted.items() for k, i in enumerate(ids, 1)}
+
+
 def test_period_selection_breaks_ties_by_key(spark):
     df = scored(spark, [(0.5, 0)] * 9 + [(0.9, 1)]).withColumn("period", F.lit(1))
     got = policy.select_per_period(df, policy.ReviewPolicy(4), "period").orderBy("review_rank").collect()
@@ -169,18 +232,3 @@ def test_hash_sample_ignores_partitioning(spark):
     df = spark.range(1000).withColumnRenamed("id", "k")
     samples = [{r["k"] for r in attribution.hash_sample(df.repartition(p), 50, "k", 7).collect()} for p in (1, 9)]
     assert samples[0] == samples[1] and len(samples[0]) == 50
-
-
-def test_large_capacities_give_the_same_answers(spark, monkeypatch):
-    df = scored(spark, random_scores(12, 120))
-    kept = {"min_probability": 0.1, "max_probability": 0.9}
-    chosen = policy.ReviewPolicy(30, **kept)
-
-    def answers():
-        table = policy.capacity_results(df, [5, 30, 500], COSTS, **kept).orderBy("review_capacity").collect()
-        marked = {r["txn_id"] for r in policy.apply_policy(df, chosen).where("reviewed").collect()}
-        return table, marked, {r["txn_id"] for r in policy.select_for_review(df, chosen).collect()}
-
-    usual = answers()
-    monkeypatch.setattr(policy, "TAKE_LIMIT", 2)
-    assert answers() == usual and len(usual[1]) == 30 and usual[1] == usual[2]

@@ -72,19 +72,44 @@ def test_connected_components_on_a_long_path(spark):
     assert roots[1, "z"] == roots[1, "x"] == "x"
 
 
-def test_graph_ties_missing_and_order(spark):
-    rows = [(0, 10, 1, "a", "m"), (1, 20, 1, "b", "m"), (2, 20, 2, "b", "m"), (3, 30, 2, "b", None)]
-    df = spark.createDataFrame(rows, "txn_id long, t long, card long, device string, email string")
+def graph_expected(rows):
+    """Degrees, edge counts and relationship flags by their definition."""
+    out = {}
+    for i, t, card, device, email, _, _ in rows:
+        past = [r for r in rows if r[1] < t]
+        links = {(r[2], f, v) for r in past for f, v in (("device", r[3]), ("email", r[4])) if r[2] is not None and v is not None}
+        values = {"card_prior_degree": sum(c == card for c, _, _ in links)}
+        for family, value, place in (("device", device, 3), ("email", email, 4)):
+            both = card is not None and value is not None
+            times = sum(r[2] == card and r[place] == value for r in past)
+            values[f"{family}_prior_card_degree"] = None if value is None else sum((f, v) == (family, value) for _, f, v in links)
+            values[f"card_{family}_prior_edge_count"] = times if both else None
+            values[f"is_new_card_{family}"] = float(times == 0) if both else None
+        out[i] = values
+    return out
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_graph_features_equal_their_definition(spark, seed):
+    df, rows = random_table(spark, 150, seed, crowd=0.3)
+    known = [r for r in rows if r[2] is not None]
     forward = {r["txn_id"]: r.asDict() for r in graph.graph_features(df).collect()}
     shuffled = {r["txn_id"]: r.asDict() for r in graph.graph_features(df.orderBy(F.desc("txn_id")).repartition(5)).collect()}
     assert forward == shuffled
-    assert forward[0]["card_prior_degree"] == 0 and forward[0]["card_prior_component_size"] == 0
-    assert forward[1]["card_prior_degree"] == 2 and forward[1]["card_device_prior_edge_count"] == 0
-    assert forward[2]["device_prior_card_degree"] == 0 and forward[2]["email_prior_card_degree"] == 1
-    assert forward[3]["card_device_prior_edge_count"] == 1 and forward[3]["device_prior_card_degree"] == 2
-    assert forward[3]["email_prior_card_degree"] is None and forward[3]["is_new_card_email"] is None
-    assert forward[3]["card_prior_component_size"] == 5
+    wanted = graph_expected(rows)
+    for row in known:
+        for name, value in wanted[row[0]].items():
+            assert forward[row[0]][name] == value, (row, name)
+
+    last = df.where("t > 60")
+    from hindcast.operators.pit import with_history_of
+
+    carried = with_history_of([df.where("t <= 30"), df.where("t > 30 and t <= 60")], last, graph.graph_features)
+    assert {r["txn_id"]: r.asDict() for r in carried.collect()} == {r[0]: forward[r[0]] for r in rows if r[1] > 60}
 
+
+def test_graph_input_guards(spark):
+    df, _ = random_table(spark, 20, 6)
     empty = graph.graph_features(df.limit(0))
     assert empty.columns == ["txn_id", *graph.GRAPH_COLUMNS] and empty.count() == 0
     with pytest.raises(ValueError, match="email"):
@@ -119,18 +144,35 @@ def test_sequences_equal_brute_force(spark, split):
             assert tuple(have) == pytest.approx(want)
 
 
-def test_encoding_uses_history_only(spark):
-    rows = [(0, 100, "A", 0), (1, 100, "B", 1), (2, 200, "A", 1), (3, 300, "B", 0)]
-    df = spark.createDataFrame(rows, "txn_id long, t long, product string, label int")
-    settings = encoding.EncoderSettings(("product",), 0.0, 1)
-    got = {r["txn_id"]: r["product_encoded"] for r in encoding.out_of_fold(df, settings, 3).collect()}
-    assert got[0] is None and got[1] is None and got[2] == 0.0 and got[3] == 1.0
+@pytest.mark.parametrize("folds", [3, 5])
+def test_encoding_uses_history_only(spark, folds):
+    df, rows = random_table(spark, 120, 11, crowd=0.2)
+    settings = encoding.EncoderSettings(("email",), 2.0, 3)
+    got = {r["txn_id"]: r["email_encoded"] for r in encoding.out_of_fold(df, settings, folds).collect()}
+    times = sorted({r[1] for r in rows})
+    size, extra = divmod(len(times), folds)  # larger folds first
+    fold, at = {}, 0
+    for f in range(folds):
+        for t in times[at : at + size + (f < extra)]:
+            fold[t] = f
+        at += size + (f < extra)
+
+    def encoded(past, category):
+        rate = sum(r[6] for r in past) / len(past)
+        own = [r[6] for r in past if r[4] == category]
+        return rate if len(own) < 3 else (sum(own) + 2.0 * rate) / (len(own) + 2.0)
+
+    for row in rows:
+        past = [r for r in rows if fold[r[1]] < fold[row[1]]]
+        assert got[row[0]] == (pytest.approx(encoded(past, row[4])) if past else None)
     fitted = encoding.fit(df, "label", settings)
-    unseen = spark.createDataFrame([(9, "C"), (10, "A")], "txn_id long, product string")
-    assert {r["txn_id"]: r["product_encoded"] for r in fitted.transform(unseen, "txn_id").collect()} == {9: 0.5, 10: 0.5}
-    flipped = df.withColumn("label", F.when(F.col("txn_id") == 3, 1 - F.col("label")).otherwise(F.col("label")))
-    again = {r["txn_id"]: r["product_encoded"] for r in encoding.out_of_fold(flipped, settings, 3).collect()}
-    assert again == got
+    unseen = df.select("txn_id", F.when(F.col("txn_id") % 2 == 0, F.col("email")).otherwise("never seen").alias("email"))
+    for r in fitted.transform(unseen, "txn_id").collect():
+        category = rows[r["txn_id"]][4] if r["txn_id"] % 2 == 0 else "never seen"
+        assert r["email_encoded"] == pytest.approx(encoded(rows, category))
+    late = max(times)
+    flipped = df.withColumn("label", F.when(F.col("t") == late, 1 - F.col("label")).otherwise(F.col("label")))
+    assert {r["txn_id"]: r["email_encoded"] for r in encoding.out_of_fold(flipped, settings, folds).collect()} == got
     with pytest.raises(ValueError, match="0 and 1"):
         encoding.fit(df.withColumn("label", F.lit(3)), "label", settings)
 

@@ -1,32 +1,99 @@
 """Preprocessing, classifiers, anomaly scores and streamed features."""
 
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from hindcast.operators import anomaly, modelling, pit
+from hindcast.operators import anomaly, calibration, encoding, modelling, pit
 from hindcast.roles import EntityFeatures
 from hindcast.session import shared_path
+from hindcast.sources import state
+from hindcast.streaming import live
 from hindcast.streaming.live import LiveFeatures, replay
 
 
-def test_preprocessing_handles_missing_and_unseen(spark):
-    schema = "amount double, velocity double, product string, kind string"
-    train = spark.createDataFrame([(10.0, 1.0, "A", "x"), (None, 2.0, "B", "x"), (30.0, None, None, "y"), (20.0, 4.0, "A", "x")], schema)
-    later = spark.createDataFrame([(None, None, "NEW", "z"), (float("inf"), 1.0, "A", "x")], schema)
-    fitted = modelling.Preprocessor(["amount", "velocity"], ["product", "kind"]).fit(train)
-    assert fitted.scaling["amount"].median == 20.0 and fitted.modes == {"product": "A", "kind": "x"}
+def mixed_table(spark, seed, n=80):
+    """Numbers with gaps and infinities, a column that is never filled, words with gaps."""
+    rng = random.Random(seed)
+    some = lambda value, share: value if rng.random() >= share else None
+    rows = [
+        (i, some(rng.choice([rng.gauss(5, 2), float("inf")] if rng.random() < 0.1 else [rng.gauss(5, 2)]), 0.2), rng.gauss(0, 3), None, some(rng.choice("abcd"), 0.3), f"k{seed}{rng.randint(0, 2)}")
+        for i in range(n)
+    ]
+    return spark.createDataFrame(rows, "txn_id long, gappy double, full double, never double, letter string, kind string"), rows
+
+
+def test_preprocessing_equals_its_definition(spark):
+    train, rows = mixed_table(spark, 1)
+    later, _ = mixed_table(spark, 2)  # none of its kinds was seen
+    fitted = modelling.Preprocessor(["gappy", "full", "never"], ["letter", "kind"]).fit(train)
+    known = sorted(r[1] for r in rows if r[1] is not None and math.isfinite(r[1]))
+    half = len(known) // 2
+    assert fitted.scaling["gappy"].median == pytest.approx(known[half] if len(known) % 2 else (known[half - 1] + known[half]) / 2)
+    assert "never" not in fitted.scaling and fitted.scaling["gappy"].indicator and not fitted.scaling["full"].indicator
+    counts = Counter(r[4] for r in rows if r[4] is not None)
+    assert fitted.modes["letter"] == min(counts, key=lambda c: (-counts[c], c))
+    letters, kinds = len(counts), len({r[5] for r in rows})
     sizes = {r["features"].size for df in (train, later) for r in fitted.transform(df).collect()}
-    assert sizes == {fitted.width()} == {8}
-    unseen = fitted.transform(later).first()["features"].toArray()
-    assert list(unseen[4:]) == [0.0] * 4
+    assert sizes == {fitted.width()} == {3 + letters + kinds}
+    for r in fitted.transform(later).collect():
+        values = r["features"].toArray()
+        assert sum(values[3 : 3 + letters]) == 1.0 and not any(values[3 + letters :])
+    columns = list(zip(*(r["features"].toArray()[:3] for r in fitted.transform(train).collect()), strict=True))
+    assert all(sum(c) == pytest.approx(0, abs=1e-9) and sum(v * v for v in c) == pytest.approx(80) for c in columns)
     with pytest.raises(ValueError, match="missing"):
         fitted.transform(later.drop("kind"))
     with pytest.raises(ValueError, match="at least one"):
         modelling.Preprocessor([], []).fit(train)
 
 
+def test_saved_state_gives_the_same_answers(spark, tmp_path):
+    train, _ = mixed_table(spark, 3)
+    later, _ = mixed_table(spark, 4)
+    fitted = modelling.Preprocessor(["gappy", "full"], ["letter"]).fit(train)
+    state.save_preprocessor(spark, fitted, f"{tmp_path}/prep")
+    again = state.load_preprocessor(spark, f"{tmp_path}/prep")
+    assert again.transform(later, ("txn_id",)).collect() == fitted.transform(later, ("txn_id",)).collect()
+    with pytest.raises(ValueError, match="not a calibrator"):
+        state.load_calibrator(spark, f"{tmp_path}/prep")
+
+    scored = train.select("txn_id", (F.pmod(F.xxhash64("txn_id"), F.lit(1000)) / 1000.0).alias("score"))
+    scored = scored.withColumn("label", (F.col("score") + F.pmod("txn_id", F.lit(7)) / 10.0 > 0.8).cast("int"))
+    for method in calibration.METHODS:
+        mapping = calibration.Calibrator(method).fit(scored)
+        state.save_calibrator(spark, mapping, f"{tmp_path}/{method}")
+        loaded = state.load_calibrator(spark, f"{tmp_path}/{method}")
+        assert loaded.predict(scored).orderBy("txn_id").collect() == mapping.predict(scored).orderBy("txn_id").collect()
+    with pytest.raises(RuntimeError, match="fitted"):
+        state.save_calibrator(spark, calibration.Calibrator(), f"{tmp_path}/none")
+
+    labelled = train.withColumn("label", (F.col("txn_id") % 3 == 0).cast("int"))
+    encoder = encoding.fit(labelled, "label", encoding.EncoderSettings(("letter",), 1.0, 2))
+    state.save_encoder(spark, encoder, f"{tmp_path}/encoder")
+    loaded = state.load_encoder(spark, f"{tmp_path}/encoder")
+    assert loaded.transform(later, "txn_id").orderBy("txn_id").collect() == encoder.transform(later, "txn_id").orderBy("txn_id").collect()
+
+    forests = anomaly.fit_forests(train, "txn_id", ["gappy", "full"], {0: F.lit(True)}, anomaly.ForestSettings(trees=5, sample=16))
+    state.save_forests(spark, forests, f"{tmp_path}/forests")
+    loaded = state.load_forests(spark, f"{tmp_path}/forests")
+    scores = [f.score(later, F.lit(0), ("txn_id",)).orderBy("txn_id").collect() for f in (forests, loaded)]
+    assert scores[0] == scores[1]
+
+
+def test_every_row_can_be_drawn(spark):
+    """Small shares: one hash a row serves all trees, evenly and from the whole table."""
+    settings = anomaly.ForestSettings(trees=20, sample=50)
+    picks = anomaly._picks("txn_id", 0, F.lit(True), 0.004, settings)
+    drawn = spark.range(200_000).select(F.col("id").alias("txn_id")).select("txn_id", F.explode(picks).alias("p"))
+    by_tree = {r["tree"]: r["n"] for r in drawn.groupBy("p.tree").agg(F.count("*").alias("n")).collect()}
+    assert set(by_tree) == set(range(20)) and all(650 < n < 950 for n in by_tree.values())
+    thirds = [r["n"] for r in drawn.groupBy(F.floor(F.col("txn_id") / 66_667)).agg(F.count("*").alias("n")).collect()]
+    assert max(thirds) < 1.1 * min(thirds)
+
+
 def learning_table(spark, n=600):
     rng = random.Random(4)
     rows = [(i, rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(n)]
@@ -101,16 +168,33 @@ def test_stream_equals_batch_and_sets_late_rows_aside(spark):
     rows = [(i, rng.randint(0, 60), rng.choice([1, 2, 3, None]), round(rng.uniform(1, 9), 2)) for i in range(150)]
     df = spark.createDataFrame(rows, "txn_id long, t long, card long, amount double")
     spec = EntityFeatures("card", ("card",), {"w": 20}, {"w": 20}, recency=True, history=True)
-    live = LiveFeatures(spec, shared_path(spark, "live-test"))
-    streamed = {r["txn_id"]: r for r in replay(df, live, 3).collect()}
+    kept = LiveFeatures(spec, shared_path(spark, "live-test"))
+    streamed = {r["txn_id"]: r for r in replay(df, kept, 3).collect()}
     batch = {r["txn_id"]: r for r in pit.behavioural_features(df, [spec]).collect()}
     assert streamed.keys() == batch.keys()
     for key, row in batch.items():
         for name in spec.outputs():
             assert streamed[key][name] == (pytest.approx(row[name]) if row[name] is not None else None), (key, name)
     late = spark.createDataFrame([(900, 5, 1, 1.0), (901, 99, 1, 1.0)], df.schema)
-    late.write.mode("append").parquet(f"{live.folder}/source")
-    live.start(spark.readStream.schema(df.schema).parquet(f"{live.folder}/source")).awaitTermination()
-    assert [r["txn_id"] for r in live.late_rows(spark).collect()] == [900]
-    done = {r["txn_id"]: r for r in live.features(spark).collect()}
+    late.write.mode("append").parquet(f"{kept.folder}/source")
+    kept.start(spark.readStream.schema(df.schema).parquet(f"{kept.folder}/source")).awaitTermination()
+    assert [r["txn_id"] for r in kept.late_rows(spark).collect()] == [900]
+    done = {r["txn_id"]: r for r in kept.features(spark).collect()}
     assert 900 not in done and done[901]["history_card_count"] == sum(r[2] == 1 for r in rows)
+
+
+def test_many_periods_cost_what_they_change(spark, monkeypatch):
+    """Twelve periods with a merge every third: equal to the batch, and no period rewrites older state."""
+    monkeypatch.setattr(live, "COMPACT_EVERY", 3)
+    rng = random.Random(12)
+    rows = [(i, i // 10, rng.choice([1, 2, i // 20 + 10]), 1.0) for i in range(240)]
+    df = spark.createDataFrame(rows, "txn_id long, t long, card long, amount double")
+    spec = EntityFeatures("card", ("card",), {"w": 4}, recency=True, history=True)
+    kept = LiveFeatures(spec, shared_path(spark, "live-many"))
+    for low in range(0, 24, 2):
+        df.where(f"t >= {low} and t < {low + 2}").write.mode("append").parquet(f"{kept.folder}/source")
+        kept.start(spark.readStream.schema(df.schema).parquet(f"{kept.folder}/source")).awaitTermination()
+    streamed = {r["txn_id"]: r.asDict() for r in kept.features(spark).collect()}
+    assert streamed == {r["txn_id"]: r.asDict() for r in pit.behavioural_features(df, [spec]).collect()}
+    last = spark.read.parquet(f"{kept.folder}/state/batch=11").count()
+    assert last == len({r[2] for r in rows if r[1] >= 22}) < spark.read.parquet(f"{kept.folder}/merged/batch=11").count()

@@ -1,86 +1,138 @@
-"""Hand-computed cases of the historical window features."""
+"""Historical window features against their definition, computed row by row in Python on random tables."""
+
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from hindcast.operators import pit
+from hindcast.operators import ordered, pit
 from hindcast.roles import EntityFeatures
 
 SCHEMA = "txn_id long, t long, amount double, card long, device string, label int"
-ROWS = [
-    (1, 100, 10.0, 1111, "a", 0),
-    (2, 100, 20.0, 1111, "a", 0),
-    (3, 110, 30.0, 1111, "a", 1),
-    (4, 130, 40.0, 2222, "b", 0),
-    (5, 150, 50.0, 1111, None, 0),
-    (6, 160, 60.0, 1111, None, 1),
-]
 SPECS = [
-    EntityFeatures("all", velocity={"5min": 300}, recency=True),
-    EntityFeatures("card", ("card",), {"5min": 300}, {"1h": 3600}, recency=True, history=True),
+    EntityFeatures("all", velocity={"short": 9}, amounts={"long": 40}, recency=True),
+    EntityFeatures("card", ("card",), {"short": 9}, {"long": 40}, recency=True, history=True, sums=True),
     EntityFeatures("device", ("device",), history=True),
 ]
 
 
-def features(df):
-    return {r["txn_id"]: r.asDict() for r in pit.behavioural_features(df, SPECS).collect()}
-
-
-@pytest.fixture(scope="module")
-def table(spark):
-    return spark.createDataFrame(ROWS, SCHEMA)
-
-
-def test_rows_of_one_timestamp_see_the_same_past(table):
-    got = features(table)
-    for first in (1, 2):
-        assert got[first]["velocity_card_5min"] == 0
-        assert got[first]["amount_card_1h_mean"] is None
-        assert got[first]["recency_card"] is None
-        assert got[first]["is_new_card"] == 1.0
-    third = got[3]
-    assert third["velocity_card_5min"] == 2
-    assert (third["amount_card_1h_mean"], third["amount_card_1h_std"], third["amount_card_1h_zscore"]) == (15.0, 5.0, 3.0)
-    assert (third["recency_card"], third["history_card_count"], third["is_new_card"]) == (10, 2, 0.0)
-    assert got[4]["velocity_card_5min"] == 0 and got[4]["recency_all"] == 20
-    assert got[5]["history_device_count"] is None and got[6]["is_new_device"] is None
-
-
-def test_labels_and_future_and_order_do_not_matter(table):
-    base = features(table)
-    assert features(table.withColumn("label", 1 - F.col("label"))) == base
-    for parts in (1, 8, 64):
-        assert features(table.orderBy(F.desc("txn_id")).repartition(parts)) == base
-    assert features(table.where("t <= 130")) == {k: v for k, v in base.items() if k <= 4}
-
-
-def test_constant_amounts_have_no_zscore(spark):
-    rows = [(i, 100 + i, 0.1, 7, "a", 0) for i in range(5)]
-    got = features(spark.createDataFrame(rows, SCHEMA))
-    assert got[4]["amount_card_1h_std"] == 0.0 and got[4]["amount_card_1h_zscore"] is None
-
-
-def test_window_includes_its_far_end(spark):
-    got = features(spark.createDataFrame([(1, 0, 1.0, 1, "a", 0), (2, 300, 1.0, 1, "a", 0), (3, 301, 1.0, 1, "a", 0)], SCHEMA))
-    assert got[2]["velocity_card_5min"] == 1 and got[3]["velocity_card_5min"] == 1
-
-
-def test_carry_over_sees_earlier_splits(table):
-    early, late = table.where("t < 130"), table.where("t >= 130")
-    spec = EntityFeatures("card", ("card",), history=True)
-    made = pit.with_history_of([early], late, lambda df: pit.entity_features(df, spec))
-    assert {r["txn_id"]: r["history_card_count"] for r in made.collect()} == {4: 0, 5: 3, 6: 4}
-
-
-def test_guards_and_catalogue(table):
-    made = pit.behavioural_features(table, SPECS)
-    facts = pit.feature_guards(made, table, "txn_id", SPECS[1].outputs() + ["absent"]).first()
-    assert facts["feature_rows"] == facts["source_rows"] == 6
+def random_rows(seed, n=150, unit=0.01):
+    """Few cards and devices, crowded times, some unknown devices, amounts in the given unit, a card with one amount."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        card = rng.randint(1, 6)
+        amount = 3 * unit if card == 6 else round(rng.randint(1, 5000) * unit, 12)
+        if rng.random() < 0.06:
+            amount = rng.choice([None, float("nan"), float("inf")])
+        rows.append((i, rng.choice([17, rng.randint(0, 99)]), amount, card, rng.choice([None, "p", "q", "r"]), rng.randint(0, 1)))
+    return rows
+
+
+def window_values(amounts, own):
+    known = [a for a in amounts if a is not None and math.isfinite(a)]
+    mean = math.fsum(known) / len(known) if known else None
+    std = math.sqrt(math.fsum((a - mean) ** 2 for a in known) / len(known)) if len(known) > 1 else None
+    if std is not None and len(set(known)) == 1:
+        std = 0.0
+    zscore = (own - mean) / std if std and own is not None and math.isfinite(own) else None
+    return mean, std, zscore, math.fsum(known)
+
+
+def expected(rows):
+    out = {}
+    for key, t, amount, card, device, _ in rows:
+        values = {}
+        for name, same in (("all", lambda r: True), ("card", lambda r, card=card: r[3] == card)):
+            past = [r for r in rows if same(r) and r[1] < t]
+            values[f"velocity_{name}_short"] = sum(r[1] >= t - 9 for r in past)
+            mean, std, zscore, total = window_values([r[2] for r in past if r[1] >= t - 40], amount)
+            values |= {f"amount_{name}_long_mean": mean, f"amount_{name}_long_std": std, f"amount_{name}_long_zscore": zscore}
+            values[f"recency_{name}"] = t - max(r[1] for r in past) if past else None
+            if name == "card":
+                values["amount_card_long_sum"] = total
+                values |= {"history_card_count": len(past), "is_new_card": float(not past)}
+        seen = sum(r[4] == device and r[1] < t for r in rows)
+        values |= {"history_device_count": None if device is None else seen, "is_new_device": None if device is None else float(not seen)}
+        out[key] = values
+    return out
+
+
+def features(df, specs=SPECS, layout=None):
+    return {r["txn_id"]: r.asDict() for r in pit.behavioural_features(df, specs, layout=layout).collect()}
+
+
+def agree(got, wanted, unit):
+    assert got.keys() == wanted.keys()
+    for key, values in wanted.items():
+        for name, value in values.items():
+            assert got[key][name] == (value if value is None else pytest.approx(value, rel=1e-7, abs=1e-7 * unit)), (key, name)
+
+
+@pytest.mark.parametrize("unit", [0.01, 1e-5, 1e6])
+@pytest.mark.parametrize("split", [False, True])
+def test_features_equal_their_definition(spark, unit, split):
+    rows = random_rows(round(math.log10(unit)) % 97, unit=unit)
+    df = spark.createDataFrame(rows, SCHEMA)
+    layout = None
+    if split:  # every group is cut in time and swept, as a large one would be
+        groups = [pit.spec_group(s) for s in SPECS]
+        layout = ordered.Layout(150, (16.0, 17.0, 18.0, 60.0), dict.fromkeys(groups, 5000), dict.fromkeys(groups, ()), 1, 99)
+    agree(features(df, layout=layout), expected(rows), unit)
+
+
+def test_labels_future_and_order_do_not_matter(spark):
+    rows = random_rows(5)
+    df = spark.createDataFrame(rows, SCHEMA)
+    base = features(df)
+    assert features(df.withColumn("label", 1 - F.col("label")).orderBy(F.desc("txn_id")).repartition(7)) == base
+    cut = {r[0] for r in rows if r[1] <= 50}
+    assert features(df.where("t <= 50")) == {k: v for k, v in base.items() if k in cut}
+
+
+def test_large_sums_do_not_overflow(spark):
+    """Units of 12 places, values of 1e9: totals leave a long at once, and products leave 38 digits."""
+    rng = random.Random(2)
+    rows = [(i, i, rng.randint(1, 9) * 1e9 + round(rng.random(), 12), 1, "p", 0) for i in range(60)]
+    got = features(spark.createDataFrame(rows, SCHEMA), [SPECS[1]])
+    wanted = {k: {n: v for n, v in values.items() if n.startswith(("amount_card", "velocity_card"))} for k, values in expected(rows).items()}
+    agree(got, wanted, 1e3)
+
+
+def test_decimal_places(spark):
+    places = lambda *amounts: pit.decimal_places(spark.createDataFrame([(float(a),) for a in amounts], "a double"), "a")
+    assert [places(1), places(2.5, 10), places(0.00125), places(float("nan"))] == [0, 1, 5, 0]
+    assert places(1e16, 0.001) < 3
+
+
+@pytest.mark.parametrize("bundle", [False, True])
+def test_carry_over_equals_the_whole_table(spark, bundle):
+    rows = random_rows(8)
+    df = spark.createDataFrame(rows, SCHEMA)
+    parts = [df.where(c) for c in ("t < 30", "t >= 30 and t < 60", "t >= 60")]
+    if bundle:
+        made = pit.with_history_of(parts[:2], parts[2], lambda x: pit.behavioural_features(x, SPECS))
+    else:
+        made = pit.with_history_of(parts[:2], parts[2], lambda x: pit.entity_features(x, SPECS[1]))
+        assert made.columns == [*df.columns, *SPECS[1].outputs()]
+    late = {r[0] for r in rows if r[1] >= 60}
+    names = [n for n in made.columns if n.startswith(("velocity", "amount_", "recency", "history", "is_new"))]
+    whole = {k: {n: v[n] for n in names} for k, v in expected(rows).items() if k in late}
+    agree({r["txn_id"]: r.asDict() for r in made.collect()}, whole, 0.01)
+
+
+def test_guards_and_catalogue(spark):
+    df = spark.createDataFrame(random_rows(3, 30), SCHEMA)
+    made = pit.behavioural_features(df, SPECS)
+    facts = pit.feature_guards(made, df, "txn_id", [*SPECS[1].outputs(), "absent"]).first()
+    assert facts["feature_rows"] == facts["source_rows"] == 30
     assert facts["repeated_keys"] == 0 and facts["missing_columns"] == 1
-    pit.require_features(made, table, "txn_id", SPECS[1].outputs(), 7)
+    pit.require_features(made, df, "txn_id", SPECS[2].outputs(), 2)
     with pytest.raises(ValueError, match="missing"):
-        pit.require_features(made, table, "txn_id", ["absent"])
+        pit.require_features(made, df, "txn_id", ["absent"])
     with pytest.raises(ValueError, match="source rows"):
-        pit.require_features(made.where("txn_id > 1"), table, "txn_id", [])
+        pit.require_features(made.where("txn_id > 1"), df, "txn_id", [])
+    assert pit.feature_guards(made.union(made.limit(1)), df, "txn_id", []).first()["repeated_keys"] == 1
     records = pit.feature_catalogue(SPECS, "v1")
-    assert len(records) == 7 and not any(r["uses_target"] for r in records)
+    assert len(records) == 8 and not any(r["uses_target"] for r in records)
