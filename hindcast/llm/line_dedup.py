@@ -21,6 +21,16 @@ from hindcast.llm.common import WordHashes, kept, keyed, packed, same_doc, shape
 _BASE = 0x9E3779B97F4A7C15
 _BACK = np.uint64(pow(_BASE, -1, 1 << 64))
 _HALVES = ("p0", "s0", "p1", "s1")
+#: Tables of so many rows (some 50 bytes each) are broadcast to the lines they are looked up by; larger ones are joined by
+#: shuffle, with the same result.
+BROADCAST_LINES = 500_000
+
+
+def _few(table: DataFrame) -> DataFrame:
+    """A written table for the right side of a join, broadcast if it has few rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_LINES else table.hint("merge")
+
+
 
 
 def _half_keys(words: list[bytes]) -> list[int]:
@@ -122,30 +132,32 @@ def within_one_edit(one: list[bytes], other: list[bytes]) -> bool:
     return one[at + (len(one) == len(other)) :] == other[at + 1 :]
 
 
-def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """a, b of distinct lines that have an earlier neighbour within one word edit."""
-    halves = distinct.where("p0 is not null").select("a", "b", F.explode(F.array(*_HALVES)).alias("key"))
-    shared = kept(halves.groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low != high").select("key"))
-    wanted = halves.join(shared, "key").select("a", "b").distinct()
-    sources = distinct.join(wanted, ["a", "b"]).select("a", "b", "first.doc_id", "first.h", "first.line")
-    asked = sources.groupBy("doc_id", "h").agg(F.collect_list(F.struct("line", "a", "b")).alias("asked"))
+def near_lines(docs: DataFrame, distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a, b and first place of the distinct lines that may have a neighbour, and a, b of those with an earlier one."""
+    # A key occurs once a line, so a count tells whether another line has it; the first 64 bits name a line well enough here.
+    halves = distinct.where("p0 is not null").select("a", F.explode(F.array(*_HALVES)).alias("key"))
+    shared = kept(halves.groupBy("key").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1").select("key"))
+    wanted = kept(halves.join(_few(shared), "key").select("a").distinct())
+    sources = kept(distinct.where("p0 is not null").select("a", "b", "first").join(_few(wanted), "a", "left_semi"))
+    asked = sources.groupBy("first.doc_id", "first.h").agg(F.collect_list(F.struct("first.line", "a", "b")).alias("asked"))
     rows = packed(docs)
-    # A repeated document row would emit its lines twice; one of them is enough.
+    asked = kept(asked)
+    asked = F.broadcast(asked) if sources.count() <= BROADCAST_LINES else asked.hint("merge")
     found = rows.join(asked, same_doc(rows, asked)).select(rows["packed"], asked["asked"])
-    variants = kept(_variants(found).dropDuplicates(["a", "b", "at"]))
-    whole = variants.where("at = -1").select("a", "b", "n", "variant", "body").join(distinct.select("a", "b", "first"), ["a", "b"])
-    whole = kept(whole)
+    variants = kept(_variants(found))  # a repeated document row has its lines in here twice, which changes no minimum
+    whole = variants.where("at = -1").select("a", "b", "n", "variant", "body").dropDuplicates(["a", "b"])
+    whole = kept(whole.join(sources, ["a", "b"]))
 
     # Replaced word: lines of one length that agree in all but the word at one place. Their earliest is the keeper.
     cut = variants.where("at >= 0").select("a", "b", "n", "at", "variant")
-    met = kept(cut.groupBy("variant", "n", "at").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low != high").select("variant", "n", "at"))
-    groups = kept(cut.join(met, ["variant", "n", "at"]).join(whole.select("a", "b", "first"), ["a", "b"]))
+    met = kept(cut.groupBy("variant", "n", "at").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1").select("variant", "n", "at"))
+    groups = kept(cut.join(_few(met), ["variant", "n", "at"]).join(whole.select("a", "b", "first"), ["a", "b"]))
     earliest = kept(groups.groupBy("variant", "n", "at").agg(F.min(F.struct("first", "a", "b")).alias("keeper")))
     replaced = groups.join(earliest, ["variant", "n", "at"]).select("a", "b", "first", F.col("keeper.a").alias("a2"), F.col("keeper.b").alias("b2"), F.col("keeper.first").alias("first2"))
 
     # Inserted or deleted word: the variant of the longer line is the shorter line.
-    longer = cut.select(F.col("a").alias("a2"), F.col("b").alias("b2"), (F.col("n") - 1).alias("n"), "variant").distinct()
-    pairs = longer.join(whole.select("a", "b", "n", "variant", "first"), ["n", "variant"])
+    longer = cut.select(F.col("a").alias("a2"), F.col("b").alias("b2"), (F.col("n") - 1).alias("n"), "variant")
+    pairs = longer.join(_few(whole.select("a", "b", "n", "variant", "first")), ["n", "variant"]).select("a", "b", "first", "a2", "b2").distinct()
     pairs = pairs.join(whole.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("first").alias("first2")), ["a2", "b2"])
     pairs = pairs.select("a", "b", "first", "a2", "b2", "first2")
     flipped = pairs.select(*(F.col(x).alias(y) for x, y in zip(("a2", "b2", "first2", "a", "b", "first"), pairs.columns, strict=True)))
@@ -154,7 +166,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     nearest = both.groupBy("a", "b").agg(F.min(F.struct("first2", "a2", "b2")).alias("to")).select("a", "b", F.col("to.a2").alias("a2"), F.col("to.b2").alias("b2"))
     bodies = whole.select("a", "b", "body")
     others = whole.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("body").alias("other"))
-    return _confirmed(nearest.join(bodies, ["a", "b"]).join(others, ["a2", "b2"]))
+    return sources, _confirmed(nearest.join(bodies, ["a", "b"]).join(others, ["a2", "b2"]))
 
 
 def drop_repeated_lines(docs: DataFrame, near_words: int = 8) -> DataFrame:
@@ -169,9 +181,11 @@ def drop_repeated_lines(docs: DataFrame, near_words: int = 8) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h", "line")
     same = [F.first(c).alias(c) for c in ("n", *_HALVES)]
     distinct = kept(every.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), *same))
-    near = kept(near_lines(docs, distinct)).withColumn("near", F.lit(True))
-    judged = kept(distinct.join(near, ["a", "b"], "left").where("copies > 1 or near").select("a", "b", "near", "first"))
-    gone = every.select("doc_id", "h", "line", "a", "b").join(judged, ["a", "b"]).where(F.coalesce("near", F.lit(False)) | (place != F.col("first")))
+    sources, near = near_lines(docs, distinct)
+    near = kept(sources.join(near, ["a", "b"], "left_semi").withColumn("near", F.lit(True)))
+    again = distinct.where("copies > 1").select("a", "b", "first").join(near, ["a", "b"], "left_anti")
+    judged = kept(near.union(again.withColumn("near", F.lit(False))))
+    gone = every.select("doc_id", "h", "line", "a", "b").join(_few(judged), ["a", "b"]).where(F.col("near") | (place != F.col("first")))
     lists = gone.groupBy("doc_id", "h").agg(F.collect_set("line").alias("gone"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -93,8 +93,8 @@ def test_suffix_passages(docs):
 @pytest.mark.parametrize("size,percent", [(4, 80), (2, 60)])
 def test_near_duplicates(docs, size, percent):
     rows, df = docs
-    bands = 30 if percent == 80 else 80
-    got = near_dup.near_duplicates(df, size, percent, bands=bands).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    bands, per_band = (50, 6) if percent == 80 else (80, 4)
+    got = near_dup.near_duplicates(df, size, percent, bands=bands, rows=per_band).select("doc_id", "n_shingles", "component_id", "kept").collect()
     expected = brute_components(rows, size, percent)
     assert in_order(map(tuple, got)) == in_order(expected)
     assert len({e[2] for e in expected}) < len(rows) - 3
@@ -127,8 +127,9 @@ def line_corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_line_dedup(spark, seed):
+@pytest.mark.parametrize("seed,broadcast_lines", [(1, 0), (2, 500_000), (3, 500_000)])
+def test_line_dedup(spark, seed, broadcast_lines, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", broadcast_lines)
     rows = line_corpus(seed)
     expected, near = brute_lines(rows)
     made = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, SCHEMA).repartition(3))
