@@ -177,7 +177,17 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "text")
 
 
-@query("op7_suffix_array_dedup")
+PASSAGES_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, s, md5(array_to_string(list_slice(w, s, s + 49), ' ')) AS m
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM d WHERE len(w) >= 50)),
+hit AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS p FROM win WHERE m IN (SELECT m FROM win GROUP BY m HAVING count(*) > 1)),
+run AS (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run FROM hit)
+SELECT doc_id, CAST(min(p) - 1 AS BIGINT) AS from_word, CAST(max(p) AS BIGINT) AS to_word FROM run GROUP BY doc_id, run
+"""
+
+
+@query("op7_suffix_array_dedup", PASSAGES_SQL)
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"), window=50)
 

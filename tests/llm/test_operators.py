@@ -360,7 +360,7 @@ def test_toxicity_chain(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, h string").repartition(3)
     known = spark.createDataFrame([*labels[:600], (7000, 1, 1), (1, None, 1)], "doc_id long, low_quality int, toxic int")
     chain = toxicity.fit_chain(df, known, ["low_quality", "toxic"], sample=200)
-    assert chain.weights.shape[1] == len(chain.words) + 2 and chain.weights[1, len(chain.words)] < 0
+    assert chain.weights.shape[1] == len(chain.features) + 2 and chain.weights[1, len(chain.features)] < 0
     got = {r["doc_id"]: r for r in toxicity.score(df, chain).collect()}
     right = sum(got[i]["rejected"] == bool(t) for i, _, t in labels[600:])
     assert right / 300 >= 0.97
