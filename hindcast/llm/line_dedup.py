@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.llm.common import WordHashes, kept, keyed, packed, same_doc, shape, signed, texts_of, unpacked
+from hindcast.llm.common import WordHashes, kept, keyed, packed, pieces, same_doc, shape, signed, texts_of, unpacked
 
 #: An odd number, so that powers of it can be undone modulo 2^64.
 _BASE = 0x9E3779B97F4A7C15
@@ -51,27 +51,29 @@ def lines(docs: DataFrame, near_words: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            index, place, a, b, n, halves = [], [], [], [], [], []
-            for i, text in enumerate(texts_of(batch)):
-                for k, line in enumerate((text or b"").split(b"\n")):
-                    words = line.split()
-                    if words:
-                        whole = xxhash.xxh3_128_intdigest(b" ".join(words))
-                        index.append(i)
-                        place.append(k)
-                        a.append(whole >> 64)
-                        b.append(whole & 0xFFFFFFFFFFFFFFFF)
-                        n.append(len(words))
-                        halves.append(_half_keys(words) if len(words) >= near_words else (0, 0, 0, 0))
-            if index:
-                own = pa.array(index)
-                keys = np.array(halves, np.uint64).T
-                short = np.array(n) < near_words
-                columns = [pa.array(k, mask=short) for k in np.ascontiguousarray(keys).view(np.int64)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(own), batch.column(1).take(own), pa.array(place, pa.int32()), signed(np.array(a, np.uint64)), signed(np.array(b, np.uint64)), pa.array(n, pa.int32()), *columns],
-                    names=["doc_id", "h", "line", "a", "b", "n", *_HALVES],
-                )
+            texts = texts_of(batch)
+            for low, high in pieces(texts):  # what a worker holds beside its batch stays small
+                index, place, a, b, n, halves = [], [], [], [], [], []
+                for i in range(low, high):
+                    for k, line in enumerate((texts[i] or b"").split(b"\n")):
+                        words = line.split()
+                        if words:
+                            whole = xxhash.xxh3_128_intdigest(b" ".join(words))
+                            index.append(i)
+                            place.append(k)
+                            a.append(whole >> 64)
+                            b.append(whole & 0xFFFFFFFFFFFFFFFF)
+                            n.append(len(words))
+                            halves.append(_half_keys(words) if len(words) >= near_words else (0, 0, 0, 0))
+                if index:
+                    own = pa.array(index)
+                    keys = np.array(halves, np.uint64).T
+                    short = np.array(n) < near_words
+                    columns = [pa.array(k, mask=short) for k in np.ascontiguousarray(keys).view(np.int64)]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(own), batch.column(1).take(own), pa.array(place, pa.int32()), signed(np.array(a, np.uint64)), signed(np.array(b, np.uint64)), pa.array(n, pa.int32()), *columns],
+                        names=["doc_id", "h", "line", "a", "b", "n", *_HALVES],
+                    )
 
     rows = keyed(docs).select("doc_id", "h", "text")
     return rows.mapInArrow(scan, shape(rows, "doc_id", "h", line="int", a="long", b="long", n="int", **dict.fromkeys(_HALVES, "long")))
