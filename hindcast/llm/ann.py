@@ -4,7 +4,7 @@ A rotation is learned on a bounded sample so that the signs of the rotated vecto
 64-bit codes are cut into eight substrings, each with an index of its own. By the pigeonhole principle a code within
 Hamming radius R of the query has a substring within R // 8 bits of the query's: probing those buckets finds every such
 code, and the floats of exactly these are compared. The radius is learned on the sample too, from the distances at which
-true neighbours lie.
+true neighbours lie. A query that finds fewer than k rows within it is searched again over all rows.
 """
 
 from __future__ import annotations
@@ -118,30 +118,39 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, column: str = "
     model = fit_codes(np.array([v for v in sample if len(v) == width]), k, seed)
     classes, asked = classes.where(F.size("vector") == width), kept(asked.where(F.size("vector") == width).distinct())
     blocks = max(1, -(-classes.count() // BLOCK_VECTORS))
-    chunks = max(1, -(-asked.count() // BLOCK_QUERIES))
-    # A stated set of queries against all rows, in blocks: both sides of a task are bounded.
-    left = classes.select(F.pmod("mark", F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "vector", "ids")
-    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"), "vector", F.col("vec_id").alias("query_id"))
 
-    def search(data: pa.Table, wanted: pa.Table) -> pa.Table:
+    def search(data: pa.Table, wanted: pa.Table, radius: int) -> pa.Table:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if data.num_rows and wanted.num_rows:
             base, points = _matrix(data["vector"]), _matrix(wanted["vector"])
             lists = data["ids"].combine_chunks()
             ids, starts = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
             codes, own = model.of(lifted_rows(base)), model.of(lifted_queries(points))
-            hits = probe(codes, own, model.radius)
+            hits = probe(codes, own, radius)
             packed, mine = codes.view(np.uint64).ravel(), own.view(np.uint64).ravel()
             for i, query in enumerate(wanted["query_id"].to_pylist()):
                 near = np.flatnonzero(hits[i])
-                near = near[np.bitwise_count(packed[near] ^ mine[i]) <= model.radius]
+                near = near[np.bitwise_count(packed[near] ^ mine[i]) <= radius]
                 found.append(_best(query, points[i], base, near, ids, starts, k))
         parts = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.table({"query_id": pa.array(parts[0], pa.int64()), "vec_id": pa.array(parts[1], pa.int64()), "score": pa.array(parts[2], pa.float64())})
 
-    found = right.groupBy("block", "chunk").cogroup(left.groupBy("block", "chunk")).applyInArrow(lambda wanted, data: search(data, wanted), result)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def best(points: DataFrame, radius: int) -> DataFrame:
+        # A stated set of queries against all rows, in blocks: both sides of a task are bounded.
+        chunks = max(1, -(-points.count() // BLOCK_QUERIES))
+        left = classes.select(F.pmod("mark", F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "vector", "ids")
+        right = points.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"), "vector", F.col("vec_id").alias("query_id"))
+        found = right.groupBy("block", "chunk").cogroup(left.groupBy("block", "chunk")).applyInArrow(lambda wanted, data: search(data, wanted, radius), result)
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    first = kept(best(asked, model.radius))
+    full = kept(first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id")))
+    short = kept(asked.join(full, "vec_id", "left_anti"))
+    if model.radius >= BITS or short.isEmpty():
+        return first
+    # All codes lie within BITS: what these queries get is exact, and short only where there are fewer candidates.
+    return first.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").union(best(short, BITS))
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:

@@ -236,6 +236,29 @@ def test_nearest(spark):
     assert [r["vec_id"] for r in got if r["query_id"] == 320][:6] == [5, 300, 301, 302, 303, 304]
 
 
+def test_nearest_of_lone_queries(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 512)
+    monkeypatch.setattr(ann, "BLOCK_VECTORS", 700)
+    draw = np.random.default_rng(3)
+    centres = draw.normal(size=(10, 64))
+    points = centres[draw.integers(0, 10, size=3000)] + 0.02 * draw.normal(size=(3000, 64))
+    lone = list(range(0, 3000, 100))
+    points[lone] = draw.normal(size=(30, 64))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>").repartition(3)
+    got = ann.nearest(df, df.where("vec_id % 50 = 0"), 20).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    assert sorted(found) == list(range(0, 3000, 50)) and all(sorted(f) == list(range(1, 21)) for f in found.values())
+    shared = 0
+    for query, mine in found.items():
+        near = points @ points[query]
+        near[query] = -np.inf
+        shared += len(set(np.argsort(-near)[:20].tolist()) & set(mine.values()))
+    assert shared / 1200 >= 0.9
+
+
 def test_nearest_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (20, [2.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = ann.nearest(df, df.where("vec_id % 20 = 0"), 20).select("query_id", "rank", "vec_id", "score").collect()
