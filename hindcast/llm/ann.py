@@ -4,7 +4,8 @@ A rotation is learned on a bounded sample so that the signs of the rotated vecto
 64-bit codes are cut into eight substrings, each with an index of its own. By the pigeonhole principle a code within
 Hamming radius R of the query has a substring within R // 8 bits of the query's: probing those buckets finds every such
 code, and the floats of exactly these are compared. The radius is learned on the sample too, from the distances at which
-true neighbours lie. A query that finds fewer than k rows within it is searched again over all rows.
+true neighbours lie. Vectors longer than nearly all of the sample have no place in the ball that the codes describe: they
+are few, and compared with every query. A query that finds fewer than k rows within it is searched again over all rows.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from hindcast.llm.common import kept
 SAMPLE, SAMPLE_QUERIES = 8192, 512
 #: Share of the sample's true neighbours that the radius must reach.
 REACHED = 0.97
+#: Share of the sample's vectors that lie within the ball which the codes describe.
+INSIDE = 0.99
 #: Distinct vectors and queries that meet in one task.
 BLOCK_VECTORS, BLOCK_QUERIES = 4096, 2048
 BITS, PARTS = 64, 8
@@ -32,18 +35,25 @@ _DISTANCE = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange
 
 @dataclass(frozen=True)
 class Codes:
-    """The projection (one more row than the vectors have components) and the search radius."""
+    """The projection (one more row than the vectors have components), the search radius and the radius of the ball.
+
+    The ball is the same wherever codes are made, so a vector's code never depends on the vectors beside it.
+    """
 
     projection: np.ndarray
     radius: int
+    ball: float
+
+    def outside(self, vectors: np.ndarray) -> np.ndarray:
+        return np.sqrt((vectors * vectors).sum(axis=1)) > self.ball * (1 + 1e-9)
 
     def of(self, lifted: np.ndarray) -> np.ndarray:
         return np.packbits(lifted @ self.projection > 0, axis=1)
 
 
-def lifted_rows(vectors: np.ndarray) -> np.ndarray:
-    """Candidates scaled into the unit ball and lifted onto the sphere: the angle then follows the inner product."""
-    scaled = vectors / np.sqrt((vectors * vectors).sum(axis=1).max())
+def lifted_rows(vectors: np.ndarray, ball: float) -> np.ndarray:
+    """Candidates scaled by the ball and lifted onto the sphere: the angle then follows the inner product."""
+    scaled = vectors / ball
     return np.column_stack([scaled, np.sqrt(np.maximum(0.0, 1.0 - (scaled * scaled).sum(axis=1)))])
 
 
@@ -54,7 +64,9 @@ def lifted_queries(vectors: np.ndarray) -> np.ndarray:
 def fit_codes(vectors: np.ndarray, k: int, seed: int = 7, rounds: int = 25) -> Codes:
     """Principal directions, then rotations that bring the rows near the corners of the cube; as many as BITS need."""
     draw = np.random.default_rng(seed)
-    lifted = lifted_rows(vectors)
+    norms = np.sqrt((vectors * vectors).sum(axis=1))
+    ball = float(np.quantile(norms, INSIDE, method="higher"))
+    lifted = lifted_rows(vectors[norms <= ball], ball)
     order = np.linalg.eigh(lifted.T @ lifted)[1][:, ::-1]
     parts, made = [], 0
     while made < BITS:
@@ -67,13 +79,13 @@ def fit_codes(vectors: np.ndarray, k: int, seed: int = 7, rounds: int = 25) -> C
             turn = (u @ v).T
         parts.append(base @ turn)
         made += width
-    codes = Codes(np.column_stack(parts), BITS)
+    codes = Codes(np.column_stack(parts), BITS, ball)
     asked = vectors[:: max(1, len(vectors) // SAMPLE_QUERIES)][:SAMPLE_QUERIES]
     near = asked @ vectors.T
     top = np.argsort(-near, axis=1, kind="stable")[:, : k + 1]  # the query itself is among them
-    rows, own = codes.of(lifted), codes.of(lifted_queries(asked))
-    distance = np.bitwise_count(rows[top] ^ own[:, None, :]).sum(axis=2)
-    return Codes(codes.projection, int(np.quantile(distance, REACHED, method="higher")))
+    rows, own = codes.of(lifted_rows(vectors, ball)), codes.of(lifted_queries(asked))
+    distance = np.where(codes.outside(vectors)[top], 0, np.bitwise_count(rows[top] ^ own[:, None, :]).sum(axis=2))  # those are always met
+    return Codes(codes.projection, int(np.quantile(distance, REACHED, method="higher")), ball)
 
 
 def probe(codes: np.ndarray, queries: np.ndarray, radius: int) -> np.ndarray:
@@ -125,12 +137,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, column: str = "
             base, points = _matrix(data["vector"]), _matrix(wanted["vector"])
             lists = data["ids"].combine_chunks()
             ids, starts = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
-            codes, own = model.of(lifted_rows(base)), model.of(lifted_queries(points))
-            hits = probe(codes, own, radius)
+            codes, own = model.of(lifted_rows(base, model.ball)), model.of(lifted_queries(points))
+            hits, long = probe(codes, own, radius), model.outside(base)
             packed, mine = codes.view(np.uint64).ravel(), own.view(np.uint64).ravel()
             for i, query in enumerate(wanted["query_id"].to_pylist()):
-                near = np.flatnonzero(hits[i])
-                near = near[np.bitwise_count(packed[near] ^ mine[i]) <= radius]
+                near = np.flatnonzero(hits[i] | long)
+                near = near[long[near] | (np.bitwise_count(packed[near] ^ mine[i]) <= radius)]
                 found.append(_best(query, points[i], base, near, ids, starts, k))
         parts = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.table({"query_id": pa.array(parts[0], pa.int64()), "vec_id": pa.array(parts[1], pa.int64()), "score": pa.array(parts[2], pa.float64())})

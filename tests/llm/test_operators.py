@@ -259,6 +259,37 @@ def test_nearest_of_lone_queries(spark, monkeypatch):
     assert shared / 1200 >= 0.9
 
 
+def test_nearest_beside_long_vectors(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 512)
+    monkeypatch.setattr(ann, "BLOCK_VECTORS", 700)
+    draw = np.random.default_rng(4)
+    centres = draw.normal(size=(60, 32))
+    points = centres[draw.integers(0, 60, size=3000)] + 0.5 * draw.normal(size=(3000, 32))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    points *= np.exp(0.3 * draw.normal(size=(3000, 1)))
+    points[[7, 1203, 2111]] *= 1000
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>").repartition(3)
+    found = {}
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), 20).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    shared = 0
+    for query in range(0, 3000, 20):
+        near = points @ points[query]
+        near[query] = -np.inf
+        wanted = set(np.argsort(-near)[:20].tolist())
+        assert {7, 1203, 2111} & wanted <= found[query]
+        shared += len(wanted & found[query])
+    assert shared / 3000 >= 0.9
+
+
+def test_codes_do_not_depend_on_the_block():
+    points = np.random.default_rng(5).normal(size=(400, 32))
+    points[399] *= 1000
+    codes = ann.fit_codes(points[:300], 20)
+    alone, beside = (codes.of(ann.lifted_rows(points[rows], codes.ball)) for rows in (slice(300, 350), slice(300, 400)))
+    assert (alone == beside[:50]).all() and codes.outside(points)[399]
+
+
 def test_nearest_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (20, [2.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = ann.nearest(df, df.where("vec_id % 20 = 0"), 20).select("query_id", "rank", "vec_id", "score").collect()
