@@ -38,10 +38,16 @@ IMPLIED_ENDS = {
     "tbody": (("td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup"), ("table",)),
     "thead": (("td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup"), ("table",)),
     "tfoot": (("td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup"), ("table",)),
+    "caption": (("td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup"), ("table",)),
+    "colgroup": (("td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup"), ("table",)),
     "body": (("head",), ()),
     "rt": (("rt", "rp"), ("ruby",)),
     "rp": (("rt", "rp"), ("ruby",)),
 }
+SECTIONS = frozenset(("thead", "tbody", "tfoot"))
+#: Elements whose children are table parts only; whatever else stands in them is moved before the table.
+TABLE_CONTEXT = SECTIONS | {"table", "tr"}
+TABLE_PARTS = SECTIONS | {"tr", "td", "th", "caption", "colgroup", "col"}
 #: Elements are nested so deep at most; deeper ones become siblings, as in browsers.
 DEEPEST = 200
 #: A table column is padded to so many characters at most; longer cells stand whole and push the next one right.
@@ -51,6 +57,7 @@ _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)
 _PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?""")
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_BLANK = " \t\n\r\f"
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -69,7 +76,10 @@ def parse(html: str) -> Node:
 
     def text(piece: str) -> None:
         if piece:
-            stack[-1].children.append(unescape(piece))
+            piece = unescape(piece)
+            if stack[-1].tag in ("head", "colgroup") and piece.strip(_BLANK):
+                _leave(stack, "head", "colgroup")
+            _place(stack, piece)
 
     while at < end:
         open_at = html.find("<", at)
@@ -114,14 +124,22 @@ def _open(stack: list[Node], tag: str, attrs: dict[str, str]) -> None:
     if tag in ("html", "body") and any(n.tag == tag for n in stack):
         return
     if tag not in HIDDEN or tag in ("dialog",):
-        while stack[-1].tag == "head":  # body is implied by the first thing that cannot be in head
-            stack.pop()
+        _leave(stack, "head", "colgroup")  # body is implied by the first thing that cannot be in head
+    elif tag not in ("col", "template"):
+        _leave(stack, "colgroup")
     if tag in ENDS_PARAGRAPH:
         _end_within(stack, ("p",), ("button", "td", "th", "caption", "table", "object", "template"))
     if tag in IMPLIED_ENDS:
         ends, stops = IMPLIED_ENDS[tag]
-        while _end_within(stack, ends, stops):
+        while _end_within(stack, ends, (*stops, "template")):
             pass
+    if tag in TABLE_PARTS:
+        _back_to_table(stack)
+    elif stack[-1].tag in TABLE_CONTEXT:
+        if tag == "form":
+            return  # empty in a table: what follows belongs to the table
+        if tag == "table":
+            _end_within(stack, ("table",), ("template",))
     if tag in ("td", "th") and stack[-1].tag != "tr" and any(n.tag == "table" for n in stack):
         _push(stack, Node("tr", {}))
     if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
@@ -135,10 +153,38 @@ def _open(stack: list[Node], tag: str, attrs: dict[str, str]) -> None:
 def _push(stack: list[Node], node: Node) -> None:
     if len(stack) > DEEPEST:
         stack.pop()
-    stack[-1].children.append(node)
+    _place(stack, node)
     stack.append(node)
 
 
+def _place(stack: list[Node], child: Node | str) -> None:
+    """Append to the innermost open element; from outside the cells of a table it moves before the table."""
+    if stack[-1].tag in TABLE_CONTEXT and (child.strip(_BLANK) if isinstance(child, str) else child.tag not in TABLE_PARTS and child.tag not in ("table", "template")):
+        i = len(stack) - 1
+        while stack[i].tag in TABLE_CONTEXT and stack[i].tag != "table":
+            i -= 1
+        if stack[i].tag == "table":
+            stack[i - 1].children.insert(-1, child)  # an open table is its parent's last child
+            return
+    stack[-1].children.append(child)
+
+
+def _leave(stack: list[Node], *tags: str) -> None:
+    while stack[-1].tag in tags:
+        stack.pop()
+
+
+def _back_to_table(stack: list[Node]) -> None:
+    """Before a part of a table, end what was opened in the table outside of its cells."""
+    for i in range(len(stack) - 1, 0, -1):
+        tag = stack[i].tag
+        if tag in TABLE_CONTEXT:
+            del stack[i + 1 :]
+            return
+        if tag in ("td", "th", "caption") or tag in HIDDEN:
+            return
+
+
 def _end_within(stack: list[Node], tags: tuple[str, ...], stops: tuple[str, ...]) -> bool:
     """Close the innermost open element among ``tags`` unless one of ``stops`` is further in."""
     for i in range(len(stack) - 1, 0, -1):
@@ -152,14 +198,14 @@ def _end_within(stack: list[Node], tags: tuple[str, ...], stops: tuple[str, ...]
 
 def _close(stack: list[Node], tag: str) -> None:
     if tag == "br":
-        stack[-1].children.append(Node("br", {}))
+        _place(stack, Node("br", {}))
         return
     if tag == "p" and not any(n.tag == "p" for n in stack):
-        stack[-1].children.append(Node("p", {}))
+        _place(stack, Node("p", {}))
         return
     if tag in ("html", "body"):
         return  # what follows still belongs to the body
-    stops = ("table",) if tag in ("td", "th", "tr") else ("td", "th", "caption", "button") if tag not in ("table", "tbody", "thead", "tfoot") else ()
+    stops = ("table",) if tag in ("td", "th", "tr") else ("td", "th", "caption", "button", "table") if tag == "form" else ("td", "th", "caption", "button") if tag not in ("table", "tbody", "thead", "tfoot", "template") else ()
     _end_within(stack, (tag,), tuple(s for s in stops if s != tag))
 
 
@@ -312,10 +358,18 @@ def _rows(table: Node) -> Iterator[Node]:
         if not isinstance(child, str) and visible(child):
             if child.tag == "tr":
                 yield child
-            elif child.tag in ("thead", "tbody", "tfoot"):
+            elif child.tag in SECTIONS:
                 yield from _rows(child)
 
 
+def _strays(table: Node) -> Iterator[Node | str]:
+    for child in table.children:
+        if isinstance(child, str) or child.tag not in TABLE_CONTEXT - {"table"} and child.tag not in ("colgroup", "col"):
+            yield child
+        elif child.tag in SECTIONS and visible(child):
+            yield from _strays(child)
+
+
 def table_lines(table: Node) -> list[str]:
     """Caption and rows of a table, cells padded to the width of their column.
 
@@ -324,9 +378,7 @@ def table_lines(table: Node) -> list[str]:
     """
     lines: list[str] = []
     stray = Node("div", {})
-    for child in table.children:
-        if isinstance(child, str) or child.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col"):
-            stray.children.append(child)
+    stray.children = list(_strays(table))
     lines += inner(stray)
     grid: list[dict[int, list[str]]] = []
     below: dict[int, int] = {}  # column -> rows still spanned from above

@@ -378,6 +378,38 @@ def test_html_text(html, text):
     assert html_text.text_of(html) == text
 
 
+MISPLACED = [
+    ("<table><tbody><form><tr><td>X<td>Y</td></tr></form></tbody></table>Z", "X  Y\n\nZ"),
+    ("<form>F<table><tr><form><td>X</form><tr><td>Y</table>Z</form>", "F\n\nX\nY\n\nZ"),
+    ("<table><tbody><p>note</p><tr><td>X</table>", "note\n\nX"),
+    ("<table><tbody>bare<tr><td>X</td></tr>more</tbody>last</table>", "baremorelast\n\nX"),
+    ("<table><tbody><div>note<tr><td>X<td>Y</table>", "note\n\nX  Y"),
+    ("<table hidden><p>note</p><tr><td>X</table>", "note"),
+    ("<table><tr><td>X</tr><caption>C</caption></table>", "C\nX"),
+    ("<table><colgroup><col>note<tr><td>X</table>", "note\n\nX"),
+    ("<table><colgroup><td>X</table>", "X"),
+    ("<table><tr><td>X<table><tr><td>in</table>Y</table>", "X\nin\nY"),
+    ("<table><tr><table><tr><td>in</table>Y", "in\n\nY"),
+    ("<table><tr><template>no<tr>no<td>no</template><td>X</table>", "X"),
+    ("<head><title>T</title>Hello<p>x", "Hello\n\nx"),
+    ("<html><head> <title>T</title>\n</head> <body>b", "b"),
+]
+
+
+@pytest.mark.parametrize("html,text", MISPLACED)
+def test_misplaced_text_is_kept(html, text):
+    assert html_text.text_of(html) == text
+
+
+def test_every_visible_word_of_mixed_tables_comes_out():
+    draw = random.Random(2)
+    bits = ["<table>", "</table>", "<tbody>", "</tbody>", "<thead>", "<tr>", "</tr>", "<td>", "</td>", "<form>", "</form>", "<p>", "</p>", "<div>", "</div>", "<caption>", "<colgroup>", "<col>", "<b>", "<ul>", "<li>"]
+    for _ in range(500):
+        made = [draw.choice(bits) if draw.random() < 0.7 else f" w{i} " for i in range(40)]
+        wanted = sorted(m.strip() for m in made if m.startswith(" "))
+        assert sorted(w for w in html_text.text_of("<head>" + "".join(made)).split() if w != "-") == wanted
+
+
 def test_html_survives_anything(spark):
     draw = random.Random(1)
     bits = ["<p>", "</p>", "<table>", "<tr>", "<td colspan=9999>", "</table>", "<li>", "<ul>", "<!--", "-->", "<script>", "</script>", "&", "&#x1F600;", "word ", "<", ">", '"', "'", "<a b='", "<td rowspan=99999>", "\x00", "<select><option>", "<svg>", "</svg>"]
