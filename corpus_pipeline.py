@@ -29,10 +29,14 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more.
 
-    Of rows that repeat doc_id and text one stays.
+    The one with the smallest (doc_id, hash of the text) stays, null doc_ids last; of rows that repeat both one stays.
+    Documents without words are near copies of nothing.
     """
-    found = near_dup.near_duplicates(docs, size=5, percent=80).where("kept")
-    stay = kept(found.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("times")))
+    found = kept(near_dup.near_duplicates(docs, size=5, percent=80, labels=True).groupBy("comp", "doc_id", "h").agg(F.count(F.lit(1)).alias("times")))
+    # min() of structs takes null for the smallest, so whether the doc_id is null comes first.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h", "times")).alias("first")
+    chosen = found.where("comp is not null").groupBy("comp").agg(first).select("first.doc_id", "first.h", "first.times")
+    stay = kept(chosen.union(found.where("comp is null").select("doc_id", "h", "times")))
     return chosen_once(docs, stay).select("row.*")
 
 

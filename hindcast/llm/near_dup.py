@@ -171,9 +171,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, seed:
     return full.mapInArrow(confirm, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 50, rows: int = 6, seed: int = 7) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 50, rows: int = 6, seed: int = 7, labels: bool = False) -> DataFrame:
     """doc_id, h, n_shingles, component_id, kept: one row per document row; extra columns are ignored.
 
+    ``labels`` adds comp, the component's smallest node (null where the set is empty): unlike component_id it tells apart
+    components whose doc_ids are null or shared.
+
     A document's set holds its distinct ``size``-word shingles; with fewer words the whole sequence is one, and without
     words (null, empty or blank text) the set is empty and linked with nothing. Documents are linked when
     100 * |intersection| >= percent * |union|; component_id is the smallest doc_id reachable, kept says it is the row's
@@ -215,9 +218,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
     placed = full.join(comps, "node", "left").select("doc_id", "h", "n", F.coalesce("comp", "node").alias("comp"))
     smallest = kept(placed.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
-    named = placed.join(smallest, "comp").select("doc_id", "h", "n", "component_id")
-    alone = scanned.where("n = 0").select("doc_id", "h", "n", F.col("doc_id").alias("component_id"))
-    return named.union(alone).select("doc_id", "h", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = placed.join(smallest, "comp").select("doc_id", "h", "n", "component_id", "comp")
+    alone = scanned.where("n = 0").select("doc_id", "h", "n", F.col("doc_id").alias("component_id"), F.col("node").alias("comp"))
+    out = ["doc_id", "h", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")]
+    return named.union(alone).select(*out, *(["comp"] if labels else []))
 
 
 def _across_components(members: DataFrame, wanted: DataFrame, comps: DataFrame, likely: Callable[[str, str], Column]) -> DataFrame:

@@ -127,6 +127,20 @@ def test_stages_equal_the_contracts(spark, tables, tmp_path):
     assert abs(size(mixed) - size(rows)) <= 0.2 * size(rows)
 
 
+def test_one_document_of_each_group_stays(spark):
+    draw = random.Random(8)
+    words = lambda: [f"w{draw.randrange(10**6)}" for _ in range(80)]
+    edited = lambda base, i: " ".join([*base[:i], "edited", *base[i + 1 :]])
+    nameless, shared, mixed, alone = words(), words(), words(), words()
+    rows = [(None, edited(nameless, 2 * i)) for i in range(5)] + [(7, edited(shared, 2 * i)) for i in range(5)]
+    rows += [(None, edited(mixed, 1)), (9, edited(mixed, 3)), (8, edited(mixed, 5)), (8, edited(mixed, 5)), (7, " ".join(alone)), (None, None), (None, ""), (3, ""), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in dict(corpus_pipeline.STAGES)["minhash_near_dedup"](spark, docs, "").collect()]
+    group = lambda text: next((i for i, g in enumerate((nameless, shared, mixed, alone)) if text and g[-1] in text.split()), None)
+    assert in_order((d, group(t)) for d, t in got if t) == in_order([(None, 0), (7, 1), (8, 2), (7, 3)])
+    assert in_order(r for r in got if not r[1]) == in_order([(None, None), (None, ""), (3, "")])
+
+
 def test_run_applies_all_stages(spark, tables):
     folder, *_ = tables
     first = in_order(map(tuple, corpus_pipeline.run(spark, folder).collect()))
