@@ -2,13 +2,14 @@
 
 Rows sharing a timestamp see the same history. Amounts are counted in integer units of the smallest
 decimal place they use, so that every sum is exact and a zero variance is exactly zero; amounts that
-are not finite are skipped like NULL.
+are not finite are skipped like NULL. Amounts too large for sums in that unit are counted apart, in
+coarser units, and touch only the windows that hold one.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import replace
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +21,20 @@ from hindcast.roles import EntityFeatures, Roles
 
 DIRECT_FRAME_ROWS = 500
 TOTAL = "decimal(38,0)"
+#: Powers of ten that share a unit among the amounts which are too large for the finest one.
+LANE_POWERS = 3
+
+
+@dataclass(frozen=True)
+class Lane:
+    """Amounts with low <= |amount| < high, counted in units of 10^-decimals."""
+
+    low: float
+    high: float
+    decimals: int
+
+
+WHOLE = Lane(0.0, math.inf, 0)
 
 
 def entity_features(
@@ -27,7 +42,7 @@ def entity_features(
     spec: EntityFeatures,
     roles: Roles = Roles(),
     layout: Layout | None = None,
-    decimals: int | None = None,
+    lanes: list[Lane] | None = None,
 ) -> DataFrame:
     """Append velocity, amount, recency and history columns of one entity.
 
@@ -41,14 +56,15 @@ def entity_features(
     layout = layout or profile(rows, roles.time, (group,))
     if group != spec.columns:
         work = before(rows.withColumn("_one", F.lit(1).cast("long")), group, roles.time, {"_seen": "_one"}, layout)
-        return work.select(*columns, *_finish(spec, roles, decimals))
-    if spec.amounts and decimals is None:
-        decimals = decimal_places(rows, roles.amount)
-    units = amount_units(F.col(roles.amount), decimals or 0)
-    work = rows.withColumn("_units", units).withColumn("_square", (F.col("_units") * F.col("_units")).cast(TOTAL))
+        return work.select(*columns, *_finish(spec, roles, [WHOLE]))
+    if spec.amounts and lanes is None:
+        lanes = amount_lanes(rows, roles.amount)
+    lanes = lanes or [WHOLE]
+    work = rows.select("*", *(amount_units(F.col(roles.amount), lane).alias(f"_units{i}") for i, lane in enumerate(lanes)))
+    work = work.select("*", *((F.col(f"_units{i}") * F.col(f"_units{i}")).cast(TOTAL).alias(f"_square{i}") for i in range(len(lanes))))
     small = group and layout.largest.get(group, layout.rows) <= DIRECT_FRAME_ROWS
-    work = _framed(work, spec, roles) if small else _swept(work, spec, roles, layout)
-    return work.select(*columns, *_finish(spec, roles, decimals))
+    work = _framed(work, spec, roles, len(lanes)) if small else _swept(work, spec, roles, layout, len(lanes))
+    return work.select(*columns, *_finish(spec, roles, lanes))
 
 
 def spec_group(spec: EntityFeatures) -> tuple[str, ...]:
@@ -78,28 +94,55 @@ def spread_unknown(rows: DataFrame, columns: tuple[str, ...], key: str) -> DataF
     return rows.withColumn(spread_name(columns), F.when(known, F.lit(0)).otherwise(F.pmod(F.xxhash64(key), F.lit(4096)).cast("int")))
 
 
+def _amount_facts(rows: DataFrame, amount: str) -> tuple[int, float, int]:
+    """How many amounts there are, the largest, and the decimal places they use, up to 12."""
+    value = F.abs(finite(F.col(amount).cast("double")))
+    text = F.rtrim(F.format_number(value, 12), F.lit("0"))
+    facts = rows.agg(F.count(value).alias("n"), F.max(value).alias("largest"), F.max(F.length(F.substring_index(text, ".", -1))).alias("used")).first()
+    return facts["n"], facts["largest"] or 0.0, min(facts["used"] or 0, 12)
+
+
+def _room(n: int, largest: float) -> int:
+    """largest^2 * n * 10^(2 * places) must stay below 10^37; a negative answer counts in tens, hundreds, ..."""
+    return math.floor((37 - math.log10(n) - 2 * math.log10(max(largest, 1e-12))) / 2)
+
+
 def decimal_places(rows: DataFrame, amount: str) -> int:
     """The decimal places in which the amounts are exact, up to 12, as far as 38 digits hold the sum of their squares.
 
     Doubles beyond 15 significant digits have none of their own; they are rounded at the last place.
     """
-    value = F.abs(finite(F.col(amount).cast("double")))
-    text = F.rtrim(F.format_number(value, 12), F.lit("0"))
-    facts = rows.agg(F.count(value).alias("n"), F.max(value).alias("largest"), F.max(F.length(F.substring_index(text, ".", -1))).alias("used")).first()
-    if not facts["n"]:
-        return 0
-    # largest^2 * n * 10^(2 * places) must stay below 10^37; a negative answer counts in tens, hundreds, ...
-    room = math.floor((37 - math.log10(facts["n"]) - 2 * math.log10(max(facts["largest"], 1e-12))) / 2)
-    return min(facts["used"], 12, room)
+    n, largest, used = _amount_facts(rows, amount)
+    return min(used, _room(n, largest)) if n else 0
 
 
-def amount_units(amount: Column, decimals: int) -> Column:
-    """How many units of 10^-decimals an amount is; NULL when it is not finite."""
-    scaled = finite(amount.cast("double")) * F.lit(10.0**decimals)
-    return F.round(scaled).cast("decimal(19,0)")
+def amount_lanes(rows: DataFrame, amount: str) -> list[Lane]:
+    """The units the amounts are counted in: one lane where all fit, else one for each occupied range of sizes.
 
-
-def _framed(work: DataFrame, spec: EntityFeatures, roles: Roles) -> DataFrame:
+    The finest unit is that of the places used, whatever the largest amount is; 38 digits hold each lane's squares.
+    """
+    n, largest, used = _amount_facts(rows, amount)
+    if not n or _room(n, largest) >= used:
+        return [replace(WHOLE, decimals=used)]
+    fit, lanes = _room(n, 1.0) - used, []
+    while not lanes or lanes[-1].high <= largest:
+        power = fit + LANE_POWERS * len(lanes)
+        high = 10.0**power if power <= 308 else math.inf
+        lanes.append(Lane(lanes[-1].high if lanes else 0.0, high, used - LANE_POWERS * len(lanes)))
+    value = F.abs(F.col(amount).cast("double"))
+    held = rows.agg(*(F.count_if((value >= lane.low) & (value < lane.high)).alias(str(i)) for i, lane in enumerate(lanes))).first()
+    return [lane for i, lane in enumerate(lanes) if held[str(i)]]
+
+
+def amount_units(amount: Column, lane: Lane) -> Column:
+    """How many units of 10^-decimals an amount is; NULL when it is not finite or not of this lane."""
+    value = finite(amount.cast("double"))
+    if (lane.low, lane.high) != (WHOLE.low, WHOLE.high):
+        value = F.when((F.abs(value) >= lane.low) & (F.abs(value) < lane.high), value)
+    return F.round(value * F.lit(10.0**lane.decimals)).cast("decimal(19,0)")
+
+
+def _framed(work: DataFrame, spec: EntityFeatures, roles: Roles, lanes: int) -> DataFrame:
     ordered = Window.partitionBy(*spec.columns).orderBy(roles.time)
     past = ordered.rangeBetween(Window.unboundedPreceding, -1)
     made = []
@@ -107,11 +150,12 @@ def _framed(work: DataFrame, spec: EntityFeatures, roles: Roles) -> DataFrame:
         made.append(F.count(F.lit(1)).over(ordered.rangeBetween(-length, -1)).alias(f"_n_{label}"))
     for label, length in spec.amounts.items():
         frame = ordered.rangeBetween(-length, -1)
-        made += [
-            F.count("_units").over(frame).alias(f"_an_{label}"),
-            F.coalesce(F.sum("_units").over(frame), F.lit(0)).cast(TOTAL).alias(f"_as_{label}"),
-            F.coalesce(F.sum("_square").over(frame), F.lit(0)).cast(TOTAL).alias(f"_aq_{label}"),
-        ]
+        for i in range(lanes):
+            made += [
+                F.count(f"_units{i}").over(frame).alias(f"_an{i}_{label}"),
+                F.coalesce(F.sum(f"_units{i}").over(frame), F.lit(0)).cast(TOTAL).alias(f"_as{i}_{label}"),
+                F.coalesce(F.sum(f"_square{i}").over(frame), F.lit(0)).cast(TOTAL).alias(f"_aq{i}_{label}"),
+            ]
     if spec.recency:
         made.append(F.max(roles.time).over(past).alias("_last"))
     if spec.history:
@@ -119,7 +163,7 @@ def _framed(work: DataFrame, spec: EntityFeatures, roles: Roles) -> DataFrame:
     return work.select("*", *made)
 
 
-def _swept(work: DataFrame, spec: EntityFeatures, roles: Roles, layout: Layout) -> DataFrame:
+def _swept(work: DataFrame, spec: EntityFeatures, roles: Roles, layout: Layout, lanes: int) -> DataFrame:
     """Arrivals add to the running totals, expiries of window w at time t + w are kept apart."""
     windows = sorted({*spec.velocity.values(), *spec.amounts.values()})
     if windows and layout.rows <= layout.rows_per_chunk:
@@ -135,20 +179,20 @@ def _swept(work: DataFrame, spec: EntityFeatures, roles: Roles, layout: Layout)
     arrival = F.col("_shift") == 0
     one = F.lit(1).cast("long")
     contributions = {"_c_n": F.when(arrival, one)}
-    if with_amount:
+    for i in range(lanes if with_amount else 0):
         contributions |= {
-            "_c_an": F.when(arrival & F.col("_units").isNotNull(), one),
-            "_c_as": F.when(arrival, F.col("_units").cast(TOTAL)),
-            "_c_aq": F.when(arrival, F.col("_square")),
+            f"_c_an{i}": F.when(arrival & F.col(f"_units{i}").isNotNull(), one),
+            f"_c_as{i}": F.when(arrival, F.col(f"_units{i}").cast(TOTAL)),
+            f"_c_aq{i}": F.when(arrival, F.col(f"_square{i}")),
         }
     for w in windows:
         leaving = F.col("_shift") == w
         contributions[f"_x_n_{w}"] = F.when(leaving, one)
-        if w in with_amount:
+        for i in range(lanes if w in with_amount else 0):
             contributions |= {
-                f"_x_an_{w}": F.when(leaving & F.col("_units").isNotNull(), one),
-                f"_x_as_{w}": F.when(leaving, F.col("_units").cast(TOTAL)),
-                f"_x_aq_{w}": F.when(leaving, F.col("_square")),
+                f"_x_an{i}_{w}": F.when(leaving & F.col(f"_units{i}").isNotNull(), one),
+                f"_x_as{i}_{w}": F.when(leaving, F.col(f"_units{i}").cast(TOTAL)),
+                f"_x_aq{i}_{w}": F.when(leaving, F.col(f"_square{i}")),
             }
     events = events.select(
         "*",
@@ -176,11 +220,12 @@ def _swept(work: DataFrame, spec: EntityFeatures, roles: Roles, layout: Layout)
         for label, w in spec.velocity.items()
     ]
     for label, w in spec.amounts.items():
-        made += [
-            (F.col("_before_c_an") - F.col(f"_before_x_an_{w}")).alias(f"_an_{label}"),
-            (F.col("_before_c_as") - F.col(f"_before_x_as_{w}")).cast(TOTAL).alias(f"_as_{label}"),
-            (F.col("_before_c_aq") - F.col(f"_before_x_aq_{w}")).cast(TOTAL).alias(f"_aq_{label}"),
-        ]
+        for i in range(lanes):
+            made += [
+                (F.col(f"_before_c_an{i}") - F.col(f"_before_x_an{i}_{w}")).alias(f"_an{i}_{label}"),
+                (F.col(f"_before_c_as{i}") - F.col(f"_before_x_as{i}_{w}")).cast(TOTAL).alias(f"_as{i}_{label}"),
+                (F.col(f"_before_c_aq{i}") - F.col(f"_before_x_aq{i}_{w}")).cast(TOTAL).alias(f"_aq{i}_{label}"),
+            ]
     if spec.history:
         made.append(F.col("_before_c_n").alias("_seen"))
     return done.select("*", *made)
@@ -196,18 +241,35 @@ def _deviation(n: Column, total: Column, squares: Column) -> Column:
     return F.sqrt(F.coalesce(exact, F.when(constant, 0.0).otherwise(rough))) / n
 
 
-def _finish(spec: EntityFeatures, roles: Roles, decimals: int | None) -> list[Column]:
+def _moments(label: str, lanes: list[Lane]) -> tuple[Column, Column, Column]:
+    """Sum, mean and deviation of a window's amounts: exact within a lane, lanes combined by their means and deviations."""
+    parts = []
+    for i, lane in enumerate(lanes):
+        n, s, q = (F.col(f"_{kind}{i}_{label}") for kind in ("an", "as", "aq"))
+        scale = F.lit(10.0**lane.decimals)
+        parts.append((n, s.cast("double") / scale, F.when(n > 0, s.cast("double") / n / scale), F.when(n > 0, _deviation(n, s, q) / scale)))
+    n, total = (reduce(lambda a, b: a + b, (p[k] for p in parts)) for k in (0, 1))
+    if len(parts) == 1:
+        return total, parts[0][2], F.when(n > 1, parts[0][3])
+    alone = [p[0] == n for p in parts]
+    mean = F.coalesce(*(F.when(own, p[2]) for own, p in zip(alone, parts, strict=True)), F.when(n > 0, total / n))
+    apart = [(p[0], F.coalesce(x, F.lit(0.0))) for p in parts for x in (p[3], p[2] - mean)]
+    # In units of the largest, so that no square overflows.
+    most = F.greatest(*(F.abs(x) for _, x in apart))
+    spread = reduce(lambda a, b: a + b, (k * (x / most) * (x / most) for k, x in apart))
+    pooled = F.when(most > 0, most * F.sqrt(spread / n)).otherwise(0.0)
+    return total, mean, F.when(n > 1, F.coalesce(*(F.when(own, p[3]) for own, p in zip(alone, parts, strict=True)), pooled))
+
+
+def _finish(spec: EntityFeatures, roles: Roles, lanes: list[Lane]) -> list[Column]:
     out = [F.col(f"_n_{label}").alias(f"velocity_{spec.name}_{label}") for label in spec.velocity]
-    scale = F.lit(10.0 ** (decimals or 0))
     for label in spec.amounts:
-        n, s, q = F.col(f"_an_{label}"), F.col(f"_as_{label}"), F.col(f"_aq_{label}")
-        mean = F.when(n > 0, s.cast("double") / n / scale)
-        std = F.when(n > 1, _deviation(n, s, q) / scale)
+        total, mean, std = _moments(label, lanes)
         zscore = F.when(std > 0, (finite(F.col(roles.amount).cast("double")) - mean) / std)
         prefix = f"amount_{spec.name}_{label}"
         out += [mean.alias(f"{prefix}_mean"), std.alias(f"{prefix}_std"), zscore.alias(f"{prefix}_zscore")]
         if spec.sums:
-            out.append((s.cast("double") / scale).alias(f"{prefix}_sum"))
+            out.append(total.alias(f"{prefix}_sum"))
     if spec.recency:
         out.append((F.col(roles.time) - F.col("_last")).alias(f"recency_{spec.name}"))
     if spec.history:
@@ -236,9 +298,9 @@ def behavioural_features(
         work = _grouped(work, spec, roles)
     # Profiled once on the plain rows, before any window is stacked on them.
     layout = layout or profile(work, roles.time, tuple(dict.fromkeys(spec_group(s) for s in specs)))
-    decimals = decimal_places(rows, roles.amount) if any(s.amounts for s in specs) else None
+    lanes = amount_lanes(rows, roles.amount) if any(s.amounts for s in specs) else None
     for spec in sorted(specs, key=lambda s: s.columns):
-        work = entity_features(work, spec, roles, layout, decimals)
+        work = entity_features(work, spec, roles, layout, lanes)
     return work.select(roles.key, *(o for s in specs for o in s.outputs()))
 
 

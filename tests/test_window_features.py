@@ -100,6 +100,19 @@ def test_large_sums_do_not_overflow(spark):
     agree(got, wanted, 1e3)
 
 
+@pytest.mark.parametrize("split", [False, True])
+def test_outliers_touch_only_windows_that_hold_one(spark, split):
+    rows = random_rows(11)
+    for key, outlier in ((3, 1e17), (40, 1e30), (77, -1e17)):
+        rows[key] = (*rows[key][:2], outlier, 1, *rows[key][4:])
+    rows += [(200 + i, 10 * i, 12.34 + i, 9, "p", 0) for i in range(8)]
+    layout = None
+    if split:
+        groups = [pit.spec_group(s) for s in SPECS]
+        layout = ordered.Layout(158, (16.0, 17.0, 18.0, 60.0), dict.fromkeys(groups, 5000), dict.fromkeys(groups, ()), 1, 99)
+    agree(features(spark.createDataFrame(rows, SCHEMA), layout=layout), expected(rows), 0.01)
+
+
 def test_decimal_places(spark):
     places = lambda *amounts: pit.decimal_places(spark.createDataFrame([(float(a),) for a in amounts], "a double"), "a")
     assert [places(1), places(2.5, 10), places(0.00125), places(float("nan"))] == [0, 1, 5, 0]
