@@ -114,6 +114,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sam
     are told right, and of several such places in the middle. Without labels every probability is nearly 0.
     """
     wanted = labels.select("doc_id", *categories).dropna().withColumn("order", F.xxhash64(F.lit(seed), "doc_id"))
+    wanted = kept(wanted.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"))
     last = categories[-1]
     picked = wanted.where(F.col(last) == 1).orderBy("order", "doc_id").limit(sample).union(wanted.where(F.col(last) == 0).orderBy("order", "doc_id").limit(sample))
     picked = kept(picked.drop("order"))  # 2 * sample rows at most: proven small

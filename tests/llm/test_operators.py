@@ -456,6 +456,16 @@ def test_toxicity_chain(spark):
     assert again.threshold == chain.threshold and np.array_equal(again.weights, chain.weights)
 
 
+def test_labels_without_documents_take_no_places(spark):
+    rows, labels = toxic_corpus(300)
+    df = spark.createDataFrame(rows, "doc_id long, text string, h string")
+    fitted = []
+    for more in ([], [(10_000 + i, 0, i % 2) for i in range(5000)]):
+        known = spark.createDataFrame([*labels, *more], "doc_id long, low_quality int, toxic int")
+        fitted.append(toxicity.fit_chain(df, known, ["low_quality", "toxic"], sample=100, steps=20))
+    assert fitted[0].features == fitted[1].features and np.array_equal(fitted[0].weights, fitted[1].weights)
+
+
 def test_toxicity_without_labels(spark):
     df = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, low_quality int, toxic int")
