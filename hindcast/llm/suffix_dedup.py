@@ -2,8 +2,8 @@
 
 Only suffixes that begin at content-selected minimiser positions are retained: equal passages select equal positions, a few
 per cent of all. They are sorted over the whole corpus by the gram they begin with and then by the context around it, and
-each is compared with its neighbours only. Suffixes next to one with the same beginning are shared; their matches are then
-extended to the left and the right, as far as windows of ``window`` words around them agree.
+each is compared with its neighbours only. Suffixes next to one with the same beginning are shared; where the
+contexts differ, every window of ``window`` words in them is hashed and grouped.
 """
 
 from __future__ import annotations
