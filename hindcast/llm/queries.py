@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hindcast.llm import ann, decontamination, graph_dedup, html_text, line_dedup, mixing, near_dup, suffix_dedup, toxicity, warc
+import public_tokenizers
+from hindcast.llm import ann, bpe, decontamination, graph_dedup, hard_negatives, html_text, line_dedup, mixing, near_dup, suffix_dedup, toxicity, vector_codes, warc
 from hindcast.llm.common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,4 +200,68 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+@query("op11_byte_bpe")
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    ids = F.col("ids")
+    done = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    digests = (F.sha2(made, 256).alias(name) for name, made in (("ids_sha256", bpe.little_endian(ids, ranks)), ("decoded_sha256", bpe.decoded(ids, ranks))))
+    return done.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), *digests)
+
+
+#: Whether a vector is there and all its components are.
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """Each round: every part meets the entries of its codebook, and entries become the floors of means."""
+    assign = """a{n} AS MATERIALIZED (SELECT vec_id, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+  SELECT v.vec_id, v.part, b.entry, list_sum(list_transform(range(1, 9), lambda i: (v.x[i] - b.x[i]) * (v.x[i] - b.x[i])))::BIGINT AS d
+  FROM v JOIN b{n} b ON b.part = v.part) GROUP BY vec_id, part)"""
+    refine = """m{n} AS (SELECT v.part, a.entry, i, sum(v.x[i])::HUGEINT AS s, count(*)::HUGEINT AS c FROM v JOIN a{n} a ON a.vec_id = v.vec_id AND a.part = v.part,
+  (SELECT unnest(range(1, 9)) AS i) GROUP BY ALL),
+b{k} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(n.x, b.x) AS x FROM b{n} b LEFT JOIN (
+  SELECT part, entry, list(((s - ((s % c) + c) % c) // c)::BIGINT ORDER BY i) AS x FROM m{n} GROUP BY part, entry) n ON n.part = b.part AND n.entry = b.entry)"""
+    steps = [line.format(n=n, k=n + 1) for n in range(rounds) for line in (assign, refine)] + [assign.format(n=rounds)]
+    return f"""
+WITH r AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS x FROM embeddings WHERE {_FINITE}),
+v AS MATERIALIZED (SELECT vec_id, part, list_slice(x, 8 * part + 1, 8 * part + 8) AS x FROM r, (SELECT unnest(range(8)) AS part)),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM r ORDER BY vec_id LIMIT 16),
+b0 AS MATERIALIZED (SELECT part, entry, x FROM v JOIN f USING (vec_id)),
+{", ".join(steps)},
+e AS (SELECT vec_id, string_agg(lpad(format('{{:x}}', entry), 2, '0'), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id),
+l AS (SELECT r.label, sum(error)::BIGINT AS label_error FROM e JOIN r USING (vec_id) GROUP BY r.label),
+s AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+SELECT r.vec_id, code, error, label_error, codebooks_sha256 FROM r JOIN e USING (vec_id) JOIN l ON l.label IS NOT DISTINCT FROM r.label, s
+"""
+
+
+@query("op12_vector_codes", _codes_sql())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    listed = ",".join(map(str, books.entries.ravel().tolist())) if books else ""
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return done.select("vec_id", code.alias("code"), "error", "label_error", F.lit(hashlib.sha256(listed.encode()).hexdigest()).alias("codebooks_sha256"))
+
+
+NEGATIVES_SQL = f"""
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+p AS MATERIALIZED (SELECT a.vec_id AS a, o.vec_id AS o, a.label = o.label AS same, list_dot_product(a.x, o.x)::BIGINT AS score
+  FROM r a JOIN r o ON a.vec_id <> o.vec_id WHERE a.vec_id % 100 = 0),
+best AS (SELECT a, o, score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, o) <= 5)
+SELECT a AS anchor_id, best.o AS positive_id, CAST(row_number() OVER (PARTITION BY a, best.o ORDER BY p.score DESC, p.o) AS INTEGER) AS rank,
+  p.o AS negative_id, best.score AS positive_score, p.score AS negative_score
+FROM best JOIN p USING (a) WHERE NOT same AND 30 * best.score <= 100 * p.score AND 100 * p.score <= 90 * best.score
+QUALIFY rank <= 10
+"""
+
+
+@query("op13_hard_negatives", NEGATIVES_SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0, positives=5, negatives=10, least=30, most=90, scale=256)
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
