@@ -1,225 +1,100 @@
 """Component sizes of a growing graph, just before any time.
 
-Time is cut into leaves of bounded size. What happened before a leaf is contracted into weighted
-super-nodes, by bisecting time: at each level the earlier half of every segment is contracted for
-the later half, all segments in one distributed connected-components run. Inside a leaf only the
-leaf's own edges and lookups remain, and leaves run in parallel.
+Boruvka's rounds: every component picks its earliest outgoing edge, and the picks merge components. Edges are ordered by
+their first time and then by their ends, so along the picks the edges only get earlier, down to the one that two components
+pick from both sides. Hence, for a node that lies in component c0 (itself), then c1, c2, ... with picks p0, p1, p2, ...:
+
+* before time t the node has left cr only if p0, ..., pr are all earlier than t, and
+* when the first pick that is not earlier is that of cr, its component at t is made of the nodes of cr whose own picks up to
+  that level are all earlier than t.
+
+So a size is a count of earlier values within (level, component), which ``before`` computes for groups of any size. There are
+at most log2(nodes) rounds, and no walk over the edges in time order.
 """
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.operators.ordered import attach, order_edges, with_chunk
-from hindcast.session import cut_lineage
+from hindcast.operators.ordered import before
+from hindcast.session import written
 
-LEAF_ELEMENTS = 500_000
-LEAST_LEAF = 2_000
-MAX_LEAVES = 65_536
 
+def forest_levels(edges: DataFrame) -> list[DataFrame]:
+    """For each round (comp, picked, up): the components with an outgoing edge, its time, and what they merge into.
 
-def connected_components(edges: DataFrame, scope: str = "scope") -> DataFrame:
-    """(scope, node, root) for every node of the edges (scope, a, b); the root is the smallest node.
-
-    Alternates the two star operations until nothing changes, cutting the lineage each round.
+    Edges (u, v, t) are distinct pairs; loops are ignored. The components of the first round are the nodes.
     """
-    current = cut_lineage(_oriented(edges, scope))
-    size = current.count()
-    if size == 0:
-        return current.select(scope, F.col("a").alias("node"), F.col("b").alias("root"))
-    seen = None
+    levels = []
+    current = written(edges.where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b"), "t", "u", "v"))
+    while not current.isEmpty():
+        turned = current.select(F.col("b").alias("a"), F.col("a").alias("b"), "t", "u", "v")
+        earliest = current.unionByName(turned).groupBy("a").agg(F.min(F.struct("t", "u", "v", "b")).alias("p"))
+        picks = written(earliest.select(F.col("a").alias("comp"), F.col("p.t").alias("picked"), F.col("p.b").alias("next")))
+        up = _merged(picks)
+        levels.append(written(picks.join(up, "comp").select("comp", "picked", "up")))
+        current = written(_between(current, up))
+    return levels
+
+
+def _merged(picks: DataFrame) -> DataFrame:
+    """(comp, up): the component that two members of a merge pick from both sides, named by the smaller of the two."""
+    back = picks.select(F.col("comp").alias("next"), F.col("next").alias("after"))
+    own = (F.col("after") == F.col("comp")) & (F.col("comp") < F.col("next"))
+    up = picks.join(back, "next").select("comp", F.when(own, F.col("comp")).otherwise(F.col("next")).alias("up"))
     while True:
-        both = current.unionByName(current.select(scope, F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _star(both, scope, size, F.col("b") > F.col("a"))
-        current = cut_lineage(_oriented(_star(_oriented(large, scope), scope, size, F.lit(True)), scope))
-        state = current.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(scope, "a", "b"))).first()
-        if state == seen:
-            break
-        seen, size = state, state[0]
-    leaves = current.select(scope, F.col("a").alias("node"), F.col("b").alias("root"))
-    roots = leaves.select(scope, F.col("root").alias("node"), "root").distinct()
-    return leaves.unionByName(roots)
-
-
-def _oriented(edges: DataFrame, scope: str) -> DataFrame:
-    """Distinct edges from the larger to the smaller node, without loops."""
-    pair = edges.where(F.col("a") != F.col("b"))
-    return pair.select(scope, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
-def _star(edges: DataFrame, scope: str, size: int, moves: Column) -> DataFrame:
-    """Connect the neighbours b of each a (those that ``moves``) and a itself to the smallest of them."""
-    smallest = (
-        edges.groupBy(scope, "a")
-        .agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree"))
-        .withColumn("m", F.least("m", "a"))
-    )
-    # Hubs hold more than a thousandth of all edge ends each, so there are at most 2000 of them.
-    bar = max(size // 1000, 10_000)
-    hubs = F.broadcast(smallest.where(F.col("degree") > bar).drop("degree"))
-    others = smallest.where(F.col("degree") <= bar).drop("degree")
-    at_hubs = edges.join(hubs, [scope, "a"])
-    elsewhere = edges.join(others, [scope, "a"])
-    joined = at_hubs.unionByName(elsewhere)
-    out = joined.where(moves).select(scope, F.col("b").alias("a"), F.col("m").alias("b"))
-    return out.unionByName(smallest.select(scope, "a", F.col("m").alias("b")))
-
-
-def component_sizes(
-    edges: DataFrame, probes: DataFrame, leaf_elements: int = LEAF_ELEMENTS
-) -> DataFrame:
-    """For each distinct probe (node, t): nodes in its component over edges (u, v, t) earlier than t.
-
-    A node without an earlier edge has size 0. Edges must be distinct pairs with their first time.
-    ``leaf_elements`` bounds the edges and probes of a leaf; smaller tables get a leaf per core, too.
+        # Each turn doubles the steps taken twice: the ends are reached after log4(longest chain of picks) turns.
+        near = _jump(up)
+        ahead = written(_jump(near).withColumn("moved", F.col("up") != F.col("before")))
+        up = ahead.select("comp", "up")
+        if ahead.where("moved").isEmpty():
+            return up
+
+
+def _jump(up: DataFrame) -> DataFrame:
+    """(comp, up, before): where ``up`` leads, and where it led before."""
+    there = up.select(F.col("comp").alias("before"), F.col("up").alias("further"))
+    return up.select("comp", F.col("up").alias("before")).join(there, "before").select("comp", F.col("further").alias("up"), "before")
+
+
+def _between(current: DataFrame, up: DataFrame) -> DataFrame:
+    """The earliest edge between any two merged components."""
+    ends = (up.select(F.col("comp").alias(side), F.col("up").alias(f"{side}_up")) for side in ("a", "b"))
+    moved = current.join(next(ends), "a").join(next(ends), "b").where("a_up <> b_up")
+    pair = (F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b"))
+    earliest = moved.groupBy(*pair).agg(F.min(F.struct("t", "u", "v")).alias("first"))
+    return earliest.select("a", "b", "first.t", "first.u", "first.v")
+
+
+def component_sizes(edges: DataFrame, probes: DataFrame) -> DataFrame:
+    """(node, t, component_size) for each distinct probe (node, t): nodes in its component over edges (u, v, t) before t.
+
+    A node without an earlier edge has size 0. Edges must be distinct pairs with their first time; loops count for nothing.
     """
-    times = edges.select("t").unionByName(probes.select("t"))
-    total = times.count()
-    leaf_elements = min(leaf_elements, max(total // edges.sparkSession.sparkContext.defaultParallelism, LEAST_LEAF))
-    cuts: tuple[float, ...] = ()
-    crowded: list[int] = []
-    if total > leaf_elements:
-        chunks = min(MAX_LEAVES, math.ceil(total / leaf_elements))
-        bar = max(leaf_elements, total // MAX_LEAVES)
-        # No more than total / bar timestamps can be this crowded.
-        per_time = times.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-        crowded = sorted(r["t"] for r in per_time.where(F.col("n") > bar).select("t").collect())
-        cuts = tuple(sorted({*order_edges(times, "t", chunks), *(float(h + d) for h in crowded for d in (0, 1))}))
-    leaf_edges = with_chunk(edges, "t", cuts, "leaf")
-    leaf_probes = with_chunk(probes, "t", cuts, "leaf")
-    depth = max(0, math.ceil(math.log2(len(cuts) + 1)))
-    if depth == 0:
-        named = leaf_edges.select("leaf", "t", F.col("u").alias("a"), F.col("v").alias("b"))
-        weighted = _with_weights(named, leaf_probes.withColumn("super", F.col("node")), None)
-        return _replay(*weighted)
-
-    leaf_edges, leaf_probes = cut_lineage(leaf_edges), cut_lineage(leaf_probes)
-    names = (
-        leaf_edges.select("leaf", F.explode(F.array("u", "v")).alias("node"))
-        .unionByName(leaf_probes.select("leaf", "node"))
-        .distinct()
-        .select("leaf", "node", F.col("node").alias("super"), F.lit(None).cast("long").alias("weight"))
-    )
-    names = cut_lineage(names)
-    for level in range(depth):
-        names = cut_lineage(_contract(leaf_edges, names, depth - level))
-    ends = names.select("leaf", F.col("node"), "super")
-    named = (
-        leaf_edges.join(ends.select("leaf", F.col("node").alias("u"), F.col("super").alias("a")), ["leaf", "u"])
-        .join(ends.select("leaf", F.col("node").alias("v"), F.col("super").alias("b")), ["leaf", "v"])
-        .select("leaf", "t", "a", "b")
-        .where(F.col("a") != F.col("b"))
-    )
-    weights = names.where(F.col("weight").isNotNull()).select("leaf", "super", "weight").distinct()
-    located = leaf_probes.join(ends, ["leaf", "node"], "left")
-    edges_w, probes_w = _with_weights(named, located, weights)
-    if not crowded:
-        return _replay(edges_w, probes_w)
-    # A leaf of one crowded timestamp sees no change within itself: its lookups are the weights.
-    at_crowd = F.col("t").isin(crowded)
-    direct = probes_w.where(at_crowd).select(
-        "node", "t", F.coalesce("weight", F.lit(0)).cast("long").alias("component_size")
-    )
-    return _replay(edges_w.where(~at_crowd), probes_w.where(~at_crowd)).unionByName(direct)
-
-
-def _contract(leaf_edges: DataFrame, names: DataFrame, remaining: int) -> DataFrame:
-    """Contract the earlier half of every segment of 2**remaining leaves for its later half."""
-    segment = F.shiftright("leaf", remaining)
-    later = F.shiftright("leaf", remaining - 1).bitwiseAND(1) == 1
-    ends = names.select("leaf", "node", "super", "weight")
-    early = (
-        leaf_edges.where(~later)
-        .join(ends.select("leaf", F.col("node").alias("u"), F.col("super").alias("a")), ["leaf", "u"])
-        .join(ends.select("leaf", F.col("node").alias("v"), F.col("super").alias("b")), ["leaf", "v"])
-        .select(segment.alias("scope"), "a", "b")
-    )
-    members = connected_components(early)
-    loops = early.where(F.col("a") == F.col("b")).select("scope", F.col("a").alias("node"), F.col("a").alias("root"))
-    members = members.unionByName(
-        loops.distinct().join(members.select("scope", "node"), ["scope", "node"], "left_anti")
-    )
-    weights = (
-        names.where(~later)
-        .select(segment.alias("scope"), F.col("super").alias("node"), "weight")
-        .distinct()
-    )
-    weighed = members.join(weights, ["scope", "node"], "left")
-    sizes = weighed.groupBy("scope", "root").agg(F.sum(F.coalesce("weight", F.lit(1))).alias("size"))
-    # A giant component gives most members one root, so that lookup is spread.
-    moved = attach(members, sizes, ("scope", "root"), "node").select(
-        "scope", F.col("node").alias("super"), F.col("root").alias("new_super"), F.col("size").alias("new_weight")
-    )
-    # One row per (leaf, super): a popular super-node repeats at most once per leaf.
-    pairs = names.where(later).select("leaf", "super").distinct().withColumn("scope", segment)
-    renamed = pairs.join(moved, ["scope", "super"]).drop("scope")
-    after = names.where(later).join(renamed, ["leaf", "super"], "left").select(
-        "leaf",
-        "node",
-        F.coalesce("new_super", "super").alias("super"),
-        F.coalesce("new_weight", "weight").alias("weight"),
-    )
-    return names.where(~later).unionByName(after)
-
-
-def _with_weights(edges: DataFrame, probes: DataFrame, weights: DataFrame | None):
-    if weights is None:
-        none = F.lit(None).cast("long")
-        return (
-            edges.withColumn("wa", none).withColumn("wb", none),
-            probes.withColumn("weight", none),
-        )
-    for side in ("a", "b"):
-        named = weights.select("leaf", F.col("super").alias(side), F.col("weight").alias(f"w{side}"))
-        edges = edges.join(named, ["leaf", side], "left")
-    return edges, probes.join(weights, ["leaf", "super"], "left")
-
-
-def _replay(edges: DataFrame, probes: DataFrame) -> DataFrame:
-    """Play each leaf in time order: lookups of a timestamp first, then its edges."""
-    elements = edges.select(
-        "leaf", "t", F.lit(1).alias("kind"), "a", "wa", "b", "wb", F.lit(None).cast("string").alias("node")
-    ).unionByName(
-        probes.select(
-            "leaf", "t", F.lit(0).alias("kind"), F.col("super").alias("a"), F.col("weight").alias("wa"),
-            F.lit(None).cast("string").alias("b"), F.lit(None).cast("long").alias("wb"), "node",
-        )
-    )
-    return elements.groupBy("leaf").applyInPandas(_play_leaf, "node string, t long, component_size long")
-
-
-def _play_leaf(elements: pd.DataFrame) -> pd.DataFrame:
-    elements = elements.sort_values(["t", "kind"], kind="stable")
-    parent: dict[str, str] = {}
-    size: dict[str, int] = {}
-
-    def root(node: str) -> str:
-        while parent[node] != node:
-            parent[node] = node = parent[parent[node]]
-        return node
-
-    def enter(node: str, weight) -> str:
-        if node not in parent:
-            parent[node] = node
-            size[node] = 1 if pd.isna(weight) else int(weight)
-        return root(node)
-
-    answers = []
-    columns = (elements[c] for c in ("kind", "t", "a", "wa", "b", "wb", "node"))
-    for kind, t, a, wa, b, wb, node in zip(*columns):
-        if kind:
-            ra, rb = enter(a, wa), enter(b, wb)
-            if ra != rb:
-                if size[ra] < size[rb]:
-                    ra, rb = rb, ra
-                parent[rb] = ra
-                size[ra] += size[rb]
-        elif a in parent:
-            answers.append((node, t, size[root(a)]))
-        else:
-            answers.append((node, t, 0 if pd.isna(wa) else int(wa)))
-    return pd.DataFrame(answers, columns=["node", "t", "component_size"])
+    levels = forest_levels(edges)
+    unseen = F.lit(0).cast("long").alias("component_size")
+    if not levels:
+        return probes.select("node", "t", unseen)
+    paths = levels[0].select(F.col("comp").alias("node"), F.col("picked").alias("p0"), F.col("up").alias("c1"))
+    for r, level in enumerate(levels[1:], 1):
+        step = level.select(F.col("comp").alias(f"c{r}"), F.col("picked").alias(f"p{r}"), F.col("up").alias(f"c{r + 1}"))
+        paths = paths.join(step, f"c{r}", "left")
+    depth = len(levels)
+    picks = F.array(*(F.col(f"p{r}") for r in range(depth)))
+    paths = written(paths.select("node", picks.alias("picks"), F.array(*(F.col(f"c{r}") for r in range(1, depth + 1))).alias("comps")))
+
+    found = probes.select("node", "t").join(paths, "node", "left")
+    late = F.array_position(F.transform("picks", lambda p: F.coalesce(p < F.col("t"), F.lit(False))), False).cast("int")
+    level = F.when(late == 0, F.lit(depth)).otherwise(late - 1)
+    found = found.withColumn("level", F.coalesce(level, F.lit(0))).withColumn("comp", F.when(F.col("level") > 0, F.get("comps", F.col("level") - 1)))
+    found = written(found.select("node", "t", "level", "comp"))
+
+    reached = F.posexplode("comps").alias("at", "comp")
+    members = paths.select("picks", reached).where("comp is not null")
+    latest = F.array_max(F.slice("picks", 1, F.col("at") + 1)).alias("t")
+    counted = members.select((F.col("at") + 1).alias("level"), "comp", latest).groupBy("level", "comp", "t").agg(F.count(F.lit(1)).alias("n"))
+    asked = found.where("level > 0").select("node", "t", "level", "comp", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asks"))
+    both = written(asked.unionByName(counted.withColumn("asks", F.lit(False)), allowMissingColumns=True))
+    sizes = before(both, ("level", "comp"), "t", {"component_size": "n"}, probe="asks")
+    return sizes.select("node", "t", "component_size").unionByName(found.where("level = 0").select("node", "t", unseen))

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.functions.scalars import all_of
-from hindcast.operators.components import LEAF_ELEMENTS, component_sizes
-from hindcast.operators.ordered import Layout, attach, before, profile
+from hindcast.operators.components import component_sizes
+from hindcast.operators.ordered import Layout, before, profile
 from hindcast.operators.pit import entity_features, spread_name, spread_unknown
 from hindcast.roles import EntityFeatures, Roles
+from hindcast.session import written
 
 FAMILIES = ("device", "email")
 
@@ -89,11 +90,11 @@ def prior_edge_count(
 
 
 def prior_component_sizes(
-    rows: DataFrame, roles: Roles = Roles(), card: str = "card", families=FAMILIES,
-    leaf_elements: int = LEAF_ELEMENTS,
+    rows: DataFrame, roles: Roles = Roles(), card: str = "card", families=FAMILIES
 ) -> DataFrame:
     """Component size before the transaction for its card and entities; an unseen node has size 0."""
-    links = first_edges(edges(rows, roles, card, families))
+    base = written(rows.select(roles.key, roles.time, card, *families))
+    links = first_edges(edges(base, roles, card, families))
     pairs = links.select(
         F.concat(F.lit("card:"), F.col("card").cast("string")).alias("u"),
         F.concat(F.col("family"), F.lit(":"), F.col("entity")).alias("v"),
@@ -104,11 +105,11 @@ def prior_component_sizes(
         both = F.col(card).isNotNull() & F.col(f).isNotNull()
         nodes[f] = F.when(both, F.concat(F.lit(f"{f}:"), F.col(f).cast("string")))
     probes = (
-        rows.select(F.explode(F.array_compact(F.array(*nodes.values()))).alias("node"), F.col(roles.time).alias("t"))
+        base.select(F.explode(F.array_compact(F.array(*nodes.values()))).alias("node"), F.col(roles.time).alias("t"))
         .distinct()
     )
-    sizes = component_sizes(pairs, probes, leaf_elements)
-    long = rows.select(
+    sizes = component_sizes(pairs, probes)
+    long = base.select(
         roles.key,
         F.col(roles.time).alias("t"),
         F.explode(
@@ -117,7 +118,7 @@ def prior_component_sizes(
             )
         ).alias("p"),
     ).select(roles.key, "t", "p.part", "p.node")
-    found = attach(long, sizes, ("node", "t"), roles.key)
+    found = long.join(sizes, ["node", "t"], "left")
     wide = found.groupBy(roles.key).agg(
         *(
             F.max(F.when(F.col("part") == k, F.col("component_size"))).alias(f"{k}_prior_component_size")
@@ -142,7 +143,7 @@ GRAPH_COLUMNS = (
 
 
 def graph_features(
-    rows: DataFrame, roles: Roles = Roles(), leaf_elements: int = LEAF_ELEMENTS, components: bool = True
+    rows: DataFrame, roles: Roles = Roles(), components: bool = True
 ) -> DataFrame:
     """The ten graph columns beside the key. A NULL time is an error, an empty input keeps the columns."""
     missing = [c for c in (roles.key, roles.time, "card", *FAMILIES) if c not in rows.columns]
@@ -162,6 +163,6 @@ def graph_features(
         work = prior_entity_degree(work, family, roles, layout=layout, first=first)
         work = prior_edge_count(work, family, roles, layout=layout)
     if components:
-        sizes = prior_component_sizes(base, roles, leaf_elements=leaf_elements)
+        sizes = prior_component_sizes(base, roles)
         work = work.join(sizes.drop(roles.time, "card", *FAMILIES), roles.key)
     return work.select(roles.key, *(c for c in GRAPH_COLUMNS if c in work.columns))

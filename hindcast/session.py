@@ -51,3 +51,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder that every executor can read and write."""
     return f"{shared_folder(spark)}/hindcast/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read back: cuts the lineage, survives lost executors, and is computed once."""
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

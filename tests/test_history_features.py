@@ -45,10 +45,10 @@ def component_size(node, links):
     return len(seen)
 
 
-@pytest.mark.parametrize("leaf,crowd", [(500_000, 0.0), (60, 0.0), (60, 0.4)])
-def test_component_sizes_equal_brute_force(spark, leaf, crowd):
+@pytest.mark.parametrize("crowd", [0.0, 0.4, 1.0])
+def test_component_sizes_equal_brute_force(spark, crowd):
     df, rows = random_table(spark, crowd=crowd)
-    got = {r["txn_id"]: r for r in graph.prior_component_sizes(df, leaf_elements=leaf).collect()}
+    got = {r["txn_id"]: r for r in graph.prior_component_sizes(df).collect()}
     assert len(got) == len(rows)
     for i, t, card, device, email, _, _ in rows:
         links = set()
@@ -62,14 +62,68 @@ def test_component_sizes_equal_brute_force(spark, leaf, crowd):
             assert got[i][f"{name}_prior_component_size"] == expected
 
 
-def test_connected_components_on_a_long_path(spark):
-    path = [(0, f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [(1, "x", "y"), (1, "z", "y"), (2, "q", "q")]
-    random.Random(1).shuffle(path)
-    got = components.connected_components(spark.createDataFrame(path, "scope int, a string, b string")).collect()
-    roots = {(r["scope"], r["node"]): r["root"] for r in got}
-    assert len(got) == len(roots) == 64
-    assert {roots[0, f"n{i:03d}"] for i in range(61)} == {"n000"}
-    assert roots[1, "z"] == roots[1, "x"] == "x"
+def sizes_by_replay(links, probes):
+    """Union-find over the edges in time order; lookups of a time come before its edges."""
+    parent, size, out = {}, {}, {}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    moves = sorted([(t, 1, u, v) for u, v, t in links if u != v] + [(t, 0, n, "") for n, t in probes])
+    for t, is_edge, u, v in moves:
+        if not is_edge:
+            out[u, t] = size[root(u)] if u in parent else 0
+            continue
+        for x in (u, v):
+            if x not in parent:
+                parent[x], size[x] = x, 1
+        a, b = root(u), root(v)
+        if a != b:
+            parent[b] = a
+            size[a] += size[b]
+    return out
+
+
+def components_of(spark, links, probes):
+    made = components.component_sizes(
+        spark.createDataFrame(links, "u string, v string, t long"), spark.createDataFrame(probes, "node string, t long")
+    )
+    return {(r["node"], r["t"]): r["component_size"] for r in made.collect()}
+
+
+@pytest.mark.parametrize("shape", ["rising", "falling", "star", "equal", "random", "cycles"])
+def test_component_sizes_of_shapes(spark, shape):
+    rng = random.Random(shape)
+    path = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(70)]
+    links = {
+        "rising": [(u, v, i) for i, (u, v) in enumerate(path)],
+        "falling": [(u, v, 70 - i) for i, (u, v) in enumerate(path)],
+        "star": [("hub", f"n{i}", i // 3) for i in range(60)],
+        "equal": [(u, v, 5) for u, v in path] + [("x", "x", 1)],
+        "random": [(u, v, rng.randint(0, 40)) for u, v in {tuple(sorted(rng.sample([f"k{i}" for i in range(60)], 2))) for _ in range(75)}],
+        "cycles": [(f"{c}{i}", f"{c}{(i + 1) % 9}", rng.randint(0, 20)) for c in "abc" for i in range(9)] + [("a0", "b0", 12), ("b3", "c3", 2)],
+    }[shape]
+    nodes = sorted({x for u, v, _ in links for x in (u, v)} | {"unseen"})
+    probes = sorted({(rng.choice(nodes), rng.randint(0, 72)) for _ in range(250)})
+    assert components_of(spark, links, probes) == sizes_by_replay(links, probes)
+
+
+def test_component_sizes_without_edges(spark):
+    assert components_of(spark, [], [("a", 3)]) == {("a", 3): 0}
+    assert components_of(spark, [("a", "a", 1)], [("a", 3)]) == {("a", 3): 0}
+    assert components_of(spark, [("a", "b", 1)], []) == {}
+
+
+def test_component_sizes_of_split_groups(spark, monkeypatch):
+    """The count within one giant component, with its time axis cut into chunks."""
+    monkeypatch.setattr(ordered, "ROWS_PER_CHUNK", 50)
+    monkeypatch.setattr(ordered.profile, "__defaults__", (((),), 50, ordered.MAX_CHUNKS))
+    rng = random.Random(8)
+    links = [(u, v, rng.randint(0, 60)) for u, v in {tuple(sorted(rng.sample([f"k{i}" for i in range(90)], 2))) for _ in range(160)}]
+    probes = sorted({(f"k{rng.randrange(95)}", rng.randint(0, 62)) for _ in range(400)})
+    assert components_of(spark, links, probes) == sizes_by_replay(links, probes)
 
 
 def graph_expected(rows):
