@@ -1,15 +1,17 @@
 """Historical features of a transaction that use only strictly earlier transactions.
 
-Rows sharing a timestamp see the same history. Amounts are counted in integer units of the smallest
-decimal place they use, so that every sum is exact and a zero variance is exactly zero; amounts that
-are not finite are skipped like NULL. Amounts too large for sums in that unit are counted apart, in
-coarser units, and touch only the windows that hold one.
+Rows sharing a timestamp see the same history. Amounts are counted in whole units, so that every sum is
+exact and a zero variance is exactly zero. The unit of an amount (its lane) follows from that amount
+alone: the first of a few decimal places in which it is exact, else a power of two. What a window
+yields therefore depends on its own amounts, never on the rest of the table or on how it is cut into
+periods. Amounts that are not finite are skipped like NULL.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass, replace
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,20 +23,38 @@ from hindcast.roles import EntityFeatures, Roles
 
 DIRECT_FRAME_ROWS = 500
 TOTAL = "decimal(38,0)"
-#: Powers of ten that share a unit among the amounts which are too large for the finest one.
-LANE_POWERS = 3
+#: Decimal places tried for an amount, and the whole numbers that doubles hold without gaps.
+PLACES, EXACT = (2, 6, 10, 14, 18, 22), float(2**53)
+#: Lanes of amounts without a decimal unit: one for each so many powers of two, in units 2^-54 of the lowest.
+BINARY, POWERS, FINER = 1000, 16, 54
+#: Units are cut here when their squares would not fit into one sum.
+HALF = 35
 
 
 @dataclass(frozen=True)
 class Lane:
-    """Amounts with low <= |amount| < high, counted in units of 10^-decimals."""
+    """Amounts counted in the same unit; ``wide`` keeps the squares of their units in three sums."""
 
-    low: float
-    high: float
-    decimals: int
+    number: int
+    wide: bool = False
 
+    def scaled(self, value: Column) -> Column:
+        """A double in units of this lane; powers of two lose nothing, in two steps since one may exceed the doubles."""
+        if self.number in PLACES:
+            return F.rint(value * F.lit(10.0**self.number))
+        power = FINER - POWERS * (self.number - BINARY)
+        return value * F.lit(2.0 ** (power // 2)) * F.lit(2.0 ** (power - power // 2))
 
-WHOLE = Lane(0.0, math.inf, 0)
+    def amount(self, units: Column) -> Column:
+        """Units (double) as an amount."""
+        if self.number in PLACES:
+            return units / F.lit(10.0**self.number)
+        power = POWERS * (self.number - BINARY) - FINER
+        return units * F.lit(2.0 ** (power // 2)) * F.lit(2.0 ** (power - power // 2))
+
+    @property
+    def squares(self) -> int:
+        return 3 if self.wide else 1
 
 
 def entity_features(
@@ -56,15 +76,15 @@ def entity_features(
     layout = layout or profile(rows, roles.time, (group,))
     if group != spec.columns:
         work = before(rows.withColumn("_one", F.lit(1).cast("long")), group, roles.time, {"_seen": "_one"}, layout)
-        return work.select(*columns, *_finish(spec, roles, [WHOLE]))
+        return work.select(*columns, *_finish(spec, roles))
     if spec.amounts and lanes is None:
         lanes = amount_lanes(rows, roles.amount)
-    lanes = lanes or [WHOLE]
-    work = rows.select("*", *(amount_units(F.col(roles.amount), lane).alias(f"_units{i}") for i, lane in enumerate(lanes)))
-    work = work.select("*", *((F.col(f"_units{i}") * F.col(f"_units{i}")).cast(TOTAL).alias(f"_square{i}") for i in range(len(lanes))))
+    lanes = lanes if spec.amounts else []
+    work = _with_units(rows, roles.amount, lanes) if lanes else rows
     small = group and layout.largest.get(group, layout.rows) <= DIRECT_FRAME_ROWS
-    work = _framed(work, spec, roles, len(lanes)) if small else _swept(work, spec, roles, layout, len(lanes))
-    return work.select(*columns, *_finish(spec, roles, lanes))
+    work = _framed(work, spec, roles, lanes) if small else _swept(work, spec, roles, layout, lanes)
+    work = _with_moments(work, list(spec.amounts), lanes)
+    return work.select(*columns, *_finish(spec, roles))
 
 
 def spec_group(spec: EntityFeatures) -> tuple[str, ...]:
@@ -94,55 +114,61 @@ def spread_unknown(rows: DataFrame, columns: tuple[str, ...], key: str) -> DataF
     return rows.withColumn(spread_name(columns), F.when(known, F.lit(0)).otherwise(F.pmod(F.xxhash64(key), F.lit(4096)).cast("int")))
 
 
-def _amount_facts(rows: DataFrame, amount: str) -> tuple[int, float, int]:
-    """How many amounts there are, the largest, and the decimal places they use, up to 12."""
-    value = F.abs(finite(F.col(amount).cast("double")))
-    text = F.rtrim(F.format_number(value, 12), F.lit("0"))
-    facts = rows.agg(F.count(value).alias("n"), F.max(value).alias("largest"), F.max(F.length(F.substring_index(text, ".", -1))).alias("used")).first()
-    return facts["n"], facts["largest"] or 0.0, min(facts["used"] or 0, 12)
-
-
-def _room(n: int, largest: float) -> int:
-    """largest^2 * n * 10^(2 * places) must stay below 10^37; a negative answer counts in tens, hundreds, ..."""
-    return math.floor((37 - math.log10(n) - 2 * math.log10(max(largest, 1e-12))) / 2)
-
-
-def decimal_places(rows: DataFrame, amount: str) -> int:
-    """The decimal places in which the amounts are exact, up to 12, as far as 38 digits hold the sum of their squares.
-
-    Doubles beyond 15 significant digits have none of their own; they are rounded at the last place.
-    """
-    n, largest, used = _amount_facts(rows, amount)
-    return min(used, _room(n, largest)) if n else 0
+def lane_number(amount: Column) -> Column:
+    """The lane of an amount; NULL when it is not finite."""
+    value = finite(amount.cast("double"))
+    fits = []
+    for places in PLACES:
+        units = value * F.lit(10.0**places)
+        # Both are whole and below 2^53, so the division gives the amount back exactly if it is this many units.
+        fits.append(F.when((F.abs(units) < EXACT) & (F.rint(units) / F.lit(10.0**places) == value), F.lit(places)))
+    return F.coalesce(*fits, (F.floor(F.log2(F.abs(value)) / POWERS) + BINARY).cast("int"))
 
 
 def amount_lanes(rows: DataFrame, amount: str) -> list[Lane]:
-    """The units the amounts are counted in: one lane where all fit, else one for each occupied range of sizes.
+    """The lanes that hold an amount, and whether 38 digits hold the squares of their units in one sum.
 
-    The finest unit is that of the places used, whatever the largest amount is; 38 digits hold each lane's squares.
+    That choice is about room alone: one sum or three, the sum of squares is the same whole number.
     """
-    n, largest, used = _amount_facts(rows, amount)
-    if not n or _room(n, largest) >= used:
-        return [replace(WHOLE, decimals=used)]
-    fit, lanes = _room(n, 1.0) - used, []
-    while not lanes or lanes[-1].high <= largest:
-        power = fit + LANE_POWERS * len(lanes)
-        high = 10.0**power if power <= 308 else math.inf
-        lanes.append(Lane(lanes[-1].high if lanes else 0.0, high, used - LANE_POWERS * len(lanes)))
-    value = F.abs(F.col(amount).cast("double"))
-    held = rows.agg(*(F.count_if((value >= lane.low) & (value < lane.high)).alias(str(i)) for i, lane in enumerate(lanes))).first()
-    return [lane for i, lane in enumerate(lanes) if held[str(i)]]
-
-
-def amount_units(amount: Column, lane: Lane) -> Column:
-    """How many units of 10^-decimals an amount is; NULL when it is not finite or not of this lane."""
-    value = finite(amount.cast("double"))
-    if (lane.low, lane.high) != (WHOLE.low, WHOLE.high):
-        value = F.when((F.abs(value) >= lane.low) & (F.abs(value) < lane.high), value)
-    return F.round(value * F.lit(10.0**lane.decimals)).cast("decimal(19,0)")
+    value = finite(F.col(amount).cast("double"))
+    found = rows.where(value.isNotNull()).groupBy(lane_number(F.col(amount)).alias("lane")).agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(value)).alias("most"))
+    lanes = []
+    for row in sorted(found.collect(), key=lambda r: r["lane"]):  # at most one row for each of 140 lanes
+        decimal = row["lane"] in PLACES
+        units = row["most"] * 10.0 ** row["lane"] if decimal else 2.0 ** (POWERS + FINER + 1)
+        lanes.append(Lane(row["lane"], 2 * math.log10(units + 1) + math.log10(row["n"]) >= 37))
+    return lanes
+
+
+def _with_units(rows: DataFrame, amount: str, lanes: list[Lane]) -> DataFrame:
+    """``_units{i}`` and its squares ``_square{i}_{k}``, for each lane i; NULL where the amount is of another lane."""
+    work = rows.withColumn("_lane", lane_number(F.col(amount)))
+    value = finite(F.col(amount).cast("double"))
+    low = float(2**HALF)
+    for i, lane in enumerate(lanes):
+        units = F.when(F.col("_lane") == lane.number, lane.scaled(value))
+        if not lane.wide:
+            work = work.withColumn(f"_units{i}", units.cast("long").cast("decimal(19,0)"))
+            squares = [F.col(f"_units{i}") * F.col(f"_units{i}")]
+        else:
+            # Doubles hold both halves exactly; the upper one keeps the sign.
+            work = work.withColumn("_high", F.floor(units / low).cast("decimal(19,0)"))
+            work = work.withColumn("_low", (units - F.floor(units / low).cast("double") * low).cast("long").cast("decimal(19,0)"))
+            work = work.withColumn(f"_units{i}", (F.col("_high") * F.lit(Decimal(2**HALF)) + F.col("_low")).cast(TOTAL))
+            squares = [F.col("_high") * F.col("_high"), F.col("_high") * F.col("_low"), F.col("_low") * F.col("_low")]
+        work = work.withColumns({f"_square{i}_{k}": x.cast(TOTAL) for k, x in enumerate(squares)})
+    return work.drop("_lane", "_high", "_low")
+
+
+def _measures(lanes: list[Lane]) -> dict[str, str]:
+    """The columns that windows add up, by the name of their sum: amounts counted, units and squares of each lane."""
+    made = {}
+    for i, lane in enumerate(lanes):
+        made |= {f"an{i}": f"_counted{i}", f"as{i}": f"_units{i}"} | {f"aq{i}_{k}": f"_square{i}_{k}" for k in range(lane.squares)}
+    return made
 
 
-def _framed(work: DataFrame, spec: EntityFeatures, roles: Roles, lanes: int) -> DataFrame:
+def _framed(work: DataFrame, spec: EntityFeatures, roles: Roles, lanes: list[Lane]) -> DataFrame:
     ordered = Window.partitionBy(*spec.columns).orderBy(roles.time)
     past = ordered.rangeBetween(Window.unboundedPreceding, -1)
     made = []
@@ -150,12 +176,11 @@ def _framed(work: DataFrame, spec: EntityFeatures, roles: Roles, lanes: int) ->
         made.append(F.count(F.lit(1)).over(ordered.rangeBetween(-length, -1)).alias(f"_n_{label}"))
     for label, length in spec.amounts.items():
         frame = ordered.rangeBetween(-length, -1)
-        for i in range(lanes):
-            made += [
-                F.count(f"_units{i}").over(frame).alias(f"_an{i}_{label}"),
-                F.coalesce(F.sum(f"_units{i}").over(frame), F.lit(0)).cast(TOTAL).alias(f"_as{i}_{label}"),
-                F.coalesce(F.sum(f"_square{i}").over(frame), F.lit(0)).cast(TOTAL).alias(f"_aq{i}_{label}"),
-            ]
+        for name, column in _measures(lanes).items():
+            if name.startswith("an"):
+                made.append(F.count(f"_units{name[2:]}").over(frame).alias(f"_{name}_{label}"))
+            else:
+                made.append(F.coalesce(F.sum(column).over(frame), F.lit(0)).cast(TOTAL).alias(f"_{name}_{label}"))
     if spec.recency:
         made.append(F.max(roles.time).over(past).alias("_last"))
     if spec.history:
@@ -163,7 +188,7 @@ def _framed(work: DataFrame, spec: EntityFeatures, roles: Roles, lanes: int) ->
     return work.select("*", *made)
 
 
-def _swept(work: DataFrame, spec: EntityFeatures, roles: Roles, layout: Layout, lanes: int) -> DataFrame:
+def _swept(work: DataFrame, spec: EntityFeatures, roles: Roles, layout: Layout, lanes: list[Lane]) -> DataFrame:
     """Arrivals add to the running totals, expiries of window w at time t + w are kept apart."""
     windows = sorted({*spec.velocity.values(), *spec.amounts.values()})
     if windows and layout.rows <= layout.rows_per_chunk:
@@ -178,22 +203,19 @@ def _swept(work: DataFrame, spec: EntityFeatures, roles: Roles, layout: Layout,
         events = work.withColumn("_shift", F.lit(0).cast("long"))
     arrival = F.col("_shift") == 0
     one = F.lit(1).cast("long")
-    contributions = {"_c_n": F.when(arrival, one)}
-    for i in range(lanes if with_amount else 0):
-        contributions |= {
-            f"_c_an{i}": F.when(arrival & F.col(f"_units{i}").isNotNull(), one),
-            f"_c_as{i}": F.when(arrival, F.col(f"_units{i}").cast(TOTAL)),
-            f"_c_aq{i}": F.when(arrival, F.col(f"_square{i}")),
-        }
+    measures = _measures(lanes)
+
+    def moved(name: str, when: Column) -> Column:
+        if name.startswith("an"):
+            return F.when(when & F.col(f"_units{name[2:]}").isNotNull(), one)
+        return F.when(when, F.col(measures[name]).cast(TOTAL))
+
+    contributions = {"_c_n": F.when(arrival, one)} | {f"_c_{name}": moved(name, arrival) for name in measures if with_amount}
     for w in windows:
         leaving = F.col("_shift") == w
         contributions[f"_x_n_{w}"] = F.when(leaving, one)
-        for i in range(lanes if w in with_amount else 0):
-            contributions |= {
-                f"_x_an{i}_{w}": F.when(leaving & F.col(f"_units{i}").isNotNull(), one),
-                f"_x_as{i}_{w}": F.when(leaving, F.col(f"_units{i}").cast(TOTAL)),
-                f"_x_aq{i}_{w}": F.when(leaving, F.col(f"_square{i}")),
-            }
+        if w in with_amount:
+            contributions |= {f"_x_{name}_{w}": moved(name, leaving) for name in measures}
     events = events.select(
         "*",
         (F.col(roles.time) + F.col("_shift")).alias("_at"),
@@ -220,51 +242,83 @@ def _swept(work: DataFrame, spec: EntityFeatures, roles: Roles, layout: Layout,
         for label, w in spec.velocity.items()
     ]
     for label, w in spec.amounts.items():
-        for i in range(lanes):
-            made += [
-                (F.col(f"_before_c_an{i}") - F.col(f"_before_x_an{i}_{w}")).alias(f"_an{i}_{label}"),
-                (F.col(f"_before_c_as{i}") - F.col(f"_before_x_as{i}_{w}")).cast(TOTAL).alias(f"_as{i}_{label}"),
-                (F.col(f"_before_c_aq{i}") - F.col(f"_before_x_aq{i}_{w}")).cast(TOTAL).alias(f"_aq{i}_{label}"),
-            ]
+        for name in measures:
+            inside = F.col(f"_before_c_{name}") - F.col(f"_before_x_{name}_{w}")
+            made.append((inside if name.startswith("an") else inside.cast(TOTAL)).alias(f"_{name}_{label}"))
     if spec.history:
         made.append(F.col("_before_c_n").alias("_seen"))
     return done.select("*", *made)
 
 
-def _deviation(n: Column, total: Column, squares: Column) -> Column:
+def _squares(sums: list[Column]) -> tuple[Column, Column]:
+    """The sum of squares as a whole number, NULL beyond 38 digits, and as a double."""
+    if len(sums) == 1:
+        return sums[0], sums[0].cast("double")
+    upper, mixed, lower = sums
+    parts = [F.try_multiply(upper, F.lit(Decimal(2 ** (2 * HALF)))), F.try_multiply(mixed, F.lit(Decimal(2 ** (HALF + 1)))), lower]
+    whole = reduce(F.try_add, (p.cast(TOTAL) for p in parts))
+    rough = upper.cast("double") * float(2 ** (2 * HALF)) + mixed.cast("double") * float(2 ** (HALF + 1)) + lower.cast("double")
+    return whole, F.coalesce(whole.cast("double"), rough)
+
+
+def _deviation(n: Column, total: Column, whole: Column, squares: Column) -> Column:
     """sqrt(n * squares - total^2) / n in units: exact where 38 digits hold the products, in doubles beyond."""
-    exact = F.try_subtract(F.try_multiply(n.cast("decimal(12,0)"), squares), F.try_multiply(total, total)).cast("double")
+    exact = F.try_subtract(F.try_multiply(n.cast("decimal(12,0)"), whole), F.try_multiply(total, total)).cast("double")
     wide = total.cast("double")
-    rough = F.greatest(n.cast("double") * squares.cast("double") - wide * wide, F.lit(0.0))
+    rough = F.greatest(n.cast("double") * squares - wide * wide, F.lit(0.0))
     # A constant window has no deviation, whatever a product of doubles says.
-    constant = (F.pmod(total, n.cast("decimal(12,0)")) == 0) & (squares.cast("double") == wide / n * wide)
+    constant = (F.pmod(total, n.cast("decimal(12,0)")) == 0) & (squares == wide / n * wide)
     return F.sqrt(F.coalesce(exact, F.when(constant, 0.0).otherwise(rough))) / n
 
 
-def _moments(label: str, lanes: list[Lane]) -> tuple[Column, Column, Column]:
-    """Sum, mean and deviation of a window's amounts: exact within a lane, lanes combined by their means and deviations."""
-    parts = []
-    for i, lane in enumerate(lanes):
-        n, s, q = (F.col(f"_{kind}{i}_{label}") for kind in ("an", "as", "aq"))
-        scale = F.lit(10.0**lane.decimals)
-        parts.append((n, s.cast("double") / scale, F.when(n > 0, s.cast("double") / n / scale), F.when(n > 0, _deviation(n, s, q) / scale)))
-    n, total = (reduce(lambda a, b: a + b, (p[k] for p in parts)) for k in (0, 1))
-    if len(parts) == 1:
-        return total, parts[0][2], F.when(n > 1, parts[0][3])
-    alone = [p[0] == n for p in parts]
-    mean = F.coalesce(*(F.when(own, p[2]) for own, p in zip(alone, parts, strict=True)), F.when(n > 0, total / n))
-    apart = [(p[0], F.coalesce(x, F.lit(0.0))) for p in parts for x in (p[3], p[2] - mean)]
+def _with_moments(work: DataFrame, labels: list[str], lanes: list[Lane]) -> DataFrame:
+    """``_total_``, ``_mean_`` and ``_std_`` of each window: exact within a lane, lanes combined by their means and deviations.
+
+    Step by step, since each step uses the columns of the last one more than once.
+    """
+    if not lanes:
+        nothing = F.lit(None).cast("double")
+        return work.withColumns({f"_{kind}_{label}": F.lit(0.0) if kind == "total" else nothing for kind in ("total", "mean", "std") for label in labels})
+    every = range(len(lanes))
+    column = lambda kind, i, label: F.col(f"_{kind}{i}_{label}")
+    squares = {}
+    for label in labels:
+        for i, lane in enumerate(lanes):
+            squares[f"_whole{i}_{label}"], squares[f"_rough{i}_{label}"] = _squares([F.col(f"_aq{i}_{k}_{label}") for k in range(lane.squares)])
+    work = work.withColumns(squares)
+    own = {}
+    for label in labels:
+        for i, lane in enumerate(lanes):
+            n, s = column("an", i, label), column("as", i, label)
+            own[f"_mean{i}_{label}"] = F.when(n > 0, lane.amount(s.cast("double") / n))
+            own[f"_std{i}_{label}"] = F.when(n > 0, lane.amount(_deviation(n, s, column("whole", i, label), column("rough", i, label))))
+        own[f"_n_amounts_{label}"] = reduce(lambda a, b: a + b, (column("an", i, label) for i in every))
+        own[f"_total_{label}"] = reduce(lambda a, b: a + b, (lane.amount(column("as", i, label).cast("double")) for i, lane in enumerate(lanes)))
+    work = work.withColumns(own)
+    alone = lambda label, kind: [F.when(column("an", i, label) == F.col(f"_n_amounts_{label}"), column(kind, i, label)) for i in every]
+    if len(lanes) == 1:
+        single = {f"_mean_{label}": column("mean", 0, label) for label in labels}
+        return work.withColumns(single | {f"_std_{label}": F.when(column("an", 0, label) > 1, column("std", 0, label)) for label in labels})
+    number = {label: F.col(f"_n_amounts_{label}") for label in labels}
+    mixed = {label: F.when(number[label] > 0, F.col(f"_total_{label}") / number[label]) for label in labels}
+    work = work.withColumns({f"_mean_{label}": F.coalesce(*alone(label, "mean"), mixed[label]) for label in labels})
+    apart = {f"_apart{i}_{label}": F.coalesce(column("mean", i, label) - F.col(f"_mean_{label}"), F.lit(0.0)) for label in labels for i in every}
+    work = work.withColumns(apart | {f"_std{i}_{label}": F.coalesce(column("std", i, label), F.lit(0.0)) for label in labels for i in every})
     # In units of the largest, so that no square overflows.
-    most = F.greatest(*(F.abs(x) for _, x in apart))
-    spread = reduce(lambda a, b: a + b, (k * (x / most) * (x / most) for k, x in apart))
-    pooled = F.when(most > 0, most * F.sqrt(spread / n)).otherwise(0.0)
-    return total, mean, F.when(n > 1, F.coalesce(*(F.when(own, p[3]) for own, p in zip(alone, parts, strict=True)), pooled))
+    work = work.withColumns({f"_most_{label}": F.greatest(*(F.abs(column(kind, i, label)) for kind in ("std", "apart") for i in every)) for label in labels})
+    spread = {}
+    for label in labels:
+        most = F.col(f"_most_{label}")
+        parts = [column("an", i, label) * ((column(kind, i, label) / most) * (column(kind, i, label) / most)) for i in every for kind in ("std", "apart")]
+        pooled = F.when(most > 0, most * F.sqrt(reduce(lambda a, b: a + b, parts) / number[label])).otherwise(0.0)
+        spread[f"_std_{label}"] = F.when(number[label] > 1, F.coalesce(*alone(label, "std"), pooled))
+    return work.withColumns(spread)
 
 
-def _finish(spec: EntityFeatures, roles: Roles, lanes: list[Lane]) -> list[Column]:
+def _finish(spec: EntityFeatures, roles: Roles) -> list[Column]:
     out = [F.col(f"_n_{label}").alias(f"velocity_{spec.name}_{label}") for label in spec.velocity]
     for label in spec.amounts:
-        total, mean, std = _moments(label, lanes)
+        total, mean, std = (F.col(f"_{kind}_{label}") for kind in ("total", "mean", "std"))
         zscore = F.when(std > 0, (finite(F.col(roles.amount).cast("double")) - mean) / std)
         prefix = f"amount_{spec.name}_{label}"
         out += [mean.alias(f"{prefix}_mean"), std.alias(f"{prefix}_std"), zscore.alias(f"{prefix}_zscore")]

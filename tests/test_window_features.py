@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,10 +114,49 @@ def test_outliers_touch_only_windows_that_hold_one(spark, split):
     agree(features(spark.createDataFrame(rows, SCHEMA), layout=layout), expected(rows), 0.01)
 
 
-def test_decimal_places(spark):
-    places = lambda *amounts: pit.decimal_places(spark.createDataFrame([(float(a),) for a in amounts], "a double"), "a")
-    assert [places(1), places(2.5, 10), places(0.00125), places(float("nan"))] == [0, 1, 5, 0]
-    assert places(1e16, 0.001) < 3
+def test_lanes_follow_from_the_amount(spark):
+    amounts = [0.0, 12.34, -7.0, 0.1234, 1e-13, 0.1234567890123456, 1e17, 1e300, 5e-324, math.pi, None, math.nan, -math.inf]
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(amounts)], "i int, amount double")
+    numbers = {r["i"]: r["n"] for r in df.select("i", pit.lane_number(F.col("amount")).alias("n")).collect()}
+    group = lambda x: 1000 + math.floor(math.log2(x) / 16)
+    assert [numbers[i] for i in range(13)] == [2, 2, 2, 6, 14, group(0.1234567890123456), group(1e17), group(1e300), group(5e-324), group(math.pi), None, None, None]
+    lanes = pit.amount_lanes(df, "amount")
+    assert [lane.number for lane in lanes] == sorted({n for n in numbers.values() if n is not None})
+    # Units give every amount back, and the squares in three parts are those of the units.
+    work = pit._with_units(df, "amount", [pit.Lane(lane.number, True) for lane in lanes])
+    for row in work.collect():
+        for i, lane in enumerate(lanes):
+            if numbers[row["i"]] != lane.number:
+                assert row[f"_units{i}"] is None
+                continue
+            units = int(row[f"_units{i}"])
+            if lane.number in pit.PLACES:
+                assert units / 10.0**lane.number == amounts[row["i"]]
+            else:
+                power = pit.POWERS * (lane.number - pit.BINARY) - pit.FINER
+                assert Fraction(units) * Fraction(2) ** power == Fraction(amounts[row["i"]])
+            parts = [int(row[f"_square{i}_{k}"]) for k in range(3)]
+            assert (parts[0] << 70) + (parts[1] << 36) + parts[2] == units * units
+
+
+def test_small_amounts_are_kept(spark):
+    rows = [(i, i, a, 1, "p", 0) for i, a in enumerate([1e-13, 3e-13, 2e-13, 5.0])]
+    got = features(spark.createDataFrame(rows, SCHEMA), [SPECS[1]])[3]
+    assert got["amount_card_long_mean"] == 2e-13
+    assert got["amount_card_long_std"] == pytest.approx(math.sqrt(2 / 3) * 1e-13, rel=1e-12)
+
+
+@pytest.mark.parametrize("unit", [0.01, 1e-7, math.pi])
+def test_windows_do_not_depend_on_the_rest_of_the_table(spark, unit):
+    """To the last bit: other cards' amounts, more rows, and one sum of squares or three."""
+    rng = random.Random(5)
+    rows = [(i, i, rng.randint(1, 10**6) * unit, 1, "p", 0) for i in range(30)]
+    rows += [(100 + i, i, 3 * unit, 2, "p", 0) for i in range(10)]
+    more = [(200 + i, i, a, 3 + i % 4, "q", 0) for i, a in enumerate([1e30, 0.1234567, 1e9 + 0.01, 9e15] * 20)]
+    alone = features(spark.createDataFrame(rows, SCHEMA), [SPECS[1]])
+    among = features(spark.createDataFrame(rows + more, SCHEMA), [SPECS[1]])
+    assert {k: among[k] for k in alone} == alone
+    assert {alone[k]["amount_card_long_std"] for k in range(102, 110)} == {0.0}
 
 
 @pytest.mark.parametrize("bundle", [False, True])
