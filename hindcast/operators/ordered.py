@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hindcast.session import written
+
 ROWS_PER_CHUNK = 2_000_000
 MAX_CHUNKS = 4096
 MAX_HOT_POINTS = 4096
@@ -319,6 +321,8 @@ def order_statistics(
             if not 0 <= position < counts[i]:
                 raise ValueError(f"position {position} of {name} lies outside its {counts[i]} values")
             open_brackets.append(_Bracket(i, position, None, None, 0, counts[i]))
+    if any(b.size > limit for b in open_brackets):
+        base = written(base)
     while wide := [b for b in open_brackets if b.size > limit]:
         small = [b for b in open_brackets if b.size <= limit]
         narrowed = _narrow(base, wide)
@@ -351,42 +355,68 @@ class _Bracket:
         return test
 
 
+#: Entries of a sketch that guesses brackets, a bound on its error in rank that is rarely exceeded, and the ranks it is asked for.
+GUESS_ITEMS, GUESS_ERROR, GUESS_STEPS = 2048, 0.003, 400
+
+
 def _narrow(base: DataFrame, brackets: list[_Bracket]) -> list:
-    """One round of two jobs for all brackets: guess two quantiles, then count exactly around them.
+    """One round of two jobs for each type of value: guess two quantiles of every bracket, then count exactly around them.
 
-    Each guess is a value inside the interval, so a bracket either settles on it or loses it.
+    The values inside the brackets stand below each other, so that the plan does not grow with the brackets, and their
+    sketches merge in two levels, so that no task meets all of them. Each guess is a value inside the interval: a bracket
+    either settles on it or loses it.
     """
-    accuracy = 10_000
-    guesses = []
-    for b in brackets:
-        rank = (b.position - b.below) / max(b.size - 1, 1)
-        probabilities = [max(0.0, rank - 3 / accuracy), min(1.0, rank + 3 / accuracy)]
-        guesses.append(
-            F.percentile_approx(F.when(b.inside(), F.col(f"_v{b.slot}")), probabilities, accuracy)
-        )
-    bounds = base.agg(*(g.alias(str(j)) for j, g in enumerate(guesses))).first()
-    checks = []
-    for b, (low, high) in zip(brackets, bounds):
-        value = F.col(f"_v{b.slot}")
-        for test in (value < F.lit(low), value <= F.lit(low), value < F.lit(high), value <= F.lit(high)):
-            checks.append(F.count_if(test))
-    seen = base.agg(*(c.alias(str(j)) for j, c in enumerate(checks))).first()
     narrowed = []
-    for j, (b, (low, high)) in enumerate(zip(brackets, bounds)):
-        under_low, to_low, under_high, to_high = seen[4 * j : 4 * j + 4]
-        if b.position < under_low:
-            narrowed.append(replace(b, under=low, size=under_low - b.below))
-        elif b.position < to_low:
-            narrowed.append((b.slot, b.position, low, under_low))
-        elif b.position < under_high:
-            narrowed.append(replace(b, above=low, under=high, below=to_low, size=under_high - to_low))
-        elif b.position < to_high:
-            narrowed.append((b.slot, b.position, high, under_high))
-        else:
-            narrowed.append(replace(b, above=high, below=to_high, size=b.below + b.size - to_high))
+    for kind, group in _by_kind(base, brackets).items():
+        sketch = "bigint" if kind in ("tinyint", "smallint", "int", "bigint") else "double"
+        values = _inside(base, group).withColumn("v", F.col("value").cast(sketch))
+        states = _by_task(values).groupBy("j", "_group").agg(F.expr(f"kll_sketch_agg_{sketch}(v, {GUESS_ITEMS})").alias("s"))
+        whole = states.groupBy("j").agg(F.expr(f"kll_merge_agg_{sketch}(s, {GUESS_ITEMS})").alias("s"))
+        ranks = [(b.position - b.below) / max(b.size - 1, 1) for b in group]
+        ends = [(max(0, math.floor((r - GUESS_ERROR) * GUESS_STEPS)), min(GUESS_STEPS, math.ceil((r + GUESS_ERROR) * GUESS_STEPS))) for r in ranks]
+        steps = ", ".join(f"{i / GUESS_STEPS!r}D" for i in range(GUESS_STEPS + 1))
+        grid = whole.select("j", F.expr(f"kll_sketch_get_quantile_{sketch}(s, array({steps}))").alias("grid"))
+        guess = [F.get("grid", F.get(F.lit([e[i] for e in ends]), F.col("j"))).cast(kind) for i in (0, 1)]
+        bounds = {row["j"]: (row["low"], row["high"]) for row in grid.select("j", guess[0].alias("low"), guess[1].alias("high")).collect()}
+        lows, highs = (F.get(F.array(*(F.lit(bounds[j][i]).cast(kind) for j in range(len(group)))), F.col("j")) for i in (0, 1))
+        value = F.col("value")
+        counted = (value < lows, value <= lows, value < highs, value <= highs)
+        seen = values.groupBy("j").agg(*(F.count_if(test).alias(str(i)) for i, test in enumerate(counted))).collect()
+        for row in seen:
+            b, (low_value, high_value) = group[row["j"]], bounds[row["j"]]
+            # What lies outside the interval has been counted before.
+            narrowed.append(_settled(b, low_value, high_value, *(b.below + row[str(i)] for i in range(4))))
     return narrowed
 
 
+def _settled(b: _Bracket, low, high, under_low: int, to_low: int, under_high: int, to_high: int):
+    """The bracket after counting around two of its values, or the answer if one of them is it."""
+    if b.position < under_low:
+        return replace(b, under=low, size=under_low - b.below)
+    if b.position < to_low:
+        return (b.slot, b.position, low, under_low)
+    if b.position < under_high:
+        return replace(b, above=low, under=high, below=to_low, size=under_high - to_low)
+    if b.position < to_high:
+        return (b.slot, b.position, high, under_high)
+    return replace(b, above=high, below=to_high, size=b.below + b.size - to_high)
+
+
+def _by_kind(base: DataFrame, brackets: list[_Bracket]) -> dict[str, list[_Bracket]]:
+    """Brackets by the type of their values."""
+    kinds = dict(base.dtypes)
+    found: dict[str, list[_Bracket]] = {}
+    for b in brackets:
+        found.setdefault(kinds[f"_v{b.slot}"], []).append(b)
+    return found
+
+
+def _inside(base: DataFrame, brackets: list[_Bracket]) -> DataFrame:
+    """(j, value): the values of one type inside bracket j."""
+    entries = [F.when(b.inside(), F.struct(F.lit(j).alias("j"), F.col(f"_v{b.slot}").alias("value"))) for j, b in enumerate(brackets)]
+    return base.select(F.explode(F.array_compact(F.array(*entries))).alias("b")).select("b.j", "b.value")
+
+
 def _pick(base: DataFrame, brackets: list[_Bracket]) -> list[tuple]:
     """Resolve brackets of bounded size by counting their distinct values, one job per value type.
 
@@ -458,6 +488,9 @@ def rows_at(
     rows: DataFrame, order: Column, key: str, positions: list[int], limit: int = SELECT_LIMIT
 ) -> list[tuple[object, object]]:
     """The (order, key) pairs at global 0-based positions when sorted by order, then key."""
+    # Two searches read the pairs, each more than once.
+    rows = written(rows.select(order.alias("_order"), F.col(key).alias("_key")))
+    order, key = F.col("_order"), "_key"
     values = order_statistics(rows, {"order": (order, sorted(set(positions)))}, limit)["order"]
     tied = {}
     for i, position in enumerate(sorted(set(positions))):
