@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindcast.functions.scalars import finite
 from hindcast.operators.contract import require_columns
-from hindcast.operators.ordered import quantiles
+from hindcast.operators.ordered import before, quantiles
+from hindcast.session import shared_path, written
 
 
 def fitted_medians(rows: DataFrame, columns: list[str]) -> dict[str, float | None]:
@@ -163,18 +164,77 @@ def fit_logistic(prepared: DataFrame, label: str, inverse_regularisation: float
     return learner.fit(weighted)
 
 
+@dataclass(frozen=True)
+class Boosted:
+    """Boosted trees of which the first ``kept`` score; ``curve`` is the average precision after each round."""
+
+    model: GBTClassificationModel
+    leaves: list[list[float]]
+    kept: int
+    curve: list[float]
+
+    def margins(self, prepared: DataFrame) -> DataFrame:
+        """Rows with ``margins``, the margin after each round, from one pass through the trees."""
+        reached = vector_to_array("leaf")
+        # The leaves are constants of the model, so their number is bounded by rounds and depth.
+        values = F.transform(F.arrays_zip(F.lit(self.leaves).alias("v"), reached.alias("at")), lambda t: F.get(t["v"], t["at"].cast("int")))
+        sums = F.aggregate(values, F.array().cast("array<double>"), lambda done, v: F.concat(done, F.array(F.coalesce(F.get(done, F.size(done) - 1), F.lit(0.0)) + v)))
+        return self.model.transform(prepared).withColumn("margins", sums).drop("leaf", "rawPrediction", "probability", "prediction")
+
+    def transform(self, prepared: DataFrame) -> DataFrame:
+        """Rows with ``probability`` by the rounds that are kept."""
+        p = 1.0 / (1.0 + F.exp(-2.0 * F.get("margins", F.lit(self.kept - 1))))
+        return self.margins(prepared).withColumn("probability", array_to_vector(F.array(1.0 - p, p))).drop("margins")
+
+
 def fit_boosted(
     prepared: DataFrame, label: str, validation: str, rounds: int = 500, depth: int = 6,
-    rate: float = 0.05, subsample: float = 0.8, seed: int = 42,
-):
-    """Boosted trees; rows where ``validation`` is true only decide when to stop."""
-    weight = class_weight(prepared.where(~F.col(validation)), label)
-    weighted = prepared.withColumn("weight", F.when(F.col(label) == 1, F.lit(weight)).otherwise(F.lit(1.0)))
+    rate: float = 0.05, subsample: float = 0.8, seed: int = 42, patience: int = 50,
+) -> Boosted:
+    """Boosted trees; rows where ``validation`` is true only decide how many rounds are kept.
+
+    Kept are the rounds up to the highest average precision on those rows (the earliest of equal ones), looking no further
+    than ``patience`` rounds without a new highest. Without such rows, or with one class among them, all rounds are kept.
+    """
+    train = prepared.where(~F.col(validation))
+    weight = class_weight(train, label)
+    weighted = train.withColumn("weight", F.when(F.col(label) == 1, F.lit(weight)).otherwise(F.lit(1.0)))
     learner = GBTClassifier(
-        labelCol=label, weightCol="weight", validationIndicatorCol=validation, maxIter=rounds, maxDepth=depth,
-        stepSize=rate, subsamplingRate=subsample, minInstancesPerNode=5, seed=seed,
+        labelCol=label, weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=subsample,
+        minInstancesPerNode=5, seed=seed, leafCol="leaf",
     )
-    return learner.fit(weighted)
+    model = learner.fit(weighted)
+    whole = Boosted(model, _leaf_values(model, prepared.sparkSession), len(model.treeWeights), [])
+    curve = precision_curve(whole.margins(prepared.where(F.col(validation))), label)
+    best = 0
+    for r, value in enumerate(curve):
+        if r - best > patience:
+            break
+        best = r if value > curve[best] else best
+    return replace(whole, kept=best + 1 if curve else whole.kept, curve=curve)
+
+
+def _leaf_values(model: GBTClassificationModel, spark: SparkSession) -> list[list[float]]:
+    """What each leaf of each tree adds to the margin; leaves are numbered as the trees name them, from left to right."""
+    path = shared_path(spark, "trees")
+    model.write().save(path)
+    nodes = spark.read.parquet(f"{path}/data").where("nodeData.leftChild < 0").select("treeID", "nodeData.id", "nodeData.prediction")
+    found: list[list[float]] = [[] for _ in model.treeWeights]
+    for row in sorted(nodes.collect(), key=lambda r: (r["treeID"], r["id"])):
+        found[row["treeID"]].append(row["prediction"] * model.treeWeights[row["treeID"]])
+    return found
+
+
+def precision_curve(scored: DataFrame, label: str) -> list[float]:
+    """Step-wise average precision of each position of ``margins``; empty unless both classes occur."""
+    rows = scored.select(F.col(label).cast("long").alias("y"), F.posexplode("margins").alias("round", "margin"))
+    per_score = rows.groupBy("round", (-F.col("margin")).alias("_down")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
+    per_score = written(per_score)
+    table = before(per_score, ("round",), "_down", {"n_above": "n", "pos_above": "pos"}, unique=True)
+    hits, seen = F.col("pos_above") + F.col("pos"), F.col("n_above") + F.col("n")
+    sums = table.groupBy("round").agg(F.sum("pos").alias("p"), F.sum("n").alias("n"), F.sum(F.col("pos") * hits / seen).alias("s"))
+    found = sums.where((F.col("p") > 0) & (F.col("p") < F.col("n"))).orderBy("round").collect()
+    return [row["s"] / row["p"] for row in found]
 
 
 def score(model, prepared: DataFrame, column: str = "score") -> DataFrame:

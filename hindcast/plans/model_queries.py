@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from hindcast.operators import anomaly, attribution, modelling, policy, quality, records, splits
+from hindcast.operators import anomaly, attribution, modelling, policy, quality, ranking, records, splits
 from hindcast.plans.bindings import EVENTS, HOUR, ORDERS, events, orders, rounded
 from hindcast.plans.decision_queries import COSTS, DECIDED, PICKED
 from hindcast.plans.feature_queries import SPLIT_SQL
@@ -166,6 +166,30 @@ def _(spark, folder):
     return rounded(modelling.score(model, fitted.transform(later, ("txn_id", "label"))))
 
 
+@query(
+    "m6_stopping_rule",
+    f"""WITH {EVENTS}, {SPLIT_SQL}
+        SELECT 10::BIGINT AS rounds, count(*) - CAST(floor(count(*) * 0.9::DOUBLE) AS BIGINT) AS stopping_rows,
+          true AS kept_is_highest, true AS curve_is_that_of_the_scores FROM split WHERE split = 'train'""",
+)
+def _(spark, folder):
+    """The kept rounds have the highest published average precision, which their scores on the stopping rows give again."""
+    train, _ = _splits(spark, folder)
+    fitted = modelling.Preprocessor(NUMERIC, CATEGORICAL).fit(train)
+    parts = splits.tail_split(train, 0.1).withColumn("stops", F.col("part") == "early_stop")
+    prepared = cut_lineage(fitted.transform(parts, ("txn_id", "label", "stops")))
+    boosted = modelling.fit_boosted(prepared, "label", "stops", rounds=10, depth=4)
+    scored = modelling.score(boosted, prepared.where("stops"))
+    areas = ranking.ranking_areas(scored)
+    highest = boosted.curve[boosted.kept - 1]
+    return areas.select(
+        F.lit(len(boosted.curve)).cast("long").alias("rounds"),
+        scored.agg(F.count(F.lit(1))).scalar().alias("stopping_rows"),
+        F.lit(highest == max(boosted.curve)).alias("kept_is_highest"),
+        (F.abs(F.col("pr_auc") - highest) < 1e-9).alias("curve_is_that_of_the_scores"),
+    )
+
+
 @query("m7_scoring_latency")
 def _(spark, folder):
     _, train, later = _prepared(spark, folder)

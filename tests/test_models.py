@@ -2,6 +2,7 @@
 
 import math
 import random
+from dataclasses import replace
 from collections import Counter
 
 import pytest
@@ -127,6 +128,37 @@ def test_boosted_trees_learn(spark):
     assert means[1] > means[0] + 0.1
 
 
+def average_precision(pairs):
+    """Step-wise over distinct scores."""
+    hits = seen = 0
+    total = 0.0
+    for score in sorted({s for s, _ in pairs}, reverse=True):
+        group = [y for s, y in pairs if s == score]
+        hits, seen = hits + sum(group), seen + len(group)
+        total += sum(group) * hits / seen
+    return total / hits
+
+
+def test_boosted_trees_keep_the_rounds_of_highest_precision(spark):
+    df = learning_table(spark)
+    prepared = modelling.Preprocessor(["a", "b"], []).fit(df).transform(df, ("txn_id", "label"))
+    prepared = prepared.withColumn("stops", F.col("txn_id") % 5 == 0).cache()
+    made = modelling.fit_boosted(prepared, "label", "stops", rounds=6, depth=3, patience=100)
+    rows = made.margins(prepared.where("stops")).select("txn_id", "label", "margins").collect()
+    curve = [average_precision([(r["margins"][i], r["label"]) for r in rows]) for i in range(6)]
+    assert made.curve == pytest.approx(curve, rel=1e-12)
+    assert made.kept == 1 + max(range(6), key=lambda i: (made.curve[i], -i))
+    # All rounds give what Spark's own model gives; the kept ones, what their margin says.
+    own = {r["txn_id"]: float(r["probability"][1]) for r in made.model.transform(prepared).select("txn_id", "probability").collect()}
+    whole = {r["txn_id"]: r["score"] for r in modelling.score(replace(made, kept=6), prepared).collect()}
+    assert whole == pytest.approx(own, rel=1e-9)
+    short = {r["txn_id"]: r["score"] for r in modelling.score(replace(made, kept=2), prepared).collect()}
+    assert {r["txn_id"]: 1 / (1 + math.exp(-2 * r["margins"][1])) for r in rows} == pytest.approx({r["txn_id"]: short[r["txn_id"]] for r in rows})
+    # One class among the stopping rows: all rounds stay.
+    alone = modelling.fit_boosted(prepared.where("not stops or label = 0"), "label", "stops", rounds=2, depth=2)
+    assert (alone.kept, alone.curve) == (2, [])
+
+
 def forest_table(spark, n=500):
     rng = random.Random(6)
     rows = [(i, i, rng.gauss(0, 1), rng.gauss(0, 1) if rng.random() > 0.1 else None) for i in range(n)]
