@@ -9,10 +9,16 @@ from hindcast.plans.bindings import EVENTS, HOUR, ORDERS, events, orders, rounde
 from hindcast.plans.feature_queries import SPLIT_SQL, _frame
 from hindcast.plans.registry import query
 from hindcast.roles import EntityFeatures
+from hindcast.session import shared_path
+from hindcast.sources import files
 
 COLUMNS = ["txn_id", "t", "card", "amount", "product", "device", "email", "label", "score"]
 
 
+#: Another order than that of the keys, in both engines.
+SHUFFLED = "(txn_id * 7919) % 10007"
+
+
 def _null(c: str) -> str:
     return f"avg(CASE WHEN {c} IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
 
@@ -41,6 +47,23 @@ def _(spark, folder):
     return found.withColumn("sample_violations", F.array_join("sample_violations", ","))
 
 
+@query(
+    "d2_stored_order",
+    f"""WITH {ORDERS}, d AS (SELECT txn_id, t, {SHUFFLED} AS place FROM txn),
+        l AS (SELECT t, row_number() OVER w AS position, lag(t) OVER w AS p FROM d WINDOW w AS (ORDER BY place, txn_id)), v AS (SELECT * FROM l WHERE t < p)
+        SELECT 't' AS column, count(*) = 0 AS is_monotonic, count(*) AS violation_count,
+          (SELECT string_agg(CAST(t AS VARCHAR), ',' ORDER BY position) FROM (SELECT * FROM v ORDER BY position LIMIT 10)) AS sample_violations
+        FROM v""",
+)
+def _(spark, folder):
+    """No column says how the rows are stored: files and rows within them do."""
+    path = shared_path(spark, "stored")
+    rows = orders(spark, folder).select("txn_id", "t").withColumn("place", F.expr(SHUFFLED))
+    rows.repartitionByRange(8, "place", "txn_id").sortWithinPartitions("place", "txn_id").drop("place").write.parquet(path)
+    found = quality.monotonic_check(files.stored_rows(spark, path), "stored_order", "t")
+    return found.withColumn("sample_violations", F.array_join("sample_violations", ","))
+
+
 @query(
     "d3_null_rates",
     f"""WITH {EVENTS} {' UNION ALL '.join(f"SELECT '{c}' AS column, round({_null(c)}, 6) AS null_rate, {_null(c)} > 0.1 AS above_threshold FROM txn" for c in COLUMNS)}""",

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -48,6 +48,19 @@ def open_split(
     return spark.read.parquet(f"{folder}/{split}")
 
 
+def stored_rows(spark: SparkSession, path: str, column: str = "stored_order") -> DataFrame:
+    """A Parquet table with the place of each row as it is stored: files by path, rows as they follow in the file.
+
+    Counted from 0 without gaps, whatever the files' splits. The sum over files runs over one row for each file.
+    """
+    rows = spark.read.parquet(path)
+    placed = rows.select(*rows.columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_file", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
+    return placed.join(starts, "_file").select(*rows.columns, (F.col("_start") + F.col("_row")).alias(column))
+
+
 BLOCK = 8 * 1024 * 1024
 
 
