@@ -113,18 +113,30 @@ def _(spark, folder):
     return keyed_load.record_run(rows, shared_path(spark, "runs"), "load-1", result, 1.0)
 
 
+#: Label lines of so many ids stand in one file.
+IDS_PER_FILE = 100
+
+
 @query(
     "s11_fingerprints",
-    """SELECT 'labels.bin' AS file_name, CAST(octet_length(encode(body)) AS BIGINT) AS size_bytes, sha256(body) AS sha256
-       FROM (SELECT string_agg(doc_id || ',' || quality || ',' || toxic || chr(10), '' ORDER BY doc_id) AS body FROM labels)""",
+    f"""SELECT CAST(file AS BIGINT) AS file, CAST(octet_length(encode(body)) AS BIGINT) AS size_bytes, sha256(body) AS sha256
+       FROM (SELECT doc_id // {IDS_PER_FILE} AS file, string_agg(doc_id || ',' || quality || ',' || toxic || chr(10), '' ORDER BY doc_id) AS body
+         FROM labels GROUP BY ALL)""",
 )
 def _(spark, folder):
-    """The fingerprint of a file whose bytes are known: the label table as ordered lines."""
+    """The fingerprints of files whose bytes are known: the label table as ordered lines, a file for each range of ids."""
     path = shared_path(spark, "fingerprint")
-    line = F.concat_ws(",", "doc_id", F.col("quality").cast("string"), F.col("toxic").cast("string"))
-    table(spark, folder, "labels").orderBy("doc_id").coalesce(1).select(line).write.text(path)
-    found = files.fingerprints(spark, f"{path}/part-*")
-    return found.select(F.lit("labels.bin").alias("file_name"), "size_bytes", "sha256")
+    line = F.concat_ws(",", "doc_id", F.col("quality").cast("string"), F.col("toxic").cast("string")).alias("line")
+    lines = table(spark, folder, "labels").select(F.expr(f"doc_id div {IDS_PER_FILE}").alias("file"), "doc_id", line)
+    lines.repartition("file").sortWithinPartitions("file", "doc_id").select("file", "line").write.partitionBy("file").text(path)
+    found = files.fingerprints(spark, f"{path}/file=*")
+    return found.select(F.regexp_extract("path", "file=([0-9]+)/", 1).cast("long").alias("file"), "size_bytes", "sha256")
+
+
+@query("s11_expected_files", "SELECT unnest(['absent.csv', 'lost.parquet']) AS file_name")
+def _(spark, folder):
+    """Which of the expected files the folder of the tables lacks."""
+    return files.missing_files(spark, f"{folder}/*.parquet", ("orders.parquet", "lost.parquet", "events.parquet", "absent.csv"))
 
 
 @query(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from pathlib import PurePosixPath
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -62,14 +61,27 @@ def stored_rows(spark: SparkSession, path: str, column: str = "stored_order") ->
 
 
 BLOCK = 8 * 1024 * 1024
+#: Files up to this size are read by Spark itself, so from any store that it reaches; larger ones in blocks.
+READ_WHOLE = 256 * 1024 * 1024
+
+
+def missing_files(spark: SparkSession, path: str, expected: tuple[str, ...]) -> DataFrame:
+    """The expected file names (file_name) that do not occur under a path or pattern."""
+    wanted = spark.createDataFrame([(name,) for name in sorted(set(expected))], "file_name string")
+    return wanted.join(_listed(spark, path).select("file_name"), "file_name", "left_anti")
+
+
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", F.substring_index("path", "/", -1).alias("file_name"), F.col("length").alias("size_bytes"))
 
 
 def fingerprints(spark: SparkSession, path: str, expected: tuple[str, ...] = ()) -> DataFrame:
-    """Name, size and SHA-256 of every file, read in blocks so that file size is no limit."""
-    listed = spark.read.format("binaryFile").load(path).select("path", "length")
+    """Path, name, size and SHA-256 of every file under a path or pattern, many files at once; file size is no limit.
+
+    Raises where an expected name is missing.
+    """
     if expected:
-        names = {PurePosixPath(r["path"]).name for r in listed.select("path").collect()}
-        missing = sorted(set(expected) - names)
+        missing = [r["file_name"] for r in missing_files(spark, path, expected).orderBy("file_name").collect()]
         if missing:
             raise FileNotFoundError(f"expected files are missing: {missing}")
 
@@ -86,10 +98,13 @@ def fingerprints(spark: SparkSession, path: str, expected: tuple[str, ...] = ())
                     while block := stream.read(BLOCK):
                         running.update(block)
                 digests.append(running.hexdigest())
-            names = batch["path"].map(lambda p: PurePosixPath(p).name)
-            yield pd.DataFrame({"file_name": names, "size_bytes": batch["length"], "sha256": digests})
+            yield batch.assign(sha256=digests)
 
-    return listed.mapInPandas(digest, "file_name string, size_bytes long, sha256 string")
+    files = spark.read.format("binaryFile").load(path)
+    usual = files.where(F.col("length") <= READ_WHOLE)
+    usual = usual.select("path", F.substring_index("path", "/", -1).alias("file_name"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    large = _listed(spark, path).where(F.col("size_bytes") > READ_WHOLE)
+    return usual.unionByName(large.mapInPandas(digest, "path string, file_name string, size_bytes long, sha256 string"))
 
 
 def load_schema(rows: DataFrame, mapping: dict[str, tuple[str, str]]) -> DataFrame:
