@@ -213,6 +213,19 @@ def _(spark, folder):
     return pit.feature_guards(made, source, "txn_id", spec.outputs())
 
 
+@query(
+    "w11_feature_guards_broken",
+    f"""WITH {ORDERS} SELECT count(*) FILTER (WHERE txn_id % 41 <> 0) + count(*) FILTER (WHERE txn_id % 41 <> 0 AND txn_id % 43 = 1) AS feature_rows,
+          count(*) AS source_rows, count(*) FILTER (WHERE txn_id % 41 <> 0 AND txn_id % 43 = 1) AS repeated_keys, 1 AS present_columns, 1 AS missing_columns FROM txn""",
+)
+def _(spark, folder):
+    """The feature rules over a table that lacks rows and a column, and repeats keys."""
+    source = orders(spark, folder)
+    spec = EntityFeatures("card", ("card",), velocity={"7d": 7 * DAY}, recency=True)
+    made = pit.behavioural_features(source, [spec]).where("txn_id % 41 <> 0").drop("recency_card")
+    return pit.feature_guards(made.unionByName(made.where("txn_id % 43 = 1")), source, "txn_id", spec.outputs())
+
+
 def _catalogue_sql(name: str) -> str:
     return f"""SELECT 'history_{name}' AS feature, '{name}' AS entity, '' AS windows, 'strictly earlier timestamps' AS availability,
       false AS uses_target, 'v1' AS version, round(avg(CASE WHEN {name} IS NULL THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS null_rate FROM txn"""

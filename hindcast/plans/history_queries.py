@@ -219,6 +219,29 @@ def _(spark, folder):
     )
 
 
+#: Violations of each input rule, at ids that both engines choose alike.
+BROKEN_INPUT = {
+    "txn_id": "CASE WHEN txn_id % 97 = 3 THEN NULL WHEN txn_id % 61 = 7 THEN txn_id - 1 ELSE txn_id END",
+    "t": "CASE WHEN txn_id % 89 = 1 THEN NULL ELSE t END",
+    "amount": "CASE WHEN txn_id % 83 = 2 THEN NULL WHEN txn_id % 79 = 3 THEN CAST('NaN' AS DOUBLE) WHEN txn_id % 73 = 4 THEN -1.5 - amount ELSE amount END",
+    "label": "CASE WHEN txn_id % 71 = 5 THEN NULL WHEN txn_id % 67 = 6 THEN 7 ELSE label END",
+}
+
+
+@query(
+    "q5_input_guards_broken",
+    f"""WITH {EVENTS}, b AS (SELECT {', '.join(f'{e} AS {c}' for c, e in BROKEN_INPUT.items())} FROM txn)
+        SELECT count(*) AS row_count, count(*) FILTER (WHERE txn_id IS NULL) AS null_keys, count(*) FILTER (WHERE t IS NULL) AS null_times,
+          count(*) FILTER (WHERE amount IS NULL OR isnan(amount)) AS null_amounts, count(*) FILTER (WHERE amount < 0) AS negative_amounts,
+          count(*) FILTER (WHERE label IS NULL OR label NOT IN (0, 1)) AS bad_labels,
+          (SELECT count(*) FROM (SELECT txn_id FROM b GROUP BY txn_id HAVING count(*) > 1)) AS repeated_keys FROM b""",
+)
+def _(spark, folder):
+    """The input rules over rows that break each of them."""
+    rows = events(spark, folder)
+    return sequence.input_guards(rows.select(*(F.expr(e).alias(c) for c, e in BROKEN_INPUT.items())))
+
+
 @query("q4_history_length", f"WITH {HOURLY}, {HISTORY} SELECT txn_id, CAST(len(amounts) AS INTEGER) AS history_length FROM hist")
 def _(spark, folder):
     return sequence.sequences(hourly_events(spark, folder), LENGTH).select("txn_id", "history_length")
@@ -269,6 +292,24 @@ def _(spark, folder):
     return sequence.dataset_guards(sequence.sequences(hourly_events(spark, folder), LENGTH), length=LENGTH)
 
 
+@query(
+    "q8_dataset_guards_broken",
+    f"""WITH {HOURLY} SELECT count(*) AS row_count, count(*) FILTER (WHERE txn_id % 19 = 0) AS wrong_length,
+          count(*) FILTER (WHERE txn_id % 23 IN (1, 2)) AS non_finite, count(*) FILTER (WHERE txn_id % 29 IN (2, 3)) AS bad_labels,
+          count(*) FILTER (WHERE txn_id % 31 IN (3, 4)) AS bad_history FROM txn""",
+)
+def _(spark, folder):
+    """The dataset rules over sequences that break each of them."""
+    made = sequence.sequences(hourly_events(spark, folder), LENGTH)
+    at = lambda divisor, rest: F.col("txn_id") % divisor == rest
+    spoiled = lambda value: F.transform("sequence", lambda e: e.withField("log_gap", F.lit(value).cast("double")))
+    values = F.when(at(23, 1), spoiled(float("nan"))).when(at(23, 2), spoiled(None)).otherwise(F.col("sequence"))
+    broken = made.withColumn("sequence", values).withColumn("sequence", F.when(at(19, 0), F.slice("sequence", 1, LENGTH - 1)).otherwise(F.col("sequence")))
+    broken = broken.withColumn("label", F.when(at(29, 2), F.lit(None)).when(at(29, 3), F.lit(2)).otherwise(F.col("label")))
+    history = F.when(at(31, 3), F.lit(-1)).when(at(31, 4), F.lit(LENGTH)).otherwise(F.col("history_length"))
+    return sequence.dataset_guards(broken.withColumn("history_length", history), length=LENGTH)
+
+
 def _float_text_sql(values: str) -> str:
     return _text_sql(f"list_transform({values}, lambda f: CAST(CAST(f AS FLOAT) AS DOUBLE))")
 
@@ -372,3 +413,21 @@ def _(spark, folder):
     tagged = splits.ratio_split(orders(spark, folder))
     fitted = encoding.fit(tagged.where("split = 'train'"), "label", SETTINGS)
     return encoding.encoding_guards(fitted.transform(tagged.where("split = 'validation'"), "txn_id"), SETTINGS)
+
+
+@query(
+    "t5_encoding_guards_broken",
+    f"""WITH {ORDERS}, {SPLIT_SQL}, v AS (SELECT txn_id FROM split WHERE split = 'validation')
+        SELECT 'product' AS column, count(*) AS row_count, count(*) FILTER (WHERE txn_id % 13 = 0) AS null_encodings,
+          count(*) FILTER (WHERE txn_id % 17 = 1 AND txn_id % 13 <> 0) AS out_of_range FROM v
+        UNION ALL SELECT 'email', count(*), 0::BIGINT, count(*) FILTER (WHERE txn_id % 11 = 2) FROM v""",
+)
+def _(spark, folder):
+    """The encoding rules over encodings that break each of them."""
+    tagged = splits.ratio_split(orders(spark, folder))
+    fitted = encoding.fit(tagged.where("split = 'train'"), "label", SETTINGS)
+    made = fitted.transform(tagged.where("split = 'validation'"), "txn_id")
+    at = lambda divisor, rest: F.col("txn_id") % divisor == rest
+    made = made.withColumn("product_encoded", F.when(at(13, 0), F.lit(None)).when(at(17, 1), F.lit(1.5)).otherwise(F.col("product_encoded")))
+    made = made.withColumn("email_encoded", F.when(at(11, 2), F.lit(-0.1)).otherwise(F.col("email_encoded")))
+    return encoding.encoding_guards(made, SETTINGS)
