@@ -5,9 +5,8 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field, replace
 
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ from hindcast.functions.scalars import finite
 from hindcast.operators.contract import require_columns
 from hindcast.operators.ordered import before, quantiles
 from hindcast.session import shared_path, written
+from hindcast.sources.files import stored_rows
 
 
 def fitted_medians(rows: DataFrame, columns: list[str]) -> dict[str, float | None]:
@@ -59,7 +59,9 @@ class Preprocessor:
     categorical: list[str]
     scaling: dict[str, Scaling] = field(default_factory=dict)
     modes: dict[str, str] = field(default_factory=dict)
-    encoder: PipelineModel | None = None
+    #: (column, category, slot), slots counted from 0 within a column in alphabetical order, and how many a column has.
+    dictionary: DataFrame | None = None
+    widths: dict[str, int] = field(default_factory=dict)
 
     def fit(self, train: DataFrame) -> Preprocessor:
         if not self.numeric and not self.categorical:
@@ -69,21 +71,21 @@ class Preprocessor:
             self._fit_numeric(train)
         if self.categorical:
             self.modes = {r["column"]: r["mode"] for r in modes(train, self.categorical).collect()}
-            texts = [f"{c}_text" for c in self.categorical]
-            stages = [
-                StringIndexer(
-                    inputCols=texts, outputCols=[f"{c}_index" for c in self.categorical],
-                    handleInvalid="keep", stringOrderType="alphabetAsc",
-                ),
-                # The last index stands for unseen categories; dropping it leaves them all zero.
-                OneHotEncoder(
-                    inputCols=[f"{c}_index" for c in self.categorical],
-                    outputCols=[f"{c}_onehot" for c in self.categorical],
-                ),
-            ]
-            self.encoder = Pipeline(stages=stages).fit(self._texts(train))
+            self._fit_dictionary(train)
         return self
 
+    def _fit_dictionary(self, train: DataFrame) -> None:
+        """Number the categories by the place where a sorted table holds them, so that no task or driver meets them all."""
+        texts = self._texts(train).select(*(F.col(f"{c}_text").alias(c) for c in self.categorical))
+        long = texts.unpivot([], self.categorical, "column", "category").where(F.col("category").isNotNull()).distinct()
+        path = shared_path(train.sparkSession, "categories")
+        long.orderBy("column", "category").write.parquet(path)
+        placed = stored_rows(train.sparkSession, path, "place")
+        facts = placed.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).collect()  # a row for each column
+        self.widths = {r["column"]: r["n"] for r in facts}
+        first = F.coalesce(*(F.when(F.col("column") == r["column"], F.lit(r["first"])) for r in facts), F.lit(0))
+        self.dictionary = written(placed.select("column", "category", (F.col("place") - first).alias("slot")))
+
     def _fit_numeric(self, train: DataFrame) -> None:
         medians = fitted_medians(train, self.numeric)
         wide = []
@@ -122,14 +124,22 @@ class Preprocessor:
         scaled = self.scaled_columns()
         made = rows.select("*", *(c.alias(n) for n, c in scaled.items()))
         parts = list(scaled)
-        if self.encoder is not None:
-            made = self.encoder.transform(self._texts(made))
-            parts += [f"{c}_onehot" for c in self.categorical]
+        seen = [c for c in self.categorical if self.widths.get(c)]
+        if seen:
+            made = self._texts(made)
+            for c in seen:
+                slots = self.dictionary.where(F.col("column") == c).select(F.col("category").alias(f"{c}_text"), F.col("slot").alias(f"{c}_slot"))
+                made = made.join(slots, f"{c}_text", "left")
+            # The slot behind the last one stands for unseen categories; the encoder drops it, which leaves them all zero.
+            made = made.withColumns({f"{c}_slot": F.coalesce(f"{c}_slot", F.lit(self.widths[c])).cast("double") for c in seen})
+            encoder = OneHotEncoder(inputCols=[f"{c}_slot" for c in seen], outputCols=[f"{c}_onehot" for c in seen])
+            sizes = rows.sparkSession.createDataFrame([tuple(float(self.widths[c]) for c in seen)], [f"{c}_slot" for c in seen])
+            made = encoder.fit(sizes).transform(made)
+            parts += [f"{c}_onehot" for c in seen]
         return VectorAssembler(inputCols=parts, outputCol="features").transform(made).select(*keep, "features")
 
     def width(self) -> int:
-        labels = [len(v) for v in self.encoder.stages[0].labelsArray] if self.encoder else []
-        return len(self.scaled_columns()) + sum(labels)
+        return len(self.scaled_columns()) + sum(self.widths.values())
 
 
 def class_weight(train: DataFrame, label: str) -> float:

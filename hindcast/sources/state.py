@@ -8,7 +8,6 @@ from __future__ import annotations
 import json
 from dataclasses import asdict
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import SparkSession
 
@@ -58,16 +57,16 @@ def load_encoder(spark: SparkSession, path: str) -> FittedEncoder:
 
 def save_preprocessor(spark: SparkSession, fitted: Preprocessor, path: str) -> None:
     scaling = {c: asdict(s) for c, s in fitted.scaling.items()}
-    _write_facts(spark, path, {"kind": "preprocessor", "numeric": fitted.numeric, "categorical": fitted.categorical, "scaling": scaling, "modes": fitted.modes})
-    if fitted.encoder is not None:
-        fitted.encoder.write().save(f"{path}/encoder")
+    _write_facts(spark, path, {"kind": "preprocessor", "numeric": fitted.numeric, "categorical": fitted.categorical, "scaling": scaling, "modes": fitted.modes, "widths": fitted.widths})
+    if fitted.dictionary is not None:
+        fitted.dictionary.write.parquet(f"{path}/dictionary")
 
 
 def load_preprocessor(spark: SparkSession, path: str) -> Preprocessor:
     facts = _read_facts(spark, path, "preprocessor")
     scaling = {c: Scaling(**s) for c, s in facts["scaling"].items()}
-    encoder = PipelineModel.load(f"{path}/encoder") if facts["categorical"] else None
-    return Preprocessor(facts["numeric"], facts["categorical"], scaling, facts["modes"], encoder)
+    dictionary = spark.read.parquet(f"{path}/dictionary") if facts["categorical"] else None
+    return Preprocessor(facts["numeric"], facts["categorical"], scaling, facts["modes"], dictionary, facts["widths"])
 
 
 def save_forests(spark: SparkSession, fitted: Forests, path: str) -> None:

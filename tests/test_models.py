@@ -2,8 +2,8 @@
 
 import math
 import random
-from dataclasses import replace
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,6 +128,19 @@ def test_boosted_trees_learn(spark):
     assert means[1] > means[0] + 0.1
 
 
+def test_categories_get_slots_in_order(spark):
+    rows = [(i, f"c{i * 7919 % 613:04d}", None if i % 5 else "x") for i in range(900)]
+    train = spark.createDataFrame(rows, "txn_id long, many string, few string").repartition(5)
+    fitted = modelling.Preprocessor([], ["many", "few"]).fit(train)
+    names = sorted({r[1] for r in rows})
+    assert fitted.widths == {"many": len(names), "few": 1} and fitted.width() == len(names) + 1
+    later = spark.createDataFrame([(0, "c0000", "x"), (1, "unseen", None), (2, names[-1], "y"), (3, None, "x")], "txn_id long, many string, few string")
+    got = {r["txn_id"]: r["features"].toArray().nonzero()[0].tolist() for r in fitted.transform(later, ("txn_id",)).collect()}
+    last = len(names)
+    mode = names.index(min(names, key=lambda n: (-sum(r[1] == n for r in rows), n)))
+    assert got == {0: [0, last], 1: [last], 2: [last - 1], 3: [mode, last]}
+
+
 def average_precision(pairs):
     """Step-wise over distinct scores."""
     hits = seen = 0
