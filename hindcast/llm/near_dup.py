@@ -4,9 +4,11 @@ Two permutations of a universe of 2^20 places are enough for any number of signa
 shingles of a document, the second, shifted circularly by k places, gives coordinate k (its minimum over the document's
 places). Equal bands of coordinates propose candidates; links are decided on the full shingle sets.
 
-Only components are wanted, so a bucket never emits all of its pairs: members are compared with the buckets' hubs, and
-after that only members which still lie in different components. Before any text is fetched, four bits of every coordinate
-are compared: a pair whose agreement lies five standard deviations below that of a pair at the threshold is no link.
+Only components are wanted, so a bucket never emits all of its pairs: members are compared with the buckets' hubs, then in
+rounds one member of each component that a bucket's largest one lacks with one of that, and after that only members which
+still lie in different components, each pair in the first band that it shares. Before any text is fetched, four bits of
+every coordinate are compared: a pair whose agreement lies five standard deviations below that of a pair at the threshold is
+no link.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ UNIVERSE = 1 << 20
 #: Bits kept of a coordinate for the comparison of pairs; unrelated coordinates agree in them with chance 1/16.
 SKETCH_BITS = 4
 
+#: Another round of single comparisons follows while at least this share of the last one's were links.
+WORTHWHILE = 0.05
+
 
 @lru_cache(maxsize=2)
 def permutations(coordinates: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +200,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     # were made from, which is nearer to each of them than they are to one another.
     company = kept(members.groupBy("node").agg(F.sum("members").alias("company")))
     hub = kept(members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("top")).select("key", F.col("top.node").alias("hub")))
-    wanted = kept(nodes.join(members.select("node").distinct(), "node").select("node", "doc_id", "h", "n", "sketch"))
+    wanted = kept(nodes.join(members.select("node").distinct(), "node").select("node", "doc_id", "h", "n", "bands", "sketch"))
     rows_in = packed(docs)
     found = rows_in.join(wanted, same_doc(rows_in, wanted)).select(wanted["node"], rows_in["packed"])
     texts = kept(found.dropDuplicates(["node"]))  # a document row may be repeated
@@ -204,17 +209,31 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         sizes = F.least(f"n_{a}", f"n_{b}") * 100 >= F.greatest(f"n_{a}", f"n_{b}") * percent
         return sizes & _may_link(f"sketch_{a}", f"sketch_{b}", bands * rows, percent)
 
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that may be links."""
+        for side in ("a", "b"):
+            pairs = pairs.join(wanted.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+        return kept(pairs.where(likely("a", "b")).select("a", "b"))
+
     # Each member with the hubs of its buckets first: so most of a family hangs together.
     hubs = members.join(hub, "key").where("node != hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
-    for side in ("a", "b"):
-        hubs = hubs.join(wanted.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
-    tested = kept(hubs.where(likely("a", "b")).select("a", "b"))
+    tested = compared(hubs)
     links = kept(_verified(tested, texts, size, percent, seed))
     comps = components(links)
-    more = kept(_across_components(members, wanted, comps, likely).join(tested, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.union(_verified(more, texts, size, percent, seed))
-        comps = components(links)
+    worthwhile, turn = True, 0
+    while worthwhile:
+        single = kept(compared(_single_pairs(_placed(members, comps), turn)).join(tested, ["a", "b"], "left_anti"))
+        found = kept(_verified(single, texts, size, percent, seed))
+        new = found.count()
+        worthwhile, turn = new > 0 and new >= WORTHWHILE * single.count(), turn + 1
+        tested = tested.union(single)
+        if new:
+            links = links.union(found)
+            comps = components(links)
+    more = kept(_across_components(_placed(members, comps), wanted, likely).join(tested, ["a", "b"], "left_anti"))
+    found = kept(_verified(more, texts, size, percent, seed))
+    if not found.isEmpty():
+        comps = components(links.union(found))
 
     placed = full.join(comps, "node", "left").select("doc_id", "h", "n", F.coalesce("comp", "node").alias("comp"))
     smallest = kept(placed.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
@@ -224,18 +243,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     return named.union(alone).select(*out, *(["comp"] if labels else []))
 
 
-def _across_components(members: DataFrame, wanted: DataFrame, comps: DataFrame, likely: Callable[[str, str], Column]) -> DataFrame:
+def _placed(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """key, node, comp, main: the members of buckets that hold several components, and the largest of these."""
+    placed = members.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
+    mains = sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    return kept(placed.join(kept(mains.select("key", F.col("top.comp").alias("main"))), "key"))
+
+
+def _single_pairs(placed: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a > b) of one member of each component of a bucket and one of its main one, others in every turn."""
+    drawn = F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("draw"), "node")).alias("least")
+    picked = kept(placed.groupBy("key", "comp", "main").agg(drawn).select("key", "comp", "main", F.col("least.node").alias("node")))
+    of_main = picked.where("comp = main").select("key", F.col("node").alias("to"))
+    pairs = picked.where("comp != main").join(of_main, "key")
+    return pairs.select(F.greatest("node", "to").alias("a"), F.least("node", "to").alias("b")).distinct()
+
+
+def _across_components(placed: DataFrame, wanted: DataFrame, likely: Callable[[str, str], Column]) -> DataFrame:
     """Pairs (a > b) of a bucket that lie in different components and may be links by their sizes and bits.
 
-    The largest component of a bucket is only compared with the others' members, never with itself.
+    The largest component of a bucket is only compared with the others' members, never with itself. Members of
+    different components meet in every bucket that they share, so the first of these is enough.
     """
-    placed = members.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
-    mixed = kept(sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key", F.col("top.comp").alias("main")))
-    mixed = kept(placed.join(mixed, "key").join(wanted.select("node", "n", "sketch"), "node"))
-    one = mixed.where("comp != main").select("key", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("sketch").alias("sketch_x"), F.col("comp").alias("comp_x"))
-    other = mixed.select("key", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("sketch").alias("sketch_y"), F.col("comp").alias("comp_y"), "main")
+    mixed = kept(placed.join(wanted.select("node", "n", "bands", "sketch"), "node"))
+    one = mixed.where("comp != main").select("key", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("bands").alias("bands_x"), F.col("sketch").alias("sketch_x"), F.col("comp").alias("comp_x"))
+    other = mixed.select("key", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("bands").alias("bands_y"), F.col("sketch").alias("sketch_y"), F.col("comp").alias("comp_y"), "main")
     once = (F.col("comp_y") == F.col("main")) | (F.col("x") < F.col("y"))
+    first_shared = F.array_intersect("bands_x", "bands_y")[0] == one["key"]
     same_key = one["key"] == other["key"]
-    pairs = one.join(other, same_key & (F.col("comp_x") != F.col("comp_y")) & once & likely("x", "y"))
+    pairs = one.join(other, same_key & (F.col("comp_x") != F.col("comp_y")) & once & likely("x", "y") & first_shared)
     return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
