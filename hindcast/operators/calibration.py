@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.functions.scalars import clipped, log_odds
+from hindcast.operators.isotonic import fit_isotonic, predict_isotonic
 from hindcast.operators.ordered import quantiles
 from hindcast.operators.policy import label_facts, probability_facts
 from hindcast.operators.splits import right_closed_bin
@@ -93,11 +93,7 @@ class Calibrator:
             points = merged.select(log_odds(F.col("p"), self.epsilon).alias("x"), "y", "w")
             self.model = fit_sigmoid(points, 1.0 / (INVERSE_REGULARISATION * n))
         elif self.method == "isotonic":
-            rates = merged.groupBy("p").agg(
-                (F.sum(F.col("y") * F.col("w")) / F.sum("w")).alias("y"), F.sum("w").alias("w")
-            )
-            learner = IsotonicRegression(featuresCol="p", labelCol="y", weightCol="w")
-            self.model = learner.fit(rates)
+            self.model = fit_isotonic(merged.groupBy("p").agg(F.sum(F.col("y") * F.col("w")).alias("total"), F.sum("w").alias("weight")))
         self.fitted = True
         return self
 
@@ -112,8 +108,8 @@ class Calibrator:
             slope, intercept = self.model
             margin = intercept + slope * log_odds(score, self.epsilon)
             return rows.withColumn(column, 1.0 / (1.0 + F.exp(-margin)))
-        made = self.model.setFeaturesCol("_p").setPredictionCol("_fit").transform(rows.withColumn("_p", score))
-        return made.withColumn(column, clipped(F.col("_fit"), 0.0, 1.0)).drop("_p", "_fit")
+        made = predict_isotonic(rows, score, self.model, column)
+        return made.withColumn(column, clipped(F.col(column), 0.0, 1.0))
 
 
 def brier(score: str, label: str) -> Column:

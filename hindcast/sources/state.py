@@ -8,7 +8,6 @@ from __future__ import annotations
 import json
 from dataclasses import asdict
 
-from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import SparkSession
 
 from hindcast.operators.anomaly import Forests, ForestSettings
@@ -35,12 +34,12 @@ def save_calibrator(spark: SparkSession, fitted: Calibrator, path: str) -> None:
     line = list(fitted.model) if fitted.method == "sigmoid" else None
     _write_facts(spark, path, {"kind": "calibrator", "method": fitted.method, "epsilon": fitted.epsilon, "roles": asdict(fitted.roles), "line": line})
     if fitted.method == "isotonic":
-        fitted.model.write().save(f"{path}/model")
+        fitted.model.write.parquet(f"{path}/model")
 
 
 def load_calibrator(spark: SparkSession, path: str) -> Calibrator:
     facts = _read_facts(spark, path, "calibrator")
-    model = IsotonicRegressionModel.load(f"{path}/model") if facts["method"] == "isotonic" else facts["line"] and tuple(facts["line"])
+    model = spark.read.parquet(f"{path}/model") if facts["method"] == "isotonic" else facts["line"] and tuple(facts["line"])
     return Calibrator(facts["method"], Roles(**facts["roles"]), facts["epsilon"], model, True)
 
 

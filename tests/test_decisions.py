@@ -3,10 +3,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hindcast.operators import attribution, calibration, joins, outcomes, policy, ranking, records, splits
+from hindcast.operators import attribution, calibration, isotonic, joins, outcomes, policy, ranking, records, splits
 
 COSTS = policy.CostMatrix(500.0, 5.0, 10.0, 500.0)
 
@@ -108,6 +109,29 @@ def test_calibrators_stay_in_range_and_keep_order(spark, method):
         assert values == [r["score"] for r in rows]
 
 
+@pytest.mark.parametrize("shape", ["rising", "falling", "noisy", "one"])
+def test_isotonic_over_many_ranges(spark, shape):
+    rng = random.Random(11)
+    n = 1 if shape == "one" else 600
+    rate = {"rising": lambda x: x, "falling": lambda x: 1 - x, "noisy": lambda x: x * x * rng.random(), "one": lambda x: 0.5}[shape]
+    points = [(i / n, float(sum(rng.random() < rate(i / n) for _ in range(8))), 8.0) for i in range(n)]
+    pools = []
+    for x, total, weight in points:
+        pools.append([[x], total, weight])
+        while len(pools) > 1 and pools[-2][1] / pools[-2][2] > pools[-1][1] / pools[-1][2]:
+            xs, total, weight = pools.pop()
+            pools[-1] = [pools[-1][0] + xs, pools[-1][1] + total, pools[-1][2] + weight]
+    at = [x for xs, _, _ in pools for x in xs]
+    fit = [total / weight for xs, total, weight in pools for _ in xs]
+    model = isotonic.fit_isotonic(spark.createDataFrame(points, "p double, total double, weight double"), 100)
+    asked = [-0.5, 1.5, None, 0.25, 0.25, *(rng.random() for _ in range(300)), *at]
+    rows = spark.createDataFrame([(x,) for x in asked], "x double")
+    got = isotonic.predict_isotonic(rows, F.col("x"), model, "fit", 100).collect()
+    assert sorted(map(str, (r["x"] for r in got))) == sorted(map(str, asked))
+    for row in got:
+        assert (row["fit"] is None) if row["x"] is None else row["fit"] == pytest.approx(np.interp(row["x"], at, fit), abs=1e-9)
+
+
 def test_costs_and_their_guards(spark):
     row = policy.action_costs(scored(spark, [(0.25, 0)]), COSTS).first()
     assert (row["approve_cost"], row["review_cost"], row["block_cost"], row["prevention_value"]) == (125.0, 5.0, 7.5, 125.0)
