@@ -4,11 +4,13 @@ Two permutations of a universe of 2^20 places are enough for any number of signa
 shingles of a document, the second, shifted circularly by k places, gives coordinate k (its minimum over the document's
 places). Equal bands of coordinates propose candidates; links are decided on the full shingle sets.
 
-Only components are wanted, so a bucket never emits all of its pairs: members are compared with the buckets' hubs, then in
-rounds one member of each component that a bucket's largest one lacks with one of that, and after that only members which
-still lie in different components, each pair in the first band that it shares. Before any text is fetched, four bits of
-every coordinate are compared: a pair whose agreement lies five standard deviations below that of a pair at the threshold is
-no link.
+Only components are wanted, so a bucket never emits all of its pairs. Buckets that share members have one hub as their
+reference, and members are compared with that first. What is left are pairs in different components, and these are found by
+exact bounds against the reference (the hub, and every shingle that many of its members have beside it). Two sets share at
+most as much of the reference as the smaller of their own shares of it. If that does not reach the threshold, they must have a
+rare shingle in common, and then one among the first fifth of their shingles, rare ones first; if it does, they meet by their
+sizes within a bucket. Before any text is fetched for a comparison, four bits of every coordinate are compared: a pair whose
+agreement lies five standard deviations below that of a pair at the threshold is no link.
 """
 
 from __future__ import annotations
@@ -16,12 +18,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hindcast.llm.common import WordHashes, kept, keyed, mix, ngrams, packed, pieces, same_doc, shape, signed, split_all, texts_of
@@ -30,8 +33,10 @@ UNIVERSE = 1 << 20
 #: Bits kept of a coordinate for the comparison of pairs; unrelated coordinates agree in them with chance 1/16.
 SKETCH_BITS = 4
 
-#: Another round of single comparisons follows while at least this share of the last one's were links.
-WORTHWHILE = 0.05
+#: A shingle that more of a reference's members have than these belongs to the reference. Any number gives the same links.
+COMMON = 32
+#: Rows of shingles that a worker hands over at once.
+HANDED = 200_000
 
 
 @lru_cache(maxsize=2)
@@ -199,7 +204,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     # The hub of a bucket is its member with the most company over all bands: among edited copies that is the text they
     # were made from, which is nearer to each of them than they are to one another.
     company = kept(members.groupBy("node").agg(F.sum("members").alias("company")))
-    hub = kept(members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("top")).select("key", F.col("top.node").alias("hub")))
+    hub = kept(members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("top")))
     wanted = kept(nodes.join(members.select("node").distinct(), "node").select("node", "doc_id", "h", "n", "bands", "sketch"))
     rows_in = packed(docs)
     found = rows_in.join(wanted, same_doc(rows_in, wanted)).select(wanted["node"], rows_in["packed"])
@@ -215,22 +220,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
             pairs = pairs.join(wanted.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
         return kept(pairs.where(likely("a", "b")).select("a", "b"))
 
-    # Each member with the hubs of its buckets first: so most of a family hangs together.
-    hubs = members.join(hub, "key").where("node != hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
-    tested = compared(hubs)
+    # Each member with its references first: so most of a family hangs together, by one comparison or few for each member.
+    refs = _references(members, hub)
+    hubs = members.join(refs, "key").where("node != ref")
+    tested = compared(hubs.select(F.greatest("node", "ref").alias("a"), F.least("node", "ref").alias("b")).distinct())
     links = kept(_verified(tested, texts, size, percent, seed))
     comps = components(links)
-    worthwhile, turn = True, 0
-    while worthwhile:
-        single = kept(compared(_single_pairs(_placed(members, comps), turn)).join(tested, ["a", "b"], "left_anti"))
-        found = kept(_verified(single, texts, size, percent, seed))
-        new = found.count()
-        worthwhile, turn = new > 0 and new >= WORTHWHILE * single.count(), turn + 1
-        tested = tested.union(single)
-        if new:
-            links = links.union(found)
-            comps = components(links)
-    more = kept(_across_components(_placed(members, comps), wanted, likely).join(tested, ["a", "b"], "left_anti"))
+    placed = _placed(members, comps, refs)
+    parts = _shares(placed, texts, size, seed)
+    left = _by_rare_shingles(parts, percent).union(_by_sizes(placed, parts, wanted, percent, likely)).distinct()
+    more = kept(compared(left).join(tested, ["a", "b"], "left_anti"))
     found = kept(_verified(more, texts, size, percent, seed))
     if not found.isEmpty():
         comps = components(links.union(found))
@@ -243,34 +242,107 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     return named.union(alone).select(*out, *(["comp"] if labels else []))
 
 
-def _placed(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """key, node, comp, main: the members of buckets that hold several components, and the largest of these."""
+def _references(members: DataFrame, hub: DataFrame) -> DataFrame:
+    """key, ref: the hub with the most company among those of all buckets that share a member with this one."""
+    best = kept(members.join(hub, "key").groupBy("node").agg(F.max("top").alias("top")))
+    return kept(members.join(best, "node").groupBy("key").agg(F.max("top").alias("top")).select("key", F.col("top.node").alias("ref")))
+
+
+def _placed(members: DataFrame, comps: DataFrame, refs: DataFrame) -> DataFrame:
+    """key, node, comp, main, ref: the members of buckets that hold several components, and the largest of these."""
     placed = members.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
     mains = sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    return kept(placed.join(kept(mains.select("key", F.col("top.comp").alias("main"))), "key"))
+    return kept(placed.join(kept(mains.join(refs, "key").select("key", F.col("top.comp").alias("main"), "ref")), "key"))
+
+
+class Shares(NamedTuple):
+    """How sets lie to their references."""
+
+    #: node, ref, n, share (how many of its shingles are the reference's), alone (how many no other component has)
+    own: DataFrame
+    #: node, ref, comp, shingle, times: shingles beside the reference that several components have, by how many members
+    rare: DataFrame
+
 
+def _shares(placed: DataFrame, texts: DataFrame, size: int, seed: int) -> Shares:
+    """The sets of members against their references; shingles that more than COMMON members have join the reference."""
+    sides = placed.select("node", "ref", "comp").distinct()
+    beside = kept(_beside(sides, texts, size, seed))
+    several = beside.where("shingle is not null").groupBy("ref", "shingle")
+    several = several.agg(F.count(F.lit(1)).alias("times"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    met = kept(beside.join(kept(several.drop("low", "high")), ["ref", "shingle"]))
+    parts = met.groupBy("node", "ref").agg(F.count_if(F.col("times") > COMMON).alias("common"), F.count(F.lit(1)).alias("met"))
+    heads = beside.where("shingle is null").join(parts, ["node", "ref"], "left").na.fill(0, ["common", "met"])
+    own = heads.select("node", "ref", (F.col("inside") + F.col("outside")).alias("n"), (F.col("inside") + F.col("common")).alias("share"), (F.col("outside") - F.col("met")).alias("alone"))
+    return Shares(kept(own), met.where(F.col("times") <= COMMON).select("node", "ref", "comp", "shingle", "times"))
 
-def _single_pairs(placed: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a > b) of one member of each component of a bucket and one of its main one, others in every turn."""
-    drawn = F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("draw"), "node")).alias("least")
-    picked = kept(placed.groupBy("key", "comp", "main").agg(drawn).select("key", "comp", "main", F.col("least.node").alias("node")))
-    of_main = picked.where("comp = main").select("key", F.col("node").alias("to"))
-    pairs = picked.where("comp != main").join(of_main, "key")
-    return pairs.select(F.greatest("node", "to").alias("a"), F.least("node", "to").alias("b")).distinct()
+
+def _beside(sides: DataFrame, texts: DataFrame, size: int, seed: int) -> DataFrame:
+    """node, ref, comp, inside, outside (shingles in the reference and beside it), shingle: a row for each one beside it, and one with null."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, unpack = WordHashes(seed), zstandard.ZstdDecompressor()
+        last, of_ref = None, np.empty(0, np.uint64)
+        for batch in batches:
+            facts, found, held = [], [], 0
+            for node, ref, comp, text, ref_text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if ref != last:
+                    last, of_ref = ref, shingle_sets([unpack.decompress(ref_text)], size, hashes)[0]
+                own = shingle_sets([unpack.decompress(text)], size, hashes)[0]
+                other = np.setdiff1d(own, of_ref, assume_unique=True)
+                facts.append((node, ref, comp, len(own) - len(other), len(other)))
+                found.append(other)
+                held += len(other) + 1
+                if held >= HANDED:
+                    yield table(facts, found)
+                    facts, found, held = [], [], 0
+            if facts:
+                yield table(facts, found)
+
+    def table(facts: list[tuple[int, ...]], found: list[np.ndarray]) -> pa.RecordBatch:
+        times = [len(f) + 1 for f in found]
+        heads = np.zeros(sum(times), bool)
+        heads[np.cumsum([0, *times[:-1]])] = True
+        shingles = np.zeros(len(heads), np.int64)
+        shingles[~heads] = np.concatenate(found).view(np.int64)
+        columns = [pa.array(np.repeat(np.array(c, np.int64), times)) for c in zip(*facts, strict=True)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(shingles, mask=heads)], names=["node", "ref", "comp", "inside", "outside", "shingle"])
+
+    of_ref = texts.select(F.col("node").alias("ref"), F.col("packed").alias("ref_text"))
+    full = sides.join(texts, "node").join(of_ref, "ref").select("node", "ref", "comp", "packed", "ref_text")
+    return full.mapInArrow(look, "node long, ref long, comp long, inside long, outside long, shingle long")
+
+
+def _by_rare_shingles(parts: Shares, percent: int) -> DataFrame:
+    """Pairs (a > b) of different components with a rare shingle in common, among the first of both.
+
+    A link shares percent of either set's n shingles. In one order for all sets (those of one component, then rare before
+    frequent, then the reference's) the first shared one therefore lies among the first n - percent of n + 1. A shingle has
+    COMMON members at most here, so the pairs grow with the members.
+    """
+    order = Window.partitionBy("node", "ref").orderBy("times", "shingle")
+    ranked = parts.rare.withColumn("place", F.row_number().over(order)).join(parts.own, ["node", "ref"])
+    first = kept(ranked.where(F.expr(f"alone + place <= n - (n * {percent} + 99) div 100 + 1")).select("node", "ref", "comp", "shingle", "n"))
+    x, y = (first.select("ref", "shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "comp", "n"))) for side in "xy")
+    pairs = x.join(y, ["ref", "shingle"]).where(f"node_x > node_y and comp_x != comp_y and least(n_x, n_y) * 100 >= greatest(n_x, n_y) * {percent}")
+    return pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
 
 
-def _across_components(placed: DataFrame, wanted: DataFrame, likely: Callable[[str, str], Column]) -> DataFrame:
-    """Pairs (a > b) of a bucket that lie in different components and may be links by their sizes and bits.
+def _by_sizes(placed: DataFrame, parts: Shares, wanted: DataFrame, percent: int, likely: Callable[[str, str], Column]) -> DataFrame:
+    """Pairs (a > b) of a bucket and different components that may be links by what they share of the reference alone.
 
-    The largest component of a bucket is only compared with the others' members, never with itself. Members of
-    different components meet in every bucket that they share, so the first of these is enough.
+    A share s reaches the threshold beside sets of at most s * (100 + percent) / percent - n shingles. A member outside of
+    the reference's component has a limit below the reference's own size, so only families of smaller sets have such pairs.
     """
-    mixed = kept(placed.join(wanted.select("node", "n", "bands", "sketch"), "node"))
-    one = mixed.where("comp != main").select("key", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("bands").alias("bands_x"), F.col("sketch").alias("sketch_x"), F.col("comp").alias("comp_x"))
-    other = mixed.select("key", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("bands").alias("bands_y"), F.col("sketch").alias("sketch_y"), F.col("comp").alias("comp_y"), "main")
-    once = (F.col("comp_y") == F.col("main")) | (F.col("x") < F.col("y"))
-    first_shared = F.array_intersect("bands_x", "bands_y")[0] == one["key"]
-    same_key = one["key"] == other["key"]
-    pairs = one.join(other, same_key & (F.col("comp_x") != F.col("comp_y")) & once & likely("x", "y") & first_shared)
-    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    limit = F.expr(f"(share * {100 + percent}) div {percent} - n")
+    rows = kept(placed.join(parts.own, ["node", "ref"]).select("key", "node", "comp", "main", "n", limit.alias("most")))
+    bounds = rows.groupBy("key").agg(F.min("n").alias("least_n"), F.max(F.expr("CASE WHEN comp != main THEN most END")).alias("most_n"))
+    bounded = rows.join(kept(bounds), "key").where("n <= most_n or (comp != main and most >= least_n)")
+    able = kept(bounded.join(wanted.select("node", "sketch"), "node"))
+    columns = ("node", "comp", "n", "most", "sketch")
+    x = able.where("comp != main and most >= least_n").select("key", *(F.col(c).alias(f"{c}_x") for c in columns))
+    y = able.where("n <= most_n").select("key", "main", *(F.col(c).alias(f"{c}_y") for c in columns))
+    fits = F.expr("comp_x != comp_y and (comp_y = main or node_x < node_y) and n_y <= most_x and n_x <= most_y")
+    pairs = x.join(y, "key").where(fits & likely("x", "y"))
+    return pairs.select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b"))

@@ -100,6 +100,53 @@ def test_near_duplicates(docs, size, percent):
     assert len({e[2] for e in expected}) < len(rows) - 3
 
 
+def families(seed: int) -> list[tuple]:
+    """Families whose members lie around the threshold: of a text that is there or not, shortened, in chains, or with a passage."""
+    draw = random.Random(seed)
+    word = lambda: f"w{draw.randrange(3000)}"
+    texts = []
+    for kind in range(6):
+        base, passage = [word() for _ in range(120)], [word() for _ in range(12)]
+        texts += [base] * (kind % 2)
+        last = base
+        for _ in range(28):
+            words = (last if kind == 4 else base)[:]
+            for _ in range(draw.randrange(1, 6)):
+                at = draw.randrange(len(words))
+                words[at : at + 1] = [] if kind in (2, 3) and draw.random() < 0.7 else [word()]
+            if kind == 5 and draw.random() < 0.5:
+                words += passage
+            if kind == 3 and draw.random() < 0.5:
+                words = words[: draw.randrange(90, len(words))]
+            last = words
+            texts.append(words)
+    return [(i, " ".join(t), "a", "", 0, 0, 0, 0) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("seed,common", [(5, 0), (6, 4), (7, 32)])
+def test_families_around_the_threshold(spark, monkeypatch, seed, common):
+    monkeypatch.setattr(near_dup, "COMMON", common)
+    monkeypatch.setattr(near_dup, "HANDED", 500)
+    rows = families(seed)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA), 4).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    expected = brute_components(rows, 4, 80)
+    assert in_order(map(tuple, got)) == in_order(expected)
+    assert 10 < len({e[2] for e in expected}) < len(rows) - 40
+
+
+def test_pairs_of_a_large_family_grow_with_its_members(spark, monkeypatch):
+    draw = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    compared = []
+    verify = near_dup._verified
+    monkeypatch.setattr(near_dup, "_verified", lambda pairs, *rest: compared.append(pairs.count()) or verify(pairs, *rest))
+    for members in (100, 400):
+        rows = [(i, " ".join(f"x{draw.randrange(10**6)}" if draw.random() < 0.045 else w for w in base), "a", "", 0, 0, 0, 0) for i in range(members)]
+        near_dup.near_duplicates(spark.createDataFrame([*rows, (members, " ".join(base), "a", "", 0, 0, 0, 0)], SCHEMA), 4).count()
+    small, large = sum(compared[:2]), sum(compared[2:])
+    assert large <= 8 * small, compared
+
+
 def test_components_of_chains(spark):
     links = [(i + 1, i) for i in range(40)] + [(100, 101), (101, 102), (200, 100)]
     got = dict(near_dup.components(spark.createDataFrame(links, "a long, b long")).collect())
