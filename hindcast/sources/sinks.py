@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,13 +45,35 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return system.exists(of(path))
 
 
-def claim(spark: SparkSession, path: str) -> bool:
-    """Create an empty file unless it exists, in one step of the file system; False if it does."""
+def claim(spark: SparkSession, path: str, seconds: float) -> str | None:
+    """A lease: a numbered file in the folder ``path``, or None while another one holds.
+
+    A lease holds until it is released or ``seconds`` old (by the clocks of store and driver, so choose it long). The next
+    number is created exclusively, so one claimant gets it; numbers only grow, so whoever held an older lease can see that
+    it is over.
+    """
+    system, of = _file_system(spark, path)
+    system.mkdirs(of(path))
+    last, made, free = _last_lease(spark, path)
+    if last and not free and time.time() - made < seconds:
+        return None
+    mine = f"{path}/{last + 1}"
+    return mine if system.createNewFile(of(mine)) and holds(spark, mine) else None
+
+
+def _last_lease(spark: SparkSession, path: str) -> tuple[int, float, bool]:
+    """The highest number (0: none), when it was made, and whether it has been released."""
     system, of = _file_system(spark, path)
-    parent = of(path).getParent()
-    if parent is not None:
-        system.mkdirs(parent)
-    return system.createNewFile(of(path))
+    found = {f.getPath().getName(): f.getModificationTime() / 1000 for f in system.listStatus(of(path))}
+    last = max((int(name.split(".")[0]) for name in found), default=0)
+    return last, found.get(str(last), 0.0), f"{last}.free" in found
+
+
+def holds(spark: SparkSession, lease: str) -> bool:
+    """Whether no later lease was given and this one not released."""
+    folder, number = lease.rsplit("/", 1)
+    last, _, free = _last_lease(spark, folder)
+    return last == int(number) and not free
 
 
 def publish(spark: SparkSession, staged: str, path: str) -> None:
@@ -61,9 +84,14 @@ def publish(spark: SparkSession, staged: str, path: str) -> None:
         raise OSError(f"{staged} cannot be moved to {path}")
 
 
-def release(spark: SparkSession, path: str) -> None:
-    system, of = _file_system(spark, path)
-    system.delete(of(path), False)
+def release(spark: SparkSession, lease: str) -> None:
+    """End a lease; older ones are removed, the last number stays."""
+    system, of = _file_system(spark, lease)
+    system.createNewFile(of(f"{lease}.free"))
+    folder, number = lease.rsplit("/", 1)
+    for old in system.listStatus(of(folder)):
+        if int(old.getPath().getName().split(".")[0]) < int(number):
+            system.delete(old.getPath(), False)
 
 
 #: Rows a report file may hold; a larger table belongs into a table of many files.

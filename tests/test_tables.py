@@ -127,10 +127,11 @@ def test_a_load_is_published_whole_or_not_at_all(spark, tmp_path):
     with pytest.raises(Exception, match="broken row"):
         keyed_load.append_missing(broken, path, "txn_id")
     assert spark.read.parquet(path).count() == 20
-    assert sinks.claim(spark, f"{path}.lock")
+    held = sinks.claim(spark, f"{path}.lock", 60)
+    assert held
     with pytest.raises(RuntimeError, match="under way"):
         keyed_load.append_missing(rows, path, "txn_id")
-    sinks.release(spark, f"{path}.lock")
+    sinks.release(spark, held)
     second = keyed_load.append_missing(rows, path, "txn_id")
     assert (second.inserted, second.skipped) == (10, 20)
     assert keyed_load.append_missing(rows, path, "txn_id").inserted == 0
@@ -242,3 +243,26 @@ def test_sequence_input_guards(spark):
             sequence.sequences(broken, 3)
     with pytest.raises(ValueError, match="length 2"):
         sequence.sequences(df, 1)
+
+
+def test_a_crashed_load_gives_way(spark, tmp_path, monkeypatch):
+    rows, path = spark.range(20).withColumnRenamed("id", "txn_id"), f"{tmp_path}/table"
+    lock = f"{path}.lock"
+    crashed = sinks.claim(spark, lock, 60)
+    assert sinks.claim(spark, lock, 60) is None and sinks.holds(spark, crashed)
+    assert keyed_load.append_missing(rows.where("txn_id < 5"), path, "txn_id", lease=0).inserted == 5
+    assert not sinks.holds(spark, crashed)
+    sinks.release(spark, crashed)  # a late release of the old lease changes nothing
+    follower = sinks.claim(spark, lock, 60)
+    assert follower and sinks.claim(spark, lock, 60) is None
+    sinks.release(spark, follower)
+
+    def slow(*args):
+        sinks.claim(spark, lock, 0)  # another load takes over before this one publishes
+        return missing(*args)
+
+    missing = keyed_load.missing_rows
+    monkeypatch.setattr(keyed_load, "missing_rows", slow)
+    with pytest.raises(RuntimeError, match="longer than its lease"):
+        keyed_load.append_missing(rows, path, "txn_id")
+    assert spark.read.parquet(path).count() == 5
