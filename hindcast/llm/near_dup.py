@@ -334,15 +334,17 @@ def _by_sizes(placed: DataFrame, parts: Shares, wanted: DataFrame, percent: int,
 
     A share s reaches the threshold beside sets of at most s * (100 + percent) / percent - n shingles. A member outside of
     the reference's component has a limit below the reference's own size, so only families of smaller sets have such pairs.
+    Both bounds hold in every bucket that a pair shares, so it is enough to look here in the first of them.
     """
     limit = F.expr(f"(share * {100 + percent}) div {percent} - n")
     rows = kept(placed.join(parts.own, ["node", "ref"]).select("key", "node", "comp", "main", "n", limit.alias("most")))
     bounds = rows.groupBy("key").agg(F.min("n").alias("least_n"), F.max(F.expr("CASE WHEN comp != main THEN most END")).alias("most_n"))
     bounded = rows.join(kept(bounds), "key").where("n <= most_n or (comp != main and most >= least_n)")
-    able = kept(bounded.join(wanted.select("node", "sketch"), "node"))
-    columns = ("node", "comp", "n", "most", "sketch")
+    able = kept(bounded.join(wanted.select("node", "bands", "sketch"), "node"))
+    columns = ("node", "comp", "n", "most", "bands", "sketch")
     x = able.where("comp != main and most >= least_n").select("key", *(F.col(c).alias(f"{c}_x") for c in columns))
     y = able.where("n <= most_n").select("key", "main", *(F.col(c).alias(f"{c}_y") for c in columns))
     fits = F.expr("comp_x != comp_y and (comp_y = main or node_x < node_y) and n_y <= most_x and n_x <= most_y")
-    pairs = x.join(y, "key").where(fits & likely("x", "y"))
+    first_shared = F.array_intersect("bands_x", "bands_y")[0] == F.col("key")
+    pairs = x.join(y, "key").where(fits & likely("x", "y") & first_shared)
     return pairs.select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b"))
