@@ -195,6 +195,31 @@ def test_forest_finds_the_outlier(spark):
         anomaly.fit_forests(df, "k", ["f1"], {0: F.lit(False)}, settings)
 
 
+def test_forests_score_each_row_once_whatever_the_splits(spark):
+    """Overlapping forests in one pass, equal to a walk from node to node; the rows of one split are dealt out first."""
+    df = forest_table(spark, 300).coalesce(1)
+    settings = anomaly.ForestSettings(trees=7, sample=50)
+    members = {1: F.col("k") < 200, 2: F.col("k") >= 100}
+    forests = anomaly.fit_forests(df, "k", ["f1", "f2"], members, settings)
+    made = {r["k"]: r for r in forests.raw_scores(df, members, ("k",)).collect()}
+    assert len(made) == 301
+    trees = {f: [t.set_index("node") for _, t in nodes.groupby("tree")] for f, nodes in forests.nodes.groupby("forest")}
+    for row in df.collect():
+        for f, member in {1: row["k"] < 200, 2: row["k"] >= 100}.items():
+            path = expected = 0.0
+            for tree in trees[f]:
+                at = tree.loc[0]
+                while at["feature"] >= 0:
+                    name = ("f1", "f2")[int(at["feature"])]
+                    value = forests.medians[f][name] if row[name] is None else row[name]
+                    at = tree.loc[at["left"] if value <= at["threshold"] else at["right"]]
+                path += at["depth"] + float(anomaly.average_path(at["size"]))
+                expected += float(anomaly.average_path(tree.loc[0]["size"]))
+            assert made[row["k"]][f"raw_{f}"] == (pytest.approx(2 ** (-path / expected), rel=1e-12) if member else None)
+    plan = forests.score(df, F.lit(1), ("k",))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(k" in plan
+
+
 def test_out_of_fold_scores_use_the_past_only(spark):
     df = forest_table(spark, 200)
     train, later = df.where("t < 150"), df.where("t >= 150")
