@@ -175,6 +175,11 @@ def cut(text: Column, pattern: str, spark: SparkSession) -> Column:
     return F.when(text.rlike(r"\p{Cn}"), careful).otherwise(usual)
 
 
+def byte_strings(words: pa.Array) -> list[bytes | None]:
+    """The bytes of strings, made by one loop inside Arrow; ``to_pylist`` makes a scalar for each of them first."""
+    return words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+
+
 class _Ids(dict):
     """word -> its ids as bytes; words beyond the frequent ones are remembered as long as they are not too many."""
 
@@ -228,7 +233,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int
             low = 0
             while low < batch.num_rows:
                 high = max(low + 1, int(np.searchsorted(starts, starts[low] + PIECE_WORDS, "right")) - 1)
-                flat = column.values.slice(starts[low], starts[high] - starts[low]).cast(pa.binary()).to_pylist()
+                flat = byte_strings(column.values.slice(starts[low], starts[high] - starts[low]))
                 made = [b"".join(map(ids.__getitem__, flat[a:b])) for a, b in zip(starts[low:high] - starts[low], starts[low + 1 : high + 1] - starts[low], strict=True)]
                 offsets = np.concatenate([[0], np.cumsum([len(m) // 4 for m in made])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(made), "<i4")))
