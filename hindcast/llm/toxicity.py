@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.llm.common import KEPT_WORDS, kept, keyed, shape, texts_of
+from hindcast.llm.common import KEPT_WORDS, kept, keyed, pieces, shape, texts_of
 
 #: Labelled rows used for fitting: at most so many for each value of the last category, in the order of a hash.
 SAMPLE = 2500
@@ -58,10 +58,13 @@ class Chain:
 
     def probabilities(self, texts: list[bytes | None]) -> np.ndarray:
         """A row per text, a column per category; texts without words are 0 throughout."""
-        words = [words_in(text) for text in texts]
-        known = [list({i for word in own for i in self._of(word)}) for own in words]
-        found = _scores(known, self.weights, len(self.features))
-        found[[not own for own in words]] = 0.0
+        found = np.empty((len(texts), len(self.weights)))
+        # The word sets of texts take many times their bytes, so those of a piece are let go before the next.
+        for low, high in pieces(texts):
+            words = [words_in(text) for text in texts[low:high]]
+            known = [list({i for word in own for i in self._of(word)}) for own in words]
+            found[low:high] = _scores(known, self.weights, len(self.features))
+            found[low:high][[not own for own in words]] = 0.0
         return found
 
 

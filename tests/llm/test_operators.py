@@ -3,11 +3,12 @@
 import hashlib
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 from brute import brute_components, brute_contamination, brute_lines, edits, in_order, repeated_mask, words_of
-from hindcast.llm import ann, decontamination, graph_dedup, html_text, line_dedup, mixing, near_dup, spans, suffix_dedup, toxicity, warc
+from hindcast.llm import ann, common, decontamination, graph_dedup, html_text, line_dedup, mixing, near_dup, spans, suffix_dedup, toxicity, warc
 from hindcast.llm.common import ngrams, shared_folder, sliding_min, split_all
 
 SCHEMA = "doc_id long, text string, source string, h string, row int, packed int, n int, n_chars long"
@@ -543,3 +544,18 @@ def test_a_very_long_text(spark):
     assert comps == {1: 1, 2: 1, 3: 3}
     removed = {r["doc_id"]: r["n_removed"] for r in graph_dedup.remove_repeats(df).collect()}
     assert removed[1] > 299_900 and removed[3] == 0
+
+
+def test_toxicity_scores_a_batch_piece_by_piece(monkeypatch):
+    """The word sets of a batch would take many times its texts; the scores are those of one piece."""
+    draw = random.Random(5)
+    texts = [None, b"", *(b" ".join(b"w%d" % draw.randrange(3000) for _ in range(200)) for _ in range(2000))]
+    words = {b"w%d" % (7 * i): i for i in range(420)}
+    chain = toxicity.Chain(("a", "b"), words, np.random.default_rng(1).normal(size=(2, len(words) + 2)), 0.5)
+    whole = chain.probabilities(texts)
+    monkeypatch.setattr(common, "PIECE_BYTES", 20_000)
+    tracemalloc.start()
+    assert np.array_equal(chain.probabilities(texts), whole)
+    assert tracemalloc.get_traced_memory()[1] < 5_000_000
+    tracemalloc.stop()
+    assert not whole[:2].any() and chain.probabilities([]).shape == (0, 2)
