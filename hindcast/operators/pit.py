@@ -22,6 +22,8 @@ from hindcast.operators.ordered import Layout, before, profile
 from hindcast.roles import EntityFeatures, Roles
 
 DIRECT_FRAME_ROWS = 500
+#: Rows, before they are repeated for their expiries, that a task of a sweep is meant to hold.
+SWEPT_ROWS = 100_000
 TOTAL = "decimal(38,0)"
 #: Decimal places tried for an amount, and the whole numbers that doubles hold without gaps.
 PLACES, EXACT = (2, 6, 10, 14, 18, 22), float(2**53)
@@ -191,7 +193,11 @@ def _framed(work: DataFrame, spec: EntityFeatures, roles: Roles, lanes: list[Lan
 def _swept(work: DataFrame, spec: EntityFeatures, roles: Roles, layout: Layout, lanes: list[Lane]) -> DataFrame:
     """Arrivals add to the running totals, expiries of window w at time t + w are kept apart."""
     windows = sorted({*spec.velocity.values(), *spec.amounts.values()})
-    if windows and layout.rows <= layout.rows_per_chunk:
+    if windows and not layout.splits(spec.columns):
+        # Dealt by entity before the rows are repeated, so that their repetitions are never shuffled.
+        least = work.sparkSession.sparkContext.defaultParallelism
+        work = work.repartition(max(least, layout.rows // SWEPT_ROWS), *spec.columns)
+    elif windows and layout.rows <= layout.rows_per_chunk:
         # A small table may be one file split; the expansion below should still use every core.
         work = work.repartition(work.sparkSession.sparkContext.defaultParallelism, roles.key)
     with_amount = set(spec.amounts.values())
@@ -216,8 +222,11 @@ def _swept(work: DataFrame, spec: EntityFeatures, roles: Roles, layout: Layout,
         contributions[f"_x_n_{w}"] = F.when(leaving, one)
         if w in with_amount:
             contributions |= {f"_x_{name}_{w}": moved(name, leaving) for name in measures}
+    # An expiry needs its place and what it takes away; the other columns travel with the arrival alone.
+    placed = {*spec.columns, roles.time}
+    helpers = {"_shift", *measures.values()}
     events = events.select(
-        "*",
+        *(F.col(c) if c in placed else F.when(arrival, F.col(c)).alias(c) for c in work.columns if c not in helpers),
         (F.col(roles.time) + F.col("_shift")).alias("_at"),
         arrival.alias("_arrival"),
         *(c.alias(n) for n, c in contributions.items()),
@@ -353,7 +362,9 @@ def behavioural_features(
     # Profiled once on the plain rows, before any window is stacked on them.
     layout = layout or profile(work, roles.time, tuple(dict.fromkeys(spec_group(s) for s in specs)))
     lanes = amount_lanes(rows, roles.amount) if any(s.amounts for s in specs) else None
-    for spec in sorted(specs, key=lambda s: s.columns):
+    # Entities with a count alone come first: the many columns of the others then travel through fewer exchanges.
+    wide = {s.columns for s in specs if s.velocity or s.amounts or s.recency}
+    for spec in sorted(specs, key=lambda s: (s.columns in wide, s.columns)):
         work = entity_features(work, spec, roles, layout, lanes)
     return work.select(roles.key, *(o for s in specs for o in s.outputs()))
 

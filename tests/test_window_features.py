@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from fractions import Fraction
 
 import pytest
@@ -189,3 +190,34 @@ def test_guards_and_catalogue(spark):
     assert pit.feature_guards(made.union(made.limit(1)), df, "txn_id", []).first()["repeated_keys"] == 1
     records = pit.feature_catalogue(SPECS, "v1")
     assert len(records) == 8 and not any(r["uses_target"] for r in records)
+
+
+def test_chunks_stay_small_however_many_rows(spark, monkeypatch):
+    """A chunk of a cut time axis is bounded, and each has a task of its own."""
+    df = spark.range(3000).select(F.col("id").alias("txn_id"), F.col("id").alias("t"), (F.col("id") % 7 + 0.25).alias("amount"))
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", 100)
+    layout = ordered.profile(df, "t", ((),), max_chunks=64)
+    assert len(layout.edges) == 29
+    made = ordered.before(df, (), "t", {"n": "txn_id"}, layout)
+    assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString()
+    assert [r["n"] for r in made.orderBy("t").collect()] == [i * (i - 1) // 2 for i in range(3000)]
+
+
+def test_expiries_are_not_shuffled_and_carry_nothing(spark):
+    """Rows of a large entity are dealt out before they are repeated; only arrivals keep the other columns."""
+    rows = [(i, i // 3, i % 2, float(i % 9), "x" * 50) for i in range(1500)]
+    df = spark.createDataFrame(rows, "txn_id long, t long, card long, amount double, note string")
+    spec = EntityFeatures("card", ("card",), {"w": 10}, {"w": 20}, recency=True, history=True)
+    made = pit.entity_features(df, spec)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    generate = plan.index("Generate")
+    assert "hashpartitioning(card" in plan[generate:] and "hashpartitioning(card" not in plan[:generate]
+    assert "CASE WHEN" in plan and re.search(r"CASE WHEN \(_shift#\d+L = 0\) THEN note#\d+ END", plan)
+    got = {r["txn_id"]: r for r in made.collect()}
+    assert all(got[i]["note"] == "x" * 50 for i in range(1500))
+    for i, t, card, *_ in rows[::97]:
+        past = [r for r in rows if r[2] == card and r[1] < t]
+        assert got[i]["history_card_count"] == len(past)
+        assert got[i]["velocity_card_w"] == sum(r[1] >= t - 10 for r in past)
+        near = [r[3] for r in past if r[1] >= t - 20]
+        assert got[i]["amount_card_w_mean"] == (pytest.approx(sum(near) / len(near)) if near else None)
