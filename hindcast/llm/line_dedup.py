@@ -79,11 +79,22 @@ def lines(docs: DataFrame, near_words: int) -> DataFrame:
     return rows.mapInArrow(scan, shape(rows, "doc_id", "h", line="int", a="long", b="long", n="int", **dict.fromkeys(_HALVES, "long")))
 
 
+def _asked_texts(docs: DataFrame, asked: DataFrame, few: bool) -> DataFrame:
+    """text or packed, asked: the documents that hold lines asked for.
+
+    Texts are packed for a shuffle only: a broadcast moves none, and packing would hold a second Python worker in each task.
+    """
+    rows = keyed(docs) if few else packed(docs)
+    asked = F.broadcast(asked) if few else asked.hint("merge")
+    return rows.join(asked, same_doc(rows, asked)).select(rows["text" if few else "packed"], asked["asked"])
+
+
 def _variants(joined: DataFrame) -> DataFrame:
     """a, b, n, at, variant, body of lines: the hash without word ``at`` for every word, and once with at = -1 the whole.
 
     ``body`` holds the words themselves, with the whole line only.
     """
+    plain = joined.columns[0] == "text"
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -91,7 +102,8 @@ def _variants(joined: DataFrame) -> DataFrame:
         for batch in batches:
             parts: list[list] = [[], [], [], [], []]
             bodies: list[bytes | None] = []
-            for text, asked in zip(unpacked(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+            texts = texts_of(batch) if plain else unpacked(batch.column(0))
+            for text, asked in zip(texts, batch.column(1).to_pylist(), strict=True):
                 split = text.split(b"\n")
                 for one in asked:
                     words = split[one["line"]].split()
@@ -141,12 +153,8 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> tuple[DataFrame, DataFra
     shared = kept(halves.groupBy("key").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1").select("key"))
     wanted = kept(halves.join(_few(shared), "key").select("a").distinct())
     sources = kept(distinct.where("p0 is not null").select("a", "b", "first").join(_few(wanted), "a", "left_semi"))
-    asked = sources.groupBy("first.doc_id", "first.h").agg(F.collect_list(F.struct("first.line", "a", "b")).alias("asked"))
-    rows = packed(docs)
-    asked = kept(asked)
-    asked = F.broadcast(asked) if sources.count() <= BROADCAST_LINES else asked.hint("merge")
-    found = rows.join(asked, same_doc(rows, asked)).select(rows["packed"], asked["asked"])
-    variants = kept(_variants(found))  # a repeated document row has its lines in here twice, which changes no minimum
+    asked = kept(sources.groupBy("first.doc_id", "first.h").agg(F.collect_list(F.struct("first.line", "a", "b")).alias("asked")))
+    variants = kept(_variants(_asked_texts(docs, asked, sources.count() <= BROADCAST_LINES)))  # a repeated document row has its lines in here twice, which changes no minimum
     whole = variants.where("at = -1").select("a", "b", "n", "variant", "body").dropDuplicates(["a", "b"])
     whole = kept(whole.join(sources, ["a", "b"]))
 

@@ -200,6 +200,18 @@ def test_one_edit():
         assert line_dedup.within_one_edit(a, b) == (edits(a, b) <= 1)
 
 
+def test_line_dedup_packs_texts_for_a_shuffle_only(spark, monkeypatch):
+    """A chain of two Python nodes holds two workers for each core; a broadcast join needs no packed texts before it."""
+    seen, made = [], line_dedup._variants
+    monkeypatch.setattr(line_dedup, "_variants", lambda joined: seen.append(joined._jdf.queryExecution().toString()) or made(joined))
+    rows = [(d, f"a b c d e f g h {last}", "s", "x", 1, 1, 1, 1) for d, last in ((1, "i"), (2, "j"))]
+    for limit, nodes in ((500_000, False), (0, True)):
+        monkeypatch.setattr(line_dedup, "BROADCAST_LINES", limit)
+        got = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_dropped").collect()
+        assert sorted(map(tuple, got)) == [(1, 0), (2, 1)]
+        assert ("MapInArrow" in seen.pop()) == nodes
+
+
 @pytest.mark.parametrize("broadcast_words", [0, 500_000])
 def test_decontamination(docs, spark, monkeypatch, broadcast_words):
     monkeypatch.setattr(decontamination, "BROADCAST_WORDS", broadcast_words)
