@@ -4,11 +4,14 @@ import math
 import random
 from collections import Counter
 from dataclasses import replace
+from itertools import accumulate
 
 import pytest
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from hindcast.operators import anomaly, calibration, encoding, modelling, pit
+from hindcast.plans import model_queries
 from hindcast.roles import EntityFeatures
 from hindcast.session import shared_path
 from hindcast.sources import state
@@ -268,3 +271,22 @@ def test_many_periods_cost_what_they_change(spark, monkeypatch):
     assert streamed == {r["txn_id"]: r.asDict() for r in pit.behavioural_features(df, [spec]).collect()}
     last = spark.read.parquet(f"{kept.folder}/state/batch=11").count()
     assert last == len({r[2] for r in rows if r[1] >= 22}) < spark.read.parquet(f"{kept.folder}/merged/batch=11").count()
+
+
+def test_fitting_passes_over_parsed_events(spark):
+    """Fitting passes over the training rows many times; none of them parses the events again, and margins have no lambdas."""
+    folder = "/root/testdata/sf0.001"
+    train, later = model_queries._splits(spark, folder)
+    for part in (train, later):
+        assert "get_json_object" not in part._jdf.queryExecution().optimizedPlan().toString()
+    draw = random.Random(3)
+    rows = [(i, draw.random(), i % 5 == 0) for i in range(400)]
+    rows = spark.createDataFrame([(i, int(x + draw.random() > 1), [x, draw.random()], s) for i, x, s in rows], "txn_id long, label int, x array<double>, stops boolean")
+    prepared = rows.select("txn_id", "label", array_to_vector("x").alias("features"), "stops")
+    made = modelling.fit_boosted(prepared, "label", "stops", rounds=3, depth=2)
+    margins = made.margins(prepared)
+    assert "lambda" not in margins._jdf.queryExecution().optimizedPlan().toString()
+    found = margins.join(made.model.transform(prepared).select("txn_id", vector_to_array("leaf").alias("leaf")), "txn_id")
+    for row in found.collect():
+        assert row["margins"] == list(accumulate(made.leaves[r][int(leaf)] for r, leaf in enumerate(row["leaf"])))
+    assert margins.where("false").count() == 0
