@@ -22,6 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 from hindcast.operators.ordered import attach, order_edges
 from hindcast.operators.pit import entity_features
 from hindcast.roles import EntityFeatures, Roles
+from hindcast.session import written
 
 
 #: Periods whose changes of the state are read beside the last merged state.
@@ -145,6 +146,7 @@ class LiveFeatures:
 def replay(rows: DataFrame, live: LiveFeatures, periods: int) -> DataFrame:
     """Publish a table period by period, in time order, and stream each period as it appears."""
     spark, time = rows.sparkSession, live.roles.time
+    rows = written(rows)  # the edges and every period pass over them, what they are made from is computed once
     source = f"{live.folder}/source"
     cuts = [None, *order_edges(rows, time, periods), None]
     for low, high in zip(cuts, cuts[1:]):

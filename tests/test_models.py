@@ -290,3 +290,15 @@ def test_fitting_passes_over_parsed_events(spark):
     for row in found.collect():
         assert row["margins"] == list(accumulate(made.leaves[r][int(leaf)] for r, leaf in enumerate(row["leaf"])))
     assert margins.where("false").count() == 0
+
+
+def test_a_replay_computes_its_rows_once(spark, monkeypatch):
+    """The edges and all periods read written rows: nothing of what made them is left in their plans."""
+    seen, edges = [], live.order_edges
+    monkeypatch.setattr(live, "order_edges", lambda rows, *rest: seen.append(rows._jdf.queryExecution().optimizedPlan().toString()) or edges(rows, *rest))
+    made = F.get_json_object(F.concat(F.lit('{"k": '), F.col("id"), F.lit("}")), "$.k").cast("long")
+    rows = spark.range(40).select(F.col("id").alias("txn_id"), made.alias("t"), (F.col("id") % 3).alias("card"), F.lit(1.0).alias("amount"))
+    spec = EntityFeatures("card", ("card",), recency=True, history=True)
+    got = {r["txn_id"]: (r["recency_card"], r["history_card_count"]) for r in replay(rows, LiveFeatures(spec, shared_path(spark, "live-once")), 2).collect()}
+    assert got == {i: (3 if i >= 3 else None, i // 3) for i in range(40)}
+    assert len(seen) == 1 and "get_json_object" not in seen[0]
