@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 from dataclasses import replace
+from inspect import signature
 from itertools import accumulate
 
 import pytest
@@ -11,7 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from hindcast.operators import anomaly, calibration, encoding, modelling, pit
-from hindcast.plans import model_queries
+from hindcast.plans import catalog, model_queries
 from hindcast.roles import EntityFeatures
 from hindcast.session import shared_path
 from hindcast.sources import state
@@ -302,3 +303,60 @@ def test_a_replay_computes_its_rows_once(spark, monkeypatch):
     got = {r["txn_id"]: (r["recency_card"], r["history_card_count"]) for r in replay(rows, LiveFeatures(spec, shared_path(spark, "live-once")), 2).collect()}
     assert got == {i: (3 if i >= 3 else None, i // 3) for i in range(40)}
     assert len(seen) == 1 and "get_json_object" not in seen[0]
+
+
+def test_boosted_scores_are_fitted_with_all_rounds(spark, monkeypatch, tmp_path):
+    """The query asks for 500 rounds of depth 6 with 50 rounds of patience; fewer are fitted here, only for the time."""
+    kinds = ("error", "signup", "view", "click", "buy")
+    rows = [(i, 1_700_000_000 + 60 * i, i % 7, kinds[i * 3 % 5], float(i * 37 % 101), f'{{"k": {i * 13 % 50}}}') for i in range(400)]
+    rows = spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string, value double, props string")
+    rows.withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz")).drop("s").write.parquet(f"{tmp_path}/events.parquet")
+    seen, whole = [], modelling.fit_boosted
+
+    def recorded(*args, **more):
+        asked = signature(whole).bind(*args, **more)
+        asked.apply_defaults()
+        seen.append({k: asked.arguments[k] for k in ("rounds", "depth", "patience")})
+        return whole(*args, **more | {"rounds": 2, "depth": 2})
+
+    monkeypatch.setattr(modelling, "fit_boosted", recorded)
+    assert catalog.QUERIES["m6_boosted_scores"](spark, str(tmp_path)).count() == 60
+    assert seen == [{"rounds": 500, "depth": 6, "patience": 50}]
+
+
+def test_boosted_trees_are_fitted_until_patience_ends(spark, monkeypatch):
+    """What is kept follows from the curve over all rounds, whichever number of them was fitted first or is ranked at a time."""
+    monkeypatch.setattr(modelling, "RANKED_ROUNDS", 4)
+    monkeypatch.setattr(modelling, "TASK_ROWS", 100)
+    asked, trained, weights = [], [], modelling.GBTClassificationModel.treeWeights
+    monkeypatch.setattr(modelling.GBTClassificationModel, "treeWeights", property(lambda m: asked.append(1) or weights.fget(m)))
+    fit = modelling.GBTClassifier.fit
+    monkeypatch.setattr(modelling.GBTClassifier, "fit", lambda learner, rows: trained.append((learner.getMaxIter(), rows.rdd.getNumPartitions())) or fit(learner, rows))
+    df = learning_table(spark)
+    prepared = modelling.Preprocessor(["a", "b"], []).fit(df).transform(df, ("txn_id", "label"))
+    prepared = prepared.withColumn("stops", F.col("txn_id") % 5 == 0).coalesce(1).cache()
+    stopping = prepared.where("stops").select("txn_id", "label", "features", "stops")
+    for rounds, patience in ((11, 1), (11, 2), (6, 100)):
+        asked.clear(), trained.clear()
+        made = modelling.fit_boosted(prepared, "label", "stops", rounds=rounds, depth=2, patience=patience)
+        rows = made.margins(stopping).select("label", "margins").collect()
+        curve = [average_precision([(r["margins"][i], r["label"]) for r in rows]) for i in range(len(made.leaves))]
+        best = 0
+        for r, value in enumerate(curve):
+            if r - best > patience:
+                break
+            best = r if value > curve[best] else best
+        looked_at = min(best + patience + 1, rounds)
+        assert made.kept == best + 1 and made.curve == pytest.approx(curve[:looked_at], rel=1e-12)
+        # The last fit is the first that is long enough, and the weights of the trees are asked for once a fit.
+        lengths = [min((patience + 1) * 4**i, rounds) for i in range(len(trained))]
+        assert [n for n, _ in trained] == lengths and lengths[-1] >= looked_at and len(asked) == len(trained)
+        assert {tasks for _, tasks in trained} == {480 // 100 + 1}
+    # A first round that nothing exceeds ends the search at once; one class among the stopping rows keeps all rounds.
+    even = prepared.withColumn("features", array_to_vector(F.array(F.col("label").cast("double"))))
+    trained.clear()
+    made = modelling.fit_boosted(even, "label", "stops", rounds=40, depth=2, patience=2)
+    assert (made.kept, made.curve, len(made.leaves), [n for n, _ in trained]) == (1, [1.0] * 3, 3, [3])
+    trained.clear()
+    alone = modelling.fit_boosted(prepared.where("not stops or label = 0"), "label", "stops", rounds=9, depth=2, patience=1)
+    assert (alone.kept, alone.curve, [n for n, _ in trained]) == (9, [], [2, 9])
